@@ -56,7 +56,7 @@ def readable(value: Column | str) -> Column:
 
 
 def canonical_spaces(value: Column) -> Column:
-    return F.regexp_replace(F.translate(value, "\u00a0\u3000", "  "), r"[ \t]+", " ")
+    return F.regexp_replace(value, r"[ \t\u00a0\u3000]+", " ")
 
 
 def drop_controls(value: Column) -> Column:

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import stable
 from . import chapters as ch
-from .clean import AUDIT, CleanRules, clean, unescape_and_compose
+from .clean import CleanRules, clean, unescape_and_compose
 from .scan import position, running
 
 _MARK, _END, _CUT = "\x01", "\x02", "\x03"
@@ -108,31 +109,36 @@ def assemble(spine: DataFrame, docs: DataFrame, toc: DataFrame, rules: CleanRule
 
     sections, plain, missing = split_by_anchor(reading.drop("_raw", "toc_title"), toc, rules)
     body = clean(plain.withColumn("text", unescape_and_compose(tx.html_to_text(F.col("html")))), rules)
-    body = body.withColumn("_trimmed", ch.drop_duplicate_title_lines(F.col("text"), F.coalesce("title", F.lit(""))))
-    repeats = body.filter(F.length("_trimmed") < F.length("text")).select(
-        "book_id", "pos", F.col("name").alias("source"), F.lit("remove_adjacent_duplicate_title").alias("operation"))
-    found = ch.drop_title_only_first(
-        ch.chapter_array(F.col("_trimmed"), F.col("title"), rules.chapter_pattern), F.col("title"))
-    split = body.select("book_id", "pos", "name", F.posexplode(found).alias("section", "_c"))
-    parts = sections.select("book_id", "pos", "name", F.col("section").cast("int").alias("section"), "title", "text").unionByName(
-        split.select("book_id", "pos", "name", F.col("section").cast("int").alias("section"),
-                     F.col("_c.title").alias("title"), F.col("_c.text").alias("text")))
+    shared = ["book_id", "pos", "name", "title", "text", "audit"]
+    # Parsing is the costly part and feeds the counts, the chapters and the audit, so it is written once.
+    parsed = stable(sections.select(*shared, F.col("section").cast("int").alias("section"), F.lit(True).alias("anchored"),
+                                    F.lit(False).alias("flagged"))
+                    .unionByName(body.select(*shared, F.lit(0).alias("section"), F.lit(False).alias("anchored"),
+                                             ch.lacks_paragraphs(F.col("html")).alias("flagged"))))
+    parsed = parsed.withColumn("_trimmed", F.when(F.col("anchored"), F.col("text")).otherwise(
+        ch.drop_duplicate_title_lines(F.col("text"), F.coalesce("title", F.lit("")))))
+    split = ch.drop_title_only_first(ch.chapter_array(F.col("_trimmed"), F.col("title"), rules.chapter_pattern), F.col("title"))
+    whole = F.array(F.struct("title", F.col("_trimmed").alias("text")))
+    parsed = parsed.withColumn("_chapters", F.when(F.col("anchored"), whole).otherwise(split))
 
     # An untitled document is named after the number of chapters before it.
-    per_doc = parts.groupBy("book_id", "pos").agg(F.count("*").alias("_chapters"))
-    before = running(per_doc, ["book_id"], ["pos"], {"_upto": F.col("_chapters")}).select(
-        "book_id", "pos", (F.col("_upto") - F.col("_chapters") + 1).alias("_next"))
-    parts = parts.join(before, ["book_id", "pos"]).withColumn(
-        "title", F.coalesce("title", F.concat(F.lit("Chapter "), F.col("_next").cast("string")))).drop("_next")
-    numbered = position(ch.keep_readable(parts), ["book_id"], ["pos", "section"], "chapter_index")
-
-    flagged = plain.filter(ch.lacks_paragraphs(F.col("html"))).select(
-        "book_id", "pos", F.col("name").alias("source"), F.lit("review_non_paragraph_document").alias("operation"))
-    cleaned = (sections.select("book_id", "pos", "name", "audit").unionByName(body.select("book_id", "pos", "name", "audit"))
-               .select("book_id", "pos", F.col("name").alias("source"), F.explode("audit").alias("_a"))
+    per_doc = parsed.groupBy("book_id", "pos").agg(F.sum(F.size("_chapters")).alias("_n"))
+    before = running(per_doc, ["book_id"], ["pos"], {"_upto": F.col("_n")}).select(
+        "book_id", "pos", (F.col("_upto") - F.col("_n") + 1).alias("_next"))
+    parts = (parsed.select("book_id", "pos", "name", "section", F.posexplode("_chapters").alias("_at", "_c"))
+             .join(before, ["book_id", "pos"])
+             .select("book_id", "pos", "name", "section", "_at", F.col("_c.text").alias("text"),
+                     F.coalesce("_c.title", F.concat(F.lit("Chapter "), F.col("_next").cast("string"))).alias("title")))
+    numbered = position(ch.keep_readable(parts), ["book_id"], ["pos", "section", "_at"], "chapter_index")
+
+    def note(rows: DataFrame, operation: str) -> DataFrame:
+        return rows.select("book_id", "pos", F.col("name").alias("source"), F.lit(operation).alias("operation"))
+
+    cleaned = (parsed.select("book_id", "pos", F.col("name").alias("source"), F.explode("audit").alias("_a"))
                .select("book_id", "pos", "source", F.col("_a.operation").alias("operation"), F.col("_a").alias("detail")))
     audit = repeated
-    for extra in (navigation, empty, repeats, flagged, missing, cleaned):
+    for extra in (navigation, empty, note(parsed.filter(F.length("_trimmed") < F.length("text")), "remove_adjacent_duplicate_title"),
+                  note(parsed.filter("flagged"), "review_non_paragraph_document"), missing, cleaned):
         audit = audit.unionByName(extra, allowMissingColumns=True)
     return numbered.select("book_id", F.col("chapter_index").cast("int").alias("chapter_index"), "title", "text",
                            F.col("name").alias("source")), audit

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed
-
 
 def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator.cast("double"), F.when(denominator != 0, denominator).cast("double"))
@@ -122,8 +120,8 @@ def compare_batch_sizes(clips: DataFrame, size: str = "batch_size", baseline: in
     per_size = clips.groupBy(size).agg(
         F.sum("generation_seconds").alias("generation_seconds"), F.sum("duration").alias("audio_seconds"),
         F.max("actual_size").alias("actual_max_batch_size"), F.count_if("qc_pass").alias("qc_passed"), F.max("cer").alias("max_cer"))
-    base = per_size.filter(F.col(size) == baseline).select(F.col("generation_seconds").alias("_base"))
-    return (per_size.join(F.broadcast(base), how="left")  # one row
+    base = clips.filter(F.col(size) == baseline).agg(F.sum("generation_seconds"))
+    return (per_size.withColumn("_base", base.scalar())
             .withColumn("rtf", ratio(F.col("generation_seconds"), F.col("audio_seconds")))
             .withColumn("speedup", ratio(F.col("_base"), F.col("generation_seconds"))).drop("_base"))
 
@@ -174,5 +172,3 @@ def batch_summary(entries: DataFrame) -> DataFrame:
             F.when(F.bool_and(F.coalesce(F.col("segment_verdict").isin("generated", "cached"), F.lit(False))), "completed")
             .otherwise("failed")).alias("status"))
 
-
-TERMINAL = fixed.TERMINAL_STATUSES

@@ -50,11 +50,11 @@ def download_selection(requests: DataFrame, jobs: DataFrame, media: DataFrame, b
 def collectable(jobs: DataFrame, submitted: DataFrame, activated: Column, fmt: str, limit: int = fixed.DOWNLOAD_JOBS) -> DataFrame:
     """Finished conversions not yet submitted, while no job is active or queued. Key: job, format, finish."""
     key = F.concat_ws(":", F.col("job_id").cast("string"), F.lit(fmt), F.coalesce("finished_at", "created_at").cast("string"))
-    busy = jobs.filter(F.col("status").isin([*fixed.ACTIVE_STATUSES, "queued"])).agg((F.count("*") == 0).alias("_idle"))
+    idle = jobs.filter(F.col("status").isin([*fixed.ACTIVE_STATUSES, "queued"])).agg(F.count("*") == 0)
     ready = jobs.filter((F.col("status") == "completed") & (F.coalesce("kind", F.lit("convert")) == "convert")
                         & (F.col("finished_at") >= activated)).withColumn("download_key", key)
     fresh = ready.join(submitted.select("download_key").distinct(), "download_key", "left_anti")
-    return (fresh.join(F.broadcast(busy), how="cross").filter("_idle").drop("_idle")  # busy is one aggregate row
+    return (fresh.filter(idle.scalar())
             .orderBy(F.col("created_at").desc(), F.col("job_id").desc()).limit(limit))
 
 

@@ -51,7 +51,7 @@ def decode_text(files: DataFrame, encoding: str | None = None, content: str = "c
         marked = start.isin("FFFE", "FEFF")
         valid = F.is_valid_utf8(data.cast("string"))
         df = files.withColumn("_legacy", kernels.decode_legacy(F.when(~marked & ~valid, data)))
-        plain = F.regexp_replace(data.cast("string"), "^﻿", "")
+        plain = F.regexp_replace(data.cast("string"), "^\\x{FEFF}", "")
         df = (df.withColumn("text", F.when(marked, F.decode(data, "UTF-16")).when(valid, plain).otherwise(F.col("_legacy.text")))
               .withColumn("encoding", F.when(marked, "utf-16").when(valid, "utf-8").otherwise(F.col("_legacy.encoding"))).drop("_legacy"))
     return (df.filter(F.col("text").isNotNull()),
