@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import chapters as ch
 from ..operators import clean as cl
 from ..operators import rewrite as rw
 from ..operators import rollup
 from ..operators import segment as sg
 from .chapter_queries import CHAPTERS, document_chapters
-from .inputs import LINES, WS, conversations, document_lines, documents, sql_strip
+from .inputs import LINES, SENTENCE_LINE, WS, conversations, document_lines, documents, sql_strip
 from .registry import query
 
 _SPACE = f"[ \\t\\n\\r\\x0b\\x0c\\x1c-\\x1f]"
@@ -96,7 +97,6 @@ def g2_segment_exact_small(spark, d):
     return exact(documents(spark, d), "doc_id", target=100, longest=180, shortest=30).select("doc_id", "seg_index", "text", "boundary")
 
 
-_SENTENCE = r"[.!?。！？…\n](?:[ \t\n\r]|$)"
 _B = ".{0,298}"
 _LIGHT = rf"(?s)[^ \t\n\r](?:{_B}[.!?。！？…\n](?:[ \t\n\r]|\z)|{_B}[。！？…]|{_B}[,，、;；:：]|{_B}[ \t\n\r]|.{{0,299}})"
 
@@ -113,21 +113,9 @@ f AS (SELECT k, unnest(ends) AS x FROM g_doc UNION ALL SELECT k, {{'e': n, 'kind
 SELECT k AS doc_id, x.kind AS kind, count(*) AS boundaries, sum(x.e)::BIGINT AS offsets, sum(x.inside)::BIGINT AS inside FROM f GROUP BY ALL""")
 def g1_boundaries(spark, d):
     """Where pieces may end: counts and offset sums per kind, and how many lie inside quotations."""
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
-    fields = T.ArrayType(T.StructType([T.StructField("e", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("inside", T.LongType())]))
-
-    @F.arrow_udf(fields)
-    def points(values: pa.Array) -> pa.Array:
-        out = []
-        for value in values:
-            ends, kinds, outside = sg.break_points(value.as_py())
-            out.append([{"e": e, "kind": k, "inside": int(not o)} for e, k, o in zip(ends, kinds, outside)])
-        return pa.array(out, pa.list_(pa.struct([("e", pa.int64()), ("kind", pa.string()), ("inside", pa.int64())])))
-
-    rows = documents(spark, d).select("doc_id", F.explode(points(F.col("text"))).alias("x"))
-    return rows.groupBy("doc_id", "x.kind").agg(F.count("*").alias("boundaries"), F.sum("x.e").alias("offsets"), F.sum("x.inside").alias("inside"))
+    rows = documents(spark, d).select("doc_id", F.explode(sg.boundaries(F.col("text"))).alias("x"))
+    return rows.groupBy("doc_id", "x.kind").agg(F.count("*").alias("boundaries"), F.sum("x.end").alias("offsets"),
+                                                F.count_if(~F.col("x.outside")).alias("inside"))
 
 
 @query("g3_lossless", "SELECT doc_id, 0::BIGINT AS lossy FROM documents")
@@ -146,7 +134,6 @@ def g3_lossless_light(spark, d):
 @query("g4_slice_check", "SELECT doc_id, 0::BIGINT AS violations FROM documents")
 def g4_slice_check(spark, d):
     docs = documents(spark, d)
-    rows = sg.flatten_segments(docs, sg.exact_pieces()(F.col("text")), "doc_id", "text")
     # the source text rides along only inside the projection that compares it
     rows = docs.select("doc_id", F.col("text").alias("source_text"), sg.exact_pieces()(F.col("text")).alias("p")).select(
         "doc_id", "source_text", F.explode("p").alias("p")).select("doc_id", "source_text", "p.*")
@@ -210,8 +197,6 @@ def chapter_segments(spark, d) -> DataFrame:
     """Cleaned documents cut into chapters and exact segments."""
     cleaned = cl.tidy_layout(documents(spark, d))
     title = F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
-    from ..operators import chapters as ch
-    from .inputs import SENTENCE_LINE
     chapters = ch.split_chapters(cleaned, title, SENTENCE_LINE)
     return sg.segment_exact(chapters, "doc_id", "lang", "source", "chapter_index", "title")
 
