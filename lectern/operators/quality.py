@@ -69,7 +69,7 @@ def mono(samples: Column, channels: Column) -> Column:
         return F.aggregate(frame, F.lit(0.0), lambda acc, x: acc + x.cast("double")) / channels
     frames = F.floor(F.size(samples) / channels)
     averaged = F.transform(F.sequence(F.lit(0).cast("bigint"), frames - 1), average)
-    return F.when(channels == 1, F.transform(samples, lambda x: x.cast("double"))).when(
+    return F.when(samples.isNull(), None).when(channels == 1, F.transform(samples, lambda x: x.cast("double"))).when(
         frames > 0, averaged).otherwise(F.array().cast("array<double>"))
 
 
@@ -79,8 +79,8 @@ def frame_rms(samples: Column, size: Column) -> Column:
         frame = F.slice(samples, (k * size + 1).cast("int"), size.cast("int"))
         return F.sqrt(F.aggregate(frame, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")) / size)
     frames = F.floor(F.size(samples) / size)
-    return F.when(frames > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(frames, F.lit(1)) - 1), rms)).otherwise(
-        F.array().cast("array<double>"))
+    measured = F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(frames, F.lit(1)) - 1), rms)
+    return F.when(samples.isNull(), None).when(frames > 0, measured).otherwise(F.array().cast("array<double>"))
 
 
 def frame_size(rate: Column, seconds: float = fixed.FRAME_SECONDS) -> Column:

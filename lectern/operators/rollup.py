@@ -71,7 +71,7 @@ def state_summary(state: DataFrame, plan: DataFrame, *keys: str, key: str = "seg
         completed(F.col("generation_seconds")).alias("generation_seconds"),
         completed(F.col("chars") * F.col("_w")).alias("chars"))
     return (totals.withColumn("total", F.coalesce("planned", F.lit(0))).drop("planned")
-            .withColumn("percent", F.coalesce(F.round(ratio(F.col("completed"), F.col("total")) * 100, 1), F.lit(0.0)))
+            .withColumn("percent", F.coalesce(F.bround(ratio(F.col("completed"), F.col("total")) * 100, 1), F.lit(0.0)))
             .withColumn("rtf", ratio(F.col("generation_seconds"), F.col("synthesized_audio_seconds"))))
 
 
@@ -95,7 +95,7 @@ def job_rollup(books: DataFrame, jobs: DataFrame, job: str = "job_id") -> DataFr
     left = F.greatest(F.lit(0), F.col("planned_chars") - F.col("chars"))
     historical = ratio(F.col("generation_seconds"), F.col("synthesized_audio_seconds"))
     active = F.col("_live").isNotNull()
-    percent = F.round(ratio(F.col("completed"), F.col("total")) * 100, 1)
+    percent = F.bround(ratio(F.col("completed"), F.col("total")) * 100, 1)
     usable = F.when(F.col("_live.remaining_chars") > 0, F.col("_live.remaining_chars"))
     return (totals.withColumn("percent", F.when((F.col("status") == "completed") & (F.col("total") > 0), 100.0)
                               .otherwise(F.coalesce(percent, F.lit(0.0))))

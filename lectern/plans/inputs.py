@@ -53,7 +53,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("segment_id"), F.col("l_suppkey").alias("supplier"), status.alias("status"),
         F.col("l_quantity").alias("duration"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
         F.round(F.col("l_discount") * 100).cast("bigint").alias("discount"), F.round(F.col("l_tax") * 100).cast("bigint").alias("tax"),
-        F.col("l_shipdate").alias("at"))
+        F.col("l_shipdate").alias("shipped_at"))
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,7 @@ records AS (
     CASE WHEN l_returnflag = 'A' THEN 'completed' WHEN l_returnflag = 'R' THEN 'failed'
          WHEN l_linestatus = 'O' THEN 'generated' ELSE 'pending' END AS status,
     l_quantity AS duration, round(l_extendedprice * 100)::BIGINT AS cents, round(l_discount * 100)::BIGINT AS discount,
-    round(l_tax * 100)::BIGINT AS tax, l_shipdate AS at
+    round(l_tax * 100)::BIGINT AS tax, l_shipdate AS shipped_at
   FROM lineitem)
 """
 

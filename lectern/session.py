@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share")
 
 
+def workspace(spark: SparkSession) -> str:
+    """A fresh folder next to the checkpoints, for tables a job writes and reads back."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint, so a lost executor cannot change what was computed."""
     ensure_checkpoint_dir(df.sparkSession)
