@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
+from ..functions.rows import unnest
 from .scan import position
 
 _BREAK = "\x01\x02\x01"
@@ -26,7 +27,7 @@ def chapter_array(text: Column, title: Column, pattern: str = fixed.CHAPTER_PATT
 def split_chapters(df: DataFrame, title: Column, pattern: str = fixed.CHAPTER_PATTERN, text: str = "text") -> DataFrame:
     """One row per chapter, with ``chapter_index`` dense within the row's document and ``title``/``text`` replaced."""
     keep = [c for c in df.columns if c not in {text, "title", "chapter_index"}]
-    exploded = df.select(*keep, F.posexplode(chapter_array(F.col(text), title, pattern)).alias("_at", "_chapter"))
+    exploded = unnest(df, chapter_array(F.col(text), title, pattern), *keep, value="_chapter")
     return exploded.select(*keep, (F.col("_at") + 1).alias("chapter_index"), F.col("_chapter.title").alias("title"),
                            F.col("_chapter.text").alias(text))
 
@@ -109,8 +110,8 @@ def selection_ranges(spec: Column, limit: int = 1_000_000) -> Column:
 
 def parse_selection(df: DataFrame, spec: str, *keys: str, limit: int = 1_000_000) -> DataFrame:
     """One row per selected chapter number."""
-    ranges = df.select(*keys, F.explode(selection_ranges(F.col(spec), limit)).alias("_r"))
-    return ranges.select(*keys, F.explode(F.sequence("_r.lo", "_r.hi")).alias("chapter_index")).distinct()
+    ranges = unnest(df, selection_ranges(F.col(spec), limit), *keys, value="_r")
+    return unnest(ranges, F.sequence("_r.lo", "_r.hi"), *keys, value="chapter_index").select(*keys, "chapter_index").distinct()
 
 
 def select_chapters(chapters: DataFrame, ranges: Column, index: str = "chapter_index") -> DataFrame:
@@ -126,9 +127,9 @@ def selection_scope(df: DataFrame, selected: str, total: str) -> DataFrame:
 
 def invalid_selection(books: DataFrame, ranges: Column, total: str, *keys: str) -> DataFrame:
     """Requested numbers beyond the book's last chapter; only the overhang is expanded."""
-    over = books.select(*keys, F.col(total).alias("_n"), F.explode(ranges).alias("_r")).filter(F.col("_r.hi") > F.col("_n"))
+    over = unnest(books, ranges, *keys, F.col(total).alias("_n"), value="_r").filter(F.col("_r.hi") > F.col("_n"))
     start = F.greatest(F.col("_r.lo"), F.col("_n") + 1)
-    return over.select(*keys, F.explode(F.sequence(start, F.col("_r.hi"))).alias("invalid_index")).distinct()
+    return unnest(over, F.sequence(start, F.col("_r.hi")), *keys, value="invalid_index").select(*keys, "invalid_index").distinct()
 
 
 def pick_cover(items: DataFrame) -> DataFrame:

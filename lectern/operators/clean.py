@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, kernels
 from ..functions import text as tx
+from ..functions.rows import unnest
 from ..functions.identity import digest_string, digest_value
 
 AUDIT = (
@@ -305,7 +306,7 @@ def cleanup_delta(df: DataFrame, text: str = "text", original: str = "_original"
 
 def audit_rows(df: DataFrame, *keys: str) -> DataFrame:
     """One row per audit record, numbered within its document."""
-    return df.select(*keys, F.posexplode("audit").alias("seq", "entry")).select(*keys, "seq", "entry.*")
+    return unnest(df, "audit", *keys, at="seq", value="entry").select(*keys, "seq", "entry.*")
 
 
 def audit_union(*parts: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.rows import keep_where, unnest
 from ..session import stable
 from . import chapters as ch
 from .clean import CleanRules, clean, unescape_and_compose
@@ -52,7 +53,7 @@ def anchor_titles(docs: DataFrame, toc: DataFrame) -> tuple[DataFrame, DataFrame
                       F.substring_index("href", "#", -1).alias("anchor"), "pos", "title")
               .filter(F.col("anchor") != "")
               .groupBy("book_id", "name", "anchor").agg(F.min_by("title", "pos").alias("title"), F.min("pos").alias("pos")))
-    present = docs.select("book_id", "name", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(_ID), F.lit(2)))).alias("anchor"))
+    present = unnest(docs, F.array_distinct(F.regexp_extract_all("html", F.lit(_ID), F.lit(2))), "book_id", "name", value="anchor").drop("_at")
     known = docs.select("book_id", "name")
     missing = wanted.join(known, ["book_id", "name"]).join(present, ["book_id", "name", "anchor"], "left_anti").select(
         "book_id", F.col("name").alias("source"), F.lit("missing_toc_anchor").alias("operation"), "anchor")
@@ -90,11 +91,10 @@ def split_by_anchor(docs: DataFrame, toc: DataFrame, rules: CleanRules = CleanRu
     anchors, missing = anchor_titles(docs, toc)
     joined = docs.join(anchors, ["book_id", "name"], "left")
     plain = joined.filter(F.col("anchors").isNull()).drop("anchors")
-    sections = (joined.filter(F.col("anchors").isNotNull())
-                .select(*[c for c in docs.columns if c not in {"html", "title"}],
-                        F.posexplode(section_array(F.col("html"), F.col("anchors"), F.col("title"))).alias("section", "_s"))
-                .withColumn("title", F.col("_s.title")).withColumn("text", F.col("_s.text")).drop("_s"))
-    return clean(sections, rules).filter(tx.readable("text")), plain, missing
+    kept = [c for c in docs.columns if c not in {"html", "title"}]
+    sections = unnest(joined.filter(F.col("anchors").isNotNull()), section_array(F.col("html"), F.col("anchors"), F.col("title")),
+                      *kept, at="section", value="_s").select(*kept, "section", "_s.title", "_s.text")
+    return keep_where(clean(sections, rules), tx.readable("text")), plain, missing
 
 
 def assemble(spine: DataFrame, docs: DataFrame, toc: DataFrame, rules: CleanRules = CleanRules()) -> tuple[DataFrame, DataFrame]:
@@ -102,13 +102,13 @@ def assemble(spine: DataFrame, docs: DataFrame, toc: DataFrame, rules: CleanRule
     ordered, repeated = spine_order(spine, docs)
     reading, navigation = split_navigation(ordered)
     reading = reading.withColumn("_raw", unescape_and_compose(tx.html_to_text(F.col("html"))))
-    empty = reading.filter(~tx.readable("_raw")).select("book_id", "pos", F.col("name").alias("source"),
+    empty = keep_where(reading, ~tx.readable("_raw")).select("book_id", "pos", F.col("name").alias("source"),
                                                          F.lit("skip_image_only_or_empty").alias("operation"))
-    reading = reading.filter(tx.readable("_raw")).join(ch.toc_titles(toc), ["book_id", "name"], "left")
+    reading = keep_where(reading, tx.readable("_raw")).join(ch.toc_titles(toc), ["book_id", "name"], "left")
     reading = reading.withColumn("title", F.coalesce(unescape_and_compose(ch.first_heading(F.col("html"))), "toc_title"))
 
-    sections, plain, missing = split_by_anchor(reading.drop("_raw", "toc_title"), toc, rules)
-    body = clean(plain.withColumn("text", unescape_and_compose(tx.html_to_text(F.col("html")))), rules)
+    sections, plain, missing = split_by_anchor(reading.drop("toc_title"), toc, rules)
+    body = clean(plain.withColumnRenamed("_raw", "text"), rules)
     shared = ["book_id", "pos", "name", "title", "text", "audit"]
     # Parsing is the costly part and feeds the counts, the chapters and the audit, so it is written once.
     parsed = stable(sections.select(*shared, F.col("section").cast("int").alias("section"), F.lit(True).alias("anchored"),
@@ -125,7 +125,7 @@ def assemble(spine: DataFrame, docs: DataFrame, toc: DataFrame, rules: CleanRule
     per_doc = parsed.groupBy("book_id", "pos").agg(F.sum(F.size("_chapters")).alias("_n"))
     before = running(per_doc, ["book_id"], ["pos"], {"_upto": F.col("_n")}).select(
         "book_id", "pos", (F.col("_upto") - F.col("_n") + 1).alias("_next"))
-    parts = (parsed.select("book_id", "pos", "name", "section", F.posexplode("_chapters").alias("_at", "_c"))
+    parts = (unnest(parsed, "_chapters", "book_id", "pos", "name", "section", value="_c")
              .join(before, ["book_id", "pos"])
              .select("book_id", "pos", "name", "section", "_at", F.col("_c.text").alias("text"),
                      F.coalesce("_c.title", F.concat(F.lit("Chapter "), F.col("_next").cast("string"))).alias("title")))
@@ -134,7 +134,7 @@ def assemble(spine: DataFrame, docs: DataFrame, toc: DataFrame, rules: CleanRule
     def note(rows: DataFrame, operation: str) -> DataFrame:
         return rows.select("book_id", "pos", F.col("name").alias("source"), F.lit(operation).alias("operation"))
 
-    cleaned = (parsed.select("book_id", "pos", F.col("name").alias("source"), F.explode("audit").alias("_a"))
+    cleaned = (unnest(parsed, "audit", "book_id", "pos", F.col("name").alias("source"), at="_i", value="_a")
                .select("book_id", "pos", "source", F.col("_a.operation").alias("operation"), F.col("_a").alias("detail")))
     audit = repeated
     for extra in (navigation, empty, note(parsed.filter(F.length("_trimmed") < F.length("text")), "remove_adjacent_duplicate_title"),

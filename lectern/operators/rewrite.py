@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
+from ..functions.rows import unnest
 
 
 def _literal(term: str) -> str:
@@ -52,7 +53,7 @@ def spoken_text(df: DataFrame, terms: dict[str, str], text: str = "text") -> Dat
 def replacement_counts(df: DataFrame, terms: dict[str, str], *keys: str, text: str = "text") -> DataFrame:
     """How often each present term was replaced, per key."""
     found = F.regexp_extract_all(F.col(text), F.lit(terms_pattern(terms)), F.lit(0))
-    return (df.select(*keys, F.explode(found).alias("source")).groupBy(*keys, "source")
+    return (unnest(df, found, *keys, value="source").groupBy(*keys, "source")
             .agg(F.count("*").alias("count")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
+from ..functions.rows import unnest
 from ..functions.identity import digest_string
 from .quality import compare_text
 
@@ -16,7 +17,7 @@ def media_records(exports: DataFrame, chapters: DataFrame, files: DataFrame) ->
 
     ``exports``: ``job_id, path, format``; ``chapters``: ``job_id, title, stem``; ``files``: ``job_id, path`` present.
     """
-    rendered = chapters.select("job_id", "title", "stem", F.explode(F.array(*[F.lit(f) for f in fixed.MEDIA_FORMATS])).alias("format"))
+    rendered = unnest(chapters, F.array(*[F.lit(f) for f in fixed.MEDIA_FORMATS]), "job_id", "title", "stem", value="format")
     candidates = exports.select("job_id", "path", "format", F.lit(None).cast("string").alias("chapter")).unionByName(
         rendered.select("job_id", F.concat_ws(".", "stem", "format").alias("path"), "format", F.col("title").alias("chapter")))
     suffix = F.lower(F.substring_index("path", ".", -1))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,7 +89,8 @@ def score_batches(batched: DataFrame, scorer: Scorer, batch: list[str], item: st
     """Run a user function over each batch.
 
     If it raises or returns the wrong number of results, the batch is halved until the faulty items stand alone; their
-    error becomes a column and no other item is lost. Batches are bounded, so a group always fits a task.
+    error becomes a column and no other item is lost. Rows are clustered by batch and sorted, and a task walks its
+    partition holding one batch at a time: no Python group is built per batch.
     """
     ordering = order or item
 
@@ -104,14 +106,26 @@ def score_batches(batched: DataFrame, scorer: Scorer, batch: list[str], item: st
             middle = len(ids) // 2
             return attempt(ids[:middle], texts[:middle]) + attempt(ids[middle:], texts[middle:])
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_order")
-        rows = attempt(group["item_id"].astype(str).tolist(), group["_text"].tolist())
+    def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None  # the last batch of a chunk may continue in the next one
+        for chunk in chunks:
+            frame = chunk if rest is None else pd.concat([rest, chunk], ignore_index=True)
+            if frame.empty:
+                continue
+            starts = np.flatnonzero(frame[batch].ne(frame[batch].shift()).any(axis=1).to_numpy())
+            rest = frame.iloc[starts[-1]:]
+            yield score(frame, starts, starts[-1])
+        if rest is not None:
+            yield score(rest.reset_index(drop=True), np.array([0]), len(rest))
+
+    def score(frame: pd.DataFrame, starts: np.ndarray, end: int) -> pd.DataFrame:
+        ids, texts = frame["item_id"].tolist(), frame["_text"].tolist()
+        edges = [*starts[starts < end].tolist(), end]
+        rows = [row for low, high in zip(edges, edges[1:]) for row in attempt(ids[low:high], texts[low:high])]
         return pd.DataFrame(rows, columns=SCORED.names)
 
-    ready = batched.select(*batch, F.col(item).cast("string").alias("item_id"), F.col(text).alias("_text"),
-                           F.col(ordering).alias("_order"))
-    return ready.groupBy(*batch).applyInPandas(run, SCORED)
+    ready = batched.select(*batch, F.col(ordering).alias("_order"), F.col(item).cast("string").alias("item_id"), F.col(text).alias("_text"))
+    return ready.repartition(*batch).sortWithinPartitions(*batch, "_order").mapInPandas(run, SCORED)
 
 
 def retry_loop(items: DataFrame, step: Callable[[DataFrame, int], DataFrame], key: str, max_retry: int = fixed.MAX_RETRY) -> DataFrame:

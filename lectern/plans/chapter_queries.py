@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.rows import unnest
 from ..operators import chapters as ch
 from ..operators import epub
 from ..operators.clean import CleanRules, unescape_and_compose
@@ -137,7 +138,7 @@ def c6_split_by_anchor(spark, d):
                       F.struct(F.lit(1).alias("pos"), F.concat(name, F.lit("#ad")).alias("href"), F.concat(F.lit("Ad "), name).alias("title")),
                       F.struct(F.lit(2).alias("pos"), F.concat(name, F.lit("#none")).alias("href"), F.lit("x").alias("title")),
                       F.struct(F.lit(3).alias("pos"), F.concat(name, F.lit("#ad")).alias("href"), F.lit("later title").alias("title")))
-    toc = page.select(F.col("page_id").alias("book_id"), F.explode(entries).alias("e")).select("book_id", "e.*")
+    toc = unnest(page, entries, F.col("page_id").alias("book_id"), value="e").select("book_id", "e.*")
     sections, _, missing = epub.split_by_anchor(docs, toc, CleanRules(strip_source_header=False))
     return sections.select("page_id", F.col("section").cast("bigint").alias("section"), "title", "text").unionByName(
         missing.select(F.col("book_id").alias("page_id"), F.lit(-1).cast("bigint").alias("section"), F.col("operation").alias("title"), F.col("anchor").alias("text")))
@@ -160,7 +161,7 @@ def c8_drop_title_only_first(spark, d):
     title = F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
     found = documents(spark, d).withColumn("all", ch.chapter_array(F.col("text"), title, SENTENCE_LINE))
     kept = ch.drop_title_only_first(F.col("all"), F.get("all", F.lit(0))["title"])
-    return found.select("doc_id", F.explode(kept).alias("c")).select("doc_id", "c.title", "c.text")
+    return unnest(found, kept, "doc_id", value="c").select("doc_id", "c.title", "c.text")
 
 
 @query("c9_flag_non_paragraph", "SELECT page_id, NOT regexp_matches(CASE WHEN page_id % 4 = 0 THEN replace(html, '<p>', '<div>') ELSE html END, '(?i)<p([ ][^>]*)?/?>') AS flagged FROM pages")

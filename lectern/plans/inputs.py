@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.rows import unnest
 
 # A short line that is one sentence; used as the heading pattern on generated prose.
 SENTENCE_LINE = r"[^.]{1,58}\."
@@ -39,7 +40,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-blank lines as segments: ``doc_id, lang, source, line_no, text``."""
     docs = documents(spark, sf_dir)
-    rows = docs.select("doc_id", "lang", "source", F.posexplode(tx.lines("text")).alias("_p", "text"))
+    rows = unnest(docs, tx.lines("text"), "doc_id", "lang", "source", at="_p", value="text")
     return rows.filter(tx.strip("text") != "").select("doc_id", "lang", "source", (F.col("_p") + 1).alias("line_no"), "text")
 
 

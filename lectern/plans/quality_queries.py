@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import unnest
 from ..operators import clips as cp
 from ..operators import quality as ql
 from ..operators import select as sl
@@ -105,7 +106,7 @@ SELECT vec_id, frame_no, round(sqrt(avg(x * x)), 9) AS rms FROM x GROUP BY ALL H
 def q5_frame_rms(spark, d):
     """Frames of nine samples, so that a partial one is left over."""
     frames = ql.frame_rms(F.col("loud"), ql.frame_size(F.lit(450)))
-    rows = signal(spark, d).select("vec_id", F.posexplode(frames).alias("frame_no", "rms"))
+    rows = unnest(signal(spark, d), frames, "vec_id", at="frame_no", value="rms")
     return rows.select("vec_id", F.col("frame_no").cast("bigint").alias("frame_no"), F.round("rms", 9).alias("rms"))
 
 

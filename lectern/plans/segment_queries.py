@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.rows import unnest
 from ..operators import chapters as ch
 from ..operators import clean as cl
 from ..operators import rewrite as rw
@@ -97,13 +98,34 @@ def g2_segment_exact_small(spark, d):
     return exact(documents(spark, d), "doc_id", target=100, longest=180, shortest=30).select("doc_id", "seg_index", "text", "boundary")
 
 
-_B = ".{0,298}"
-_LIGHT = rf"(?s)[^ \t\n\r](?:{_B}[.!?。！？…\n](?:[ \t\n\r]|\z)|{_B}[。！？…]|{_B}[,，、;；:：]|{_B}[ \t\n\r]|.{{0,299}})"
+def sql_light(texts: str) -> str:
+    """The light segmentation as a walk over the positions of its marks, giving ``segs`` for ``texts`` (``k, text``)."""
+    return f"""
+l_text AS ({texts}),
+l_char AS (SELECT k, unnest(string_split(text, '')) AS c, unnest(range(0, length(text))) AS i FROM l_text WHERE text <> ''),
+l_next AS (SELECT k, c, i, lead(c) OVER (PARTITION BY k ORDER BY i) AS nc FROM l_char),
+l_list AS (
+  SELECT k, coalesce(list(i ORDER BY i) FILTER (position(c IN '.!?。！？…' || chr(10)) > 0 AND (nc IS NULL OR position(nc IN ' ' || chr(9) || chr(10) || chr(13)) > 0)), []) AS stops,
+    coalesce(list(i ORDER BY i) FILTER (position(c IN ',，、;；:：') > 0), []) AS clauses,
+    coalesce(list(i ORDER BY i) FILTER (position(c IN ' ' || chr(9) || chr(10) || chr(13)) > 0), []) AS blanks FROM l_next GROUP BY k),
+l_doc AS MATERIALIZED (SELECT t.k, t.text, length(t.text) AS n, l.stops, l.clauses, l.blanks FROM l_text t JOIN l_list l USING (k)),
+l_walk AS (
+  WITH RECURSIVE walk AS (
+    SELECT k, 0::BIGINT AS no, 0::BIGINT AS s, 0::BIGINT AS e FROM l_doc
+    UNION ALL
+    SELECT k, no, s, CASE WHEN a IS NOT NULL THEN least(a + 2, n) WHEN c IS NOT NULL THEN c + 1 WHEN w IS NOT NULL THEN w + 1 ELSE least(s + 300, n) END FROM (
+      SELECT k, no, s, n, list_max(list_filter(stops, lambda x: x > s AND x < s + 300)) AS a, list_max(list_filter(clauses, lambda x: x > s AND x < s + 300)) AS c,
+        list_max(list_filter(blanks, lambda x: x > s AND x < s + 300)) AS w
+      FROM (SELECT v.k, v.no + 1 AS no, d.n, d.stops, d.clauses, d.blanks,
+              v.e + length(substr(d.text, v.e + 1)) - length(ltrim(substr(d.text, v.e + 1), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS s
+            FROM walk v JOIN l_doc d USING (k) WHERE v.e < d.n)
+      WHERE s < n))
+  SELECT * FROM walk WHERE no > 0),
+segs AS (SELECT w.k, w.no AS seg_index, {sql_strip('substr(d.text, w.s + 1, w.e - w.s)')} AS text FROM l_walk w JOIN l_doc d USING (k))
+"""
 
 
-@query("g2_segment_light", f"""
-WITH s AS (SELECT doc_id, regexp_extract_all(text, '{_LIGHT}') AS p FROM documents)
-SELECT doc_id, unnest(range(1, len(p) + 1)) AS seg_index, {sql_strip('unnest(p)')} AS text FROM s""")
+@query("g2_segment_light", f"WITH {sql_light('SELECT doc_id AS k, text FROM documents')} SELECT k AS doc_id, seg_index, text FROM segs")
 def g2_segment_light(spark, d):
     return bigints(sg.segment_light(documents(spark, d), "doc_id"), "seg_index")
 
@@ -113,7 +135,7 @@ f AS (SELECT k, unnest(ends) AS x FROM g_doc UNION ALL SELECT k, {{'e': n, 'kind
 SELECT k AS doc_id, x.kind AS kind, count(*) AS boundaries, sum(x.e)::BIGINT AS offsets, sum(x.inside)::BIGINT AS inside FROM f GROUP BY ALL""")
 def g1_boundaries(spark, d):
     """Where pieces may end: counts and offset sums per kind, and how many lie inside quotations."""
-    rows = documents(spark, d).select("doc_id", F.explode(sg.boundaries(F.col("text"))).alias("x"))
+    rows = unnest(documents(spark, d), sg.boundaries(F.col("text")), "doc_id", value="x")
     return rows.groupBy("doc_id", "x.kind").agg(F.count("*").alias("boundaries"), F.sum("x.end").alias("offsets"),
                                                 F.count_if(~F.col("x.outside")).alias("inside"))
 
@@ -135,8 +157,7 @@ def g3_lossless_light(spark, d):
 def g4_slice_check(spark, d):
     docs = documents(spark, d)
     # the source text rides along only inside the projection that compares it
-    rows = docs.select("doc_id", F.col("text").alias("source_text"), sg.exact_pieces()(F.col("text")).alias("p")).select(
-        "doc_id", "source_text", F.explode("p").alias("p")).select("doc_id", "source_text", "p.*")
+    rows = unnest(docs, sg.exact_pieces()(F.col("text")), "doc_id", F.col("text").alias("source_text"), value="p").select("doc_id", "source_text", "p.*")
     bad = sg.slice_violations(rows).groupBy("doc_id").agg(F.count("*").alias("violations"))
     return docs.select("doc_id").join(bad, "doc_id", "left").select("doc_id", F.coalesce("violations", F.lit(0)).alias("violations"))
 
@@ -212,9 +233,8 @@ def a1_plan_summary(spark, d):
 
 
 @query("a1_plan_summary_light", f"""
-WITH {CHAPTERS}, p AS (SELECT lang, regexp_extract_all(text, '{_LIGHT}') AS p FROM chapters),
-s AS (SELECT lang, unnest(range(1, len(p) + 1)) AS seg_index, {sql_strip('unnest(p)')} AS text FROM p)
-SELECT lang, count(*) FILTER (seg_index = 1) AS chapters, count(*) AS segments, sum(length(text))::BIGINT AS chars, max(length(text))::BIGINT AS longest FROM s GROUP BY lang""")
+WITH {CHAPTERS}, {sql_light("SELECT lang || '/' || doc_id || '/' || chapter_index AS k, text FROM chapters")}
+SELECT split_part(k, '/', 1) AS lang, count(*) FILTER (seg_index = 1) AS chapters, count(*) AS segments, sum(length(text))::BIGINT AS chars, max(length(text))::BIGINT AS longest FROM segs GROUP BY ALL""")
 def a1_plan_summary_light(spark, d):
     """The same without leaving the JVM."""
     rows = sg.segment_light(document_chapters(spark, d), "doc_id", "lang", "chapter_index")

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels
+from ..functions import text as tx
+from ..functions.rows import keep_where, unnest
 
 BOOK_GLOB = "*.{[tT][xX][tT],[eE][pP][uU][bB]}"
 
@@ -54,8 +56,8 @@ def decode_text(files: DataFrame, encoding: str | None = None, content: str = "c
         plain = F.regexp_replace(data.cast("string"), "^\\x{FEFF}", "")
         df = (df.withColumn("text", F.when(marked, F.decode(data, "UTF-16")).when(valid, plain).otherwise(F.col("_legacy.text")))
               .withColumn("encoding", F.when(marked, "utf-16").when(valid, "utf-8").otherwise(F.col("_legacy.encoding"))).drop("_legacy"))
-    return (df.filter(F.col("text").isNotNull()),
-            df.filter(F.col("text").isNull()).drop("text", "encoding").withColumn("error", F.lit("Cannot detect text encoding")))
+    return (keep_where(df, F.col("text").isNotNull()),
+            keep_where(df, F.col("text").isNull()).drop("text", "encoding").withColumn("error", F.lit("Cannot detect text encoding")))
 
 
 EPUB_ENTRIES = T.StructType([
@@ -168,6 +170,5 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lines_of(texts: DataFrame, *keys: str, text: str = "text") -> DataFrame:
-    from ..functions import text as tx
-    return (texts.select(*keys, F.posexplode(tx.lines(text)).alias("_p", "line"))
+    return (unnest(texts, tx.lines(text), *keys, at="_p", value="line")
             .select(*keys, (F.col("_p") + 1).alias("line_no"), "line", (F.octet_length("line") + 1).alias("bytes")))
