@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -80,11 +80,12 @@ def join_clips(clips: DataFrame, keys: list[str], order: str, samples: str = "sa
                rate: int = fixed.REFERENCE_RATE) -> DataFrame:
     """Ordered concatenation with a gap of silence between clips, texts on separate lines, and length warnings.
 
-    Only references of at most five clips are joined; larger groups are returned with an error and without samples, and
-    none of their samples are collected.
+    Only references of at most five clips are joined; larger groups are returned with an error and without samples. The
+    rank filter runs before the shuffle too, so a group of any size ships at most five clips per task.
     """
     counts = clips.groupBy(*keys).agg(F.count("*").alias("clips"))
-    small = clips.join(counts.filter(F.col("clips") <= fixed.CLIP_LIMIT), keys)
+    first = clips.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter(F.col("_r") <= fixed.CLIP_LIMIT)
+    small = first.join(counts.filter(F.col("clips") <= fixed.CLIP_LIMIT), keys)
     gap = F.array_repeat(F.lit(0.0), int(rate * fixed.GAP_SECONDS))
     grouped = small.groupBy(*keys, "clips").agg(F.array_sort(F.collect_list(F.struct(
         F.col(order).alias("o"), F.col(samples).cast("array<double>").alias("s"), F.col(text).alias("t")))).alias("_all"))

@@ -52,8 +52,8 @@ def state_summary(state: DataFrame, plan: DataFrame, *keys: str, key: str = "seg
     """
     counted = plan.groupBy(*keys, key).agg(F.count("*").alias("_n"))
     planned = counted.groupBy(*keys).agg(F.sum("_n").alias("total"))
-    joined = state.join(counted, [*keys, key], "left").join(planned, list(keys), "left")
-    used = joined.filter(F.col("total").isNull() | F.col("_n").isNotNull()).withColumn("_w", F.coalesce("_n", F.lit(1)))
+    # Planned and unplanned records are summed apart, so the plan totals meet at most two rows per book.
+    used = state.join(counted, [*keys, key], "left").withColumn("_in", F.col("_n").isNotNull()).withColumn("_w", F.coalesce("_n", F.lit(1)))
 
     def weighted(status: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("status") == status, F.col("_w"))), F.lit(0)).alias(status)
@@ -61,8 +61,7 @@ def state_summary(state: DataFrame, plan: DataFrame, *keys: str, key: str = "seg
     def completed(value: Column) -> Column:
         return F.coalesce(F.sum(F.when(F.col("status") == "completed", value)), F.lit(0))
 
-    totals = used.groupBy(*keys).agg(
-        F.max("total").alias("planned"),
+    totals = used.groupBy(*keys, "_in").agg(
         *[weighted(s) for s in ("completed", "failed", "generated", "pending", "running")],
         F.count("qc_pass").alias("qc_checked"), F.count_if(F.col("qc_pass")).alias("qc_passed"),
         F.count_if(~F.col("qc_pass")).alias("qc_failed"), F.sum("retry_count").alias("retries"), F.avg("cer").alias("mean_cer"),
@@ -70,7 +69,8 @@ def state_summary(state: DataFrame, plan: DataFrame, *keys: str, key: str = "seg
         completed(F.col("duration")).alias("synthesized_audio_seconds"),
         completed(F.col("generation_seconds")).alias("generation_seconds"),
         completed(F.col("chars") * F.col("_w")).alias("chars"))
-    return (totals.withColumn("total", F.coalesce("planned", F.lit(0))).drop("planned")
+    totals = totals.join(planned, list(keys), "left").filter(F.col("total").isNull() | F.col("_in")).drop("_in")
+    return (totals.withColumn("total", F.coalesce("total", F.lit(0)))
             .withColumn("percent", F.coalesce(F.bround(ratio(F.col("completed"), F.col("total")) * 100, 1), F.lit(0.0)))
             .withColumn("rtf", ratio(F.col("generation_seconds"), F.col("synthesized_audio_seconds"))))
 
