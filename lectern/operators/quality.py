@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, kernels
 from ..functions import text as tx
+from ..settings import QualityRules
 from .clean import normalized_text
 from .scan import longest_runs
 
@@ -32,12 +33,12 @@ def speed(chars: Column, duration: Column) -> Column:
     return chars / F.greatest(duration, F.lit(0.001))
 
 
-def speed_reasons(chars: Column, duration: Column) -> Column:
+def speed_reasons(chars: Column, duration: Column, rules: QualityRules = QualityRules()) -> Column:
     rate = speed(chars, duration)
     return F.array_compact(F.array(
-        F.when(duration < fixed.MIN_DURATION, "too_short"),
-        F.when(rate > fixed.MAX_CHARS_PER_SECOND, "possible_missing_text_or_too_short"),
-        F.when((chars > 5) & (rate < fixed.MIN_CHARS_PER_SECOND), "possible_repetition_or_too_long")))
+        F.when(duration < rules.min_duration, "too_short"),
+        F.when(rate > rules.max_chars_per_second, "possible_missing_text_or_too_short"),
+        F.when((chars > 5) & (rate < rules.min_chars_per_second), "possible_repetition_or_too_long")))
 
 
 def level(db: float) -> float:
@@ -99,18 +100,18 @@ def longest_true_run(values: Column, test) -> Column:
 
 
 def longest_silence(frames: DataFrame, keys: list[str], order: list[str], silent: Column,
-                    seconds: float = fixed.FRAME_SECONDS, **scan) -> DataFrame:
+                    seconds: float = fixed.FRAME_SECONDS, rules: QualityRules = QualityRules(), **scan) -> DataFrame:
     """Longest silent stretch per key over a long table of frames, whatever the size of a key's group."""
     runs = longest_runs(frames, keys, order, silent, **scan)
     longest = runs.groupBy(*keys).agg(F.max("run_length").alias("_n"))
     return (frames.select(*keys).distinct().join(longest, keys, "left")
             .withColumn("longest_run", F.coalesce("_n", F.lit(0)))
             .withColumn("max_silence_seconds", F.col("longest_run") * seconds)
-            .withColumn("long_silence", F.col("max_silence_seconds") > fixed.MAX_SILENCE_SECONDS).drop("_n"))
+            .withColumn("long_silence", F.col("max_silence_seconds") > rules.max_silence_seconds).drop("_n"))
 
 
 def check_clips(clips: DataFrame, samples: str = "samples", rate: str = "rate", channels: str = "channels",
-                chars: str = "chars") -> DataFrame:
+                chars: str = "chars", rules: QualityRules = QualityRules()) -> DataFrame:
     """All acoustic measures and ordered reasons for clips held as sample arrays; empty or broken clips fail at once."""
     ok = usable(F.col(samples))
     guarded = F.when(ok, F.col(samples))
@@ -119,19 +120,19 @@ def check_clips(clips: DataFrame, samples: str = "samples", rate: str = "rate",
           .withColumn("duration", F.when(F.col("_ok"), F.floor(F.size(samples) / F.col(channels)) / F.col(rate)))
           .withColumn("peak", peak(guarded)).withColumn("clipping_ratio", clipping_ratio(guarded))
           .withColumn("_rms", frame_rms(F.col("_mono"), frame_size(F.col(rate)))))
-    quiet = level(fixed.SILENCE_DB)
+    quiet = level(rules.silence_db)
     df = df.withColumn("max_silence_seconds", longest_true_run(F.col("_rms"), lambda x: x < quiet) * fixed.FRAME_SECONDS)
-    found = F.concat(speed_reasons(F.col(chars), F.col("duration")), F.array_compact(F.array(
+    found = F.concat(speed_reasons(F.col(chars), F.col("duration"), rules), F.array_compact(F.array(
         F.when(F.col("peak") < quiet, "silent_audio"),
-        F.when(F.col("clipping_ratio") > fixed.MAX_CLIPPING_RATIO, "excessive_clipping"),
-        F.when(F.col("max_silence_seconds") > fixed.MAX_SILENCE_SECONDS, "long_silence"))))
+        F.when(F.col("clipping_ratio") > rules.max_clipping_ratio, "excessive_clipping"),
+        F.when(F.col("max_silence_seconds") > rules.max_silence_seconds, "long_silence"))))
     reasons = F.when(F.col("_ok"), found).otherwise(F.array(F.lit("empty_or_nonfinite_audio")))
     return (df.withColumn("chars_per_second", speed(F.col(chars), F.col("duration")))
             .withColumn("reasons", reasons).withColumn("pass", F.size("reasons") == 0).drop("_ok", "_mono", "_rms"))
 
 
-def verdict(df: DataFrame, reasons: str = "reasons", cer: str = "cer", max_cer: float = fixed.MAX_CER) -> DataFrame:
+def verdict(df: DataFrame, reasons: str = "reasons", cer: str = "cer", rules: QualityRules = QualityRules()) -> DataFrame:
     """Pass without reasons; the error rate is judged only where the acoustic rules passed."""
-    judged = (F.size(reasons) == 0) & (F.col(cer) > max_cer)
+    judged = (F.size(reasons) == 0) & (F.col(cer) > rules.max_cer)
     return (df.withColumn(reasons, F.when(judged, F.array(F.lit("asr_cer_exceeded"))).otherwise(F.col(reasons)))
             .withColumn("pass", F.size(reasons) == 0))

@@ -248,6 +248,12 @@ def b5_initial_attempt(spark, d):
     return rows.select("job_id", "seg_index", "segment_id", "cents", "attempt", idf.attempt_seed(F.col("supplier") * 10000019, F.col("attempt")).alias("seed"))
 
 
+@query("b6_attempt_seed", f"WITH {LINES}, {SEGMENT_IDS} SELECT doc_id, line_no, (seed + 2147483640 + line_no) % {MOD} AS seed FROM ids")
+def b6_attempt_seed(spark, d):
+    rows = line_ids(spark, d).withColumn("line_no", F.col("line_no").cast("bigint"))
+    return rows.select("doc_id", "line_no", idf.attempt_seed(F.col("seed"), F.lit(2147483640).cast("bigint") + F.col("line_no")).alias("seed"))
+
+
 @query("b7_attempt_history", """
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events)
 SELECT user_id, string_agg(event_id || ':' || event_type, ',' ORDER BY ts, event_id) AS history FROM r WHERE back <= 32 GROUP BY 1""")

@@ -164,3 +164,15 @@ def test_clock(spark):
     cases = [0.0, 59.9, 61.0, 3661.0, -1.0, float("nan"), None]
     rows = spark.createDataFrame(list(enumerate(cases)), "i int, s double").select("i", tx.clock(F.col("s")).alias("c")).collect()
     assert [r.c for r in sorted(rows)] == ["0:00", "0:59", "1:01", "1:01:01", "—", "—", "—"]
+
+
+def test_settings_are_closed_and_checked(spark):
+    from lectern import settings
+    assert settings.load(settings.SegmentSizes, {"target": 100, "shortest": 30}).longest == 300
+    for kind, values in [(settings.SegmentSizes, {"targett": 1}), (settings.SegmentSizes, {"target": 400, "longest": 200}),
+                         (settings.QualityRules, {"max_cer": 2}), (settings.QualityRules, {"silence_db": -5}), (settings.DeliverySettings, {"speech_rate": 2})]:
+        with pytest.raises(ValueError):
+            settings.load(kind, values)
+    settings.check_patterns(spark, [r"^\p{L}+$"])
+    with pytest.raises(ValueError):
+        settings.check_patterns(spark, ["(open"])
