@@ -145,10 +145,12 @@ def strip_source_header(df: DataFrame, text: str = "text") -> DataFrame:
     lines = F.when(candidate, tx.lines(text))
 
     def classified(ls: Column) -> Column:
-        site = _site_header(ls)
-        classes = F.concat(F.when(site, "S").otherwise(""), F.array_join(F.transform(ls, _line_class), ""))
-        actions = tx.let(classes, _header_actions)
-        return F.split(F.when(site, F.substring(actions, F.lit(2), F.length(actions))).otherwise(actions), "")
+        def under(site: Column) -> Column:
+            # a site header is a start that stands before the first line
+            classes = F.concat(F.when(site, "S").otherwise(""), F.array_join(F.transform(ls, _line_class), ""))
+            return tx.let(tx.let(classes, _header_actions), lambda acts: F.split(
+                F.substring(acts, F.when(site, 2).otherwise(1), F.length(acts)), ""))
+        return tx.let(_site_header(ls), under)
 
     df = df.withColumn("_lines", lines).withColumn("_marked", tx.let(F.col("_lines"), lambda ls: F.zip_with(
         ls, classified(ls), lambda line, act: F.struct(line.alias("line"), act.alias("act")))))

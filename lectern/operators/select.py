@@ -16,13 +16,14 @@ def media_records(exports: DataFrame, chapters: DataFrame, files: DataFrame) ->
 
     ``exports``: ``job_id, path, format``; ``chapters``: ``job_id, title, stem``; ``files``: ``job_id, path`` present.
     """
-    present = files.select("job_id", "path").distinct()
-    registered = exports.select("job_id", "path", "format", F.lit(None).cast("string").alias("chapter")).join(present, ["job_id", "path"], "left_semi")
+    registered = exports.select("job_id", "path", "format", F.lit(None).cast("string").alias("chapter")).join(
+        files.select("job_id", "path"), ["job_id", "path"], "left_semi")
     # A chapter has one possible file per format. Joining on the stem finds the existing ones without listing them all.
     ending = F.substring_index("path", ".", -1)
-    stems = present.select("job_id", "path", ending.alias("format"), F.left("path", F.length("path") - F.length(ending) - 1).alias("stem"))
-    rendered = chapters.join(stems.filter(F.col("format").isin(fixed.MEDIA_FORMATS)), ["job_id", "stem"])
-    found = registered.unionByName(rendered.select("job_id", "path", "format", F.col("title").alias("chapter")))
+    stems = files.filter(ending.isin(fixed.MEDIA_FORMATS)).select(
+        "job_id", ending.alias("format"), F.left("path", F.length("path") - F.length(ending) - 1).alias("stem")).distinct()
+    rendered = chapters.join(stems, ["job_id", "stem"])
+    found = registered.unionByName(rendered.select("job_id", F.concat_ws(".", "stem", "format").alias("path"), "format", F.col("title").alias("chapter")))
     suffix = F.lower(F.substring_index("path", ".", -1))
     return (found.filter(suffix.isin(fixed.MEDIA_SUFFIXES)).withColumn("media_id", F.left(digest_string(F.col("path")), F.lit(20)))
             .withColumn("format", F.coalesce("format", suffix)))
