@@ -43,8 +43,8 @@ def split_navigation(ordered: DataFrame) -> tuple[DataFrame, DataFrame]:
 _ID = r"""(?i)(<[a-z][^>]*?\sid\s*=\s*["']([^"'>]+)["'][^>]*>)"""
 
 
-def anchor_titles(docs: DataFrame, toc: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per document the existing anchors with their first titles, and the missing ones.
+def anchor_titles(docs: DataFrame, toc: DataFrame, read: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Per document the existing anchors with their first titles, and the missing ones (of the documents in ``read``).
 
     Only ids leave the document row; at most one array entry per id of the document comes back.
     """
@@ -54,7 +54,7 @@ def anchor_titles(docs: DataFrame, toc: DataFrame) -> tuple[DataFrame, DataFrame
               .filter(F.col("anchor") != "")
               .groupBy("book_id", "name", "anchor").agg(F.min_by("title", "pos").alias("title"), F.min("pos").alias("pos")))
     present = unnest(docs, F.array_distinct(F.regexp_extract_all("html", F.lit(_ID), F.lit(2))), "book_id", "name", value="anchor").drop("_at")
-    known = docs.select("book_id", "name")
+    known = (docs if read is None else read).select("book_id", "name")
     missing = wanted.join(known, ["book_id", "name"]).join(present, ["book_id", "name", "anchor"], "left_anti").select(
         "book_id", F.col("name").alias("source"), F.lit("missing_toc_anchor").alias("operation"), "anchor")
     found = wanted.join(present, ["book_id", "name", "anchor"])
@@ -98,23 +98,27 @@ def split_by_anchor(docs: DataFrame, toc: DataFrame, rules: CleanRules = CleanRu
 
 
 def assemble(spine: DataFrame, docs: DataFrame, toc: DataFrame, rules: CleanRules = CleanRules()) -> tuple[DataFrame, DataFrame]:
-    """Chapters in reading order (``book_id, chapter_index, title, text, source``) and the audit of every decision."""
-    ordered, repeated = spine_order(spine, docs)
+    """Chapters in reading order (``book_id, chapter_index, title, text, source``) and the audit of every decision.
+
+    Order, navigation, titles and anchors are settled on narrow tables; the markup joins once, at the end.
+    """
+    ordered, repeated = spine_order(spine, docs.drop("html"))
     reading, navigation = split_navigation(ordered)
-    reading = reading.withColumn("_raw", unescape_and_compose(tx.html_to_text(F.col("html"))))
-    empty = keep_where(reading, ~tx.readable("_raw")).select("book_id", "pos", F.col("name").alias("source"),
-                                                         F.lit("skip_image_only_or_empty").alias("operation"))
-    reading = keep_where(reading, tx.readable("_raw")).join(ch.toc_titles(toc), ["book_id", "name"], "left")
-    reading = reading.withColumn("title", F.coalesce(unescape_and_compose(ch.first_heading(F.col("html"))), "toc_title"))
-
-    sections, plain, missing = split_by_anchor(reading.drop("toc_title"), toc, rules)
-    body = clean(plain.withColumnRenamed("_raw", "text"), rules)
-    shared = ["book_id", "pos", "name", "title", "text", "audit"]
+    anchors, missing = anchor_titles(docs, toc, reading)
+    keys = ["book_id", "name"]
+    settled = reading.join(ch.toc_titles(toc), keys, "left").join(anchors, keys, "left")
+    full = settled.join(docs.select("book_id", "item", "html"), ["book_id", "item"])
+    full = full.withColumn("title", F.coalesce(unescape_and_compose(ch.first_heading(F.col("html"))), "toc_title"))
+    whole_text = F.array(F.struct("title", tx.html_to_text(F.col("html")).alias("text")))
+    pieces = F.when(F.col("anchors").isNotNull(), section_array(F.col("html"), F.col("anchors"), F.col("title"))).otherwise(whole_text)
+    kept = ["book_id", "pos", "name", F.col("anchors").isNotNull().alias("anchored"), ch.lacks_paragraphs(F.col("html")).alias("flagged")]
+    rows = unnest(full, pieces, *kept, at="section", value="_s").select(
+        "book_id", "pos", "name", "anchored", "flagged", "section", "_s.title", unescape_and_compose(F.col("_s.text")).alias("text"))
+    rows = rows.withColumn("empty", ~F.col("anchored") & ~tx.readable("text"))
     # Parsing is the costly part and feeds the counts, the chapters and the audit, so it is written once.
-    parsed = stable(sections.select(*shared, F.col("section").cast("int").alias("section"), F.lit(True).alias("anchored"),
-                                    F.lit(False).alias("flagged"))
-                    .unionByName(body.select(*shared, F.lit(0).alias("section"), F.lit(False).alias("anchored"),
-                                             ch.lacks_paragraphs(F.col("html")).alias("flagged"))))
+    written = stable(clean(rows, rules))
+    parsed = written.filter(~F.col("empty"))
+    split_docs = ~F.col("anchored")
     parsed = parsed.withColumn("_trimmed", F.when(F.col("anchored"), F.col("text")).otherwise(
         ch.drop_duplicate_title_lines(F.col("text"), F.coalesce("title", F.lit("")))))
     split = ch.drop_title_only_first(ch.chapter_array(F.col("_trimmed"), F.col("title"), rules.chapter_pattern), F.col("title"))
@@ -137,8 +141,9 @@ def assemble(spine: DataFrame, docs: DataFrame, toc: DataFrame, rules: CleanRule
     cleaned = (unnest(parsed, "audit", "book_id", "pos", F.col("name").alias("source"), at="_i", value="_a")
                .select("book_id", "pos", "source", F.col("_a.operation").alias("operation"), F.col("_a").alias("detail")))
     audit = repeated
-    for extra in (navigation, empty, note(parsed.filter(F.length("_trimmed") < F.length("text")), "remove_adjacent_duplicate_title"),
-                  note(parsed.filter("flagged"), "review_non_paragraph_document"), missing, cleaned):
+    for extra in (navigation, note(written.filter("empty"), "skip_image_only_or_empty"),
+                  note(parsed.filter(F.length("_trimmed") < F.length("text")), "remove_adjacent_duplicate_title"),
+                  note(parsed.filter(split_docs & F.col("flagged")), "review_non_paragraph_document"), missing, cleaned):
         audit = audit.unionByName(extra, allowMissingColumns=True)
     return numbered.select("book_id", F.col("chapter_index").cast("int").alias("chapter_index"), "title", "text",
                            F.col("name").alias("source")), audit

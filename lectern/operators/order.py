@@ -68,6 +68,13 @@ def delivered_seconds(segments: DataFrame, *keys: str, rate: float = 1.0) -> Dat
     return segments.groupBy(*keys).agg(F.sum(F.col("duration") / rate + pause_after(F.col("boundary"))).alias("delivered_seconds"))
 
 
+def elapsed_seconds(start: Column, end: Column) -> Column:
+    """Seconds between two local timestamps, whatever the session's time zone."""
+    def of_day(at: Column) -> Column:
+        return F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+    return F.datediff(F.to_date(end), F.to_date(start)).cast("bigint") * 86400 + of_day(end) - of_day(start)
+
+
 def log_tail(lines: DataFrame, key: str, order: str, n: int = fixed.LOG_LINES, size: str = "bytes", limit: int = fixed.LOG_BYTES) -> DataFrame:
     """The last ``n`` lines of each log that also start within its last ``limit`` bytes.
 

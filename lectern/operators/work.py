@@ -132,7 +132,7 @@ def retry_loop(items: DataFrame, step: Callable[[DataFrame, int], DataFrame], ke
     """Run ``step(pending, attempt)`` until every item passes or its attempts are spent.
 
     ``step`` returns ``key, passed`` and any further columns. Only failing items enter the next round; each round is
-    checkpointed, so its (possibly random) results are never recomputed.
+    written out, so its (possibly random) results are never recomputed.
     """
     pending, results = items, None
     for attempt in range(max_retry + 1):

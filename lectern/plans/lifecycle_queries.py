@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sql
 from ..functions import text as tx
-from ..operators import cache, quality, rollup, work
+from ..operators import cache, order, quality, rollup, work
 from ..session import stable
 from ..sources import writers
 from .inputs import LINES, jobs, table
@@ -32,9 +32,8 @@ def fn_clock(spark, d):
 
 @query("fn_elapsed", "SELECT o_orderkey, epoch(TIMESTAMP '2001-09-01 12:30:00' - o_orderdate)::BIGINT AS elapsed FROM orders")
 def fn_elapsed(spark, d):
-    start = F.unix_micros(F.col("created_at").cast("timestamp"))
-    end = F.unix_micros(F.to_timestamp(F.lit("2001-09-01T12:30:00+00:00")))
-    return jobs(spark, d).select(F.col("job_id").alias("o_orderkey"), F.floor((end - start) / 1000000).cast("bigint").alias("elapsed"))
+    end = F.lit("2001-09-01 12:30:00").cast("timestamp_ntz")
+    return jobs(spark, d).select(F.col("job_id").alias("o_orderkey"), order.elapsed_seconds(F.col("created_at"), end).alias("elapsed"))
 
 
 def _measure(texts: list[str]) -> list[float]:

@@ -49,6 +49,11 @@ def workspace(spark: SparkSession) -> str:
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint, so a lost executor cannot change what was computed."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as a table in the checkpoint folder and continue from there.
+
+    Lineage ends at the table, so a lost executor cannot change what was computed; and later uses read only the columns
+    and rows they need.
+    """
+    path = workspace(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -23,9 +23,9 @@ BOOK_GLOB = "*.{[tT][xX][tT],[eE][pP][uU][bB]}"
 
 
 def discover(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """Input files as ``path, modificationTime, length, content``, ordered by case-folded path.
+    """Input files as ``path, modificationTime, length, content``. Missing or empty input is an error.
 
-    ``content`` is read only if a later step selects it. Missing or empty input is an error.
+    ``content`` is read only if a later step selects it, and is never sorted or shuffled here; see ``listing``.
     """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", BOOK_GLOB).option("recursiveFileLookup", str(recursive).lower())
     try:
@@ -34,7 +34,12 @@ def discover(spark: SparkSession, path: str, recursive: bool = False) -> DataFra
         raise FileNotFoundError(f"No input book or directory: {path}") from exc
     if files.select("path").isEmpty():
         raise ValueError("No TXT/EPUB books found")
-    return files.orderBy(F.lower("path"))
+    return files
+
+
+def listing(files: DataFrame) -> DataFrame:
+    """The discovered files without their content, ordered by case-folded path."""
+    return files.select("path", "modificationTime", "length").orderBy(F.lower("path"))
 
 
 def decode_text(files: DataFrame, encoding: str | None = None, content: str = "content") -> tuple[DataFrame, DataFrame]:

@@ -57,7 +57,7 @@ def test_files_encodings_and_containers(spark, tmp_path):
     (tmp_path / "sub" / "d.EPUB").write_bytes(container("<p>x</p>"))
     (tmp_path / "sub" / "broken.epub").write_bytes(b"not a zip")
     flat = readers.discover(spark, str(tmp_path))
-    assert [r.path.rsplit("/", 1)[1] for r in flat.select("path").collect()] == ["A.TXT", "b.txt", "c.txt"]
+    assert [r.path.rsplit("/", 1)[1] for r in readers.listing(flat).collect()] == ["A.TXT", "b.txt", "c.txt"]
     decoded, bad = readers.decode_text(flat)
     assert {(r.text, r.encoding) for r in decoded.collect()} == {(text, "utf-8"), (text, "gb18030"), (text, "utf-16")}
     assert bad.isEmpty()
