@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as tx
 from ..functions.identity import digest_string
+from ..session import stable
 from .quality import compare_text
 
 
@@ -44,7 +45,9 @@ def download_selection(requests: DataFrame, jobs: DataFrame, media: DataFrame, b
              .when((F.col("status") != "completed") | (F.coalesce("kind", F.lit("convert")) == "reference"), "not_completed")
              .when(F.col("media_id").isNull(), "no_export"))
     named = F.concat(F.lit("task_"), tx.safe_name(F.col("job_id").cast("string")), F.lit("/"), F.col("path"))
-    rows = joined.withColumn("error", error).withColumn("archive_name", F.when(F.col("error").isNull(), named))
+    # The selected rows are few against the media they come from; written once, the bundle totals do not search them again.
+    rows = stable(joined.withColumn("error", error).withColumn("archive_name", F.when(F.col("error").isNull(), named))
+                  .select(bundle, "job_id", "media_id", "archive_name", "error"))
     counts = rows.groupBy(bundle).agg(F.count("media_id").alias("files"), F.min("error").alias("bundle_error"))
     return (rows.join(counts, bundle)
             .withColumn("bundle_error", F.when(F.col("files") > fixed.DOWNLOAD_FILES, "too_many_files").otherwise(F.col("bundle_error")))
