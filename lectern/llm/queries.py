@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contamination
 from .minhash import Near, near_duplicates
 from .registry import ORACLES, QUERIES, table
 from .repetition import repetition
@@ -24,3 +25,8 @@ def op6_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_spaced_seed_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
