@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .language import fit, identify
 from .minhash import Near, near_duplicates
 from .registry import ORACLES, QUERIES, table
 from .repetition import repetition
@@ -17,6 +19,11 @@ def query(function):
     return function
 
 
+def remainder(id_col: str, folds: int) -> Column:
+    """The fold of a document; one without id counts as an empty string."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
+
+
 @query
 def op6_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Near(words=3, percent=85))
@@ -30,3 +37,10 @@ def op9_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_spaced_seed_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", remainder("doc_id", 5).alias("fold"))
+    predicted = identify(docs, fit(docs.filter("fold != 0")), keep=("doc_id", "fold"))
+    return predicted.select("doc_id", (F.col("fold") == 0).alias("held_out"), "lang_pred", "score")
