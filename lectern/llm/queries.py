@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import secrets
 from .decontaminate import contamination
 from .language import fit, identify
 from .minhash import Near, near_duplicates
@@ -44,3 +45,10 @@ def op7_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", remainder("doc_id", 5).alias("fold"))
     predicted = identify(docs, fit(docs.filter("fold != 0")), keep=("doc_id", "fold"))
     return predicted.select("doc_id", (F.col("fold") == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op1_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.joined("base").cast("binary"), 256).alias("base_sha256"),
+                        secrets.joined("spans").alias("spans"), "n_random")
