@@ -5,8 +5,9 @@ hashes are evaluated. Both agree with probability equal to the Jaccard similarit
 keys; what shares a band is confirmed on the full shingle sets.
 
 Copies never meet pairwise. Equal sets fall together first. Of each bucket, one member (the one that shares most bands with
-others) meets all others; each text meets the best such member of its buckets. Only buckets that still hold several
-components after that compare their members across components.
+others) can stand for it; each text meets the best such member of its buckets. Texts that met the same one are a family; those
+that are not linked with it are compared with the family in blocks. What still shares a bucket across families and
+components meets in pairs.
 """
 
 from __future__ import annotations
@@ -25,19 +26,19 @@ from . import words as w
 from .tables import bit_filter, components, follow, passes, slot
 
 PIECE = 1 << 16
+BLOCK, CHUNK = 1 << 17, 1 << 20
 ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
 @dataclass(frozen=True)
 class Near:
     """``words`` a shingle; ``percent`` of the union two sets must share. The band numbers lose fewer than one link in
-    100,000 at a similarity of 0.8. ``rounds`` of one-to-many comparisons precede the comparison of all that is left."""
+    100,000 at a similarity of 0.8."""
 
     words: int = 5
     percent: int = 80
     bands: int = 24
     rows: int = 4
-    rounds: int = 6
 
 
 def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,37 +83,88 @@ def _labels(source: DataFrame, full: DataFrame, classes: DataFrame, near: Near)
     hub = member.groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("minus"))).alias("hub"))
     best = (member.join(hub, "key").filter("rep != -hub.minus")
             .groupBy("rep").agg(F.max("hub").alias("hub")).select(F.col("rep").alias("a"), (-F.col("hub.minus")).alias("b")))
+    best = stable(best)
     found = _confirm(best, sets, near)
     up = weight.join(found, F.col("rep") == F.col("a"), "left").select(F.col("rep").alias("node"), F.coalesce("b", "rep").alias("up"))
-    labels = follow(up)
-
-    for turn in range(near.rounds + 1):
-        placed = member.join(labels, member["rep"] == labels["node"]).select("key", "rep", "score", "label")
-        mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
-        active = stable(placed.join(mixed, "key", "left_semi"))
-        if active.isEmpty():
-            break
-        main = (active.groupBy("key", "label").count().groupBy("key")
-                .agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("size")))
-        rest = stable(active.join(main, "key").filter("label != main").select("key", "size", F.col("rep").alias("a"), "score", F.col("label").alias("la")))
-        work = rest.agg(F.sum("size").alias("pairs")).first()["pairs"]
-        last = turn == near.rounds or work <= 16 * active.count()
-        if not last:
-            order = F.struct("score", "a") if turn == 0 else F.struct(F.xxhash64("a", F.lit(turn)), F.col("a"))
-            rest = rest.groupBy("key").agg(F.max_by(F.struct("a", "la"), order).alias("pick")).select("key", "pick.*")
-        pairs = (rest.join(active.select("key", F.col("rep").alias("b"), F.col("label").alias("lb")), "key").filter("la != lb")
-                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        found = _confirm(pairs, sets, near)
-        at = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        edges = stable(found.join(at, F.col("a") == F.col("_n")).select("b", F.col("_l").alias("x"))
-                       .join(at, F.col("b") == F.col("_n")).select(F.col("x").alias("a"), F.col("_l").alias("b")).filter("a != b").distinct())
-        if not edges.isEmpty():
-            merged = components(edges)
-            labels = stable(labels.join(merged.select(F.col("node").alias("_n"), F.col("label").alias("_l")), F.col("label") == F.col("_n"), "left")
-                            .select("node", F.coalesce("_l", "label").alias("label")))
-        if last:
-            break
-    return labels
+    labels = _merge(follow(up), _families(best, found, sets, near))
+
+    home = best.select(F.col("a").alias("_a"), F.col("b").alias("family"))
+    placed = (member.join(labels, member["rep"] == labels["node"]).join(home, F.col("rep") == F.col("_a"), "left")
+              .select("key", "rep", "label", F.coalesce("family", "rep").alias("family")))
+    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
+    active = stable(placed.join(mixed, "key", "left_semi"))
+    main = active.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    rest = active.join(main, "key").filter("label != main").select("key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("family").alias("fa"))
+    others = active.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("family").alias("fb"))
+    pairs = (rest.join(others, "key").filter("la != lb AND fa != fb AND a != fb AND b != fa")
+             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return _merge(labels, _confirm(pairs, sets, near))
+
+
+def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after the labels at both ends of each link became one."""
+    at = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+    edges = stable(links.join(at, F.col("a") == F.col("_n")).select("b", F.col("_l").alias("x"))
+                   .join(at, F.col("b") == F.col("_n")).select(F.col("x").alias("a"), F.col("_l").alias("b")).filter("a != b").distinct())
+    if edges.isEmpty():
+        return labels
+    merged = components(edges).select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+    return stable(labels.join(merged, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label")))
+
+
+def _families(best: DataFrame, found: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """Links between texts that met the same member of their buckets, where one of the two is not linked with that member.
+
+    Those texts are compared with the whole family in blocks: a block of them and a chunk of the family, both bounded by their
+    number of shingles, make one group. A group gives a spanning forest of its links, not all of them.
+    """
+    family = (best.join(found.select(F.col("a").alias("_a"), F.lit(True).alias("linked")), F.col("a") == F.col("_a"), "left")
+              .join(sets.select("doc_id", "n"), F.col("a") == F.col("doc_id"))
+              .select(F.col("b").alias("hub"), F.col("a").alias("rep"), "linked", "n"))
+    family = stable(family)
+    size = (family.groupBy("hub").agg(F.sum(F.when(F.col("linked").isNull(), F.col("n"))).alias("open"), F.sum("n").alias("all"), F.count("*").alias("texts"))
+            .filter("open IS NOT NULL AND texts > 1")
+            .select("hub", F.ceil(F.col("open") / BLOCK).alias("blocks"), F.ceil(F.col("all") / CHUNK).alias("chunks")))
+    family = family.join(size, "hub")
+    asks = family.filter("linked IS NULL").select(
+        "hub", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "rep", F.lit(True).alias("asks"))
+    answers = family.select(
+        "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("rep", F.lit(1)), "chunks").alias("chunk"), "rep", F.lit(False).alias("asks"))
+    rows = asks.unionByName(answers).join(sets.select("doc_id", "shingles"), F.col("rep") == F.col("doc_id")).drop("doc_id")
+    return stable(rows.groupBy("hub", "block", "chunk").applyInArrow(lambda t: _forest(t, near), "a long, b long"))
+
+
+def _forest(group: pa.Table, near: Near) -> pa.Table:
+    asks = group.column("asks").to_numpy()
+    reps = group.column("rep").to_numpy()
+    texts = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in group.column("shingles").chunks for x in chunk]
+    order = np.flatnonzero(asks)
+    up = {int(r): int(r) for r in reps}
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for at in range(0, len(order), 256):
+        block = order[at:at + 256]
+        size = np.array([len(texts[i]) for i in block])
+        known, place = np.unique(np.concatenate([texts[i] for i in block]), return_inverse=True)
+        holds = np.zeros((len(known), len(block)), np.uint8)
+        holds[place, np.repeat(np.arange(len(block)), size)] = 1
+        for i in np.flatnonzero(~asks):
+            spot = np.searchsorted(known, texts[i])
+            spot[spot == len(known)] = 0
+            common = holds[spot[known[spot] == texts[i]]].sum(0, dtype=np.int64)
+            for k in np.flatnonzero(100 * common >= near.percent * (size + len(texts[i]) - common)):
+                a, b = root(int(reps[i])), root(int(reps[block[k]]))
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    out.append((int(reps[i]), int(reps[block[k]])))
+    ends = np.array(out, np.int64).reshape(-1, 2)
+    return pa.table({"a": ends[:, 0].copy(), "b": ends[:, 1].copy()})
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
