@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import workspace
 from . import secrets
 from .decontaminate import contamination
 from .language import fit, identify
 from .minhash import Near, near_duplicates
+from .packing import pack
+from .records import read_records, write_records
 from .registry import ORACLES, QUERIES, table
 from .repetition import repetition
 
 __all__ = ["ORACLES", "QUERIES"]
 
+VOCABULARY = "byte_bpe_50k.json"
+
 
 def query(function):
     QUERIES[function.__name__] = function
@@ -52,3 +58,15 @@ def op1_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.joined("base").cast("binary"), 256).alias("base_sha256"),
                         secrets.joined("spans").alias("spans"), "n_random")
+
+
+@query
+def op4_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_records(table(spark, sf_dir, "documents"), workspace(spark), public_tokenizers.path(VOCABULARY), end_id=0)
+    return read_records(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op5_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

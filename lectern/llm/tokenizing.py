@@ -1,37 +1,40 @@
 """Token ids from the tokenizers library, at the speed a whole corpus needs.
 
-The vocabulary splits a text before every blank that a non-blank follows, so the pieces between such places are encoded on
-their own and remembered. Most pieces of a text have been seen before. A text outside the plain case (characters whose class
-differs between pattern libraries, or runs of blanks) is encoded whole. The ids are those of the library for the whole text.
+A byte-level vocabulary splits a text into pieces and merges bytes within each. The pieces come back again and again, so the
+ids that the library's model gives a piece are remembered. Only texts whose characters belong to the same class in every
+pattern library are split here; any other text is encoded whole by the library. The ids are the library's either way.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
-REMEMBERED = 250_000
-#: Blank runs that hold a space, or any character whose class is not the same everywhere, send a text the long way.
+REMEMBERED = 600_000
 PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧]*")
-LONE = re.compile(r" (?:\s|$)")
-PIECE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Contractions, words, digits, other signs, blanks: the split of the vocabulary, for plain texts.
+PIECE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[!-/:-@\[-`{-~¡-©«-±´¶-¸»¿×÷‐-‧]+|\s+(?!\S)|\s+")
+#: Byte-level vocabularies write each byte as a character: printable ones as themselves, the others from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: b if b in PRINTABLE else 256 + sum(x not in PRINTABLE for x in range(b)) for b in range(256)}
 
 
-class Ids:
-    """Little-endian unsigned 32-bit ids of texts, as bytes. One object lives in each Python worker for each vocabulary."""
+class Ids(dict):
+    """Little-endian unsigned 32-bit ids of pieces, as bytes. One lives in each Python worker for each vocabulary."""
 
     _open: dict[str, Ids] = {}
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.model = self.library.model
 
     @classmethod
     def of(cls, path: str) -> Ids:
@@ -39,34 +42,17 @@ class Ids:
             cls._open[path] = cls(path)
         return cls._open[path]
 
+    def __missing__(self, piece: str) -> bytes:
+        found = self.model.tokenize(piece.encode().decode("latin-1").translate(BYTES))
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[piece] = ids = struct.pack(f"<{len(found)}I", *[x.id for x in found])
+        return ids
+
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not PLAIN.fullmatch(text) or LONE.search(text):
+        if not PLAIN.fullmatch(text):
             return self.whole(text)
-        words = text.split(" ")
-        words[1:] = [" " + x for x in words[1:]]
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            self._learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
-
-    def _learn(self, words: set[str]) -> None:
-        """Remembers all of ``words``. A full memory is given up, so that it never holds more than it may and one text's words."""
-        new = [x for x in words if x not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, list(words)
-        split = [PIECE.findall(x) for x in new]
-        wanted = {p for pieces in split for p in pieces if p not in self.pieces}
-        if len(self.pieces) + len(wanted) > REMEMBERED:
-            self.pieces, wanted = {}, {p for pieces in split for p in pieces}
-        parts = list(wanted)
-        for part, encoded in zip(parts, self.library.encode_batch_fast(parts, add_special_tokens=False), strict=True):
-            self.pieces[part] = np.array(encoded.ids, "<u4").tobytes()
-        for word, pieces in zip(new, split, strict=True):
-            self.known[word] = b"".join(map(self.pieces.__getitem__, pieces))
+        return b"".join(map(self.__getitem__, PIECE.findall(text)))
