@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import workspace
-from . import secrets
+from . import chat, linkgraph, secrets
 from .decontaminate import contamination
 from .language import fit, identify
 from .minhash import Near, near_duplicates
@@ -70,3 +70,17 @@ def op4_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op3_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op10_link_graph_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkgraph.filter_urls(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op3_perspective_rotation"] = chat.SQL
+ORACLES["op10_link_graph_filter"] = linkgraph.sql()
