@@ -133,7 +133,9 @@ def assemble(spine: DataFrame, docs: DataFrame, toc: DataFrame, rules: CleanRule
              .join(before, ["book_id", "pos"])
              .select("book_id", "pos", "name", "section", "_at", F.col("_c.text").alias("text"),
                      F.coalesce("_c.title", F.concat(F.lit("Chapter "), F.col("_next").cast("string"))).alias("title")))
-    numbered = position(ch.keep_readable(parts), ["book_id"], ["pos", "section", "_at"], "chapter_index")
+    place = ["book_id", "pos", "section", "_at"]
+    readable = ch.keep_readable(parts)
+    numbered = readable.join(position(readable.select(*place), ["book_id"], ["pos", "section", "_at"], "chapter_index"), place)
 
     def note(rows: DataFrame, operation: str) -> DataFrame:
         return rows.select("book_id", "pos", F.col("name").alias("source"), F.lit(operation).alias("operation"))

@@ -18,16 +18,16 @@ def chapter_markers(chapters: DataFrame, book: list[str], order: list[str], dura
 
 
 def total_check(books: DataFrame, chapters: DataFrame, key: str, total: str = "total", markers: str = "markers") -> DataFrame:
-    """Whether the delivered length and the marker count agree with the chapters."""
+    """Whether the delivered length and the marker count agree with the chapters; a book without chapters has none of either."""
     sums = chapters.groupBy(key).agg(F.sum("duration").alias("chapter_seconds"), F.count("*").alias("chapter_count"))
     slack = F.greatest(F.lit(1.0), F.col("chapter_seconds") * 0.001)
-    return (books.join(sums, key)
+    return (books.join(sums, key, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("chapter_seconds", "chapter_count")})
             .withColumn("length_ok", F.abs(F.col(total) - F.col("chapter_seconds")) <= slack)
             .withColumn("markers_ok", F.col(markers) == F.col("chapter_count")))
 
 
 def queue_position(jobs: DataFrame, job: str = "job_id", **scan) -> DataFrame:
-    """Position of each queued job. One global order, ranked by range partitions once it outgrows a task."""
+    """Position of each queued job in one global order."""
     queued = (jobs.filter(F.col("status") == "queued")
               .withColumn("_order", F.coalesce("queue_order", F.lit(0)))
               .withColumn("_since", F.coalesce("queued_at", "created_at")))
@@ -71,8 +71,8 @@ def delivered_seconds(segments: DataFrame, *keys: str, rate: float = 1.0) -> Dat
 def elapsed_seconds(start: Column, end: Column) -> Column:
     """Seconds between two local timestamps, whatever the session's time zone."""
     def of_day(at: Column) -> Column:
-        return F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
-    return F.datediff(F.to_date(end), F.to_date(start)).cast("bigint") * 86400 + of_day(end) - of_day(start)
+        return F.hour(at) * 3600 + F.minute(at) * 60 + F.extract(F.lit("SECOND"), at)
+    return (F.datediff(F.to_date(end), F.to_date(start)).cast("bigint") * 86400 + of_day(end) - of_day(start)).cast("double")
 
 
 def log_tail(lines: DataFrame, key: str, order: str, n: int = fixed.LOG_LINES, size: str = "bytes", limit: int = fixed.LOG_BYTES) -> DataFrame:

@@ -1,75 +1,57 @@
 """Running totals over ordered groups of any size.
 
-A window function sorts a whole group in one task. That is right for ordinary groups and wrong for a group that holds a
-third of the table. ``running`` measures the groups first (a map-side-combined count over the key columns alone), keeps
-the plain window for groups under ``bound`` rows, and spreads larger ones over range partitions: each range computes
-local running totals, and the totals of the ranges before it are added as an offset.
+A window function sorts a whole group in one task, which is wrong for a group that holds a third of the table. Here rows are
+range-partitioned by key and order, so a large group covers several ranges and small ones share a range. Each range computes
+local running totals; a key that continues from the range before carries that key's totals in. There is one such key per
+range at most, so the carried totals are one row per range. The plan is the same at every size.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stable
 
-GROUP_BOUND = 5_000_000
+EXACT = "decimal(38,9)"
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], bound: int = GROUP_BOUND) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], parts: int | None = None) -> DataFrame:
     """Add inclusive running sums per key. ``order`` must be unique within a key.
 
-    A running count is ``{"n": F.lit(1)}``.
+    A running count is ``{"n": F.lit(1)}``. Floating-point measures are summed as decimals with nine places, so that totals do not
+    depend on how rows are divided. ``parts``: number of ranges, ``spark.sql.shuffle.partitions`` by default.
     """
     names = list(sums)
     source = df.select("*", *[sums[n].alias(f"_m_{n}") for n in names])
-    sized = df.groupBy(*keys).count() if keys else df.agg(F.count("*").alias("count"))
-    large = sized.filter(F.col("count") > bound)
-    if large.isEmpty():
-        return _windowed(source, keys, order, names)
-    large = stable(large)  # at most rows/bound keys, so it is small enough to broadcast
-    if not keys:
-        return _spread(source, keys, order, names, math.ceil(large.first()["count"] / bound))
-    spans = large.agg(F.sum(F.ceil(F.col("count") / bound))).first()[0]
-    marks = F.broadcast(large.select(*keys))
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    small = source.alias("a").join(marks.alias("b"), same, "left_anti")
-    hot = source.alias("a").join(marks.alias("b"), same, "left_semi")
-    return _windowed(small, keys, order, names).unionByName(_spread(hot, keys, order, names, int(spans)))
-
-
-def _windowed(source: DataFrame, keys: list[str], order: list[str], names: list[str]) -> DataFrame:
-    window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = source
-    for name in names:
-        out = out.withColumn(name, F.sum(f"_m_{name}").over(window))
-    return out.drop(*[f"_m_{n}" for n in names])
-
-
-def _spread(source: DataFrame, keys: list[str], order: list[str], names: list[str], spans: int) -> DataFrame:
-    ranged = source.repartitionByRange(max(2, spans), *keys, *order).withColumn("_span", F.spark_partition_id())
-    ranged = stable(ranged)  # pins each row to its range before offsets are taken from the ranges
+    kinds = {n: source.schema[f"_m_{n}"].dataType.simpleString() for n in names}
+    real = [n for n in names if kinds[n] in ("double", "float")]
+    source = source.withColumns({f"_m_{n}": F.col(f"_m_{n}").cast(EXACT) for n in real})
+    count = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the written table pins each row to its range
+    ranged = stable(source.repartitionByRange(count, *keys, *order).withColumn("_span", F.spark_partition_id()))
     totals = ranged.groupBy(*keys, "_span").agg(*[F.sum(f"_m_{n}").alias(f"_t_{n}") for n in names])
     before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_span", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in names])
-    local = _windowed(ranged, [*keys, "_span"], order, names)
+    carried = (totals.select(*keys, "_span", F.count("*").over(before).alias("_before"), *[F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in names])
+               .filter("_before > 0").drop("_before"))
+    window = Window.partitionBy(*keys, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.withColumns({n: F.sum(f"_m_{n}").over(window) for n in names})
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "_span"]]
-    joined = local.alias("a").join(F.broadcast(offsets).alias("b"), same)
+    joined = local.alias("a").join(F.broadcast(carried).alias("b"), same, "left")  # one row per range at most
+    value = {n: F.coalesce(F.col(f"a.{n}") + F.col(f"b._o_{n}"), F.col(f"a.{n}")) for n in names}
     return joined.select(
-        *[F.col(f"a.{c}") for c in source.columns if not c.startswith("_m_")],
-        *[(F.col(f"a.{n}") + F.col(f"b._o_{n}")).alias(n) for n in names])
+        *[F.col(f"a.{c}") for c in df.columns if c not in names],
+        *[(value[n].cast("double") if n in real else value[n]).alias(n) for n in names])
 
 
-def position(df: DataFrame, keys: list[str], order: list[str], name: str, bound: int = GROUP_BOUND) -> DataFrame:
+def position(df: DataFrame, keys: list[str], order: list[str], name: str, parts: int | None = None) -> DataFrame:
     """A dense 1-based position per key."""
-    return running(df, keys, order, {name: F.lit(1).cast("bigint")}, bound)
+    return running(df, keys, order, {name: F.lit(1).cast("bigint")}, parts)
 
 
-def longest_runs(df: DataFrame, keys: list[str], order: list[str], flag: Column, bound: int = GROUP_BOUND) -> DataFrame:
+def longest_runs(df: DataFrame, keys: list[str], order: list[str], flag: Column, parts: int | None = None) -> DataFrame:
     """Length of every run of consecutive flagged rows: ``keys, run_id, run_length``."""
     marked = df.withColumn("_flag", flag.cast("bigint"))
-    counted = running(marked, keys, order, {"_seen": F.lit(1).cast("bigint"), "_hits": F.col("_flag")}, bound)
+    counted = running(marked, keys, order, {"_seen": F.lit(1).cast("bigint"), "_hits": F.col("_flag")}, parts)
     runs = counted.filter(F.col("_flag") == 1).withColumn("run_id", F.col("_seen") - F.col("_hits"))
     return runs.groupBy(*keys, "run_id").agg(F.count("*").alias("run_length"))

@@ -213,7 +213,7 @@ def c12_chapter_index(spark, d):
 @query("c12_chapter_index_spread", f"WITH {TURNS} SELECT book_id, turn, chapter_index FROM readable")
 def c12_chapter_index_spread(spark, d):
     """The same numbering with every book of more than three chapters treated as too large for one task."""
-    return ch.number_chapters(ch.keep_readable(reading_turns(spark, d)), "book_id", ["turn"], bound=3).select("book_id", "turn", "chapter_index")
+    return ch.number_chapters(ch.keep_readable(reading_turns(spark, d)), "book_id", ["turn"], parts=30).select("book_id", "turn", "chapter_index")
 
 
 def order_specs(spark, d) -> DataFrame:

@@ -168,7 +168,7 @@ def w1_chapter_markers(spark, d):
 
 @query("w1_chapter_markers_spread", _TICKS)
 def w1_chapter_markers_spread(spark, d):
-    return _ticks(spark, d, bound=3)
+    return _ticks(spark, d, parts=30)
 
 
 @query("w2_total_check", """
@@ -198,7 +198,7 @@ def w3_queue_position(spark, d):
 @query("w3_queue_position_spread", _QUEUE)
 def w3_queue_position_spread(spark, d):
     """The same global ranking from range partitions."""
-    return order.queue_position(queue(spark, d), bound=100).select("job_id", "queue_position")
+    return order.queue_position(queue(spark, d), parts=30).select("job_id", "queue_position")
 
 
 @query("w4_enqueue_order", f"""WITH {JOBS} SELECT priority, coalesce(max(CASE WHEN status = 'queued' THEN CASE WHEN owner % 7 > 0 THEN owner % 10 - 3 ELSE 0 END END), 0) + 1 AS append_order,

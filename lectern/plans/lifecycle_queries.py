@@ -30,9 +30,9 @@ def fn_clock(spark, d):
     return table(spark, d, "orders").select("o_orderkey", tx.clock(F.col("o_totalprice") / 40).alias("label"))
 
 
-@query("fn_elapsed", "SELECT o_orderkey, epoch(TIMESTAMP '2001-09-01 12:30:00' - o_orderdate)::BIGINT AS elapsed FROM orders")
+@query("fn_elapsed", "SELECT o_orderkey, epoch(TIMESTAMP '2001-09-01 12:30:00.25' - o_orderdate)::DOUBLE AS elapsed FROM orders")
 def fn_elapsed(spark, d):
-    end = F.lit("2001-09-01 12:30:00").cast("timestamp_ntz")
+    end = F.lit("2001-09-01 12:30:00.25").cast("timestamp_ntz")
     return jobs(spark, d).select(F.col("job_id").alias("o_orderkey"), order.elapsed_seconds(F.col("created_at"), end).alias("elapsed"))
 
 

@@ -131,7 +131,7 @@ def q6_longest_silence(spark, d):
 @query("q6_longest_silence_spread", f"WITH {SILENCE}")
 def q6_longest_silence_spread(spark, d):
     """The same runs with every user treated as too large for one task."""
-    return silence(spark, d, bound=40)
+    return silence(spark, d, parts=40)
 
 
 @query("q7_finite_check", f"WITH {SIGNAL} SELECT vec_id, ok AS usable FROM loud")
@@ -191,7 +191,7 @@ def q9_clip_range_check(spark, d):
 
 @query("q9_clip_range_check_spread", f"WITH {RANGES}")
 def q9_clip_range_check_spread(spark, d):
-    return ranges(spark, d, bound=40)
+    return ranges(spark, d, parts=40)
 
 
 @query("q10_edge_trim", f"""

@@ -204,7 +204,7 @@ def skewed(spark):
 
 def test_running_totals_with_a_hot_key(spark, skewed):
     rows, df = skewed
-    found = {r.at: (r.n, r.total) for r in scan.running(df, ["k"], ["at"], {"n": F.lit(1), "total": F.col("v")}, bound=200).collect()}
+    found = {r.at: (r.n, r.total) for r in scan.running(df, ["k"], ["at"], {"n": F.lit(1), "total": F.col("v")}, parts=20).collect()}
     state = {}
     for k, at, v in rows:
         n, total = state.get(k, (0, 0))
@@ -214,20 +214,20 @@ def test_running_totals_with_a_hot_key(spark, skewed):
 
 def test_global_positions(spark, skewed):
     rows, df = skewed
-    found = {r.at: r.p for r in scan.position(df, [], ["v", "at"], "p", bound=300).collect()}
+    found = {r.at: r.p for r in scan.position(df, [], ["v", "at"], "p", parts=20).collect()}
     expected = sorted(rows, key=lambda r: (r[2], r[1]))
     assert all(found[r[1]] == i for i, r in enumerate(expected, 1))
 
 
 def test_null_keys_stay_in_the_spread_path(spark):
     df = spark.createDataFrame([(None, i) for i in range(50)] + [(1, i) for i in range(3)], "k int, at int")
-    rows = scan.position(df, ["k"], ["at"], "p", bound=10).collect()
+    rows = scan.position(df, ["k"], ["at"], "p", parts=30).collect()
     assert len(rows) == 53 and sorted(r.p for r in rows if r.k is None) == list(range(1, 51))
 
 
 def test_longest_runs_with_a_hot_key(spark, skewed):
     rows, df = skewed
-    found = {r.k: r.n for r in scan.longest_runs(df, ["k"], ["at"], F.col("v") < 4, bound=150).groupBy("k").agg(F.max("run_length").alias("n")).collect()}
+    found = {r.k: r.n for r in scan.longest_runs(df, ["k"], ["at"], F.col("v") < 4, parts=20).groupBy("k").agg(F.max("run_length").alias("n")).collect()}
     best, run = {}, {}
     for k, _, v in rows:
         run[k] = run.get(k, 0) + 1 if v < 4 else 0
@@ -255,5 +255,5 @@ def test_budget_stream_equals_batch_over_several_triggers(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     expected = {tuple(r) for r in st.retry_budget_batch(batch).collect()}
-    spread = {tuple(r) for r in st.retry_budget_batch(batch, bound=20).collect()}
+    spread = {tuple(r) for r in st.retry_budget_batch(batch, parts=20).collect()}
     assert found == expected == spread and expected
