@@ -10,6 +10,7 @@ from ..session import workspace
 from . import chat, linkgraph, secrets
 from .decontaminate import contamination
 from .language import fit, identify
+from .lm import score
 from .minhash import Near, near_duplicates
 from .packing import pack
 from .records import read_records, write_records
@@ -84,3 +85,10 @@ def op10_link_graph_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op3_perspective_rotation"] = chat.SQL
 ORACLES["op10_link_graph_filter"] = linkgraph.sql()
+
+
+@query
+def op8_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, remainder("doc_id", 7) != 2, public_tokenizers.path(VOCABULARY))
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
