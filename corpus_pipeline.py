@@ -1,12 +1,59 @@
-"""A training corpus from raw documents."""
+"""A training corpus from raw documents: language, near-duplicates, benchmark leaks, secrets, packing.
+
+Every stage works on all that the stage before it kept. Documents are known by ``doc_id``. Rows without one, or with the same one,
+stay apart in the row-local stages; near-duplicate removal and decontamination decide by id, and keep rows that have none.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.llm.decontaminate import contamination
+from lectern.llm.language import UNDETERMINED, fit, identify
+from lectern.llm.minhash import Near, near_duplicates
+from lectern.llm.packing import pack
+from lectern.llm.secrets import redact
+from lectern.session import stable
+
+VOCABULARY = "byte_bpe_50k.json"
+ORACLE_SQL = None  # none of the stages can be said in SQL
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the labelled documents; those without any letter are rejected. A missing label is filled in."""
+    found = identify(docs, fit(docs), keep=tuple(docs.columns)).filter(F.col("lang_pred") != UNDETERMINED)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of texts that reach each other over similarities of 0.8 on five-word shingles, the smallest id stays."""
+    gone = near_duplicates(docs, Near(words=5, percent=80)).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a stretch of a benchmark item go."""
+    leaks = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced; the documents stay."""
+    return redact(docs).withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*docs.columns)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 2048 ids."""
+    return pack(docs, public_tokenizers.path(VOCABULARY))
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [("language", language), ("near_duplicates", deduplicate), ("decontamination", decontaminate), ("secrets", remove_secrets), ("packing", pack_windows)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = stable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -62,17 +62,9 @@ def scan(docs: DataFrame, battery: Battery = Battery(), id_col: str = "doc_id",
     repeat are judged one by one. A pattern's match whose value is too short is dropped and still uses up its characters.
     Tied p-values are discovered together.
     """
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    span = "array<struct<kind:string,start:int,end:int>>"
-    found = stable(source.mapInArrow(lambda b: _scan(b, battery), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base {span}, "
-                                     "maybe array<struct<start:int,end:int,stratum:string,level:int>>"))
-    # ranks need counts alone: classes of p-values in each stratum, at most some thousands of rows whatever the input
-    level = found.select(F.explode("maybe").alias("m")).groupBy("m.stratum", "m.level").agg(F.count("*").alias("n"))
-    above = Window.partitionBy("stratum").orderBy(F.desc("level"))
-    ranked = level.withColumn("rank", F.sum("n").over(above)).withColumn("all", F.sum("n").over(Window.partitionBy("stratum")))
-    cuts = ranked.filter(F.pow(F.lit(10.0), -F.col("level") * BIN) * F.col("all") <= battery.rate * F.col("rank")).groupBy("stratum").agg(F.min("level").alias("cut"))
-    cut = F.create_map(*[F.lit(x) for r in cuts.collect() for x in (r["stratum"], r["cut"])]) if cuts.count() else F.lit(None).cast("map<string,int>")
+    found = stable(_found(docs, battery, id_col, text_col))
+    cuts = _cuts(found, battery)
+    cut = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair]) if cuts else F.lit(None).cast("map<string,int>")
     added = F.transform(F.filter("maybe", lambda m: F.coalesce(m["level"] >= cut[m["stratum"]], F.lit(False))),
                         lambda m: F.struct(F.lit("random").alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
     order = lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0)
@@ -86,18 +78,30 @@ def joined(spans: Column | str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, found: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all found spans replaced by ``mark``; overlapping spans are replaced once. Ids must be unique in ``found``."""
-    spans = found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), "spans")
-    text = docs[text_col]
-    joined_docs = docs.join(spans, docs[id_col] == F.col("_id"), "left")
-    step = F.aggregate(
-        "spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
-            .otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at")),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return joined_docs.withColumn(text_col, F.when(F.col("spans").isNotNull(), step).otherwise(text)).select(*docs.columns)
+def redact(docs: DataFrame, mark: str = "[secret]", battery: Battery = Battery(), text_col: str = "text") -> DataFrame:
+    """``docs`` with every span that ``scan`` finds replaced by ``mark``; overlapping spans are replaced together. Other columns stay.
+
+    The first pass over the texts settles the false-discovery cuts, a few hundred numbers; the second rewrites each row where it lies.
+    """
+    cuts = _cuts(stable(_found(docs.select(F.lit(0).alias("_id"), docs[text_col].alias("_text")), battery, "_id", "_text").filter("size(maybe) > 0")), battery)
+    return docs.mapInArrow(lambda b: _redact(b, cuts, mark, battery, text_col), docs.schema)
+
+
+def _found(docs: DataFrame, battery: Battery, id_col: str, text_col: str) -> DataFrame:
+    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(lambda b: _scan(b, battery), f"doc_id {kind}, n_assign long, n_access long, n_hex long, "
+                             "base array<struct<kind:string,start:int,end:int>>, maybe array<struct<start:int,end:int,stratum:string,level:int>>")
+
+
+def _cuts(found: DataFrame, battery: Battery) -> dict[str, int]:
+    """The smallest class of p-values that is discovered in each stratum. Ranks need counts alone: there are a few hundred strata,
+    and a few thousand classes of p-values in each, whatever the input."""
+    level = found.select(F.explode("maybe").alias("m")).groupBy("m.stratum", "m.level").agg(F.count("*").alias("n"))
+    above = Window.partitionBy("stratum").orderBy(F.desc("level"))
+    ranked = level.withColumn("rank", F.sum("n").over(above)).withColumn("all", F.sum("n").over(Window.partitionBy("stratum")))
+    held = ranked.filter(F.pow(F.lit(10.0), -F.col("level") * BIN) * F.col("all") <= battery.rate * F.col("rank"))
+    return {r["stratum"]: r["cut"] for r in held.groupBy("stratum").agg(F.min("level").alias("cut")).collect()}
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -153,6 +157,37 @@ def battery_values(token: str, name: str, battery: Battery) -> tuple[float, floa
     return random, max(ordinary, 1e-300)
 
 
+def candidates(text: str, base: list[tuple[str, int, int]], battery: Battery) -> Iterator[tuple[int, int, str, int]]:
+    """``start, end, stratum, level`` of the strings apart from base spans that pass for random; levels are classes of p-values."""
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        name = encoding(m[0])
+        if name is None or any(start < e and s < end for _, s, e in base):
+            continue
+        random, ordinary = battery_values(m[0], name, battery)
+        if random >= battery.order:
+            yield start, end, f"{name}/{(end - start).bit_length()}", int(-math.log10(ordinary) / BIN)
+
+
+def _redact(batches: Iterator[pa.RecordBatch], cuts: dict[str, int], mark: str, battery: Battery, text_col: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.schema.get_field_index(text_col)
+        out = []
+        for text in batch.column(at).to_pylist():
+            base = base_spans(text or "")
+            spans = [(s, e) for _, s, e in base]
+            spans += [(s, e) for s, e, stratum, level in candidates(text or "", base, battery) if level >= cuts.get(stratum, level + 1)]
+            if spans:
+                parts, done = [], 0
+                for start, end in sorted(spans):
+                    if start >= done:
+                        parts += [text[done:start], mark]
+                    done = max(done, end)
+                text = "".join(parts) + text[done:]
+            out.append(text)
+        yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+
+
 def _scan(batches: Iterator[pa.RecordBatch], battery: Battery) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
     maybe = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("stratum", pa.string()), ("level", pa.int32())])
@@ -164,15 +199,7 @@ def _scan(batches: Iterator[pa.RecordBatch], battery: Battery) -> Iterator[pa.Re
             own = base_spans(text)
             counts.append([sum(s[0] == kind for s in own) for kind in KINDS[:3]])
             base.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in own])
-            more.append([])
-            for m in CANDIDATE.finditer(text):
-                start, end = m.span()
-                name = encoding(m[0])
-                if name is None or any(start < e and s < end for _, s, e in own):
-                    continue
-                random, ordinary = battery_values(m[0], name, battery)
-                if random >= battery.order:
-                    more[-1].append({"start": start, "end": end, "stratum": f"{name}/{(end - start).bit_length()}", "level": int(-math.log10(ordinary) / BIN)})
+            more.append([dict(zip(("start", "end", "stratum", "level"), c, strict=True)) for c in candidates(text, own, battery)])
         columns = np.array(counts, np.int64).reshape(-1, 3)
         yield pa.RecordBatch.from_arrays(
             [block.rows.column("doc_id"), *(pa.array(columns[:, k].copy()) for k in range(3)), pa.array(base, pa.list_(span)), pa.array(more, pa.list_(maybe))],
