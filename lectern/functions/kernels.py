@@ -23,9 +23,9 @@ def unescape_compose(values: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def fold_compatible(values: pd.Series) -> pd.Series:
-    """NFKC, letters and digits only, lower-cased character by character."""
+    """NFKC, letters and digits only, lower-cased; a capital sigma is the same letter wherever it stands."""
     def fold(value: str) -> str:
-        return "".join(ch.lower() for ch in unicodedata.normalize("NFKC", value) if ch.isalnum())
+        return re.sub(r"[\W_]+", "", unicodedata.normalize("NFKC", value)).replace("\u03a3", "\u03c3").lower()
     return values.map(fold, na_action="ignore")
 
 

@@ -215,7 +215,13 @@ def inline_urls(value: Column) -> Column:
 
 
 def is_domain_line(line: Column) -> Column:
-    return tx.strip(line).rlike(rf"\A(?:{fixed.BARE_DOMAIN})\z")
+    """Labels, port and path are tested apart: no pattern here repeats a group, which would nest as deep as the line is long."""
+    bare = F.lower(tx.strip(line))
+    host = F.regexp_extract(bare, "^[^/:]*", 0)
+    labels = F.split(host, "[.]", -1)
+    proper = F.forall(F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0))), lambda x: x.rlike(r"\A[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\z"))
+    rest = F.substring(bare, F.length(host) + 1, F.length(bare))
+    return (F.size(labels) > 1) & F.element_at(labels, -1).isin(*fixed.DOMAIN_SUFFIXES) & proper & rest.rlike(r"\A(?::\d+)?(?:/[a-z0-9._~:/?#\[\]@!$&()*+,;=%-]*)?\z")
 
 
 def url_audit(urls: Column) -> Column:

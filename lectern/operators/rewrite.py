@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions import text as tx
 from ..functions.rows import unnest
 
 
@@ -38,8 +37,10 @@ def replace_terms(value: Column, terms: dict[str, str]) -> Column:
         return F.replace(value, F.lit(source), F.lit(spoken))
     pattern = terms_pattern(terms)
     spoken = F.create_map(*[F.lit(x) for pair in terms.items() for x in pair])
-    tokens = F.regexp_extract_all(value, F.lit(f"(?s){pattern}|(?:(?!{pattern}).)+"), F.lit(0))
-    return F.array_join(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(spoken, t), t)), "")
+    # the text between terms and the terms themselves, put together again in turn
+    between = F.split(value, pattern, -1)
+    said = F.transform(F.regexp_extract_all(value, F.lit(pattern), F.lit(0)), lambda t: spoken[t])
+    return F.array_join(F.zip_with(between, F.concat(said, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
 
 
 def spoken_text(df: DataFrame, terms: dict[str, str], text: str = "text") -> DataFrame:
@@ -59,15 +60,12 @@ def replacement_counts(df: DataFrame, terms: dict[str, str], *keys: str, text: s
 
 def preview_text(chapters: DataFrame, book: str, index: str = "chapter_index", text: str = "text",
                  limit: int = fixed.PREVIEW_TEXT) -> DataFrame:
-    """The first ``limit`` characters of a book.
+    """The first ``limit`` characters of a book, whatever numbers its chapters have.
 
-    Chapters are non-empty and joined by two characters, so chapters numbered past ``limit / 3`` cannot reach into the
-    preview, and no chapter contributes more than ``limit`` characters: what a task gathers per book is bounded.
+    Chapters are joined by two characters, so those that come after ``limit / 2`` others cannot reach into the preview, and none
+    contributes more than ``limit`` characters: what a task gathers per book is bounded. The rank filter runs before the shuffle too.
     """
-    near = chapters.filter(F.col(index) <= limit // 3 + 1).select(book, index, F.left(text, F.lit(limit)).alias("_t"))
+    rank = F.row_number().over(Window.partitionBy(book).orderBy(index))
+    near = chapters.select(book, index, F.left(text, F.lit(limit)).alias("_t")).withColumn("_r", rank).filter(F.col("_r") <= limit // 2 + 1)
     joined = near.groupBy(book).agg(F.array_sort(F.collect_list(F.struct(index, "_t"))).alias("_all"))
     return joined.select(book, F.left(F.array_join(F.transform("_all", lambda c: c["_t"]), "\n\n"), F.lit(limit)).alias("preview"))
-
-
-def clipped_audit(value: Column) -> Column:
-    return F.left(tx.strip(value), F.lit(fixed.PREVIEW_CHARS))

@@ -47,7 +47,8 @@ def progress_metrics(plan: DataFrame, done: DataFrame, runs: DataFrame, *keys: s
 def state_summary(state: DataFrame, plan: DataFrame, *keys: str, key: str = "segment_id") -> DataFrame:
     """Counts per status weighted by occurrences; checks and retries unweighted; durations both ways.
 
-    Records whose identity is not in a non-empty plan are ignored. A book without a plan counts each record once.
+    Records whose identity is not in a non-empty plan are ignored. A book without a plan counts each record once; a planned book
+    without records counts zero.
     ``state``: ``keys, segment_id, status, qc_pass, cer, retry_count, duration, generation_seconds, chars``.
     """
     counted = plan.groupBy(*keys, key).agg(F.count("*").alias("_n"))
@@ -64,33 +65,34 @@ def state_summary(state: DataFrame, plan: DataFrame, *keys: str, key: str = "seg
     totals = used.groupBy(*keys, "_in").agg(
         *[weighted(s) for s in ("completed", "failed", "generated", "pending", "running")],
         F.count("qc_pass").alias("qc_checked"), F.count_if(F.col("qc_pass")).alias("qc_passed"),
-        F.count_if(~F.col("qc_pass")).alias("qc_failed"), F.sum("retry_count").alias("retries"), F.avg("cer").alias("mean_cer"),
+        F.count_if(~F.col("qc_pass")).alias("qc_failed"), F.coalesce(F.sum("retry_count"), F.lit(0)).alias("retries"), F.avg("cer").alias("mean_cer"),
         completed(F.col("duration") * F.col("_w")).alias("audio_seconds"),
         completed(F.col("duration")).alias("synthesized_audio_seconds"),
         completed(F.col("generation_seconds")).alias("generation_seconds"),
         completed(F.col("chars") * F.col("_w")).alias("chars"))
-    totals = totals.join(planned, list(keys), "left").filter(F.col("total").isNull() | F.col("_in")).drop("_in")
-    return (totals.withColumn("total", F.coalesce("total", F.lit(0)))
+    sums = [c for c in totals.columns if c not in (*keys, "_in", "mean_cer")]
+    begun = planned.join(totals.filter("_in").drop("_in"), list(keys), "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in sums})
+    unplanned = totals.filter(~F.col("_in")).drop("_in").join(planned, list(keys), "left_anti").withColumn("total", F.lit(0).cast("bigint"))
+    return (begun.unionByName(unplanned)
             .withColumn("percent", F.coalesce(F.bround(ratio(F.col("completed"), F.col("total")) * 100, 1), F.lit(0.0)))
             .withColumn("rtf", ratio(F.col("generation_seconds"), F.col("synthesized_audio_seconds"))))
 
 
 def job_rollup(books: DataFrame, jobs: DataFrame, job: str = "job_id") -> DataFrame:
-    """Sum books into jobs; the running book's estimate is scaled to the job's remaining characters.
+    """Sum books into jobs, those without books included; the running book's estimate is scaled to the job's remaining characters.
 
     ``books``: ``job, book_order, status, run_started_at, completed, chars, audio_seconds, synthesized_audio_seconds,
     generation_seconds, run_rtf, eta_seconds, remaining_chars``; ``jobs``: ``job, status, started_at, planned_total,
     planned_chars``.
     """
     facts = jobs.select(job, F.col("status").alias("job_status"), "started_at", "planned_total", "planned_chars")
-    joined = books.join(facts, job)
+    joined = facts.join(books, job, "left")
     live = (F.col("job_status").isin("running", "pausing", "cancelling") & (F.col("status") == "running")
             & (F.col("run_started_at") >= F.col("started_at")))
     totals = joined.groupBy(job).agg(
         F.first("job_status").alias("status"), F.first("planned_total").alias("total"),
-        F.first("planned_chars").alias("planned_chars"), F.sum("completed").alias("completed"), F.sum("chars").alias("chars"),
-        F.sum("audio_seconds").alias("audio_seconds"), F.sum("synthesized_audio_seconds").alias("synthesized_audio_seconds"),
-        F.sum("generation_seconds").alias("generation_seconds"),
+        F.first("planned_chars").alias("planned_chars"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("completed", "chars", "audio_seconds", "synthesized_audio_seconds", "generation_seconds")],
         F.max_by(F.when(live, F.struct("run_rtf", "eta_seconds", "remaining_chars")), F.when(live, F.col("book_order"))).alias("_live"))
     left = F.greatest(F.lit(0), F.col("planned_chars") - F.col("chars"))
     historical = ratio(F.col("generation_seconds"), F.col("synthesized_audio_seconds"))

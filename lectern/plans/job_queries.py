@@ -51,7 +51,7 @@ def a2_progress_metrics(spark, d):
 
 @query("a3_state_summary", f"""
 WITH {RECORDS}, plan AS (SELECT supplier, segment_id, count(*) AS n FROM records WHERE discount > 2 GROUP BY ALL),
-state AS (SELECT *, row_number() OVER (PARTITION BY supplier, segment_id ORDER BY shipped_at DESC, job_id DESC, seg_index DESC, cents DESC) AS r FROM records),
+state AS (SELECT *, row_number() OVER (PARTITION BY supplier, segment_id ORDER BY shipped_at DESC, job_id DESC, seg_index DESC, cents DESC) AS r FROM records WHERE supplier % 7 <> 0),
 u AS (SELECT s.*, p.n AS w FROM state s JOIN plan p USING (supplier, segment_id) WHERE s.r = 1),
 t AS (SELECT supplier, sum(n)::BIGINT AS total FROM plan GROUP BY 1),
 a AS (SELECT supplier, coalesce(sum(w) FILTER (status = 'completed'), 0)::BIGINT AS completed, coalesce(sum(w) FILTER (status = 'failed'), 0)::BIGINT AS failed,
@@ -60,11 +60,14 @@ a AS (SELECT supplier, coalesce(sum(w) FILTER (status = 'completed'), 0)::BIGINT
   avg(CASE WHEN tax > 1 THEN discount END) AS mean_cer, coalesce(sum(duration * w) FILTER (status = 'completed'), 0) AS audio_seconds,
   coalesce(sum(duration) FILTER (status = 'completed'), 0) AS synthesized_audio_seconds, coalesce(sum(cents) FILTER (status = 'completed'), 0)::BIGINT AS generation_seconds,
   coalesce(sum(seg_index * w) FILTER (status = 'completed'), 0)::BIGINT AS chars FROM u GROUP BY 1)
-SELECT a.*, total, round_even(completed / total * 100, 1) AS percent, {_ratio('generation_seconds', 'synthesized_audio_seconds')} AS rtf FROM a JOIN t USING (supplier)""")
+SELECT supplier, coalesce(completed, 0) AS completed, coalesce(failed, 0) AS failed, coalesce(generated, 0) AS generated, coalesce(pending, 0) AS pending,
+  coalesce(qc_checked, 0) AS qc_checked, coalesce(qc_passed, 0) AS qc_passed, coalesce(qc_failed, 0) AS qc_failed, coalesce(retries, 0) AS retries, mean_cer,
+  coalesce(audio_seconds, 0) AS audio_seconds, coalesce(synthesized_audio_seconds, 0) AS synthesized_audio_seconds, coalesce(generation_seconds, 0) AS generation_seconds,
+  coalesce(chars, 0) AS chars, total, round_even(coalesce(completed, 0) / total * 100, 1) AS percent, {_ratio('generation_seconds', 'synthesized_audio_seconds')} AS rtf FROM t LEFT JOIN a USING (supplier)""")
 def a3_state_summary(spark, d):
     rec = records(spark, d)
     judged = F.when(F.col("tax") > 1, F.col("tax") > 3)
-    log = rec.select("supplier", "segment_id", "shipped_at", "job_id", "status", judged.alias("qc_pass"), F.when(F.col("tax") > 1, F.col("discount").cast("double")).alias("cer"),
+    log = rec.filter(F.col("supplier") % 7 != 0).select("supplier", "segment_id", "shipped_at", "job_id", "status", judged.alias("qc_pass"), F.when(F.col("tax") > 1, F.col("discount").cast("double")).alias("cer"),
                      F.col("seg_index").alias("retry_count"), "duration", F.col("cents").alias("generation_seconds"), F.col("seg_index").alias("chars"))
     state = cache.latest_state(log, "supplier", "segment_id", stamp=["shipped_at", "job_id", "retry_count", "generation_seconds"])
     return rollup.state_summary(state, rec.filter(F.col("discount") > 2), "supplier").drop("running")
@@ -74,8 +77,8 @@ def a3_state_summary(spark, d):
 WITH {RECORDS}, b AS (SELECT s_nationkey AS job_id, s_suppkey AS book, count(*) FILTER (status = 'completed') AS completed, sum(seg_index)::BIGINT AS chars, sum(duration) AS audio,
   sum(duration) FILTER (discount < 8) AS synth, sum(discount)::BIGINT AS gen, s_suppkey % 3 = 0 AS running, s_suppkey % 20 AS run_started, s_suppkey % 4 AS remaining FROM records JOIN supplier ON s_suppkey = supplier GROUP BY ALL),
 j AS (SELECT n_nationkey AS job_id, CASE n_nationkey % 5 WHEN 0 THEN 'completed' WHEN 1 THEN 'cancelled' WHEN 2 THEN 'pausing' ELSE 'running' END AS status, n_nationkey % 12 AS started FROM nation),
-t AS (SELECT job_id, any_value(j.status) AS status, any_value(j.started) AS started, sum(completed)::BIGINT AS completed, sum(chars)::BIGINT AS chars, sum(audio) AS audio_seconds, sum(synth) AS synth, sum(gen)::BIGINT AS generation_seconds,
-  arg_max({{'rtf': book / 8.0::DOUBLE, 'eta': (book % 7)::DOUBLE, 'remaining': remaining}}, book) FILTER (j.status IN ('running', 'pausing') AND running AND run_started >= started) AS live FROM b JOIN j USING (job_id) GROUP BY 1)
+t AS (SELECT job_id, any_value(j.status) AS status, any_value(j.started) AS started, coalesce(sum(completed), 0)::BIGINT AS completed, coalesce(sum(chars), 0)::BIGINT AS chars, coalesce(sum(audio), 0) AS audio_seconds, coalesce(sum(synth), 0) AS synth, coalesce(sum(gen), 0)::BIGINT AS generation_seconds,
+  arg_max({{'rtf': book / 8.0::DOUBLE, 'eta': (book % 7)::DOUBLE, 'remaining': remaining}}, book) FILTER (j.status IN ('running', 'pausing') AND running AND run_started >= started) AS live FROM j LEFT JOIN b USING (job_id) GROUP BY 1)
 SELECT job_id::BIGINT AS job_id, status, completed, chars, audio_seconds, generation_seconds, CASE WHEN status = 'completed' THEN 100.0::DOUBLE ELSE round_even(completed / 5000 * 100, 1) END AS percent,
   CASE WHEN live IS NULL THEN {_ratio('generation_seconds', 'synth')} ELSE live.rtf END AS rtf, CASE WHEN live IS NOT NULL THEN 'current_run' WHEN synth > 0 THEN 'historical' ELSE 'unavailable' END AS rtf_source,
   CASE WHEN live.remaining > 0 THEN live.eta / live.remaining * greatest(0, 100000 - chars) END AS eta_seconds, CASE WHEN live.remaining > 0 THEN live.remaining / nullif(live.eta, 0) END AS chars_per_second FROM t""")

@@ -205,6 +205,13 @@ def g9_preview_text(spark, d):
     return rw.preview_text(turns, "conv_id")
 
 
+@query("g9_preview_late_selection", """SELECT conv_id, left(string_agg(text, chr(10) || chr(10) ORDER BY turn DESC), 4000) AS preview FROM conversations WHERE turn > 0 GROUP BY conv_id""")
+def g9_preview_late_selection(spark, d):
+    """Chapters keep their high numbers when the early ones were not selected."""
+    turns = conversations(spark, d).filter("turn > 0").withColumn("chapter_index", 9000 - F.col("turn"))
+    return rw.preview_text(turns, "conv_id")
+
+
 @query("g10_hard_splits", f"""
 WITH {sql_segments(f"SELECT doc_id AS k, {_UNMARKED} AS text FROM documents")}
 SELECT k AS doc_id, count(*) FILTER (boundary = 'hard') AS hard_splits, count(*) AS segments FROM segs GROUP BY k""")

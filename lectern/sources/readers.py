@@ -45,7 +45,7 @@ def listing(files: DataFrame) -> DataFrame:
 def decode_text(files: DataFrame, encoding: str | None = None, content: str = "content") -> tuple[DataFrame, DataFrame]:
     """Decoded files with ``text, encoding``, and the undecodable ones with ``error``.
 
-    UTF-8 and UTF-16 are decoded in the JVM; only other content reaches the Arrow kernel.
+    UTF-8 is decoded in the JVM; only other content reaches the Arrow kernels, where damaged content becomes an error row.
     """
     data = F.col(content)
     if encoding:
@@ -59,7 +59,7 @@ def decode_text(files: DataFrame, encoding: str | None = None, content: str = "c
         valid = F.is_valid_utf8(data.cast("string"))
         df = files.withColumn("_legacy", kernels.decode_legacy(F.when(~marked & ~valid, data)))
         plain = F.regexp_replace(data.cast("string"), "^\\x{FEFF}", "")
-        df = (df.withColumn("text", F.when(marked, F.decode(data, "UTF-16")).when(valid, plain).otherwise(F.col("_legacy.text")))
+        df = (df.withColumn("text", F.when(marked, kernels.decode_as("utf-16")(F.when(marked, data))).when(valid, plain).otherwise(F.col("_legacy.text")))
               .withColumn("encoding", F.when(marked, "utf-16").when(valid, "utf-8").otherwise(F.col("_legacy.encoding"))).drop("_legacy"))
     return (keep_where(df, F.col("text").isNotNull()),
             keep_where(df, F.col("text").isNull()).drop("text", "encoding").withColumn("error", F.lit("Cannot detect text encoding")))

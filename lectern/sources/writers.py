@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHAPTERS_PER_PART = 64
 SEGMENTS_PER_ROW = 1000
 
 
@@ -65,7 +64,7 @@ def write_exports(exports: DataFrame, path: str, mode: str = "append") -> None:
 def supersede(exports: DataFrame, runs: DataFrame, book: str = "book_id", stamp: Column | str = "run_at") -> DataFrame:
     """Where each export stands: under its book if its signature is the latest run's, else under ``previous``."""
     latest = runs.groupBy(book).agg(F.max_by("signature", stamp).alias("_latest"))
-    current = F.col("signature") == F.col("_latest")
+    current = F.col("signature") == F.col("_latest")  # unknown for a book without a run, whose exports then are earlier ones
     place = F.when(current, F.col("path")).otherwise(
         F.concat(F.lit("previous/"), F.left("signature", F.lit(16)), F.lit("/"), F.col("path")))
-    return exports.join(latest, book).withColumn("current", current).withColumn("location", place).drop("_latest")
+    return exports.join(latest, book, "left").withColumn("current", F.coalesce(current, F.lit(False))).withColumn("location", place).drop("_latest")

@@ -25,10 +25,12 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def read_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1) -> DataFrame:
-    """A parquet table as a stream of files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
+    """A parquet table, a folder of part files or one file, as a stream of files. A table that does not exist is an error."""
+    path = f"{folder}/{name}.parquet"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path) if whole else reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def drain(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:

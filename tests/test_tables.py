@@ -257,3 +257,34 @@ def test_budget_stream_equals_batch_over_several_triggers(spark, tmp_path):
     expected = {tuple(r) for r in st.retry_budget_batch(batch).collect()}
     spread = {tuple(r) for r in st.retry_budget_batch(batch, parts=20).collect()}
     assert found == expected == spread and expected
+
+
+def test_summaries_keep_what_has_not_started(spark):
+    from lectern.operators import rollup
+    from lectern.sources import writers
+    state = spark.createDataFrame([("a", 1, "completed", True, 0.1, 1, 2.0, 1.0, 5), ("z", 9, "failed", False, None, None, 1.0, 1.0, 5)],
+                                  "book string, segment_id int, status string, qc_pass boolean, cer double, retry_count int, duration double, generation_seconds double, chars int")
+    plan = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "book string, segment_id int")
+    found = {r.book: (r.total, r.completed, r.failed, r.retries, r.percent) for r in rollup.state_summary(state, plan, "book").collect()}
+    assert found == {"a": (2, 1, 0, 1, 50.0), "b": (1, 0, 0, 0, 0.0), "z": (0, 0, 1, 0, 0.0)}
+    exports = spark.createDataFrame([("a", "s1", "x"), ("b", "s2", "y")], "book_id string, signature string, path string")
+    runs = spark.createDataFrame([("a", "s1", 1)], "book_id string, signature string, run_at int")
+    assert {(r.book_id, r.current, r.location) for r in writers.supersede(exports, runs).collect()} == {("a", True, "x"), ("b", False, "previous/s2/y")}
+
+
+def test_damaged_utf16_is_an_error_row(spark):
+    from lectern.sources import readers
+    rows = [("good", "h\u00e9".encode("utf-16")), ("odd", b"\xff\xfeA"), ("lone", b"\xff\xfe\x00\xd8"), ("utf8", "h\u00e9".encode()), ("gb", "\u4f60\u597d".encode("gb18030"))]
+    good, bad = readers.decode_text(spark.createDataFrame(rows, "path string, content binary"))
+    assert {r.path: r.text for r in good.collect()} == {"good": "h\u00e9", "utf8": "h\u00e9", "gb": "\u4f60\u597d"}
+    assert {r.path for r in bad.collect()} == {"odd", "lone"}
+
+
+def test_streams_read_folders_of_part_files(spark, tmp_path):
+    from lectern.streaming import jobs
+    spark.range(30).repartition(5).write.parquet(f"{tmp_path}/numbers.parquet")
+    spark.range(100).write.parquet(f"{tmp_path}/numbers_other.parquet")
+    out = jobs.drain(jobs.read_table(spark, str(tmp_path), "numbers"))
+    assert out.count() == 30
+    with pytest.raises(Exception, match="does not exist|FileNotFound"):
+        jobs.read_table(spark, str(tmp_path), "missing")

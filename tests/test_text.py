@@ -176,3 +176,21 @@ def test_settings_are_closed_and_checked(spark):
     settings.check_patterns(spark, [r"^\p{L}+$"])
     with pytest.raises(ValueError):
         settings.check_patterns(spark, ["(open"])
+
+
+def test_no_text_overflows_the_stack(spark):
+    """Patterns with a repeated group nest as deep as a text is long; these two are long."""
+    mixed = spark.createDataFrame([("x\U0001F600" * 50_000 + "the die",)], "text string")
+    out = mixed.select(rw.replace_terms(F.col("text"), {"the": "THE", "die": "das"})).first()[0]
+    assert out == "x\U0001F600" * 50_000 + "THE das"
+    lines = spark.createDataFrame([("a." * 50_000,), ("a." * 50_000 + "com",), ("www.example.org:80/x?y=1",), ("example.org trailing",), ("-a.com",), ("com",), ("a..com",)], "line string")
+    assert [r[0] for r in lines.select(cl.is_domain_line(F.col("line"))).collect()] == [False, True, True, False, False, False, False]
+
+
+def test_fold_agrees_with_single_characters(spark):
+    import unicodedata
+    texts = ["Σίσυφος ΟΔΟΣ", "ﬁne_print ½ Ⅷ", "İstanbul", "你好，世界", "a-b_c"]
+    want = ["".join(c.lower() for c in unicodedata.normalize("NFKC", t) if c.isalnum()) for t in texts]
+    from lectern.functions import kernels
+    found = spark.createDataFrame(enumerate(texts), "i int, t string").select("i", kernels.fold_compatible("t").alias("f")).orderBy("i").collect()
+    assert [r.f for r in found] == want
