@@ -16,7 +16,7 @@ COMMON = GROUP ** 2
 REST = 222
 VOCABULARY = COMMON + REST ** 2
 CEILING = np.float32(60)  # of a logit, so that exponentials stay finite
-KNOWN = 4096  # ids with an embedding of their own; rarer ones share
+KNOWN = 1 << 12  # ids with an embedding of their own; rarer ones share
 
 
 @dataclass(frozen=True)
@@ -73,14 +73,19 @@ def steps(model: Model, t: np.ndarray) -> list[tuple]:
             (rest, "u3", None, None, model.bias[2], high), (rest, "u4", None, None, model.bias[3][high], (t[rest] - COMMON) % REST)]
 
 
-def log_probabilities(model: Model, inputs: np.ndarray, valid: np.ndarray, targets: np.ndarray) -> np.ndarray:
+def _bounded(x: np.ndarray) -> None:
+    if x.max(initial=0) > CEILING:
+        np.minimum(x, CEILING, out=x)
+
+
+def log_probabilities(model: Model, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log-probability of ``targets`` (numbers, the next id after each of the last positions of each window).
 
-    ``valid`` marks the positions of ``inputs`` that exist; attention sees those up to its own position.
+    A negative input is a position that does not exist and is not seen; a negative target gives 0.
     """
     w, (n, size), s = model.weights, inputs.shape, targets.shape[1]
     d = model.shape.width
-    x = w["embed"][np.where(inputs < KNOWN, inputs, inputs % KNOWN)]
+    x = w["embed"].take(inputs & (KNOWN - 1), 0)
     x += w["place"]
     kv = x.reshape(-1, d) @ np.concatenate([w["k"], w["v"] @ w["o"]], 1)
     kv = kv.reshape(n, size, 2 * d)
@@ -88,25 +93,30 @@ def log_probabilities(model: Model, inputs: np.ndarray, valid: np.ndarray, targe
     q = (last.reshape(-1, d) @ (w["q"] / np.float32(d ** 0.5))).reshape(n, s, d)
     share = q @ kv[:, :, :d].transpose(0, 2, 1)
     share += MASKS.setdefault((size, s), np.where(np.arange(size)[None] <= np.arange(size - s, size)[:, None], 0, -1e9).astype(np.float32))
-    if not valid.all():
-        share += np.where(valid, 0, -1e9).astype(np.float32)[:, None]
-    np.minimum(share, CEILING, out=share)
+    if inputs.min(initial=0) < 0:
+        share += np.where(inputs < 0, np.float32(-1e9), np.float32(0))[:, None]
+    _bounded(share)
     np.exp(share, out=share)
     h = share @ kv[:, :, d:]
     h /= (share.reshape(-1, size) @ np.ones(size, np.float32)).reshape(n, s, 1)
     h += last
     h = h.reshape(-1, d)
     t = targets.ravel()
+    real = np.flatnonzero(t >= 0)
+    if len(real) < len(t):
+        t, h = t[real], h[real]
     out = np.zeros(len(t), np.float32)
     for rows, weight, gate, gates, bias, pick in steps(model, t):
         own = h[rows] if gate is None else h[rows] * w[gate][gates]
         logits = own @ w[weight]
         logits += bias
-        np.minimum(logits, CEILING, out=logits)
+        _bounded(logits)
         at = logits[np.arange(len(pick)), pick]
         np.exp(logits, out=logits)
         out[rows] += at - np.log(logits @ np.ones(logits.shape[1], np.float32))
-    return out.reshape(n, s)
+    whole = np.zeros(n * s, np.float32)
+    whole[real] = out
+    return whole.reshape(n, s)
 
 
 MASKS: dict[tuple[int, int], np.ndarray] = {}
@@ -117,7 +127,7 @@ def gradient(model: Model, ids: np.ndarray, weight: np.ndarray) -> tuple[float,
     w, d = model.weights, model.shape.width
     inputs, targets = ids[:, :-1], ids[:, 1:]
     n, size = inputs.shape
-    e = np.where(inputs < KNOWN, inputs, inputs % KNOWN)
+    e = inputs & (KNOWN - 1)
     x = w["embed"][e] + w["place"][:size]
     flat = x.reshape(-1, d)
     q, k, v = ((flat @ w[m]).reshape(n, size, d) for m in "qkv")

@@ -166,23 +166,26 @@ def _train(batches: Iterator[pa.RecordBatch], model: at.Model, scoring: Scoring,
 
 def text_scores(model: at.Model, texts: list[np.ndarray], batch: int = 192) -> np.ndarray:
     """Natural log-probability of each sequence of ids, whose first id is given."""
-    shape = model.shape
+    window, step = model.shape.window, model.shape.step
     lengths = np.array([len(x) - 1 for x in texts])
-    numbers = model.rank[np.concatenate(texts)]
-    base = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
-    per = -(-lengths // shape.step)
+    per = -(-lengths // step)
+    # each text gets whole steps of a buffer; the window of step j begins at step j, its new ids end ``window`` later
+    room = (per + -(-window // step)) * step
+    base = np.concatenate([[0], np.cumsum(room)])
+    inputs, targets = np.full(base[-1], -1, np.int32), np.full(base[-1], -1, np.int32)
+    for text, place in zip(texts, base[:-1] + window - step, strict=True):
+        numbers = model.rank[text]
+        inputs[place:place + len(text) - 1] = numbers[:-1]
+        targets[place:place + len(text) - 1] = numbers[1:]
+    steps = len(inputs) // step - -(-window // step) + 1
+    seen = np.lib.stride_tricks.as_strided(inputs, (max(steps, 0), window), (4 * step, 4), writeable=False)
     owner = np.repeat(np.arange(len(texts)), per)
-    turn = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(per)])[:-1], per)
-    left = turn * shape.step - (shape.window - shape.step)
+    first = np.repeat(base[:-1] // step, per) + np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
     out = np.zeros(len(texts))
     for low in range(0, len(owner), batch):
-        own, place = owner[low:low + batch], left[low:low + batch, None] + np.arange(shape.window)
-        valid = place >= 0
-        index = base[own][:, None] + np.clip(place, 0, lengths[own][:, None] - 1)
-        inputs, targets = numbers[index], numbers[index[:, -shape.step:] + 1]
-        real = place[:, -shape.step:] < lengths[own][:, None]
-        found = at.log_probabilities(model, inputs, valid, targets)
-        out += np.bincount(own, (found * real).sum(1, dtype=np.float64), len(texts))
+        rows = first[low:low + batch]
+        new = targets[(rows * step + window - step)[:, None] + np.arange(step)]
+        out += np.bincount(owner[low:low + batch], at.log_probabilities(model, seen[rows], new).sum(1, dtype=np.float64), len(texts))
     return out
 
 
@@ -205,7 +208,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: at.Model, unigrams: tuple[n
         for d in range(len(block)):
             own, n = np.unique(words.hash[unknown[cut[d]:cut[d + 1]]], return_counts=True)
             rare.append([{"word": x, "n": k} for x, k in zip(own.view(np.int64).tolist(), n.tolist(), strict=True)])
-        ids = [np.frombuffer(end + encode(text) + end, "<u4").astype(np.int64) for text in _texts(block)]
+        ids = [np.frombuffer(end + encode(text) + end, "<u4") for text in _texts(block)]
         yield pa.RecordBatch.from_arrays(
             [block.rows.column("row"), block.rows.column("doc_id"), block.rows.column("training"), pa.array(np.diff(first) + 1), pa.array(w.sums(here, first) + (texts > 0)),
              pa.array(total[first[1:]] - total[first[:-1]] + np.log10(texts + 1.0)), pa.array(text_scores(model, ids) / LN10),

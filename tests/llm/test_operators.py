@@ -371,7 +371,7 @@ def test_model_is_a_distribution_and_windows_score_once():
     model = attention.initial({int(i): int(n) for i, n in zip(rng.integers(0, 50257, 3000), rng.integers(1, 50, 3000), strict=True)}, attention.Shape(width=8, window=6, step=4))
     history = rng.integers(0, 3000, 6)
     many = np.arange(attention.VOCABULARY)
-    p = np.exp(attention.log_probabilities(model, np.repeat(history[None], len(many), 0), np.ones((len(many), 6), bool), many[:, None]).astype(np.float64))
+    p = np.exp(attention.log_probabilities(model, np.repeat(history[None], len(many), 0), many[:, None]).astype(np.float64))
     assert abs(p.sum() - 1) < 1e-3
     texts = [rng.integers(0, 50257, n) for n in (2, 5, 9, 30)]
     found = lm.text_scores(model, texts, batch=3)
@@ -379,14 +379,11 @@ def test_model_is_a_distribution_and_windows_score_once():
         numbers, total = model.rank[text], 0.0
         for t in range(1, len(text)):
             left = (t - 1) // 4 * 4 - 2
-            own = [p for p in range(left, t)]
-            inputs = np.array([[numbers[max(p, 0)] for p in own] + [0] * (6 - len(own))])
-            shifted = np.zeros((1, 6), int)
-            shifted[0, :len(own)] = inputs[0, :len(own)]
-            valid = np.array([[k < len(own) and own[k] >= 0 for k in range(6)]])
-            targets = np.zeros((1, 6), int)
-            targets[0, len(own) - 1] = numbers[t]
-            total += attention.log_probabilities(model, shifted, valid, targets)[0, len(own) - 1]
+            shown = np.full((1, 6), -1)
+            shown[0, :t - left] = [numbers[p] if p >= 0 else -1 for p in range(left, t)]
+            targets = np.full((1, 4), -1)
+            targets[0, t - left - 3] = numbers[t]
+            total += attention.log_probabilities(model, shown, targets).sum()
         assert abs(total - value) < 1e-3 * len(text)
 
 
