@@ -132,6 +132,15 @@ def invalid_selection(books: DataFrame, ranges: Column, total: str, *keys: str)
     return unnest(over, F.sequence(start, F.col("_r.hi")), *keys, value="invalid_index").select(*keys, "invalid_index").distinct()
 
 
+def selection_errors(books: DataFrame, spec: str, total: str, *keys: str) -> DataFrame:
+    """Why a book's selection cannot be used: ``keys, error``. No row for a usable one."""
+    ranges = selection_ranges(F.col(spec))
+    blank = F.coalesce(tx.strip(F.col(spec)), F.lit("")) == ""
+    reached = F.exists(ranges, lambda r: r["lo"] <= F.col(total))
+    error = F.when(blank, "nothing selected").when(ranges.isNull(), "malformed").when(~reached, "no such chapter")
+    return books.select(*keys, error.alias("error")).filter(F.col("error").isNotNull())
+
+
 def pick_cover(items: DataFrame) -> DataFrame:
     """The declared cover image, else the first image whose properties or name say cover."""
     says_cover = F.array_contains(F.split(F.coalesce("properties", F.lit("")), r"\s+"), "cover-image") | F.lower("name").contains("cover")

@@ -14,6 +14,7 @@ from ..functions import fixed, kernels
 from ..functions import text as tx
 from ..functions.identity import digest_string, digest_value
 from ..functions.rows import unnest
+from ..settings import check_patterns
 
 AUDIT = (
     "array<struct<operation:string,n:bigint,removed:array<string>,removed_sha256:string,"
@@ -288,7 +289,8 @@ def join_wrapped_lines(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def clean(df: DataFrame, rules: CleanRules = CleanRules(), text: str = "text") -> DataFrame:
-    """All rules in their fixed order, closed by a before/after record where anything changed."""
+    """All rules in their fixed order, closed by a before/after record where anything changed. Invalid patterns fail here, on the driver."""
+    check_patterns(df.sparkSession, [*rules.line_patterns, rules.chapter_pattern])
     df = with_audit(df).withColumn("_original", F.col(text))
     df = strip_html_if_tagged(df, text)
     df = normalize_unicode(df, text)

@@ -256,6 +256,19 @@ def c15_invalid_selection(spark, d):
     return ch.invalid_selection(books, _picked(), "total", "book_id")
 
 
+@query("c15_selection_errors", """
+WITH b AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1),
+s AS (SELECT *, CASE conv_id % 5 WHEN 0 THEN ' ' WHEN 1 THEN '2-1' WHEN 2 THEN '7-9,900' WHEN 3 THEN '1' END AS spec FROM b)
+SELECT conv_id, CASE WHEN trim(coalesce(spec, '')) = '' THEN 'nothing selected' WHEN spec = '2-1' THEN 'malformed' ELSE 'no such chapter' END AS error
+FROM s WHERE spec IS NULL OR spec IN (' ', '2-1') OR (spec = '7-9,900' AND n < 7)""")
+def c15_selection_errors(spark, d):
+    """Blank, descending and overreaching selections of a conversation's turns."""
+    k = F.col("conv_id") % 5
+    spec = F.when(k == 0, " ").when(k == 1, "2-1").when(k == 2, "7-9,900").when(k == 3, "1")
+    books = conversations(spark, d).groupBy("conv_id").agg(F.count("*").alias("n")).withColumn("spec", spec)
+    return ch.selection_errors(books, "spec", "n", "conv_id")
+
+
 @query("c16_pick_cover", """
 WITH i AS (SELECT page_id // 10 AS book_id, page_id AS pos, url AS name, page_id % 7 = 3 AS flagged, page_id % 10 = 6 AND page_id // 10 % 2 = 0 AS declared, page_id % 3 <> 0 AS image FROM pages),
 r AS (SELECT *, CASE WHEN declared THEN 0 WHEN flagged OR contains(lower(name), 'cover') THEN 1 END AS rank FROM i WHERE image)

@@ -52,12 +52,12 @@ r AS (SELECT p.*, CASE WHEN d.segment_id IS NOT NULL THEN 'cached' WHEN contains
 """
 
 
-@query("convert_run", f"""{RUN} SELECT source, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (verdict = 'cached'), 0)::BIGINT AS cached, coalesce(sum(n) FILTER (verdict = 'generated'), 0)::BIGINT AS generated,
-  coalesce(sum(n) FILTER (verdict = 'failed'), 0)::BIGINT AS failed, coalesce(sum(length(text)) FILTER (verdict = 'generated'), 0)::BIGINT AS generated_chars,
-  CASE WHEN bool_and(verdict <> 'failed') THEN 'completed' ELSE 'failed' END AS status FROM r GROUP BY 1""")
-def convert_run(spark, d):
-    """Plan, identify, skip finished work, batch, score, judge and summarise per book (the source)."""
-    planned = line_ids(spark, d)
+def outcomes(spark, d):
+    """Plan, identify, skip finished work, batch, score and judge: the fate of every segment of a book (the source).
+
+    The plan and the outcome are written once; what reads them does not run them again.
+    """
+    planned = stable(line_ids(spark, d))
     finished = planned.join(table(spark, d, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi")
     state = finished.select("segment_id").distinct().select(
         "segment_id", F.lit("completed").alias("status"), F.lit(1).alias("attempts"), F.lit(POLICY).alias("qc_hash"), F.col("segment_id").alias("content_sha256"))
@@ -76,7 +76,15 @@ def convert_run(spark, d):
 
     rows = work_items.withColumn("item", F.concat_ws("/", "source", "segment_id")).join(judged, "item", "left")
     fate = F.when(F.col("verdict") == "cached", "cached").when(F.col("passed"), "generated").otherwise("failed")
-    rows = rows.withColumn("fate", fate).withColumn("chars", F.length("text"))
+    return stable(rows.select("source", "segment_id", "n", fate.alias("fate"), F.length("text").alias("chars")))
+
+
+@query("convert_run", f"""{RUN} SELECT source, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (verdict = 'cached'), 0)::BIGINT AS cached, coalesce(sum(n) FILTER (verdict = 'generated'), 0)::BIGINT AS generated,
+  coalesce(sum(n) FILTER (verdict = 'failed'), 0)::BIGINT AS failed, coalesce(sum(length(text)) FILTER (verdict = 'generated'), 0)::BIGINT AS generated_chars,
+  CASE WHEN bool_and(verdict <> 'failed') THEN 'completed' ELSE 'failed' END AS status FROM r GROUP BY 1""")
+def convert_run(spark, d):
+    """A run's summary per book."""
+    rows = outcomes(spark, d)
 
     def weight(kind: str, value):
         return F.coalesce(F.sum(F.when(F.col("fate") == kind, value)), F.lit(0)).cast("bigint")
@@ -88,11 +96,8 @@ def convert_run(spark, d):
     return totals.join(books.select("source", "status"), "source")
 
 
-@query("convert_failures", f"{RUN} SELECT source, segment_id, n FROM r WHERE verdict <> 'generated' AND verdict <> 'cached' AND contains(text, 'token')")
+@query("convert_failures", f"{RUN} SELECT source, segment_id, n FROM r WHERE verdict = 'failed'")
 def convert_failures(spark, d):
-    """What a run could not produce, as its failure report lists it."""
-    planned = line_ids(spark, d)
-    finished = planned.join(table(spark, d, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi").select("segment_id").distinct()
-    rows = planned.filter(F.col("text").contains("token")).groupBy("source", "segment_id").agg(F.count("*").alias("n"))
-    failed = writers.failures(rows.join(finished, "segment_id", "left_anti").withColumn("status", F.lit("failed")))
-    return failed.select("source", "segment_id", "n")
+    """What a run could not produce, as its failure report lists it: refused by the engine, or judged too short."""
+    rows = outcomes(spark, d).withColumn("status", F.when(F.col("fate") == "failed", "failed").otherwise("completed"))
+    return writers.failures(rows).select("source", "segment_id", "n")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, fields
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from .functions import fixed
 
@@ -82,6 +81,6 @@ def check_patterns(spark: SparkSession, patterns: list[str]) -> None:
     """Fail on the driver if a pattern is no valid regular expression of the engine that will run it."""
     for pattern in patterns:
         try:
-            spark.range(1).select(F.lit("").rlike(pattern)).collect()
+            spark._jvm.java.util.regex.Pattern.compile(pattern)
         except Exception as exc:
             raise ValueError(f"Invalid regular expression: {pattern}") from exc
