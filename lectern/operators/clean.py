@@ -14,6 +14,7 @@ from ..functions import fixed, kernels
 from ..functions import text as tx
 from ..functions.identity import digest_string, digest_value
 from ..functions.rows import unnest
+from ..session import stable
 from ..settings import check_patterns
 
 AUDIT = (
@@ -329,9 +330,10 @@ def audit_union(*parts: DataFrame) -> DataFrame:
 def audit_preview(rows: DataFrame, book: str, order: list[str]) -> DataFrame:
     """At most 100 bounded records per book beside the full count.
 
-    The rank filter becomes a partial limit before the shuffle, so a book with most of the records ships at most 100
-    per task; the count is a partial aggregate.
+    The records are written once: totals and ranks do not clean the texts again. The rank filter becomes a partial limit before the
+    shuffle, so a book with most of the records ships at most 100 per task; the count is a partial aggregate.
     """
+    rows = stable(rows)
     totals = rows.groupBy(book).agg(F.count("*").alias("audit_count"))
     ranked = rows.withColumn("position", F.row_number().over(Window.partitionBy(book).orderBy(*order)))
     bounded = (ranked.filter(F.col("position") <= fixed.PREVIEW_ITEMS)
