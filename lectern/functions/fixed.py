@@ -71,10 +71,6 @@ BASE_SEED = 20261001
 RESERVED_CHARACTERS = r'[<>:"/\\|?*\x00-\x1f]'
 DEVICE_NAMES = r"(?i)^(?:CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])(?:\..*)?$"
 FALLBACK_NAME = "book"
-NEUTRAL_SETTINGS = {
-    "output": {"speech_rate": 1.0, "pitch_semitones": 0.0},
-    "text": {"strip_front_matter": False, "remove_line_patterns": [], "pronunciation_map": {}},
-}
 POLICY_EXECUTION_FIELDS = ["max_retry", "asr_python", "asr_model_path", "asr_timeout"]
 
 # Quality
@@ -110,7 +106,6 @@ REFERENCE_RATE = 24000
 LENGTH_RATIO = 1.6
 LOOKAHEAD = 4
 HISTORY_LIMIT = 32
-SIGNATURE_PREFIX = 16
 PAUSES = {"paragraph": 0.45, "sentence": 0.18, "clause": 0.08, "hard": 0.08, "chapter": 1.0}
 MEDIA_FORMATS = ["flac", "mp3", "wav"]
 MEDIA_SUFFIXES = ["m4b", "mp3", "flac", "wav"]

@@ -52,7 +52,3 @@ def reuse_cache(wanted: DataFrame, local: DataFrame, previous: DataFrame, match:
     done = local.filter(F.col("status") == "completed").select(key).distinct()
     needed = wanted.select(*match, key).distinct().join(done, key, "left_anti")
     return needed.join(newest, [*match, key])
-
-
-def merge_state(local: DataFrame, imported: DataFrame) -> DataFrame:
-    return local.unionByName(imported, allowMissingColumns=True)

@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions import identity as idf
@@ -77,29 +76,29 @@ def checkpoint_limit(pending: DataFrame, order: list[str], n: int) -> DataFrame:
     return pending.orderBy(*order).limit(n)
 
 
-SCORED = T.StructType([
-    T.StructField("item_id", T.StringType()), T.StructField("score", T.DoubleType()),
-    T.StructField("error", T.StringType()), T.StructField("call_size", T.IntegerType())])
+RESULTS = {"double": float, "string": str}
 
-Scorer = Callable[[list[str]], list[float]]
+Scorer = Callable[[list[str]], list[float] | list[str]]
 
 
 def score_batches(batched: DataFrame, scorer: Scorer, batch: list[str], item: str, text: str = "text",
-                  order: str | None = None) -> DataFrame:
-    """Run a user function over each batch.
+                  order: str | None = None, result: str = "double") -> DataFrame:
+    """Run a user function over each batch: ``item_id, score, error, call_size``.
+
+    It returns a number for each text, or with ``result="string"`` a text (a transcript, say).
 
     If it raises or returns the wrong number of results, the batch is halved until the faulty items stand alone; their
     error becomes a column and no other item is lost. Rows are clustered by batch and sorted, and a task walks its
     partition holding one batch at a time: no Python group is built per batch.
     """
-    ordering = order or item
+    ordering, of_kind = order or item, RESULTS[result]
 
     def attempt(ids: list[str], texts: list[str]) -> list[tuple]:
         try:
             scores = list(scorer(texts))
             if len(scores) != len(texts):
                 raise ValueError(f"expected {len(texts)} results, got {len(scores)}")
-            return [(i, float(s), None, len(ids)) for i, s in zip(ids, scores)]
+            return [(i, of_kind(s), None, len(ids)) for i, s in zip(ids, scores)]
         except Exception as exc:  # a faulty member must not take its batch down
             if len(ids) == 1:
                 return [(ids[0], None, f"{type(exc).__name__}: {exc}", 1)]
@@ -122,10 +121,10 @@ def score_batches(batched: DataFrame, scorer: Scorer, batch: list[str], item: st
         ids, texts = frame["item_id"].tolist(), frame["_text"].tolist()
         edges = [*starts[starts < end].tolist(), end]
         rows = [row for low, high in zip(edges, edges[1:]) for row in attempt(ids[low:high], texts[low:high])]
-        return pd.DataFrame(rows, columns=SCORED.names)
+        return pd.DataFrame(rows, columns=["item_id", "score", "error", "call_size"])
 
     ready = batched.select(*batch, F.col(ordering).alias("_order"), F.col(item).cast("string").alias("item_id"), F.col(text).alias("_text"))
-    return ready.repartition(*batch).sortWithinPartitions(*batch, "_order").mapInPandas(run, SCORED)
+    return ready.repartition(*batch).sortWithinPartitions(*batch, "_order").mapInPandas(run, f"item_id string, score {result}, error string, call_size int")
 
 
 def retry_loop(items: DataFrame, step: Callable[[DataFrame, int], DataFrame], key: str, max_retry: int = fixed.MAX_RETRY) -> DataFrame:

@@ -9,6 +9,8 @@ from ..functions.rows import unnest
 from ..operators import clips as cp
 from ..operators import quality as ql
 from ..operators import select as sl
+from ..session import workspace
+from ..sources import readers
 from .inputs import conversations, table
 from .registry import query
 
@@ -242,6 +244,9 @@ def q13_join_clips(spark, d):
 @query("src7_read_clips", f"""WITH {SIGNAL}, m AS (SELECT vec_id, CASE WHEN channels = 1 THEN s ELSE list_transform(range(0, len(s) // 2), lambda k: (s[2 * k + 1] + s[2 * k + 2]) / 2) END AS mono FROM loud)
 SELECT vec_id, len(mono)::BIGINT AS frames, list_max(mono) AS top FROM m""")
 def src7_read_clips(spark, d):
-    """Interleaved channels folded to mono."""
-    folded = signal(spark, d).select("vec_id", ql.mono(F.col("loud"), F.col("channels")).alias("mono"))
+    """Clips written and read back; interleaved channels folded to mono."""
+    path = workspace(spark)
+    signal(spark, d).select(F.col("vec_id").alias("clip_id"), F.lit(8).alias("rate"), F.col("channels").cast("int").alias("channels"), F.col("loud").cast("array<float>").alias("samples")).write.parquet(path)
+    clips = readers.read_clips(spark, path).filter(F.coalesce("error", F.lit("")) != "no rate or channels").withColumnsRenamed({"clip_id": "vec_id", "samples": "loud"})
+    folded = clips.select("vec_id", ql.mono(F.col("loud"), F.col("channels")).alias("mono"))
     return folded.select("vec_id", F.size("mono").cast("bigint").alias("frames"), F.array_max("mono").alias("top"))

@@ -278,6 +278,19 @@ def b8_score_batches(spark, d):
     return work.score_batches(batched, measured, ["doc_id", *work.BATCH_KEY], "item", order="line_no").select("item_id", "score", "error")
 
 
+def transcribed(texts: list[str]) -> list[str]:
+    """Stands in for a recogniser that hears every e as a 3."""
+    return [t.replace("e", "3") for t in texts]
+
+
+@query("b8_transcribe_batches", f"WITH {LINES} SELECT doc_id || ':' || line_no AS item_id, replace(text, 'e', '3') AS transcript FROM lines")
+def b8_transcribe_batches(spark, d):
+    """A user function that returns texts."""
+    batched = line_batches(spark, d).withColumn("item", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("line_no").cast("string")))
+    heard = work.score_batches(batched, transcribed, ["doc_id", *work.BATCH_KEY], "item", order="line_no", result="string")
+    return heard.select("item_id", F.col("score").alias("transcript"))
+
+
 @query("b9_retry_loop", """
 SELECT doc_id, CASE WHEN doc_id % 6 <= 3 THEN doc_id % 6 + 1 ELSE 4 END AS attempts, CASE WHEN doc_id % 6 <= 3 THEN 'completed' ELSE 'exhausted' END AS status FROM documents""")
 def b9_retry_loop(spark, d):

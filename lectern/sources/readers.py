@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..functions import kernels
 from ..functions import text as tx
 from ..functions.rows import keep_where, unnest
+from ..operators.scan import position
 
 BOOK_GLOB = "*.{[tT][xX][tT],[eE][pP][uU][bB]}"
 
@@ -163,15 +164,23 @@ def read_segment_state(log: DataFrame, schema: T.StructType, key: str = "id", da
         key, *[F.col(f"_r.{n}").alias(n) for n in schema.names if n != key])
 
 
+CLIPS = "clip_id long, rate int, channels int, samples array<float>"
+
+
 def read_clips(spark: SparkSession, path: str) -> DataFrame:
-    """Clips as ``clip_id, rate, channels, samples ARRAY<FLOAT>``."""
-    return spark.read.parquet(path)
+    """Clips as ``clip_id, rate, channels, samples, error``: an error where the rate or the channels make no signal of the samples."""
+    df = spark.read.schema(CLIPS).parquet(path)
+    known = (F.coalesce("rate", F.lit(0)) > 0) & (F.coalesce("channels", F.lit(0)) > 0)
+    return df.withColumn("error", F.when(~known, "no rate or channels").when(F.col("samples").isNull(), "no samples")
+                         .when(F.pmod(F.size("samples"), F.col("channels")) != 0, "incomplete frame"))
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of log files as ``file, line_no, line, bytes``; a log is one value, like any other text."""
-    files = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
-    return lines_of(files, "file")
+    """Lines of log files as ``file, line_no, line, bytes``. A large log is read in several splits, whose places give the order."""
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"),
+        F.col("value").alias("line"), (F.octet_length("value") + 1).alias("bytes"))
+    return position(rows, ["file"], ["_block", "_at"], "line_no").select("file", "line_no", "line", "bytes")
 
 
 def lines_of(texts: DataFrame, *keys: str, text: str = "text") -> DataFrame:

@@ -288,3 +288,27 @@ def test_streams_read_folders_of_part_files(spark, tmp_path):
     assert out.count() == 30
     with pytest.raises(Exception, match="does not exist|FileNotFound"):
         jobs.read_table(spark, str(tmp_path), "missing")
+
+
+def test_log_lines_keep_their_order_over_splits(spark, tmp_path):
+    from lectern.sources import readers
+    (tmp_path / "a.log").write_text("\n".join(f"line {i} é" for i in range(5000)) + "\n")
+    (tmp_path / "b.log").write_text("only\n\nthree")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = readers.log_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    by = {}
+    for r in rows:
+        by.setdefault(r.file[-5:], {})[r.line_no] = (r.line, r.bytes)
+    assert by["a.log"] == {i + 1: (f"line {i} é", len(f"line {i} é".encode()) + 1) for i in range(5000)}
+    assert by["b.log"] == {1: ("only", 5), 2: ("", 1), 3: ("three", 6)}
+
+
+def test_clips_without_a_signal_are_errors(spark, tmp_path):
+    from lectern.sources import readers
+    rows = [(1, 8, 1, [0.5]), (2, None, 1, [0.5]), (3, 8, 2, [0.5]), (4, 8, 1, None)]
+    spark.createDataFrame(rows, readers.CLIPS).write.parquet(f"{tmp_path}/clips")
+    assert {r.clip_id: r.error for r in readers.read_clips(spark, f"{tmp_path}/clips").collect()} == {1: None, 2: "no rate or channels", 3: "incomplete frame", 4: "no samples"}
