@@ -19,6 +19,7 @@ from ..functions import kernels
 from ..functions import text as tx
 from ..functions.rows import keep_where, unnest
 from ..operators.scan import position
+from ..session import stable
 
 BOOK_GLOB = "*.{[tT][xX][tT],[eE][pP][uU][bB]}"
 
@@ -98,6 +99,7 @@ def _unpack(path: str, content: bytes) -> Iterator[tuple]:
                 manifest[node.get("id")] = (node.get("href"), node.get("media-type", ""), node.get("properties", ""))
             elif tag == "itemref":
                 yield path, "spine", pos, node.get("idref"), None, None, node.get("linear"), None
+        listed = False
         for pos, (item, (href, media, properties)) in enumerate(manifest.items()):
             name = unquote(href)
             if media == "application/xhtml+xml":
@@ -105,7 +107,7 @@ def _unpack(path: str, content: bytes) -> Iterator[tuple]:
             elif media.startswith("image/"):
                 yield path, "image", pos, item, name, properties, media, box.read(full(href))
             elif media == "application/x-dtbncx+xml":
-                entry = 0
+                listed, entry = True, 0
                 for point in ElementTree.fromstring(box.read(full(href))).iter():
                     if _local(point.tag) != "navPoint":
                         continue
@@ -114,13 +116,27 @@ def _unpack(path: str, content: bytes) -> Iterator[tuple]:
                     if target:
                         yield path, "toc", entry, None, unquote(target), None, label, None
                         entry += 1
+        if not listed:
+            for href, _, properties in manifest.values():
+                if "nav" in properties.split():
+                    for entry, (target, label) in enumerate(_navigation(box.read(full(href)))):
+                        yield path, "toc", entry, None, posixpath.normpath(posixpath.join(posixpath.dirname(unquote(href)), unquote(target))), None, label, None
+
+
+def _navigation(content: bytes) -> Iterator[tuple[str, str]]:
+    """Targets and labels of a navigation document's table of contents."""
+    for part in ElementTree.fromstring(content).iter():
+        if _local(part.tag) == "nav" and any(_local(k) == "type" and "toc" in v.split() for k, v in part.attrib.items()):
+            for link in part.iter():
+                if _local(link.tag) == "a" and link.get("href"):
+                    yield link.get("href"), " ".join("".join(link.itertext()).split())
 
 
 def read_epub(files: DataFrame) -> dict[str, DataFrame]:
     """Typed tables of EPUB containers: ``meta, spine, docs, toc, images, covers, errors``.
 
-    Containers are opened inside tasks; a broken one becomes an error row. Everything after this is joins (see ``epub``).
-    Cache or write the entries if several tables are used.
+    Containers are opened inside tasks, once: the entries are written. A broken one becomes an error row. Everything after this is joins
+    (see ``epub``). The table of contents is the NCX, or without one the navigation document.
     """
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -132,7 +148,7 @@ def read_epub(files: DataFrame) -> dict[str, DataFrame]:
                 yield pd.DataFrame(rows, columns=EPUB_ENTRIES.names)
 
     books = files.filter(F.lower("path").endswith(".epub")).select("path", "content")
-    entries = books.mapInPandas(unpack, EPUB_ENTRIES).withColumnRenamed("path", "book_id")
+    entries = stable(books.mapInPandas(unpack, EPUB_ENTRIES).withColumnRenamed("path", "book_id"))
 
     def table(kind: str, *columns) -> DataFrame:
         return entries.filter(F.col("kind") == kind).select("book_id", *columns)

@@ -312,3 +312,25 @@ def test_clips_without_a_signal_are_errors(spark, tmp_path):
     rows = [(1, 8, 1, [0.5]), (2, None, 1, [0.5]), (3, 8, 2, [0.5]), (4, 8, 1, None)]
     spark.createDataFrame(rows, readers.CLIPS).write.parquet(f"{tmp_path}/clips")
     assert {r.clip_id: r.error for r in readers.read_clips(spark, f"{tmp_path}/clips").collect()} == {1: None, 2: "no rate or channels", 3: "incomplete frame", 4: "no samples"}
+
+
+def test_books_from_files_to_chapters(spark):
+    from lectern.sources import books
+    def packed(parts):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w") as box:
+            for name, value in parts.items():
+                box.writestr(name, value)
+        return buffer.getvalue()
+    container = "<container><rootfiles><rootfile full-path='OPS/p.opf'/></rootfiles></container>"
+    package = ("<package><metadata><title>Tale</title><creator>Someone</creator></metadata><manifest><item id='n' href='text/toc.xhtml' media-type='application/xhtml+xml' properties='nav'/>"
+               "<item id='a' href='text/a.xhtml' media-type='application/xhtml+xml'/></manifest><spine><itemref idref='n'/><itemref idref='a'/></spine></package>")
+    nav = "<html xmlns:epub='e'><body><nav epub:type='landmarks'><a href='x'>no</a></nav><nav epub:type='toc'><ol><li><a href='a.xhtml'>The <b>first</b></a></li></ol></nav></body></html>"
+    tale = packed({"META-INF/container.xml": container, "OPS/p.opf": package, "OPS/text/toc.xhtml": nav, "OPS/text/a.xhtml": "<html><body><p>Once upon a time.</p></body></html>"})
+    rows = [("in/One.txt", "Chapter 1\nHello there.\nChapter 2\nNotes only.\nChapter 3\nThe end.".encode()), ("in/empty.txt", b" \n"), ("in/odd.txt", b"\xff\xfeA"),
+            ("in/tale.epub", tale), ("in/bad.epub", b"x"), ("in/skip.md", b"no")]
+    found = books.parse_books(spark.createDataFrame(rows, "path string, content binary"), exclude=["Chapter 2"])
+    assert {(r.book_id, r.title, r.author) for r in found["books"].collect()} == {("in/One.txt", "One", ""), ("in/empty.txt", "empty", ""), ("in/tale.epub", "Tale", "Someone")}
+    assert sorted((r.book_id, r.chapter_index, r.title) for r in found["chapters"].collect()) == [("in/One.txt", 1, "Chapter 1"), ("in/One.txt", 2, "Chapter 3"), ("in/tale.epub", 1, "The first")]
+    assert {r.book_id for r in found["errors"].collect()} == {"in/empty.txt", "in/odd.txt", "in/bad.epub"}
+    assert ("in/One.txt", "user_excluded_chapter") in {(r.book_id, r.operation) for r in found["audit"].collect()}
