@@ -6,6 +6,8 @@ stay apart in the row-local stages; near-duplicate removal and decontamination d
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,16 +17,19 @@ from lectern.llm.language import UNDETERMINED, fit, identify
 from lectern.llm.minhash import Near, near_duplicates
 from lectern.llm.packing import pack
 from lectern.llm.secrets import redact
+from lectern.llm.tables import fresh
 from lectern.session import stable
 
 VOCABULARY = "byte_bpe_50k.json"
+BATCH_ROWS = 500  # documents in one Arrow batch; texts travel in both directions here
 ORACLE_SQL = None  # none of the stages can be said in SQL
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents; those without any letter are rejected. A missing label is filled in."""
-    found = identify(docs, fit(docs), keep=tuple(docs.columns)).filter(F.col("lang_pred") != UNDETERMINED)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    said, sure = fresh("lang_pred", docs.columns), fresh("score", docs.columns)
+    found = identify(docs, fit(docs), keep=tuple(docs.columns), names=(said, sure)).filter(F.col(said) != UNDETERMINED)
+    return found.withColumn("lang", F.coalesce("lang", said)).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +54,16 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return pack(docs, public_tokenizers.path(VOCABULARY))
 
 
-STAGES = [("language", language), ("near_duplicates", deduplicate), ("decontamination", decontaminate), ("secrets", remove_secrets), ("packing", pack_windows)]
+def sized(stage):
+    """The stage in a session whose Arrow batches are small; this job owns its session's settings."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+    return run_stage
+
+
+STAGES = [(stage.__name__, sized(stage)) for stage in (language, deduplicate, decontaminate, remove_secrets, pack_windows)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

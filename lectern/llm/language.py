@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as w
+from .tables import fresh
 
 UNDETERMINED = "und"
 SYMBOLS = 48
 GRAMS = SYMBOLS ** 3
-ROWS = 128
+ROWS, CHUNK = 128, 2048
 
 
 @dataclass(frozen=True)
@@ -60,16 +61,16 @@ def fit(labelled: DataFrame, size: Size = Size(), text_col: str = "text", lang_c
     return Profiles(tuple(r["lang"] for r, g in zip(rows, good, strict=True) if g), (matrix[good] / norm[good, None]).astype(np.float32))
 
 
-def identify(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...] = (), text_col: str = "text") -> DataFrame:
-    """The columns ``keep``, then ``lang_pred`` and ``score`` (the cosine, negative ones as 0), one row per input row.
+def identify(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...] = (), text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep``, then the language and the score (the cosine, negative ones as 0) under ``names``, one row per input row.
 
     ``und`` with score 0 where the text is null, empty or has no letter, or no language was learned. A tie goes to the first
     language in sorted order. Row-local.
     """
-    kept = [docs[c].alias(c) for c in keep]
-    source = docs.select(*kept, docs[text_col].alias("_text"))
+    hidden = fresh("_text", keep)
+    source = docs.select(*[docs[c].alias(c) for c in keep], docs[text_col].alias(hidden))
     schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInArrow(lambda b: _predict(b, profiles, list(keep)), f"{schema}{', ' if keep else ''}lang_pred string, score double")
+    return source.mapInArrow(lambda b: _predict(b, profiles, list(keep), names, hidden), f"{schema}{', ' if keep else ''}`{names[0]}` string, `{names[1]}` double")
 
 
 def symbols(block: w.Block) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +109,7 @@ def _vectors(grams: np.ndarray, dimensions: int) -> np.ndarray:
     rng = np.random.Generator(np.random.PCG64(20011))
     letters = rng.integers(0, 2, (SYMBOLS, dimensions), np.int8) * 2 - 1
     a, b, c = grams // SYMBOLS ** 2, grams // SYMBOLS % SYMBOLS, grams % SYMBOLS
-    return (np.roll(letters, 2, 1)[a] * np.roll(letters, 1, 1)[b] * letters[c]).astype(np.float32)
+    return np.roll(letters, 2, 1)[a] * np.roll(letters, 1, 1)[b] * letters[c]
 
 
 def _grams(block: w.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,10 +161,10 @@ def _bundle(batches: Iterator[pa.RecordBatch], dimensions: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array([lang] * dimensions), pa.array(np.arange(dimensions), pa.int32()), pa.array(total)], ["lang", "at", "value"])
 
 
-def _predict(batches: Iterator[pa.RecordBatch], profiles: Profiles, keep: list[str]) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], profiles: Profiles, keep: list[str], out: tuple[str, str], text_col: str) -> Iterator[pa.RecordBatch]:
     names = np.array([*profiles.languages, UNDETERMINED], object)
     dimensions = profiles.matrix.shape[1]
-    for block in w.blocks(batches, "_text"):
+    for block in w.blocks(batches, text_col):
         gram, first, letters = _grams(block)
         n = len(block)
         best, score = np.full(n, len(names) - 1), np.zeros(n)
@@ -181,9 +182,11 @@ def _predict(batches: Iterator[pa.RecordBatch], profiles: Profiles, keep: list[s
                     own = column[first[d]:first[d + 1] - 2]
                     if len(own):
                         counts[d - at] = np.bincount(own, minlength=len(known))
-                bundle = counts @ vectors
+                bundle = np.zeros((to - at, dimensions), np.float32)
+                for low in range(0, len(known), CHUNK):
+                    bundle += counts[:, low:low + CHUNK] @ vectors[low:low + CHUNK].astype(np.float32)
                 cosine = bundle @ profiles.matrix.T / np.maximum(np.linalg.norm(bundle, axis=1), 1e-30)[:, None]
                 best[at:to] = cosine.argmax(1)
                 score[at:to] = np.clip(cosine.max(1), 0, 1)
             best[~letters], score[~letters] = len(names) - 1, 0
-        yield pa.RecordBatch.from_arrays([*(block.rows.column(c) for c in keep), pa.array(names[best], pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([*(block.rows.column(c) for c in keep), pa.array(names[best], pa.string()), pa.array(score)], [*keep, *out])

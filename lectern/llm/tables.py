@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,14 @@ from ..session import stable
 FILTER_BITS = 24
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores before it until no column has it (case does not count)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def slot(value: Column) -> Column:
     """The bit a value sets in a filter."""
     return F.pmod(F.xxhash64(value), F.lit(1 << FILTER_BITS)).cast("int")

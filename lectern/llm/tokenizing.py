@@ -13,7 +13,8 @@ import struct
 
 import numpy as np
 
-REMEMBERED = 600_000
+REMEMBERED = 300_000
+SHORT = 7  # pieces up to this length are the ones that come back most, and stay when the memory is full
 PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧]*")
 #: Contractions, words, digits, other signs, blanks: the split of the vocabulary, for plain texts.
 PIECE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[!-/:-@\[-`{-~¡-©«-±´¶-¸»¿×÷‐-‧]+|\s+(?!\S)|\s+")
@@ -45,10 +46,16 @@ class Ids(dict):
     def __missing__(self, piece: str) -> bytes:
         found = self.model.tokenize(piece.encode().decode("latin-1").translate(BYTES))
         if len(self) >= REMEMBERED:
-            self.clear()
+            self._forget()
         self[piece] = ids = struct.pack(f"<{len(found)}I", *[x.id for x in found])
         return ids
 
+    def _forget(self) -> None:
+        short = {k: v for k, v in self.items() if len(k) <= SHORT}
+        self.clear()
+        if len(short) < REMEMBERED // 2:
+            self.update(short)
+
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 

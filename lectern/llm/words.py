@@ -1,6 +1,6 @@
 """Words of many texts at once, in numpy on the buffers of an Arrow batch.
 
-A batch is cut into blocks of a few megabytes (a longer text is a block of its own), so working memory does not depend on
+A batch is cut into blocks of a megabyte (a longer text is a block of its own), so working memory does not depend on
 the number of rows in a batch. Words never cross texts. Nulls count as empty texts.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -113,6 +113,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = min(to, n)
             yield Block(batch.slice(at, to - at), whole[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at])
             at = to
+    pa.default_memory_pool().release_unused()  # a worker stays for other tasks, beside other processes
 
 
 def windows(words: Spans, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -341,7 +341,7 @@ def test_bundles_are_sums_of_bound_vectors():
     own = gram[first[0]:first[1] - 2]
     code = [0, 1, 2, 0, 3, 0]
     expected = sum(np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c] for a, b, c in zip(code, code[1:], code[2:], strict=False))
-    assert (language._vectors(own, 64).sum(0) == expected).all()
+    assert (language._vectors(own, 64).sum(0, dtype=int) == expected).all()
 
 
 # ---- 8: scores ---------------------------------------------------------------------------------------------------------
