@@ -40,10 +40,6 @@ URL = (
 URL_OPEN = r"(?i)(?:https?://|www\.)[a-z0-9][a-z0-9._~:/?#\[\]@!$&()*+,;=%-]*"
 MARKDOWN_LINK = r"(?i)\[([^\]\n]{0,500})\]\(\s*((?:https?://|www\.)[^\s)\n]+)\s*\)"
 DOMAIN_SUFFIXES = ["com", "net", "org", "cn", "cc", "io", "me", "info", "xyz", "top", "site", "vip", "co", "tv"]
-BARE_DOMAIN = (
-    r"(?i)(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+(?:" + "|".join(DOMAIN_SUFFIXES) + r")"
-    r"(?::\d+)?(?:/[a-z0-9._~:/?#\[\]@!$&()*+,;=%-]*)?"
-)
 WRAPPED_BREAK = r"(?<![。！？!?…])\n(?!\n)"
 
 # Audit previews

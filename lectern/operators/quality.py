@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, kernels
-from ..functions import text as tx
 from ..settings import QualityRules
 from .clean import normalized_text
 from .scan import longest_runs

@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..functions.rows import unnest
 from ..operators import chapters as ch
 from ..operators import epub
-from ..operators.clean import CleanRules, unescape_and_compose
+from ..operators.clean import CleanRules
 from .inputs import (SENTENCE_LINE, conversations, documents, pages, sql_html, sql_lines, sql_strip, sql_tidy, sql_unescape, table)
 from .registry import query
 
