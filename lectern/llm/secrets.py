@@ -65,7 +65,7 @@ def scan(docs: DataFrame, battery: Battery = Battery(), id_col: str = "doc_id",
     found = stable(_found(docs, battery, id_col, text_col))
     cuts = _cuts(found, battery)
     cut = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair]) if cuts else F.lit(None).cast("map<string,int>")
-    added = F.transform(F.filter("maybe", lambda m: F.coalesce(m["level"] >= cut[m["stratum"]], F.lit(False))),
+    added = F.transform(F.filter("maybe", lambda m: F.coalesce(m["level"] >= F.try_element_at(cut, m["stratum"]), F.lit(False))),
                         lambda m: F.struct(F.lit("random").alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
     order = lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0)
     return found.withColumn("added", added).select(
