@@ -13,7 +13,7 @@ import struct
 
 import numpy as np
 
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 SHORT = 7  # pieces up to this length are the ones that come back most, and stay when the memory is full
 PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧]*")
 #: Contractions, words, digits, other signs, blanks: the split of the vocabulary, for plain texts.
@@ -22,6 +22,8 @@ PIECE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+| ?[0-
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES = {b: b if b in PRINTABLE else 256 + sum(x not in PRINTABLE for x in range(b)) for b in range(256)}
 
+BLANK = chr(BYTES[32])
+
 
 class Ids(dict):
     """Little-endian unsigned 32-bit ids of pieces, as bytes. One lives in each Python worker for each vocabulary."""
@@ -44,7 +46,8 @@ class Ids(dict):
         return cls._open[path]
 
     def __missing__(self, piece: str) -> bytes:
-        found = self.model.tokenize(piece.encode().decode("latin-1").translate(BYTES))
+        plain = piece[0] == " " and piece.isascii() and piece[1:].isalnum()
+        found = self.model.tokenize(BLANK + piece[1:] if plain else piece.encode().decode("latin-1").translate(BYTES))
         if len(self) >= REMEMBERED:
             self._forget()
         self[piece] = ids = struct.pack(f"<{len(found)}I", *[x.id for x in found])
