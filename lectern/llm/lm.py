@@ -3,14 +3,14 @@
 Unigrams: all words of the training texts are counted. The commonest words, at most ``Scoring.common`` of them, are sent to every
 task; the rest of a text's words are rare by construction and meet their counts in a join.
 
-Attention: an excerpt is drawn from every ``Scoring.stride`` characters of each training text, so what is learned from grows with the
-corpus. Each shard of excerpts trains a copy of the weights; the copies are averaged, for ``Scoring.rounds`` rounds. Scoring moves
-overlapping windows over a text's ids and scores each id once.
+Attention: every text is encoded once and its ids are written. Ids are counted over all training texts, and consecutive windows cover
+each of them, so that every id of every training text, and its end, is a target once a round. Each shard of texts trains a copy of the
+weights; the copies are averaged, for ``Scoring.rounds`` rounds. Scoring moves overlapping windows over a text's ids and scores each id
+once.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,14 +25,13 @@ from . import words as w
 from .tokenizing import Ids
 
 LN10 = float(np.log(10))
+IDS = 1 << 18  # ids that are worked on together; a longer text is a piece of its own
 
 
 @dataclass(frozen=True)
 class Scoring:
     shape: at.Shape = at.Shape()
     common: int = 1 << 20
-    stride: int = 4096
-    excerpt: int = 112
     rounds: int = 2
     batch: int = 64
     end_id: int = 50256
@@ -61,16 +60,17 @@ def score(docs: DataFrame, training: Column, vocabulary: str, scoring: Scoring =
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     learn = source.filter("training").select("text")
     unigrams = count_words(learn, scoring)
-    model = train(learn, vocabulary, scoring)
     kind = source.schema["doc_id"].dataType.simpleString()
+    row = f"row long, doc_id {kind}, training boolean, n_tokens long, known long, sum double"
     first = stable(source.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
-        lambda b, u=(unigrams.hashes, unigrams.found, unigrams.texts): _score(b, model, u, vocabulary, scoring),
-        f"row long, doc_id {kind}, training boolean, n_tokens long, known long, sum double, score double, rare array<struct<word:long,n:int>>"))
+        lambda b, u=(unigrams.hashes, unigrams.found, unigrams.texts): _encode(b, u, vocabulary, scoring), f"{row}, ids binary, rare array<struct<word:long,n:int>>"))
+    model = train(first.filter("training").select("ids"), scoring)
+    scored = stable(first.drop("rare").mapInArrow(lambda b: _score(b, model), f"{row}, score double"))
     rare = first.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
     hit = rare.join(unigrams.counts.withColumnRenamed("word", "_w"), F.col("word") == F.col("_w"))
     more = hit.groupBy("row").agg(F.sum("n").alias("_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("_sum"))
     total = float(np.log10(unigrams.tokens + unigrams.distinct + 1))
-    return first.drop("rare").join(more, "row", "left").select(
+    return scored.join(more, "row", "left").select(
         "doc_id", "training", "n_tokens", (F.col("known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(unigrams.tokens).cast("long").alias("train_tokens"),
         (F.col("sum") + F.coalesce("_sum", F.lit(0.0)) - F.col("n_tokens") * total).alias("base_score"), "score")
 
@@ -92,12 +92,12 @@ def count_words(learn: DataFrame, scoring: Scoring) -> Unigrams:
     return Unigrams(sum(r["c"] for r in classes) + texts, sum(r["n"] for r in classes) + (texts > 0), texts, counts, word[order], top.column("c").to_numpy()[order])
 
 
-def train(learn: DataFrame, vocabulary: str, scoring: Scoring) -> at.Model:
-    excerpts = stable(learn.mapInArrow(lambda b: _excerpts(b, vocabulary, scoring), "ids binary"))
-    counts = excerpts.mapInArrow(_count_ids, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row per subword
+def train(texts: DataFrame, scoring: Scoring = Scoring()) -> at.Model:
+    """``texts`` has the ``ids`` of whole texts, from end to end."""
+    counts = texts.mapInArrow(_count_ids, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row per subword
     model = at.initial({r["id"]: r["n"] for r in counts}, scoring.shape)
     for turn in range(scoring.rounds if counts else 0):
-        copies = excerpts.mapInArrow(lambda b, m=model, t=turn: _train(b, m, scoring, t), "at int, value double, weight long")
+        copies = texts.mapInArrow(lambda b, m=model, t=turn: _train(b, m, scoring, t), "at int, value double, weight long")
         mean = copies.groupBy("at").agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("value")).toArrow()  # one row per weight
         values = np.empty(mean.num_rows)
         values[mean.column("at").to_numpy()] = mean.column("value").to_numpy()
@@ -117,48 +117,51 @@ def _texts(block: w.Block) -> Iterator[str]:
         yield raw[low:high].decode("utf-8", "replace")
 
 
-def _excerpts(batches: Iterator[pa.RecordBatch], vocabulary: str, scoring: Scoring) -> Iterator[pa.RecordBatch]:
-    """Runs of ids from drawn places, at most a window and one. Those at the start of a text begin with the end id, which is also
-    what the first id of a text is predicted from; those at its end have it last."""
-    encode = Ids.of(vocabulary).encode
-    end = np.array([scoring.end_id], "<u4").tobytes()
-    limit = 4 * (scoring.shape.window + 1)
-    for block in w.blocks(batches):
-        out = []
-        for text in _texts(block):
-            seed = zlib.crc32(text.encode())
-            for low in range(0, max(1, len(text)), scoring.stride):
-                place = low + zlib.crc32(low.to_bytes(8, "little"), seed) % max(1, min(scoring.stride, len(text) - low))
-                place = max(text.find(" ", place), 0) if place else 0
-                stop = place + scoring.excerpt
-                if stop < len(text):
-                    stop = max(text.rfind(" ", place + 1, stop), 0) or stop
-                ids = (b"" if place else end) + encode(text[place:stop]) + (end if stop >= len(text) else b"")
-                out.append(ids[:limit])
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of about ``IDS`` in a piece, and where each text begins and ends among them."""
+    for batch in batches:
+        column = batch.column("ids").cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+        data, low = column.buffers()[2], 0
+        while low < len(column):
+            high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + 2 * IDS, "right")) - 1)
+            yield np.frombuffer(data, "<u2", (offsets[high] - offsets[low]) // 2, offsets[low]), (offsets[low:high + 1] - offsets[low]) // 2
+            low = high
+
+
+def windows(offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and number of targets of consecutive windows over texts of two ids or more. A window begins with the last target of the one
+    before, so each id of a text but its first is a target once."""
+    targets = np.diff(offsets) - 1
+    per = -(-targets // size)
+    within = size * (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per))
+    return np.repeat(offsets[:-1], per) + within, np.minimum(size, np.repeat(targets, per) - within)
 
 
 def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, n = np.unique(np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4"), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(n)], ["id", "n"])
+    total = np.zeros(1 << 16, np.int64)
+    for ids, _ in _flat(batches):
+        total += np.bincount(ids, minlength=len(total))
+    found = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["id", "n"])
 
 
 def _train(batches: Iterator[pa.RecordBatch], model: at.Model, scoring: Scoring, turn: int) -> Iterator[pa.RecordBatch]:
-    """One pass over a shard; gives the trained weights and how many excerpts they saw."""
-    size, seen = scoring.shape.window + 1, 0
+    """One pass over a shard; gives the trained weights and how many targets they saw."""
+    size, seen = scoring.shape.window, 0
     adam = at.Adam(model.with_flat(model.flat()), 0.01 / (1 + turn))
-    for batch in batches:
-        runs = [np.frombuffer(x, "<u4") for x in batch.column("ids").to_pylist() if len(x) > 4]
-        order = np.random.default_rng([turn, seen]).permutation(len(runs))
-        for low in range(0, len(runs), scoring.batch):
-            own = [runs[i] for i in order[low:low + scoring.batch]]
-            ids, weight = np.zeros((len(own), size), np.int64), np.zeros((len(own), size - 1), np.float32)
-            for i, run in enumerate(own):
-                ids[i, :len(run)] = model.rank[run]
-                weight[i, :len(run) - 1] = 1
-            adam.step(ids, weight)
-        seen += len(runs)
+    column = np.arange(size + 1)
+    for ids, offsets in _flat(batches):
+        numbers = np.append(model.rank[ids], np.zeros(size, np.int32))
+        start, targets = windows(offsets, size)
+        order = np.random.default_rng([turn, seen]).permutation(len(start))
+        for low in range(0, len(order), scoring.batch):
+            own = order[low:low + scoring.batch]
+            real = column[:size] < targets[own, None]
+            run = numbers[start[own, None] + column]
+            run[:, 1:][~real] = 0
+            adam.step(run, real.astype(np.float32))
+        seen += int(targets.sum())
     if seen:
         flat = adam.model.flat()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat.astype(np.float64)), pa.array(np.full(len(flat), seen))], ["at", "value", "weight"])
@@ -189,7 +192,7 @@ def text_scores(model: at.Model, texts: list[np.ndarray], batch: int = 192) -> n
     return out
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: at.Model, unigrams: tuple[np.ndarray, np.ndarray, int], vocabulary: str, scoring: Scoring) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], unigrams: tuple[np.ndarray, np.ndarray, int], vocabulary: str, scoring: Scoring) -> Iterator[pa.RecordBatch]:
     hashes, counts, texts = unigrams
     encode = Ids.of(vocabulary).encode
     end = np.array([scoring.end_id], "<u4").tobytes()
@@ -208,9 +211,15 @@ def _score(batches: Iterator[pa.RecordBatch], model: at.Model, unigrams: tuple[n
         for d in range(len(block)):
             own, n = np.unique(words.hash[unknown[cut[d]:cut[d + 1]]], return_counts=True)
             rare.append([{"word": x, "n": k} for x, k in zip(own.view(np.int64).tolist(), n.tolist(), strict=True)])
-        ids = [np.frombuffer(end + encode(text) + end, "<u4") for text in _texts(block)]
+        ids = [np.frombuffer(end + encode(text) + end, "<u4").astype("<u2").tobytes() for text in _texts(block)]
         yield pa.RecordBatch.from_arrays(
             [block.rows.column("row"), block.rows.column("doc_id"), block.rows.column("training"), pa.array(np.diff(first) + 1), pa.array(w.sums(here, first) + (texts > 0)),
-             pa.array(total[first[1:]] - total[first[:-1]] + np.log10(texts + 1.0)), pa.array(text_scores(model, ids) / LN10),
-             pa.array(rare, pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int32())])))],
-            ["row", "doc_id", "training", "n_tokens", "known", "sum", "score", "rare"])
+             pa.array(total[first[1:]] - total[first[:-1]] + np.log10(texts + 1.0)), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int32())])))],
+            ["row", "doc_id", "training", "n_tokens", "known", "sum", "ids", "rare"])
+
+
+def _score(batches: Iterator[pa.RecordBatch], model: at.Model) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        scores = [text_scores(model, np.split(ids, offsets[1:-1])) for ids, offsets in _flat([batch])]
+        yield batch.drop_columns(["ids"]).append_column("score", pa.array(np.concatenate([np.zeros(0), *scores]) / LN10))
+    pa.default_memory_pool().release_unused()  # a worker stays for other tasks, beside other processes

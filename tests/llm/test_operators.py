@@ -366,6 +366,30 @@ def test_base_scores_and_model(spark, docs, empty):
     assert lm.score(docs.limit(5), F.lit(False), PATH).filter("train_tokens = 0").count() == 5
 
 
+def counted(monkeypatch, frame, training):
+    """Counts of ids that the model starts from."""
+    seen, initial = [], attention.initial
+    monkeypatch.setattr(lm.at, "initial", lambda counts, *more: seen.append(counts) or initial(counts, *more))
+    lm.score(frame, training, PATH, lm.Scoring(rounds=1))
+    return seen[0]
+
+
+def test_model_learns_from_every_id_of_training_texts(monkeypatch, docs):
+    expected = collections.Counter()
+    for i, text, *_ in awkward():
+        if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2:
+            expected.update([50256, *library_ids(text or "", 50256)])
+    assert counted(monkeypatch, docs, remainder("doc_id", 7) != 2) == expected
+
+
+def test_windows_have_every_target_once():
+    lengths = np.array([2, 33, 34, 3, 97, 66])
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    start, targets = lm.windows(offsets, 32)
+    found = np.concatenate([np.arange(a + 1, a + n + 1) for a, n in zip(start, targets, strict=True)])
+    assert found.tolist() == [x for x in range(offsets[-1]) if x not in offsets] and targets.max() == 32
+
+
 def test_model_is_a_distribution_and_windows_score_once():
     rng = np.random.default_rng(1)
     model = attention.initial({int(i): int(n) for i, n in zip(rng.integers(0, 50257, 3000), rng.integers(1, 50, 3000), strict=True)}, attention.Shape(width=8, window=6, step=4))
