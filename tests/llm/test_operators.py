@@ -382,6 +382,13 @@ def test_model_learns_from_every_id_of_training_texts(monkeypatch, docs):
     assert counted(monkeypatch, docs, remainder("doc_id", 7) != 2) == expected
 
 
+def test_long_texts_without_blanks_are_learned_whole(spark, monkeypatch):
+    parts = ["".join(chr(0x4e00 + 500 * k + i % 499) for i in range(5000)) for k in range(3)]
+    text = "\n".join(parts)
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert counted(monkeypatch, frame, F.lit(True)) == collections.Counter([50256, *library_ids(text, 50256)])
+
+
 def test_windows_have_every_target_once():
     lengths = np.array([2, 33, 34, 3, 97, 66])
     offsets = np.concatenate([[0], np.cumsum(lengths)])
