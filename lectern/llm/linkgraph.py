@@ -2,7 +2,7 @@
 
 Two personalised PageRanks run over the host graph: trust along the links from hosts with allowed pages, distrust against them from
 hosts with blocked pages. A host whose distrust outweighs its trust is blocked. Ranks are whole numbers (fixed point), so
-that sums do not depend on their order. Built of DataFrame functions alone.
+that sums do not depend on their order; a share that goes over a link is rounded up, so that no depth ends a rank. Built of DataFrame functions alone.
 """
 
 from __future__ import annotations
@@ -33,9 +33,12 @@ RULES = (Rule("org", "/", "allow"), Rule("example.org", "/es/", "block"), Rule("
 
 @dataclass(frozen=True)
 class Flow:
-    """``damping`` percent of a rank goes on over links; ``share``: a host is blocked from this many times its trust in distrust."""
+    """``damping`` percent of a rank goes on over links; ``share``: a host is blocked from this many times its trust in distrust.
+    A page with a rule brings ``unit`` to its host; rounds go on until no host is new and no rank changes by more than ``tolerance``.
+    ``rounds`` are those of the SQL."""
 
     rounds: int = 8
+    tolerance: int = 1_000_000_000
     damping: int = 85
     unit: int = 1_000_000_000_000
     share: int = 1
@@ -76,28 +79,47 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, flow: Flow = Fl
     links = stable(source.select(F.col("host").alias("from"), F.explode(F.array_distinct(F.transform(found, _lower))).alias("to")).filter("host != to").distinct())
     trust = _rank(seeds.select("host", F.col("good").alias("weight")), links, flow)
     distrust = _rank(seeds.select("host", F.col("bad").alias("weight")), links.select(F.col("to").alias("from"), F.col("from").alias("to")), flow)
-    scores = (seeds.select("host").join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(distrust.withColumnRenamed("rank", "distrust"), "host", "left")
-              .select("host", F.coalesce("trust", F.lit(0)).alias("trust"), F.coalesce("distrust", F.lit(0)).alias("distrust")))
-    doubted = (F.col("distrust") > 0) & (F.col("distrust") >= flow.share * F.col("trust"))
+    good, bad = _total(seeds, "good"), _total(seeds, "bad")
+    scores = (seeds.select("host").join(trust.select("host", F.col("rank").alias("t"), F.col("shown").alias("trust")), "host", "left")
+              .join(distrust.select("host", F.col("rank").alias("d"), F.col("shown").alias("distrust")), "host", "left"))
+    scores = scores.select("host", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("trust", "distrust", "t", "d")))
+    doubted = (F.col("d") > 0) & F.expr(f"d * {good}BD >= {flow.share}BD * t * {bad}BD")
     return judged.join(scores, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", F.when(doubted, "block").otherwise("allow")).alias("verdict"),
         F.col("trust").cast("long"), F.col("distrust").cast("long"))
 
 
+def _total(seeds: DataFrame, weight: str) -> int:
+    return max(1, seeds.agg(F.sum(weight)).first()[0] or 0)
+
+
 def _rank(seeds: DataFrame, links: DataFrame, flow: Flow) -> DataFrame:
-    """``host, rank`` for hosts of positive rank. All ranks of the seeds sum to ``unit``; rank at hosts without links ends there."""
+    """``host, rank, shown`` for hosts of positive rank. Ranks of the seeds sum to ``unit`` times their weight, so that their steps do
+    not depend on the table; ``shown`` are those divided by the weight. Rank at hosts without links ends there."""
     seeds = seeds.filter("weight > 0")
-    total = seeds.agg(F.sum("weight").alias("total"))
-    start = stable(seeds.crossJoin(F.broadcast(total)).select("host", F.expr(f"CAST(CAST({flow.unit} AS DECIMAL(20, 0)) * CAST(weight AS DECIMAL(18, 0)) div total AS BIGINT)").alias("rank")))
-    spread = stable(links.join(links.groupBy("from").agg(F.count("*").alias("out")), "from"))
-    ranks = start
+    total = _total(seeds, "weight")
+    left = 100 - flow.damping
+    start = stable(seeds.selectExpr("host", f"CAST(weight AS DECIMAL(38, 0)) * {flow.unit}BD AS start"))
+    spread = stable(links.join(links.groupBy("from").agg(F.count("*").cast("decimal(20,0)").alias("out")), "from"))
+    base = start.select("host", F.expr(_down(f"start * {left}BD", "100BD")).alias("rank"))
     if spread.isEmpty():
-        return start.select("host", F.expr(f"rank * {100 - flow.damping} div 100").cast("long").alias("rank")).filter("rank > 0")
-    for _ in range(flow.rounds):
-        moved = ranks.join(spread, F.col("host") == F.col("from")).select(F.col("to").alias("host"), F.expr(f"rank * {flow.damping} div (100 * out)").alias("rank"))
-        base = start.select("host", F.expr(f"rank * {100 - flow.damping} div 100").alias("rank"))
-        ranks = stable(base.unionByName(moved).groupBy("host").agg(F.sum("rank").alias("rank")).filter("rank > 0"))
-    return ranks
+        return start.select("host", F.expr(_down(f"start * {left}BD", "100BD")).alias("rank"),
+                            F.expr(_down(_down("start", f"{total}BD") + f" * {left}BD", "100BD")).alias("shown"))
+    ranks, wide = stable(base), "CAST({} AS DECIMAL(38, 0)) AS {}"
+    while True:
+        part = f"rank * {flow.damping}BD"
+        moved = ranks.join(spread, F.col("host") == F.col("from")).select(F.col("to").alias("host"), F.expr(_down(f"{part} + 100BD * out - 1BD", "(100BD * out)")).alias("rank"))
+        both = base.unionByName(moved).withColumn("old", F.lit(0).cast("decimal(38,0)")).unionByName(ranks.selectExpr("host", wide.format(0, "rank"), "rank AS old"))
+        turn = stable(both.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old")).filter("rank > 0"))
+        settled = turn.filter(f"old = 0 OR abs(rank - old) > {flow.tolerance}").isEmpty()
+        ranks = turn.select("host", "rank")
+        if settled:
+            return ranks.select("host", "rank", F.expr(_down("rank", f"{total}BD")).alias("shown"))
+
+
+def _down(a: str, b: str) -> str:
+    """``a / b`` rounded down; the operator ``div`` gives no more than 64 bits."""
+    return f"CAST((CAST({a} AS DECIMAL(38, 0)) - CAST({a} AS DECIMAL(38, 0)) % {b}) / {b} AS DECIMAL(38, 0))"
 
 
 def sql(rules: Sequence[Rule] = RULES, flow: Flow = Flow()) -> str:

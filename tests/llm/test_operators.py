@@ -477,3 +477,21 @@ def test_rules_and_flow(spark):
     assert linkgraph.filter_urls(frame).count() == len(rows) and linkgraph.filter_urls(frame.limit(0)).count() == 0
     plan = linkgraph.filter_urls(frame)._jdf.queryExecution().toString()
     assert "Python" not in plan and "InArrow" not in plan
+
+
+def test_flow_reaches_as_far_as_the_links(spark):
+    page = lambda i, host, to: (i, f"http://{host}/", f'<a href="http://{to}/">')
+    # distrust goes against the links: h19 -> ... -> h0 -> bad.com
+    rows = [(100, "http://bad.com/de/", ""), page(0, "h0.net", "bad.com"), *(page(i, f"h{i}.net", f"h{i - 1}.net") for i in range(1, 20))]
+    rows += [(99, "http://free.net/", "")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.verdict for r in linkgraph.filter_urls(frame).collect()}
+    assert found == {100: "block", 99: "allow", **dict.fromkeys(range(20), "block")}
+
+
+def test_flow_does_not_depend_on_the_size_of_the_seeds(spark):
+    seeds = spark.createDataFrame([("small", 1), ("large", 10 ** 10)], "host string, weight long")
+    links = spark.createDataFrame([(f"{a}{i}" if i else "small", f"{b}{i + 1}") for i in range(6) for a in "xy" for b in "xyzuvw"], "`from` string, `to` string").distinct()
+    ranks = {r.host: int(r.rank) for r in linkgraph._rank(seeds, links, linkgraph.Flow()).collect()}
+    alone = {r.host: int(r.rank) for r in linkgraph._rank(seeds.filter("weight = 1"), links, linkgraph.Flow()).collect()}
+    assert ranks.pop("large") and ranks == alone and min(ranks.values()) > 0 and "x6" in ranks
