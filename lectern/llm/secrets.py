@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, and strings that look random by a battery of tests.
 
-A candidate is a maximal run of key characters that mixes kinds of characters. Its encoding is the smallest alphabet that holds
-it. Three statistics look for order that random strings in that encoding do not have: a chi-squared statistic of the symbol
+A candidate is a maximal run of key characters outside base spans, or a part of it between separators, that mixes kinds of
+characters. Its encoding is the smallest alphabet that holds it. Of candidates that overlap, the one least likely to be ordinary
+counts, and its p-value is multiplied by the number tested in the run. Three statistics look for order that random strings in that encoding do not have: a chi-squared statistic of the symbol
 counts, the number of runs above and below the middle of the alphabet, and the serial correlation of neighbours. A candidate
 that fails them is ordinary. For the others the hypothesis to reject is "an ordinary string of this length happens to look as
 even as this": its p-value falls with length, so short strings cannot be discovered by luck. Discoveries are then held to
@@ -30,6 +31,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Parts of a candidate: without the signs of the one or the other base64 alphabet, segments of a path, letters and digits alone.
+PARTS = [re.compile(r"[A-Za-z0-9" + signs + r"]{20,}={0,2}") for signs in ("+/", "_-", "+_-", "")]
 #: Encodings from the smallest alphabet to the largest; the order of symbols is that of their values.
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -159,14 +162,22 @@ def battery_values(token: str, name: str, battery: Battery) -> tuple[float, floa
 
 def candidates(text: str, base: list[tuple[str, int, int]], battery: Battery) -> Iterator[tuple[int, int, str, int]]:
     """``start, end, stratum, level`` of the strings apart from base spans that pass for random; levels are classes of p-values."""
-    for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        name = encoding(m[0])
-        if name is None or any(start < e and s < end for _, s, e in base):
-            continue
-        random, ordinary = battery_values(m[0], name, battery)
-        if random >= battery.order:
-            yield start, end, f"{name}/{(end - start).bit_length()}", int(-math.log10(ordinary) / BIN)
+    at = 0
+    for low, high in [*sorted((s, e) for _, s, e in base), (len(text), len(text))]:
+        for m in CANDIDATE.finditer(text, at, max(at, low)):
+            yield from sorted(_parts(text, *m.span(), battery))
+        at = max(at, high)
+
+
+def _parts(text: str, low: int, high: int, battery: Battery) -> Iterator[tuple[int, int, str, int]]:
+    spans = {(low, high), *(m.span() for part in PARTS for m in part.finditer(text, low, high))}
+    named = [(start, end, name) for start, end in spans if (name := encoding(text[start:end]))]
+    tested = [(*battery_values(text[start:end], name, battery), start, end, name) for start, end, name in named]
+    taken: list[tuple[int, int]] = []
+    for random, ordinary, start, end, name in sorted(tested, key=lambda x: (x[1], x[2] - x[3], x[2])):
+        if random >= battery.order and not any(start < e and s < end for s, e in taken):
+            taken.append((start, end))
+            yield start, end, f"{name}/{(end - start).bit_length()}", int(-math.log10(min(1.0, ordinary * len(tested))) / BIN)
 
 
 def _redact(batches: Iterator[pa.RecordBatch], cuts: dict[str, int], mark: str, battery: Battery, text_col: str) -> Iterator[pa.RecordBatch]:

@@ -222,6 +222,20 @@ def test_base_spans_and_discoveries(spark, empty):
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit("").cast("binary"), 256)).first()[0]
 
 
+def test_keys_in_paths_and_beside_hashes_are_candidates():
+    rnd = random.Random(11)
+    for _ in range(20):
+        key = "".join(rnd.choice(secrets.ALPHABETS["base62"]) for _ in range(40))
+        for before, after in (("example/my-app/k/", ""), ("a/b_c/k/", "/x-y"), ("0123456789abcdef" * 2 + "/", ""), ("", "/" + "0123456789abcdef" * 2)):
+            text = f"see {before}{key}{after} now"
+            at = text.index(key)
+            order = secrets.battery_values(key, "base62", secrets.Battery())[0]
+            found = list(secrets.candidates(text, secrets.base_spans(text), secrets.Battery()))
+            assert order < 0.01 or any(s <= at and at + 40 <= e for s, e, *_ in found)
+    whole = "".join(rnd.choice(secrets.ALPHABETS["base62"]) for _ in range(30)) + "/" + "".join(rnd.choice(secrets.ALPHABETS["base62"]) for _ in range(30))
+    assert [x[:2] for x in secrets.candidates(whole, [], secrets.Battery(order=0))] == [(0, 61)]
+
+
 def test_redaction_keeps_everything_else(spark, docs):
     frame = spark.createDataFrame(keys(), "doc_id long, text string").withColumn("other", F.lit(1))
     out = {r.doc_id: r.text for r in secrets.redact(frame).filter("doc_id is not null").collect()}
