@@ -16,6 +16,7 @@ from .packing import pack
 from .records import read_records, write_records
 from .registry import ORACLES, QUERIES, table
 from .repetition import repetition
+from .whitening import whiten
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -92,3 +93,8 @@ def op8_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, remainder("doc_id", 7) != 2, public_tokenizers.path(VOCABULARY))
     return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op13_principal_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
