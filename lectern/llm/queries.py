@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import workspace
-from . import chat, linkgraph, secrets
+from . import chat, linkgraph, search, secrets
 from .decontaminate import contamination
 from .language import fit, identify
 from .lm import score
@@ -98,3 +98,11 @@ def op8_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_principal_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_geometric_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op12_geometric_block_search"] = search.SQL
