@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import workspace
-from . import chat, linkgraph, search, secrets
+from . import chat, extraction, linkgraph, search, secrets
 from .decontaminate import contamination
 from .language import fit, identify
 from .lm import score
@@ -106,3 +106,9 @@ def op12_geometric_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_geometric_block_search"] = search.SQL
+
+
+@query
+def op11_tree_marginals_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extraction.extract(pages, extraction.fit(pages))
