@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions import samples as sm
 from . import quality
 from .scan import running
 
@@ -27,17 +28,7 @@ def check_ranges(clips: DataFrame, keys: list[str], order: str, start: str = "st
 def audible_bounds(samples: Column, rate: Column, floor: float = fixed.EDGE_FLOOR, relative: float = fixed.EDGE_SHARE,
                    pad_seconds: float = fixed.EDGE_PAD) -> Column:
     """``struct<first,last>``: 0-based first kept sample and end (exclusive), padded around the audible stretch."""
-    threshold = F.greatest(F.lit(floor), quality.peak(samples) * relative)
-
-    def bounds(limit: Column) -> Column:
-        loud = F.transform(samples, lambda x: F.abs(x).cast("double") > limit)
-        first = F.array_position(loud, True)
-        last = F.size(samples) + 1 - F.array_position(F.reverse(loud), True)
-        pad = F.floor(rate * pad_seconds)
-        return F.when(first > 0, F.struct(F.greatest(F.lit(0).cast("bigint"), first - 1 - pad).alias("first"),
-                                          F.least(F.size(samples).cast("bigint"), last + pad).alias("last")))
-
-    return F.element_at(F.transform(F.array(threshold), bounds), 1)
+    return sm.audible(floor, relative, pad_seconds)(samples, rate.cast("bigint"))
 
 
 def trim_edges(clips: DataFrame, samples: str = "samples", rate: str = "rate", **limits) -> DataFrame:
@@ -49,19 +40,19 @@ def trim_edges(clips: DataFrame, samples: str = "samples", rate: str = "rate", *
             .withColumn("too_short", F.coalesce(F.col("trimmed_seconds") < fixed.MIN_CLIP_SECONDS, F.lit(True))).drop("_b"))
 
 
-def rms(samples: Column) -> Column:
-    return F.sqrt(F.aggregate(samples, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) / F.size(samples))
-
-
 def level_warnings(samples: Column, original: Column | None = None, clipped: float = fixed.REFERENCE_CLIPPED_LEVEL,
                    clipped_share: float = fixed.REFERENCE_CLIPPED_SHARE, quiet: float = fixed.QUIET_RMS,
                    silent: float = fixed.SILENT_SAMPLE, silent_share: float = fixed.SILENT_SHARE) -> Column:
-    """Warnings in order; clipping is judged on the untrimmed samples."""
-    whole = samples if original is None else original
-    return F.array_compact(F.array(
-        F.when(quality.clipping_ratio(whole, clipped) > clipped_share, "clipping"),
-        F.when(rms(samples) < quiet, "quiet"),
-        F.when(quality.share(samples, lambda x: F.abs(x).cast("double") < silent) > silent_share, "silence")))
+    """Warnings in order; clipping is judged on the untrimmed samples. Empty for a null or empty clip."""
+    own = quality.measures(samples, clipped=clipped, silent=silent)
+    whole = own if original is None else quality.measures(original, clipped=clipped)
+
+    def judge(m: Column) -> Column:
+        return F.array_compact(F.array(F.when(m["whole"]["clipped"] > clipped_share, "clipping"), F.when(m["own"]["rms"] < quiet, "quiet"),
+                                       F.when(m["own"]["silent"] > silent_share, "silence")))
+
+    # a list of one, so that the measures are taken once
+    return F.element_at(F.transform(F.array(F.struct(own.alias("own"), whole.alias("whole"))), judge), 1)
 
 
 def is_silent(samples: Column) -> Column:
@@ -69,11 +60,13 @@ def is_silent(samples: Column) -> Column:
 
 
 def gain(samples: Column) -> Column:
-    return F.least(F.lit(fixed.GAIN_CEILING), fixed.GAIN_PEAK / quality.peak(samples))
+    """Null for an empty clip; the ceiling for one without any sound."""
+    loudest = quality.peak(samples)
+    return F.when(loudest == 0, fixed.GAIN_CEILING).otherwise(F.least(F.lit(fixed.GAIN_CEILING), fixed.GAIN_PEAK / F.nullif(loudest, F.lit(0.0))))
 
 
 def apply_gain(samples: Column) -> Column:
-    return F.element_at(F.transform(F.array(gain(samples)), lambda g: F.transform(samples, lambda x: x * g)), 1)
+    return sm.scaled(samples, gain(samples).cast("double"))
 
 
 def join_clips(clips: DataFrame, keys: list[str], order: str, samples: str = "samples", text: str = "text",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, kernels
+from ..functions import samples as sm
 from ..settings import QualityRules
 from .clean import normalized_text
 from .scan import longest_runs
@@ -45,59 +46,37 @@ def level(db: float) -> float:
 
 
 def usable(samples: Column) -> Column:
-    """At least one sample, all of them finite."""
-    bad = F.exists(samples, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return (F.size(samples) > 0) & ~bad
+    """At least one sample, all of them finite; null for a null clip."""
+    return measures(samples)["usable"]
 
 
-def peak(samples: Column) -> Column:
-    return F.array_max(F.transform(samples, lambda x: F.abs(x).cast("double")))
+def measures(samples: Column, rate: Column | None = None, channels: Column | None = None, clipped: float = fixed.CLIPPED_LEVEL, **levels: float) -> Column:
+    """The struct ``samples.MEASURES``, taken in one pass over flat samples; see ``samples.Levels``."""
+    return sm.measures(samples, sm.Levels(clipped, **levels), rate, channels)
 
 
-def share(samples: Column, test) -> Column:
-    return F.size(F.filter(samples, test)) / F.size(samples)
+def peak(samples: Column) -> Column:
+    return measures(samples)["peak"]
 
 
 def clipping_ratio(samples: Column, threshold: float = fixed.CLIPPED_LEVEL) -> Column:
-    return share(samples, lambda x: F.abs(x).cast("double") >= threshold)
+    return measures(samples, clipped=threshold)["clipped"]
 
 
 def mono(samples: Column, channels: Column) -> Column:
-    """Channel mean of interleaved samples."""
-    def average(k: Column) -> Column:
-        frame = F.slice(samples, (k * channels + 1).cast("int"), channels.cast("int"))
-        return F.aggregate(frame, F.lit(0.0), lambda acc, x: acc + x.cast("double")) / channels
-    frames = F.floor(F.size(samples) / channels)
-    averaged = F.transform(F.sequence(F.lit(0).cast("bigint"), frames - 1), average)
-    return F.when(samples.isNull(), None).when(channels == 1, F.transform(samples, lambda x: x.cast("double"))).when(
-        frames > 0, averaged).otherwise(F.array().cast("array<double>"))
+    """Channel mean of interleaved samples; empty without a positive number of channels."""
+    return sm.mono(samples, channels.cast("bigint"))
 
 
 def frame_rms(samples: Column, size: Column) -> Column:
     """Root mean square of each full frame; a trailing partial frame is dropped."""
-    def rms(k: Column) -> Column:
-        frame = F.slice(samples, (k * size + 1).cast("int"), size.cast("int"))
-        return F.sqrt(F.aggregate(frame, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")) / size)
-    frames = F.floor(F.size(samples) / size)
-    measured = F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(frames, F.lit(1)) - 1), rms)
-    return F.when(samples.isNull(), None).when(frames > 0, measured).otherwise(F.array().cast("array<double>"))
+    return sm.frame_rms(samples, size.cast("bigint"))
 
 
 def frame_size(rate: Column, seconds: float = fixed.FRAME_SECONDS) -> Column:
     return F.greatest(F.lit(1).cast("bigint"), F.bround(rate * seconds).cast("bigint"))
 
 
-def longest_true_run(values: Column, test) -> Column:
-    """Length of the longest run of consecutive values that pass; constant memory per row."""
-    start = F.struct(F.lit(0).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("best"))
-
-    def step(acc: Column, x: Column) -> Column:
-        run = F.when(test(x), acc["run"] + 1).otherwise(F.lit(0).cast("bigint"))
-        return F.struct(run.alias("run"), F.greatest(acc["best"], run).alias("best"))
-
-    return F.aggregate(values, start, step, lambda acc: acc["best"])
-
-
 def longest_silence(frames: DataFrame, keys: list[str], order: list[str], silent: Column,
                     seconds: float = fixed.FRAME_SECONDS, rules: QualityRules = QualityRules(), **scan) -> DataFrame:
     """Longest silent stretch per key over a long table of frames, whatever the size of a key's group."""
@@ -112,22 +91,21 @@ def longest_silence(frames: DataFrame, keys: list[str], order: list[str], silent
 def check_clips(clips: DataFrame, samples: str = "samples", rate: str = "rate", channels: str = "channels",
                 chars: str = "chars", rules: QualityRules = QualityRules()) -> DataFrame:
     """All acoustic measures and ordered reasons for clips held as sample arrays; empty or broken clips fail at once."""
-    ok = usable(F.col(samples))
-    guarded = F.when(ok, F.col(samples))
-    df = (clips.withColumn("_ok", F.coalesce(ok, F.lit(False)))
-          .withColumn("_mono", mono(guarded, F.col(channels)))
-          .withColumn("duration", F.when(F.col("_ok"), F.floor(F.size(samples) / F.col(channels)) / F.col(rate)))
-          .withColumn("peak", peak(guarded)).withColumn("clipping_ratio", clipping_ratio(guarded))
-          .withColumn("_rms", frame_rms(F.col("_mono"), frame_size(F.col(rate)))))
     quiet = level(rules.silence_db)
-    df = df.withColumn("max_silence_seconds", longest_true_run(F.col("_rms"), lambda x: x < quiet) * fixed.FRAME_SECONDS)
+    found = measures(F.col(samples), F.col(rate), F.col(channels), quiet=quiet, frame=fixed.FRAME_SECONDS)
+    df = clips.withColumn("_m", found)
+    ok = F.coalesce(F.col("_m.usable"), F.lit(False)) & F.col("_m.seconds").isNotNull()
+    df = (df.withColumn("_ok", ok)
+          .withColumns({name: F.when(F.col("_ok"), F.col(f"_m.{field}")) for name, field in
+                        (("duration", "seconds"), ("peak", "peak"), ("clipping_ratio", "clipped"))})
+          .withColumn("max_silence_seconds", F.when(F.col("_ok"), F.col("_m.quiet_run") * fixed.FRAME_SECONDS)))
     found = F.concat(speed_reasons(F.col(chars), F.col("duration"), rules), F.array_compact(F.array(
         F.when(F.col("peak") < quiet, "silent_audio"),
         F.when(F.col("clipping_ratio") > rules.max_clipping_ratio, "excessive_clipping"),
         F.when(F.col("max_silence_seconds") > rules.max_silence_seconds, "long_silence"))))
     reasons = F.when(F.col("_ok"), found).otherwise(F.array(F.lit("empty_or_nonfinite_audio")))
     return (df.withColumn("chars_per_second", speed(F.col(chars), F.col("duration")))
-            .withColumn("reasons", reasons).withColumn("pass", F.size("reasons") == 0).drop("_ok", "_mono", "_rms"))
+            .withColumn("reasons", reasons).withColumn("pass", F.size("reasons") == 0).drop("_ok", "_m"))
 
 
 def verdict(df: DataFrame, reasons: str = "reasons", cer: str = "cer", rules: QualityRules = QualityRules()) -> DataFrame:
