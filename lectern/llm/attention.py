@@ -64,15 +64,6 @@ def initial(counts: dict[int, int], shape: Shape = Shape()) -> Model:
     return Model(shape, rank, [b.astype(np.float32) for b in bias], weights)
 
 
-def steps(model: Model, t: np.ndarray) -> list[tuple]:
-    """For each step: the rows of ``t`` that take it, its output weights, gate and gate rows, biases, and the choices."""
-    common = np.flatnonzero(t < COMMON)
-    rest = np.flatnonzero(t >= COMMON)
-    group, high = t[common] // GROUP, (t[rest] - COMMON) // REST
-    return [(slice(None), "u1", None, None, model.bias[0], np.minimum(t // GROUP, GROUP)), (common, "u2", "g2", group, model.bias[1][group], t[common] % GROUP),
-            (rest, "u3", None, None, model.bias[2], high), (rest, "u4", None, None, model.bias[3][high], (t[rest] - COMMON) % REST)]
-
-
 def _bounded(x: np.ndarray) -> None:
     if x.max(initial=0) > CEILING:
         np.minimum(x, CEILING, out=x)
@@ -105,15 +96,24 @@ def log_probabilities(model: Model, inputs: np.ndarray, targets: np.ndarray) ->
     real = np.flatnonzero(t >= 0)
     if len(real) < len(t):
         t, h = t[real], h[real]
-    out = np.zeros(len(t), np.float32)
-    for rows, weight, gate, gates, bias, pick in steps(model, t):
-        own = h[rows] if gate is None else h[rows] * w[gate][gates]
-        logits = own @ w[weight]
+    group = np.minimum(t // GROUP, GROUP)
+    inner = np.minimum(group, GROUP - 1)
+
+    def head(name: str, own: np.ndarray, bias: np.ndarray, pick: np.ndarray) -> np.ndarray:
+        logits = own @ w[name]
         logits += bias
         _bounded(logits)
         at = logits[np.arange(len(pick)), pick]
         np.exp(logits, out=logits)
-        out[rows] += at - np.log(logits @ np.ones(logits.shape[1], np.float32))
+        return at - np.log(logits @ np.ones(logits.shape[1], np.float32))
+
+    out = head("u1", h, model.bias[0], group)
+    gated = w["g2"].take(inner, 0)
+    gated *= h
+    out += head("u2", gated, model.bias[1].take(inner, 0), t % GROUP) * (t < COMMON)
+    rare = np.flatnonzero(t >= COMMON)
+    own, left = h[rare], t[rare] - COMMON
+    out[rare] += head("u3", own, model.bias[2], left // REST) + head("u4", own, model.bias[3][left // REST], left % REST)
     whole = np.zeros(n * s, np.float32)
     whole[real] = out
     return whole.reshape(n, s)
@@ -123,60 +123,93 @@ MASKS: dict[tuple[int, int], np.ndarray] = {}
 
 
 def gradient(model: Model, ids: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss and gradients. ``ids``: numbers, one more than the inputs in each row; ``weight`` marks the targets that exist."""
+    """Mean loss and gradients. ``ids``: numbers, one more than the inputs in each row; ``weight`` marks the targets that exist.
+
+    Values and outputs are multiplied into one matrix first, so attention mixes what it adds. Both heads of common ids run over all rows,
+    those of other ids with weight 0; the few rarer ids are taken out.
+    """
     w, d = model.weights, model.shape.width
-    inputs, targets = ids[:, :-1], ids[:, 1:]
+    inputs, t = ids[:, :-1], ids[:, 1:].ravel()
     n, size = inputs.shape
-    e = inputs & (KNOWN - 1)
-    x = w["embed"][e] + w["place"][:size]
-    flat = x.reshape(-1, d)
-    q, k, v = ((flat @ w[m]).reshape(n, size, d) for m in "qkv")
     scale = np.float32(d ** -0.5)
-    share = q @ k.transpose(0, 2, 1) * scale
-    share = np.where(np.tri(size, dtype=bool), share, np.float32(-1e9))
-    share = np.exp(share - share.max(2, keepdims=True))
-    share /= share.sum(2, keepdims=True)
-    mixed = share @ v
-    h = (x + mixed @ w["o"]).reshape(-1, d)
-    t, scales = targets.ravel(), (weight.ravel() / max(weight.sum(), 1)).astype(np.float32)
-    grads, dh, loss = {}, np.zeros_like(h), 0.0
-    for rows, name, gate, gates, bias, pick in steps(model, t):
-        gated = h[rows] if gate is None else h[rows] * w[gate][gates]
-        p = np.exp(np.minimum(gated @ w[name] + bias, CEILING))
-        p /= p.sum(1, keepdims=True)
-        loss -= float((np.log(p[np.arange(len(pick)), pick] + 1e-30) * scales[rows]).sum())
-        p[np.arange(len(pick)), pick] -= 1
-        p *= scales[rows][:, None]
-        grads[name] = gated.T @ p
-        back = p @ w[name].T
-        if gate is not None:
-            grads[gate] = _gather(gates, back * h[rows], len(w[gate]))
-            back *= w[gate][gates]
-        dh[rows] += back
-    dmixed = (dh @ w["o"].T).reshape(n, size, d)
-    grads["o"] = mixed.reshape(-1, d).T @ dh
-    dshare = dmixed @ v.transpose(0, 2, 1)
-    dv = share.transpose(0, 2, 1) @ dmixed
-    ds = share * (dshare - (dshare * share).sum(2, keepdims=True)) * scale
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    dx = dh.copy()
-    for m, g in (("q", dq), ("k", dk), ("v", dv)):
-        g = g.reshape(-1, d)
-        grads[m] = flat.T @ g
-        dx += g @ w[m].T
+    e = inputs.ravel() & (KNOWN - 1)
+    flat = w["embed"].take(e, 0)
+    x = flat.reshape(n, size, d)
+    x += w["place"][:size]
+    into = np.concatenate([w["q"] * scale, w["k"], w["v"] @ w["o"]], 1)
+    qkv = (flat @ into).reshape(n, size, 3 * d)
+    q, k, v = qkv[:, :, :d], qkv[:, :, d:2 * d], qkv[:, :, 2 * d:]
+    share = q @ k.transpose(0, 2, 1)
+    _bounded(share)
+    np.exp(share, out=share)
+    share *= _seen(size)
+    share /= (share.reshape(-1, size) @ np.ones(size, np.float32)).reshape(n, size, 1)
+    mixed = (share @ v).reshape(-1, d)
+    h = flat + mixed
+    scales = (weight.ravel() / max(weight.sum(), 1)).astype(np.float32)
+    every = np.arange(len(t))
+    group = np.minimum(t // GROUP, GROUP)
+    inner = np.minimum(group, GROUP - 1)
+    grads, loss = {}, 0.0
+
+    def head(name: str, own: np.ndarray, bias: np.ndarray, pick: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Gradient of the logits' inputs; adds to the loss."""
+        nonlocal loss
+        p = own @ w[name]
+        p += bias
+        _bounded(p)
+        np.exp(p, out=p)
+        total = p @ np.ones(p.shape[1], np.float32)
+        at = every[:len(pick)]
+        loss -= float(np.log(p[at, pick] / total + np.float32(1e-30)) @ marks)
+        p *= (marks / total)[:, None]
+        p[at, pick] -= marks
+        grads[name] = own.T @ p
+        return p @ w[name].T
+
+    dh = head("u1", h, model.bias[0], group, scales)
+    gate = w["g2"].take(inner, 0)
+    back = head("u2", h * gate, model.bias[1].take(inner, 0), t % GROUP, scales * (t < COMMON))
+    member = np.zeros((len(t), GROUP), np.float32)
+    member[every, inner] = 1
+    grads["g2"] = member.T @ (back * h)
+    back *= gate
+    dh += back
+    rare = np.flatnonzero(t >= COMMON)
+    own, left = h[rare], t[rare] - COMMON
+    high, low = left // REST, left % REST
+    dh[rare] += head("u3", own, model.bias[2], high, scales[rare]) + head("u4", own, model.bias[3][high], low, scales[rare])
+
+    dmixed = dh.reshape(n, size, d)
+    ds = dmixed @ v.transpose(0, 2, 1)
+    ds -= ((dh * mixed) @ np.ones(d, np.float32)).reshape(n, size, 1)  # what the mixture as a whole would lose
+    ds *= share
+    out = np.empty((n, size, 3 * d), np.float32)
+    out[:, :, :d] = ds @ k
+    out[:, :, d:2 * d] = ds.transpose(0, 2, 1) @ q
+    out[:, :, 2 * d:] = share.transpose(0, 2, 1) @ dmixed
+    out = out.reshape(-1, 3 * d)
+    dinto = flat.T @ out
+    grads["q"], grads["k"] = dinto[:, :d] * scale, dinto[:, d:2 * d]
+    grads["v"], grads["o"] = dinto[:, 2 * d:] @ w["o"].T, w["v"].T @ dinto[:, 2 * d:]
+    dh += out @ into.T
     grads["place"] = np.zeros_like(w["place"])
-    grads["place"][:size] = dx.reshape(n, size, d).sum(0)
-    grads["embed"] = _gather(e.ravel(), dx, KNOWN)
+    grads["place"][:size] = dh.reshape(n, size, d).sum(0)
+    grads["embed"] = _gather(e, dh, KNOWN)
     return loss, grads
 
 
+def _seen(size: int) -> np.ndarray:
+    return MASKS.setdefault((size, 0), np.tri(size, dtype=np.float32))
+
+
 def _gather(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    if not len(rows):
-        return np.zeros((size, values.shape[1]), np.float32)
-    order = np.argsort(rows, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], np.diff(rows[order]) != 0]))
-    out = np.zeros((size, values.shape[1]), np.float32)
-    out[rows[order][first]] = np.add.reduceat(values[order], first, 0)
+    """Sums of ``values`` by row number, of at most 2**16 rows."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # of 16 bits: sorted by digits
+    ordered = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    out = np.zeros((size, values.shape[1]), values.dtype)
+    out[ordered[first]] = np.add.reduceat(values[order], first, 0)
     return out
 
 
@@ -192,7 +225,15 @@ class Adam:
         rate = self.rate * (1 - 0.99 ** self.turn) ** 0.5 / (1 - 0.9 ** self.turn)
         for k, g in grads.items():
             m, s = self.mean[k], self.square[k]
-            m += 0.1 * (g - m)
-            s += 0.01 * (g * g - s)
-            self.model.weights[k] = self.model.weights[k] - np.float32(rate) * m / (np.sqrt(s) + 1e-8)
+            m *= 0.9
+            s *= 0.99
+            m += 0.1 * g
+            step = g * g
+            step *= 0.01
+            s += step
+            np.sqrt(s, out=step)
+            step += 1e-8
+            np.divide(m, step, out=step)
+            step *= np.float32(rate)
+            self.model.weights[k] = self.model.weights[k] - step
         return loss

@@ -5,7 +5,7 @@ task; the rest of a text's words are rare by construction and meet their counts
 
 Attention: every text is encoded once and its ids are written. Ids are counted over all training texts, and consecutive windows cover
 each of them, so that every id of every training text, and its end, is a target once a round. Each shard of texts trains a copy of the
-weights; the copies are averaged, for ``Scoring.rounds`` rounds. Scoring moves overlapping windows over a text's ids and scores each id
+weights; the copies are averaged, in each of ``Scoring.rounds`` rounds. Scoring moves overlapping windows over a text's ids and scores each id
 once.
 """
 
@@ -32,7 +32,7 @@ IDS = 1 << 18  # ids that are worked on together; a longer text is a piece of it
 class Scoring:
     shape: at.Shape = at.Shape()
     common: int = 1 << 20
-    rounds: int = 2
+    rounds: int = 1
     batch: int = 64
     end_id: int = 50256
 
