@@ -73,12 +73,20 @@ def fit(pages: DataFrame | None = None, learning: Learning = Learning(), html_co
     """A model from invented layouts and, if ``pages`` is given, from the pages of a fixed sample of it that declare an article."""
     known = layouts.labelled(learning.layouts, learning.seed)
     if pages is not None and learning.sample:
-        source = pages.select(pages[html_col].alias("html")).filter(F.length("html").between(1, learning.characters))
-        rows = source.orderBy(F.xxhash64("html"), "html").limit(learning.sample).collect()
-        known += [(r["html"], blocks) for r in rows if (blocks := declared(r["html"]))]
+        known += [(html, blocks) for html in sampled(pages, learning, html_col) if (blocks := declared(html))]
     return learn(known, learning.steps)
 
 
+def sampled(pages: DataFrame, learning: Learning, html_col: str = "html") -> list[str]:
+    """At most ``learning.sample`` different pages, the same at every run. A hash admits about twice as many as are wanted, wherever they lie, so
+    little more than those reaches the driver; copies of a page have one hash and are one page."""
+    source = pages.select(pages[html_col].alias("html")).filter(F.length("html").between(1, learning.characters)).withColumn("hash", F.xxhash64("html"))
+    rows = pages.count()
+    if rows > 2 * learning.sample:
+        source = source.filter(F.pmod("hash", F.lit(1 << 40)) < int((1 << 40) * 2 * learning.sample / rows))
+    return [r["html"] for r in source.groupBy("hash").agg(F.min("html").alias("html")).orderBy("hash").limit(learning.sample).collect()]
+
+
 def declared(html: str) -> list[str]:
     """Blocks of a page's only ``article``, or only ``main``, but for parts that name themselves something else."""
     nodes = dom.parse(html).nodes
