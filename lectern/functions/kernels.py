@@ -102,25 +102,77 @@ def html_text_strict(values: pd.Series) -> pd.Series:
 EDITS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("insertions", "deletions", "substitutions")])
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance with a column of the table held in the bits of two integers: a handful of operations on whole columns for each
+    character of ``b``."""
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    places: dict[str, int] = {}
+    for i, char in enumerate(b):
+        places[char] = places.get(char, 0) | 1 << i
+    all_bits, top = (1 << len(b)) - 1, 1 << (len(b) - 1)
+    more, less, distance = all_bits, 0, len(b)  # bits whose cell is one more, one less, than the cell above
+    for char in a:
+        equal = places.get(char, 0)
+        vertical = equal | less
+        flat = (((equal & more) + more) ^ more) | equal
+        up, down = less | ~(flat | more) & all_bits, more & flat
+        distance += bool(up & top) - bool(down & top)
+        up = up << 1 | 1
+        more = (down << 1 | ~(vertical | up)) & all_bits
+        less = up & vertical & all_bits
+    return distance
+
+
+@F.pandas_udf(T.IntegerType())
+def distances(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b)], dtype="Int32")
+
+
 def edit_counts(reference: str, hypothesis: str) -> tuple[int, int, int]:
     """Insertions, deletions, substitutions of one optimal alignment, preferring substitutions on ties.
 
-    Row-wise dynamic programme in numpy; each cell packs (distance, insertions) so that the split follows from the
-    distance and the length difference.
+    Only cells that an alignment of the known distance can pass are filled: a band around the diagonal, a row at a time in numpy. A cell packs
+    (distance, insertions), so the split follows from the distance and the length difference.
     """
+    ends = 0
+    while ends < min(len(reference), len(hypothesis)) and reference[ends] == hypothesis[ends]:
+        ends += 1
+    reference, hypothesis = reference[ends:], hypothesis[ends:]
     n, m = len(reference), len(hypothesis)
     if not n or not m:
         return m, n, 0
+    band = edit_distance(reference, hypothesis)
+    # column minus row stays within these, or the steps aside and back would exceed the distance
+    left, right = (band - (m - n)) // 2, (band + (m - n)) // 2
     scale = np.int64(n + m + 1)
-    target = np.frombuffer(hypothesis.encode("utf-32-le"), dtype=np.uint32)
-    steps = np.arange(m + 1, dtype=np.int64) * (scale + 1)
-    row = steps.copy()
-    for char in np.frombuffer(reference.encode("utf-32-le"), dtype=np.uint32):
-        best = np.empty_like(row)
-        best[0] = row[0] + scale
-        np.minimum(row[1:] + scale, row[:-1] + np.where(target == char, 0, scale), out=best[1:])
-        row = np.minimum.accumulate(best - steps) + steps
-    distance, insertions = divmod(int(row[m]), int(scale))
+    target = np.frombuffer(hypothesis.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    width = left + right + 1
+    far = scale * scale
+    # cell k of row i is column i + k - left
+    row = np.full(width + 2, far, np.int64)  # with a cell that is never reached at either side
+    steps = np.arange(width, dtype=np.int64) * (scale + 1)
+    column = np.arange(width) - left
+    row[1:-1] = np.where((column >= 0) & (column <= m), column * (scale + 1), far)
+    padded = np.full(m + 2 * width + 2, np.uint32(0xFFFFFFFF))
+    padded[width:width + m] = target
+    for i, char in enumerate(np.frombuffer(reference.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), 1):
+        low = i - left  # column of the first cell
+        best = row[1:-1] + np.where(padded[width + low - 1:width + low - 1 + width] == char, 0, scale)
+        np.minimum(best, row[2:] + scale, out=best)
+        if low <= 0:
+            best[:-low] = far
+            best[-low] = i * scale if -low < width else 0
+        if low + width - 1 > m:
+            best[m - low + 1:] = far
+        row[1:-1] = np.minimum.accumulate(best - steps) + steps
+        if low < 0:
+            row[1:1 - low] = far
+        if low + width - 1 > m:
+            row[m - low + 2:-1] = far
+    distance, insertions = divmod(int(row[1 + m - n + left]), int(scale))
     deletions = insertions - (m - n)
     return insertions, deletions, distance - insertions - deletions
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as tx
 from ..functions.rows import unnest
+from ..settings import check_patterns
 from .scan import position
 
 _BREAK = "\x01\x02\x01"
@@ -70,7 +71,8 @@ def lacks_paragraphs(html: Column) -> Column:
 
 
 def exclude_chapters(chapters: DataFrame, patterns: list[str], title: str = "title") -> tuple[DataFrame, DataFrame]:
-    """Chapters to keep, and the excluded ones for the audit."""
+    """Chapters to keep, and the excluded ones for the audit. A pattern that is none is an error. For patterns that are data see ``rules``."""
+    check_patterns(chapters.sparkSession, patterns)
     hit = F.lit(False)
     for pattern in patterns:
         hit = hit | tx.search(F.col(title), pattern)

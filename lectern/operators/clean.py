@@ -256,7 +256,11 @@ def drop_matching_lines(df: DataFrame, patterns: list[str], text: str = "text")
         return F.coalesce(*[F.when(tx.search(line, p), F.lit(p)) for p in patterns])
 
     judged = F.transform(tx.lines(text), lambda line: F.struct(first_match(line).alias("pattern"), line.alias("text")))
-    df = with_audit(df).withColumn("_judged", judged)
+    return drop_judged_lines(with_audit(df).withColumn("_judged", judged), text)
+
+
+def drop_judged_lines(df: DataFrame, text: str = "text") -> DataFrame:
+    """Drop the lines of ``_judged`` (``pattern, text``) that have a pattern."""
     df = df.withColumn("_removed", F.filter("_judged", lambda j: j["pattern"].isNotNull()))
     shown = F.transform(F.slice("_removed", 1, fixed.PREVIEW_ITEMS),
                         lambda j: F.to_json(F.struct(j["pattern"].alias("pattern"),

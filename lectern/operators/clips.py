@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import samples as sm
 from . import quality
-from .scan import running
+from .scan import LARGEST, running
 
 
 def check_ranges(clips: DataFrame, keys: list[str], order: str, start: str = "start", end: str = "end",
@@ -17,7 +17,9 @@ def check_ranges(clips: DataFrame, keys: list[str], order: str, start: str = "st
     s, e, d = (F.col(c).cast("double") for c in (start, end, duration))
     finite = ~(F.isnan(s) | F.isnan(e) | F.isnan(d)) & (F.greatest(F.abs(s), F.abs(e), F.abs(d)) < float("inf"))
     in_range = finite & (s >= 0) & (s < e) & (e <= d + fixed.RANGE_SLACK)
-    total = running(clips, keys, [order], {"selected_seconds": e - s, "clip_no": F.lit(1).cast("bigint")}, **scan)
+    # a range that is no range of numbers selects nothing
+    seconds = F.when(finite & (F.abs(e) < LARGEST) & (F.abs(s) < LARGEST), e - s).otherwise(0.0)
+    total = running(clips, keys, [order], {"selected_seconds": seconds, "clip_no": F.lit(1).cast("bigint")}, **scan)
     error = (F.when(~F.coalesce(in_range, F.lit(False)), "invalid_range")
              .when(d > fixed.SOURCE_SECONDS, "source_too_long")
              .when(F.col("clip_no") > fixed.CLIP_LIMIT, "too_many_clips")

@@ -10,8 +10,11 @@ from .scan import position, running
 
 
 def chapter_markers(chapters: DataFrame, book: list[str], order: list[str], duration: str = "duration", **scan) -> DataFrame:
-    """Start and end of each chapter in milliseconds, rounded half to even from the running total."""
-    df = running(chapters, book, order, {"_end": F.col(duration).cast("double")}, **scan)
+    """Start and end of each chapter in milliseconds, rounded half to even from the running total.
+
+    Where a length is unknown (null, NaN, infinite, or no length at all), the marks of that chapter and of all later ones are null.
+    """
+    df = running(chapters, book, order, {"_end": F.coalesce(F.col(duration).cast("double"), F.lit(float("nan")))}, **scan)
     start = F.col("_end") - F.col(duration)
     return (df.withColumn("start_ms", F.bround(start * 1000).cast("bigint"))
             .withColumn("end_ms", F.bround(F.col("_end") * 1000).cast("bigint")).drop("_end"))

@@ -16,13 +16,34 @@ def compare_text(pairs: DataFrame, reference: str, hypothesis: str, normalize: b
     """Character error rate and similarity of normalised texts."""
     prepared = normalized_text if normalize else (lambda c: c)
     df = (pairs.withColumn("reference_normalized", prepared(F.col(reference)))
-          .withColumn("hypothesis_normalized", prepared(F.col(hypothesis)))
-          .withColumn("distance", F.levenshtein("reference_normalized", "hypothesis_normalized")))
+          .withColumn("hypothesis_normalized", prepared(F.col(hypothesis))))
+    df = df.withColumn("distance", edit_distance(F.col("reference_normalized"), F.col("hypothesis_normalized")))
     n, m = F.length("reference_normalized"), F.length("hypothesis_normalized")
     return (df.withColumn("cer", F.col("distance") / F.greatest(n, F.lit(1)))
             .withColumn("similarity", F.greatest(F.lit(0.0), 1 - F.col("distance") / F.greatest(n, m, F.lit(1)))))
 
 
+CELLS = 1 << 20  # of a table that is filled cell by cell
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance: short pairs by a table in the JVM, long ones with a column of it in the bits of an integer."""
+    short = F.length(a).cast("bigint") * F.length(b) <= CELLS
+    return F.when(short, F.levenshtein(F.when(short, a), F.when(short, b))).otherwise(kernels.distances(F.when(~short, a), F.when(~short, b)))
+
+
+def within_rate(pairs: DataFrame, reference: str, hypothesis: str, max_cer: float) -> DataFrame:
+    """``pass``: whether the character error rate of normalised texts is at most ``max_cer``. Only the band of the table that this takes is filled."""
+    df = (pairs.withColumn("reference_normalized", normalized_text(F.col(reference)))
+          .withColumn("hypothesis_normalized", normalized_text(F.col(hypothesis))))
+    n = F.greatest(F.length("reference_normalized"), F.lit(1))
+    df = df.withColumn("_most", F.floor(n * max_cer + 1e-9).cast("int"))
+    found = F.expr("levenshtein(reference_normalized, hypothesis_normalized, _most)")
+    df = df.withColumn("_found", found).withColumn("distance", F.when(F.col("_found") >= 0, F.col("_found")))
+    return (df.withColumn("cer", F.col("distance") / n).withColumn("pass", F.when(F.col("_found").isNotNull(), F.coalesce(F.col("cer") <= max_cer, F.lit(False))))
+            .drop("_most", "_found"))
+
+
 def edit_ops(compared: DataFrame) -> DataFrame:
     """Insertions, deletions and substitutions of one optimal alignment; ties go to substitutions."""
     ops = kernels.edit_operations(F.col("reference_normalized"), F.col("hypothesis_normalized"))

@@ -14,19 +14,24 @@ from pyspark.sql import functions as F
 from ..session import stable
 
 EXACT = "decimal(38,9)"
+LARGEST = 1e15  # of a floating-point measure; sums of more rows than there can be stay exact
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], parts: int | None = None) -> DataFrame:
     """Add inclusive running sums per key. ``order`` must be unique within a key.
 
     A running count is ``{"n": F.lit(1)}``. Floating-point measures are summed as decimals with nine places, so that totals do not
-    depend on how rows are divided. ``parts``: number of ranges, ``spark.sql.shuffle.partitions`` by default.
+    depend on how rows are divided. A measure that is not a number, infinite or beyond ``LARGEST`` makes its total unknown: null at that row and all
+    later ones of the key. A null measure adds nothing. ``parts``: number of ranges, ``spark.sql.shuffle.partitions`` by default.
     """
     names = list(sums)
     source = df.select("*", *[sums[n].alias(f"_m_{n}") for n in names])
     kinds = {n: source.schema[f"_m_{n}"].dataType.simpleString() for n in names}
     real = [n for n in names if kinds[n] in ("double", "float")]
-    source = source.withColumns({f"_m_{n}": F.col(f"_m_{n}").cast(EXACT) for n in real})
+    known = {n: F.abs(f"_m_{n}") < LARGEST for n in real}  # NaN is greater than any number
+    source = source.withColumns({f"_m__broken_{n}": (~known[n]).cast("bigint") for n in real})
+    source = source.withColumns({f"_m_{n}": F.when(known[n], F.col(f"_m_{n}")).cast(EXACT) for n in real})
+    names = names + [f"_broken_{n}" for n in real]
     count = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # the written table pins each row to its range
     ranged = stable(source.repartitionByRange(count, *keys, *order).withColumn("_span", F.spark_partition_id()))
@@ -38,10 +43,9 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
     local = ranged.withColumns({n: F.sum(f"_m_{n}").over(window) for n in names})
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "_span"]]
     joined = local.alias("a").join(F.broadcast(carried).alias("b"), same, "left")  # one row per range at most
-    value = {n: F.coalesce(F.col(f"a.{n}") + F.col(f"b._o_{n}"), F.col(f"a.{n}")) for n in names}
-    return joined.select(
-        *[F.col(f"a.{c}") for c in df.columns if c not in names],
-        *[(value[n].cast("double") if n in real else value[n]).alias(n) for n in names])
+    value = {n: F.coalesce(F.col(f"a.{n}") + F.col(f"b._o_{n}"), F.col(f"a.{n}"), F.col(f"b._o_{n}")) for n in names}
+    value |= {n: F.when(F.coalesce(value[f"_broken_{n}"], F.lit(0)) == 0, value[n]).cast("double") for n in real}
+    return joined.select(*[F.col(f"a.{c}") for c in df.columns if c not in sums], *[value[n].alias(n) for n in sums])
 
 
 def position(df: DataFrame, keys: list[str], order: list[str], name: str, parts: int | None = None) -> DataFrame:

@@ -9,16 +9,39 @@ from ..functions import fixed
 from ..functions import text as tx
 from ..functions.identity import digest_string
 from ..session import stable
-from .quality import compare_text
+from .quality import within_rate
 
 
-def media_records(exports: DataFrame, chapters: DataFrame, files: DataFrame) -> DataFrame:
-    """Registered exports and possible chapter renderings that exist inside the job's output folder.
+def confined(path: Column, folder: Column) -> Column:
+    """``path`` below ``folder``, without ``.``, ``..`` and doubled slashes; null if it is not below it. A relative path is relative to the folder."""
+    def resolved(value: Column) -> Column:
+        steps = F.filter(F.split(value, "/"), lambda p: ~p.isin("", "."))
+        return F.aggregate(steps, F.array().cast("array<string>"), lambda done, p: F.when(p != "..", F.concat(done, F.array(p)))
+                           .when((F.size(done) > 0) & (F.element_at(F.concat(F.array(F.lit("")), done), -1) != ".."), F.slice(done, F.lit(1), F.size(done) - 1))
+                           .when(value.startswith("/"), done).otherwise(F.concat(done, F.array(p))))
 
-    ``exports``: ``job_id, path, format``; ``chapters``: ``job_id, title, stem``; ``files``: ``job_id, path`` present.
+    own, root = resolved(path), resolved(folder)
+    inside = path.startswith("/") & (F.slice(own, F.lit(1), F.size(root)) == root) & (F.size(own) > F.size(root))
+    below = ~path.startswith("/") & (F.size(own) > 0) & (F.coalesce(F.get(own, 0), F.lit("..")) != "..")
+    rest = F.when(inside, F.slice(own, F.size(root) + 1, F.size(own))).when(below, own)
+    return F.array_join(rest, "/")
+
+
+def media_records(exports: DataFrame, chapters: DataFrame, files: DataFrame, folders: DataFrame | None = None) -> DataFrame:
+    """Registered exports and possible chapter renderings that exist inside the job's output folder, by their path below it.
+
+    ``exports``: ``job_id, path, format``; ``chapters``: ``job_id, title, stem``; ``files``: ``job_id, path`` present; ``folders``: ``job_id, folder``, one
+    row per job. Without ``folders`` (or for a job it does not list) paths have to be relative. Paths that lead out of the folder are left out.
     """
-    registered = exports.select("job_id", "path", "format", F.lit(None).cast("string").alias("chapter")).join(
-        files.select("job_id", "path"), ["job_id", "path"], "left_semi")
+    def held(rows: DataFrame, column: str) -> DataFrame:
+        if folders is not None:
+            rows = rows.join(folders.select("job_id", F.col("folder").alias("_folder")), "job_id", "left")
+        root = F.coalesce("_folder", F.lit("/..")) if folders is not None else F.lit("/..")
+        inner = F.when(F.col(column).startswith("/") & (root == "/.."), F.lit(None)).otherwise(confined(F.col(column), root))
+        return rows.withColumn(column, inner).filter(F.col(column).isNotNull()).drop("_folder")
+
+    exports, chapters, files = held(exports, "path"), held(chapters, "stem"), held(files, "path").select("job_id", "path").distinct()
+    registered = exports.select("job_id", "path", "format", F.lit(None).cast("string").alias("chapter")).join(files, ["job_id", "path"], "left_semi")
     # A chapter has one possible file per format. Joining on the stem finds the existing ones without listing them all.
     ending = F.substring_index("path", ".", -1)
     stems = files.filter(ending.isin(fixed.MEDIA_FORMATS)).select(
@@ -54,12 +77,19 @@ def download_selection(requests: DataFrame, jobs: DataFrame, media: DataFrame, b
             .select(bundle, "job_id", "media_id", "archive_name", "error", "bundle_error"))
 
 
-def collectable(jobs: DataFrame, submitted: DataFrame, activated: Column, fmt: str, limit: int = fixed.DOWNLOAD_JOBS) -> DataFrame:
-    """Finished conversions not yet submitted, while no job is active or queued. Key: job, format, finish."""
+def collectable(jobs: DataFrame, submitted: DataFrame, activated: Column, fmt: str, limit: int = fixed.DOWNLOAD_JOBS, media: DataFrame | None = None) -> DataFrame:
+    """Finished conversions not yet submitted nor archived, while no job is active or queued. Key: job, format, finish.
+
+    With ``media`` (``job_id, format``) only jobs that have a file in the format.
+    """
     key = F.concat_ws(":", F.col("job_id").cast("string"), F.lit(fmt), F.coalesce("finished_at", "created_at").cast("string"))
     idle = jobs.filter(F.col("status").isin([*fixed.ACTIVE_STATUSES, "queued"])).agg(F.count("*") == 0)
     ready = jobs.filter((F.col("status") == "completed") & (F.coalesce("kind", F.lit("convert")) == "convert")
                         & (F.col("finished_at") >= activated)).withColumn("download_key", key)
+    if "archived" in jobs.columns:
+        ready = ready.filter(~F.coalesce("archived", F.lit(False)))
+    if media is not None:
+        ready = ready.join(media.filter(F.lower("format") == fmt.lower()).select("job_id").distinct(), "job_id", "left_semi")
     fresh = ready.join(submitted.select("download_key").distinct(), "download_key", "left_anti")
     return (fresh.filter(idle.scalar())
             .orderBy(F.col("created_at").desc(), F.col("job_id").desc()).limit(limit))
@@ -116,8 +146,9 @@ def current_receipts(jobs: DataFrame, receipts: DataFrame, job: str = "job_id")
             .filter((F.col("attempt_id") == F.col("_attempt")) & (F.col("updated_at") >= F.col("started_at"))).drop("_attempt", "started_at"))
 
 
-def recheck_transcripts(segments: DataFrame, transcripts: DataFrame, key: str, text: str = "text", heard: str = "transcript",
+def recheck_transcripts(segments: DataFrame, transcripts: DataFrame | None, key: str, text: str = "text", heard: str = "transcript",
                         max_cer: float = fixed.MAX_CER) -> DataFrame:
-    """Stored segments compared with new transcripts."""
-    joined = compare_text(segments.join(transcripts, key), text, heard)
-    return joined.withColumn("pass", F.col("cer") <= max_cer)
+    """Stored segments compared with new transcripts, which ``segments`` may hold already. Only whether the error rate is small enough is asked, so
+    a comparison ends where the allowed distance is exceeded; ``distance`` and ``cer`` are null there."""
+    joined = segments if transcripts is None else segments.join(transcripts, key)
+    return within_rate(joined, text, heard, max_cer)

@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import identity as idf
-from ..session import stable
+from ..session import workspace
 
 
 def plan_batches(items: DataFrame, chapter: list[str], order: str, chars: Column, size: int,
@@ -127,20 +128,59 @@ def score_batches(batched: DataFrame, scorer: Scorer, batch: list[str], item: st
     return ready.repartition(*batch).sortWithinPartitions(*batch, "_order").mapInPandas(run, f"item_id string, score {result}, error string, call_size int")
 
 
-def retry_loop(items: DataFrame, step: Callable[[DataFrame, int], DataFrame], key: str, max_retry: int = fixed.MAX_RETRY) -> DataFrame:
-    """Run ``step(pending, attempt)`` until every item passes or its attempts are spent.
+Step = Callable[[DataFrame, int], DataFrame]
 
-    ``step`` returns ``key, passed`` and any further columns. Only failing items enter the next round; each round is
-    written out, so its (possibly random) results are never recomputed.
+
+def retry_loop(items: DataFrame, step: Step, key: str, max_retry: int = fixed.MAX_RETRY, path: str | None = None, rounds: int | None = None) -> DataFrame:
+    """Run ``step(pending, number of the round)`` until every item passes or its attempts are spent.
+
+    ``pending`` has the items' columns and ``attempt``, from 0. ``step`` returns ``key, passed`` and any further columns. Rounds are events: each is
+    written under ``path`` and entered when it is complete, and what is pending follows from the events alone. So a job that ends
+    at any point and starts again with the same path goes on with the attempts that were spent and scores no finished item again, and items that were
+    added meanwhile begin at 0. Keys are unique; items without one are left out. ``rounds``: stop after so many; what then is unsettled has the status ``pending``.
+
+    Returns the last event of each item that has one: step's columns, ``attempts``, ``status``.
     """
-    pending, results = items, None
-    for attempt in range(max_retry + 1):
-        outcome = stable(step(pending, attempt).withColumn("attempts", F.lit(attempt + 1)))
-        last = attempt == max_retry
-        settled = outcome if last else outcome.filter(F.col("passed"))
-        results = settled if results is None else results.unionByName(settled)
-        failed = outcome.filter(~F.col("passed")).select(key)
-        if last or failed.isEmpty():
+    spark = items.sparkSession
+    path = path or workspace(spark)
+    items = items.filter(F.col(key).isNotNull())
+    events = _events(spark, path)
+    for _ in range(max_retry + 1 if rounds is None else min(rounds, max_retry + 1)):
+        left = items if events is None else items.join(_spent(events, key), key, "left")
+        spent = F.lit(0) if events is None else F.coalesce("_attempts", F.lit(0))
+        settled = F.lit(False) if events is None else F.coalesce("_passed", F.lit(False))
+        pending = left.filter(~settled & (spent <= max_retry)).withColumn("attempt", spent.cast("int")).select(*items.columns, "attempt")
+        if events is not None and pending.isEmpty():
             break
-        pending = pending.join(failed, key, "left_semi")
-    return results.withColumn("status", F.when(F.col("passed"), "completed").otherwise("exhausted"))
+        number = _rounds(spark, path)
+        outcome = step(pending, number)
+        if "attempt" not in outcome.columns:
+            outcome = outcome.join(pending.select(key, "attempt"), key)
+        outcome.write.mode("overwrite").parquet(f"{path}/events/round={number}")
+        # entered last: a round without this row did not happen, and is written over
+        spark.range(1).write.mode("overwrite").parquet(f"{path}/entered/round={number}")
+        events = _events(spark, path)
+    if events is None:
+        raise ValueError("no round has been run")
+    last = events.groupBy(key).agg(F.max_by(F.struct(*[c for c in events.columns if c != key]), "attempt").alias("_e")).select(key, "_e.*")
+    status = F.when(F.col("passed"), "completed").when(F.col("attempt") >= max_retry, "exhausted").otherwise("pending")
+    return last.withColumn("attempts", F.col("attempt") + 1).withColumn("status", status).drop("attempt", "round")
+
+
+def _rounds(spark: SparkSession, path: str) -> int:
+    """Rounds that have been entered; they are numbered from 0."""
+    try:
+        return spark.read.schema("id long, round int").parquet(f"{path}/entered").count()
+    except AnalysisException:  # none yet
+        return 0
+
+
+def _events(spark: SparkSession, path: str) -> DataFrame | None:
+    entered = _rounds(spark, path)
+    if not entered:
+        return None
+    return spark.read.option("basePath", f"{path}/events").parquet(*[f"{path}/events/round={k}" for k in range(entered)])
+
+
+def _spent(events: DataFrame, key: str) -> DataFrame:
+    return events.groupBy(key).agg(F.count("*").alias("_attempts"), F.bool_or("passed").alias("_passed"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.rows import unnest
 from ..operators import chapters as ch
-from ..operators import epub
+from ..operators import epub, rules
 from ..operators.clean import CleanRules
 from .inputs import (SENTENCE_LINE, conversations, documents, pages, sql_html, sql_lines, sql_strip, sql_tidy, sql_unescape, table)
 from .registry import query
@@ -181,6 +181,15 @@ def c10_exclude_chapters(spark, d):
     return rows.select("doc_id", F.col("chapter_index").cast("bigint").alias("chapter_index"), "title", "excluded_text")
 
 
+@query("c10_exclude_by_rules", f"""WITH {CHAPTERS} SELECT doc_id, chapter_index, title,
+  CASE WHEN lang = 'en' THEN CASE WHEN regexp_matches(title, 'the') THEN 'the' WHEN regexp_matches(title, '(?i)tion') THEN '(?i)tion' END
+    WHEN lang = 'de' AND regexp_matches(title, '^D') THEN '^D' END AS excluded_by FROM chapters""")
+def c10_exclude_by_rules(spark, d):
+    """Patterns that are rows and differ by language."""
+    table_of = spark.createDataFrame([("en", 2, "(?i)tion"), ("en", 1, "the"), ("de", 1, "^D")], "scope string, ordinal int, pattern string")
+    return rules.exclude_chapters(document_chapters(spark, d), table_of, "lang").select("doc_id", F.col("chapter_index").cast("bigint").alias("chapter_index"), "title", "excluded_by")
+
+
 def reading_turns(spark, d) -> DataFrame:
     """Turns as chapters, the longer assistant turns blanked out."""
     blank = (F.col("role") == "assistant") & (F.length("text") > 600)

@@ -17,6 +17,7 @@ from ..operators import clean as cl
 from ..session import workspace
 from ..sources import books as parse
 from ..sources import readers, writers
+from ..sources.publish import Publication
 from .inputs import JOBS, LINES, RECORDS, conversations, document_lines, documents, jobs, pages, records, sql_lines, table
 from .registry import query
 from .text_queries import _FIRST, LINE_PATTERNS
@@ -170,6 +171,18 @@ def w1_chapter_markers(spark, d):
     return _ticks(spark, d)
 
 
+@query("w1_markers_of_unknown_lengths", """
+WITH c AS (SELECT user_id, event_id, value, event_id % 97 < 3 AS broken FROM events),
+t AS (SELECT *, sum(broken::INT) OVER w AS before, sum(round(value * 64)::BIGINT) OVER w AS total FROM c WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, event_id, CASE WHEN before = 0 THEN total * 1000 END AS end_ms, CASE WHEN before = 0 THEN (total - round(value * 64)::BIGINT) * 1000 END AS start_ms FROM t""")
+def w1_markers_of_unknown_lengths(spark, d):
+    """Lengths that are missing, infinite or no number leave no marks behind them."""
+    k = F.col("event_id") % 97
+    length = F.when(k == 0, F.lit(None)).when(k == 1, F.lit(float("nan"))).when(k == 2, F.lit(float("inf"))).otherwise(F.round(F.col("value") * 64))
+    rows = table(spark, d, "events").select("user_id", "event_id", length.cast("double").alias("duration"))
+    return order.chapter_markers(rows, ["user_id"], ["event_id"]).select("user_id", "event_id", "start_ms", "end_ms")
+
+
 @query("w1_chapter_markers_spread", _TICKS)
 def w1_chapter_markers_spread(spark, d):
     return _ticks(spark, d, parts=30)
@@ -274,6 +287,25 @@ def j1_media_records(spark, d):
     return media(spark, d)
 
 
+@query("j1_media_inside_folder", """
+WITH f AS (SELECT o_orderkey AS job_id, '/out/' || o_orderkey AS folder FROM orders),
+p AS (SELECT l_orderkey AS job_id, l_partkey::VARCHAR || '.mp3' AS name, l_linenumber % 7 AS k FROM lineitem),
+x AS (SELECT p.job_id, CASE k WHEN 0 THEN folder || '/' || name WHEN 1 THEN '/out/' || (p.job_id + 1) || '/' || name WHEN 2 THEN '../' || name WHEN 3 THEN './a/..//' || name
+  WHEN 4 THEN folder || '/../x/' || name WHEN 5 THEN folder || '0/' || name ELSE name END AS path, CASE WHEN k IN (0, 3, 6) THEN name END AS inner_path FROM p JOIN f USING (job_id))
+SELECT DISTINCT job_id, inner_path AS path FROM x WHERE inner_path IS NOT NULL""")
+def j1_media_inside_folder(spark, d):
+    """Exports registered under the job's folder, beside it, above it and around it; all of them exist."""
+    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.concat(F.col("l_partkey").cast("string"), F.lit(".mp3")).alias("name"), (F.col("l_linenumber") % 7).alias("k"))
+    folder = F.concat(F.lit("/out/"), F.col("job_id").cast("string"))
+    path = (F.when(F.col("k") == 0, F.concat(folder, F.lit("/"), "name")).when(F.col("k") == 1, F.concat(F.lit("/out/"), (F.col("job_id") + 1).cast("string"), F.lit("/"), "name"))
+            .when(F.col("k") == 2, F.concat(F.lit("../"), "name")).when(F.col("k") == 3, F.concat(F.lit("./a/..//"), "name")).when(F.col("k") == 4, F.concat(folder, F.lit("/../x/"), "name"))
+            .when(F.col("k") == 5, F.concat(folder, F.lit("0/"), "name")).otherwise(F.col("name")))
+    files = items.select("job_id", path.alias("path"))
+    none = items.select("job_id", F.lit("").alias("title"), F.lit("").alias("stem")).limit(0)
+    folders = table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id")).withColumn("folder", folder)
+    return select.media_records(files.withColumn("format", F.lit("mp3")), none, files, folders).select("job_id", "path").distinct()
+
+
 @query("j2_download_selection", f"""
 WITH {MEDIA}, req AS (SELECT DISTINCT owner AS bundle_id, job_id, CASE WHEN owner % 2 = 0 THEN 'flac' ELSE 'mp3' END AS format FROM jobs),
 once AS (SELECT DISTINCT job_id, media_id, path, format FROM media),
@@ -307,6 +339,18 @@ def j3_collectable(spark, d):
     return _collect(spark, d, idle=True)
 
 
+@query("j3_collectable_with_files", f"""
+WITH {JOBS}, c AS (SELECT job_id, cents, CASE WHEN status = 'completed' THEN status ELSE 'failed' END AS status, created_at, created_at + INTERVAL 2 DAY AS finished_at FROM jobs)
+SELECT job_id, job_id || ':mp3:' || strftime(finished_at, '%Y-%m-%d %H:%M:%S') AS download_key FROM c
+WHERE status = 'completed' AND finished_at >= TIMESTAMP '1998-01-01' AND job_id % 3 <> 0 AND cents % 4 <> 1 AND job_id % 2 = 0 ORDER BY created_at DESC, job_id DESC LIMIT 100""")
+def j3_collectable_with_files(spark, d):
+    """Of these, jobs that are not archived and have a file in the format."""
+    rows = _finished(spark, d, True).withColumn("archived", F.when(F.col("cents") % 4 == 1, True))
+    sent = rows.filter(F.col("job_id") % 3 == 0).select(F.concat_ws(":", F.col("job_id").cast("string"), F.lit("mp3"), F.col("finished_at").cast("string")).alias("download_key"))
+    files = rows.select("job_id", F.when(F.col("job_id") % 2 == 0, "mp3").otherwise("flac").alias("format"))
+    return select.collectable(rows, sent, F.lit("1998-01-01").cast("timestamp_ntz"), "mp3", media=files).select("job_id", "download_key")
+
+
 @query("j3_collectable_while_busy", "SELECT o_orderkey AS job_id, 'x' AS download_key FROM orders WHERE false")
 def j3_collectable_while_busy(spark, d):
     return _collect(spark, d, idle=False)
@@ -417,6 +461,53 @@ def snk4_supersede(spark, d):
     return writers.supersede(spark.read.parquet(path), runs, "job_id").select("job_id", "seg_index", "segment_id", "cents", "current", "location")
 
 
+@query("snk4_publish_runs", f"""
+WITH {RECORDS}, l AS (SELECT supplier, max(tax) AS latest FROM records GROUP BY 1),
+e AS (SELECT r.supplier, r.tax, r.segment_id || '/' || r.seg_index AS path FROM records r WHERE r.tax > 0 GROUP BY ALL)
+SELECT e.supplier::VARCHAR AS book_id, path, e.tax = latest AS current, CASE WHEN e.tax = latest THEN path ELSE 'previous/' || left('run' || e.tax || repeat('0', 20), 16) || '/' || path END AS location
+FROM e JOIN l USING (supplier) WHERE latest > 0""")
+def snk4_publish_runs(spark, d):
+    """Runs of books (the supplier; the tax tells runs apart) published in two halves, the second one twice."""
+    exports, runs = published_runs(spark, d)
+    store = Publication(spark, workspace(spark))
+    early = F.col("tax") <= 4
+    for part in (early, ~early, ~early):
+        store.publish(runs.filter(part), exports.filter(part))
+    return store.located().select("book_id", "path", "current", "location")
+
+
+def published_runs(spark, d):
+    rec = records(spark, d).filter("tax > 0").select(F.col("supplier").cast("string").alias("book_id"), "tax", "segment_id", "seg_index", "status", "duration", "discount")
+    signature = F.concat(F.lit("run"), F.col("tax").cast("string"), F.lit("0" * 20))
+    at = F.timestamp_seconds(F.col("tax") * 86400)
+    rows = rec.withColumn("signature", signature).withColumn("run_at", at)
+    exports = rows.select("book_id", "tax", "signature", "run_at", F.lit("chapter").alias("kind"), F.lit("flac").alias("format"), F.col("seg_index").alias("chapter_index"),
+                          F.concat_ws("/", "segment_id", "seg_index").alias("path")).distinct()
+    done = F.col("status") == "completed"
+    runs = rows.groupBy("book_id", "tax", "signature", "run_at").agg(
+        F.when(F.count_if(~done) > 0, "failed").otherwise("completed").alias("status"), F.count_if(done).alias("generated"), F.lit(7).alias("total_chapters"),
+        F.sort_array(F.collect_set("seg_index")).alias("selected_chapters"), F.sum("duration").alias("audio_seconds"), F.sum("discount").alias("generation_seconds"))
+    return exports, runs
+
+
+@query("snk2_run_manifest", f"""
+WITH {RECORDS}, l AS (SELECT supplier, max(tax) AS tax FROM records WHERE tax > 0 GROUP BY 1), r AS (SELECT r.* FROM records r JOIN l USING (supplier, tax)),
+e AS (SELECT supplier, count(DISTINCT segment_id || '/' || seg_index) AS exports FROM r GROUP BY 1)
+SELECT supplier::VARCHAR AS book_id, CASE WHEN bool_and(status = 'completed') THEN 'completed' ELSE 'failed' END AS status, count(*) FILTER (status = 'completed') AS generated,
+  count(DISTINCT seg_index) = 7 AS complete_book, CASE WHEN count(DISTINCT seg_index) = 7 THEN 'complete_book' ELSE 'selected_chapters' END AS export_scope,
+  array_to_string(list_sort(list(DISTINCT seg_index)), ',') AS selected, any_value(exports) AS exports, sum(discount)::DOUBLE / nullif(sum(duration), 0) AS rtf FROM r JOIN e USING (supplier) GROUP BY 1""")
+def snk2_run_manifest(spark, d):
+    """The document of each book's newest run, written as JSON and read back."""
+    exports, runs = published_runs(spark, d)
+    store, path = Publication(spark, workspace(spark)), workspace(spark)
+    store.publish(runs, exports)
+    documents = store.manifests()
+    writers.write_manifest(documents, path)
+    back = spark.read.schema(documents.schema).json(path)
+    return back.select("book_id", "status", "generated", "complete_book", "export_scope", F.array_join(F.transform("selected_chapters", lambda c: c.cast("string")), ",").alias("selected"),
+                       F.size("exports").cast("bigint").alias("exports"), "rtf")
+
+
 @query("snk5_bundle_manifest", f"""
 WITH {MEDIA}, ok AS (SELECT DISTINCT j.owner AS bundle_id, m.job_id, m.media_id, m.path FROM media m JOIN jobs j USING (job_id) WHERE j.status = 'completed' AND m.format = CASE WHEN j.owner % 2 = 0 THEN 'flac' ELSE 'mp3' END AND j.cents % 10 <> 0)
 SELECT bundle_id, job_id, 'task_' || job_id || '/' || path AS archive_name FROM ok""")

@@ -17,12 +17,9 @@ from .state_queries import POLICY, SEGMENT_IDS, line_ids
 
 @query("g2_segment_sql", f"WITH {DOC_SEGMENTS} SELECT k AS doc_id, seg_index, text, boundary FROM segs")
 def g2_segment_sql(spark, d):
-    """The exact segmentation called from SQL."""
+    """The exact segmentation as a table function of SQL."""
     sql.register(spark)
-    return spark.sql("""
-        SELECT doc_id, CAST(at + 1 AS BIGINT) AS seg_index, piece.text, piece.boundary
-        FROM {documents} LATERAL VIEW OUTER posexplode(segment_text(text)) AS at, piece WHERE at IS NOT NULL""",
-                     documents=table(spark, d, "documents"))
+    return spark.sql("SELECT d.doc_id, s.seg_index, s.text, s.boundary FROM {documents} d, LATERAL segment_text(d.text) s", documents=table(spark, d, "documents"))
 
 
 @query("fn_clock", "SELECT o_orderkey, CASE WHEN s >= 3600 THEN s // 3600 || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') ELSE (s // 60)::VARCHAR END || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS label FROM (SELECT o_orderkey, floor(o_totalprice / 40)::BIGINT AS s FROM orders)")
@@ -43,6 +40,8 @@ def _measure(texts: list[str]) -> list[float]:
     return [len(t) / 10 for t in texts]
 
 
+RETRIES = 1
+
 RUN = f"""
 WITH {LINES}, {SEGMENT_IDS},
 done AS (SELECT DISTINCT i.segment_id FROM ids i JOIN labels l USING (doc_id) WHERE l.quality = 1),
@@ -52,6 +51,16 @@ r AS (SELECT p.*, CASE WHEN d.segment_id IS NOT NULL THEN 'cached' WHEN contains
 """
 
 
+def judged_round(pending, number):
+    """One round: batches, scores, verdicts."""
+    batched = work.plan_batches(pending, ["source", "doc_id"], "line_no", F.length("text"), 4)
+    scored = work.score_batches(batched, _measure, ["source", "doc_id", *work.BATCH_KEY], "item", order="line_no")
+    outcome = batched.select("item", "attempt").join(scored.withColumnRenamed("item_id", "item"), "item")
+    reasons = F.when(F.col("error").isNotNull(), F.array(F.lit("engine"))).otherwise(quality.speed_reasons(F.lit(0), F.col("score")))
+    judged = quality.verdict(outcome.withColumn("reasons", reasons).withColumn("cer", F.lit(None).cast("double")))
+    return judged.select("item", "attempt", F.col("pass").alias("passed"), "reasons", "error")
+
+
 def outcomes(spark, d):
     """Plan, identify, skip finished work, batch, score and judge: the fate of every segment of a book (the source).
 
@@ -67,12 +76,9 @@ def outcomes(spark, d):
     unique = planned.groupBy("source", "segment_id").agg(F.count("*").alias("n"), F.min_by(F.struct("doc_id", "line_no", "text"), F.struct("doc_id", "line_no")).alias("_s"))
     work_items = unique.select("source", "segment_id", "n", "_s.*").join(decided, "segment_id")
     pending = work_items.filter(F.col("verdict") == "pending")
-    batched = work.plan_batches(pending, ["source", "doc_id"], "line_no", F.length("text"), 4).withColumn("item", F.concat_ws("/", "source", "segment_id"))
-    # an engine is costly and need not be deterministic: its answers are written once
-    scored = stable(work.score_batches(batched, _measure, ["source", "doc_id", *work.BATCH_KEY], "item", order="line_no"))
-    outcome = batched.select("item", F.length("text").alias("chars")).join(scored.withColumnRenamed("item_id", "item"), "item")
-    reasons = F.when(F.col("error").isNotNull(), F.array(F.lit("engine"))).otherwise(quality.speed_reasons(F.lit(0), F.col("score")))
-    judged = quality.verdict(outcome.withColumn("reasons", reasons).withColumn("cer", F.lit(None).cast("double"))).select("item", F.col("pass").alias("passed"))
+    items = pending.withColumn("item", F.concat_ws("/", "source", "segment_id"))
+    # an engine is costly and need not be deterministic: the answers of a round are written once, and only what failed is asked again
+    judged = work.retry_loop(stable(items), judged_round, "item", RETRIES).select("item", "passed")
 
     rows = work_items.withColumn("item", F.concat_ws("/", "source", "segment_id")).join(judged, "item", "left")
     fate = F.when(F.col("verdict") == "cached", "cached").when(F.col("passed"), "generated").otherwise("failed")

@@ -32,7 +32,7 @@ c AS (SELECT *, levenshtein(r, h) AS distance FROM p)
 def pairs(spark, d) -> DataFrame:
     """Turns beside a noisy transcript of themselves, whole texts."""
     heard = F.replace(F.replace(F.replace("text", F.lit("ou"), F.lit("u")), F.lit(" la "), F.lit(" ")), F.lit("é"), F.lit("éé"))
-    return conversations(spark, d).repartition(spark.sparkContext.defaultParallelism, "conv_id", "turn").withColumn("transcript", heard)
+    return conversations(spark, d).withColumn("transcript", heard)
 
 
 @query("q1_cer", f"""
@@ -52,9 +52,7 @@ def q2_edit_ops(spark, d):
 
 @query("j9_recheck_transcripts", f"WITH {COMPARED} SELECT conv_id, turn, distance / greatest(length(r), 1) <= 0.15 AS pass FROM c")
 def j9_recheck_transcripts(spark, d):
-    both = pairs(spark, d).withColumn("key", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
-    stored, heard = both.select("key", "conv_id", "turn", "text"), both.select("key", "transcript")
-    return sl.recheck_transcripts(stored, heard, "key").select("conv_id", "turn", "pass")
+    return sl.recheck_transcripts(pairs(spark, d), None, "key").select("conv_id", "turn", "pass")
 
 
 def _reasons(*cases: tuple[str, str]) -> str:
@@ -196,6 +194,22 @@ def q9_clip_range_check_spread(spark, d):
     return ranges(spark, d, parts=40)
 
 
+@query("q9_broken_ranges", """
+WITH c AS (SELECT user_id, event_id, value AS s, CASE event_id % 13 WHEN 0 THEN 1e300 ELSE value + event_id % 7 END AS e, CASE event_id % 11 WHEN 0 THEN 1e300 WHEN 1 THEN NULL ELSE 200.0 END AS dur,
+  event_id % 13 IN (1, 2) AS broken FROM events),
+t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n,
+  sum(CASE WHEN NOT broken AND e < 1e15 AND dur IS NOT NULL THEN round(e - s, 9) ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS total FROM c)
+SELECT user_id, event_id, CASE WHEN broken OR dur IS NULL OR NOT (s >= 0 AND s < e AND e <= dur + 0.05) THEN 'invalid_range' WHEN dur > 600 THEN 'source_too_long'
+  WHEN n > 5 THEN 'too_many_clips' WHEN total > 60 THEN 'selection_too_long' END AS error FROM t""")
+def q9_broken_ranges(spark, d):
+    """Ends that are huge, infinite or no number, and lengths that are missing, among good ranges."""
+    k = F.col("event_id")
+    end = F.when(k % 13 == 0, F.lit(1e300)).when(k % 13 == 1, F.lit(float("nan"))).when(k % 13 == 2, F.lit(float("inf"))).otherwise(F.col("value") + k % 7)
+    length = F.when(k % 11 == 0, F.lit(1e300)).when(k % 11 != 1, F.lit(200.0))
+    events = table(spark, d, "events").select("user_id", "event_id", F.col("value").alias("start"), end.alias("end"), length.alias("duration"))
+    return cp.check_ranges(events, ["user_id"], "event_id").select("user_id", "event_id", "error")
+
+
 @query("q10_edge_trim", f"""
 WITH {SIGNAL}, p AS (SELECT vec_id, s, greatest(0.002, 0.5 * list_max(list_transform(s, lambda x: abs(x)))) AS thr FROM loud),
 b AS (SELECT vec_id, s, list_position(list_transform(s, lambda x: abs(x) > thr), true) AS f, len(s) + 1 - list_position(list_transform(list_reverse(s), lambda x: abs(x) > thr), true) AS l FROM p),

@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import workspace
 from ..streaming import jobs as st
-from .inputs import RECORDS, sql_tidy
+from ..sources.store import feed
+from .inputs import RECORDS, records, sql_tidy, table
 from .job_queries import RECEIPTS, attempted_jobs
-from .registry import query
+from .registry import ORACLES, query
 from .segment_queries import sql_segments
 
-_STATE = "spark.sql.streaming.stateStore.providerClass"
+SLICES = 5
+
+
+def arriving(rows: DataFrame, column: str, late=None) -> DataFrame:
+    """A table in ``SLICES`` arrivals of equal spans of ``column``. Rows that are ``late`` come three slices after their own, if there are three more
+    (a trigger drops what is behind the watermark two triggers before it)."""
+    timed = rows.schema[column].dataType.typeName().startswith("timestamp")
+    value = (F.unix_micros(F.col(column).cast("timestamp")) if timed else F.col(column)).cast("double")
+    low, high = rows.agg(F.min(value), F.max(value)).first()
+    own = F.least(F.floor((value - F.lit(low)) / F.lit(max((high or 0) - (low or 0), 1e-9)) * SLICES), F.lit(SLICES - 1)).cast("int")
+    if late is not None:
+        own = F.when(late & (own < SLICES - 3), own + 3).otherwise(own)
+    return st.arrivals(rows, F.coalesce(own, F.lit(0)), SLICES)
 
 
 def streamed_records(spark, d) -> DataFrame:
@@ -32,8 +46,21 @@ def st1_stream_segments(spark, d):
     return rows.select("doc_id", F.col("seg_index").cast("bigint").alias("seg_index"), "text", "boundary")
 
 
-@query("st2_stream_latest_state", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
+_LATEST = "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1"
+
+
+@query("st2_stream_latest_state", _LATEST)
 def st2_stream_latest_state(spark, d):
+    """Five arrivals merged into a keyed table."""
+    log = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
+    store = st.latest_store(spark, workspace(spark), log, ["user_id"], ["ts", "event_id"])
+    feed(arriving(log, "ts"), store, workspace(spark))
+    return store.read().drop("ts")
+
+
+@query("st2_stream_latest_aggregate", _LATEST)
+def st2_stream_latest_aggregate(spark, d):
+    """The same as a streaming aggregate in update mode."""
     log = st.read_table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
     return st.drain(st.stream_latest_state(log, ["user_id"], ["ts", "event_id"]), "update", ["user_id"]).drop("ts")
 
@@ -44,11 +71,26 @@ def st3_stream_dedupe_ids(spark, d):
     return st.drain(st.stream_dedupe_ids(st.read_table(spark, d, "events").select("user_id"), "user_id"))
 
 
-@query("st3_stream_dedupe_recent", "SELECT DISTINCT event_id % 1000 AS id FROM events")
+_STRETCHES = """
+s AS (SELECT *, coalesce(t > lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) + 28800000000, true)::INT AS new FROM e),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS stretch FROM s)
+SELECT user_id, make_timestamp(min(t)) AS first_seen, make_timestamp(max(t)) AS last_seen, count(*) AS occurrences FROM r GROUP BY user_id, stretch"""
+
+
+@query("st3_stream_dedupe_recent", f"""
+WITH a AS (SELECT user_id, event_id, ts, epoch_us(ts) AS t, min(ts) OVER () AS low, max(ts) OVER () AS high, max(epoch_us(ts)) OVER () AS top FROM events),
+b AS (SELECT *, least(floor((epoch_us(ts) - epoch_us(low))::DOUBLE / (epoch_us(high) - epoch_us(low))::DOUBLE * {SLICES}), {SLICES - 1}) AS slice FROM a),
+e AS (SELECT user_id, event_id, t, top FROM b WHERE NOT (event_id % 50 = 7 AND slice < {SLICES - 3})),
+{_STRETCHES} HAVING max(t) + 28800000000 <= any_value(top) - 86400000000""")
 def st3_stream_dedupe_recent(spark, d):
-    """Bounded by a watermark longer than the table's span."""
-    items = st.read_table(spark, d, "events").select((F.col("event_id") % 1000).alias("id"), "ts")
-    return st.drain(st.stream_dedupe_ids(items, "id", "ts", "400 days")).select("id")
+    """An id counts again after eight quiet hours. Five arrivals; some rows come days late and are left out; state lives for a day and a third."""
+    items = table(spark, d, "events").select("user_id", "event_id", "ts")
+    return st.drain(st.stream_dedupe_ids(arriving(items, "ts", F.col("event_id") % 50 == 7), "user_id", "ts", "8 hours", "1 day"))
+
+
+@query("st3_dedupe_recent_batch", f"WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events), {_STRETCHES}")
+def st3_dedupe_recent_batch(spark, d):
+    return st.dedupe_ids_batch(table(spark, d, "events").select("user_id", "event_id", "ts"), "user_id", "ts", "8 hours")
 
 
 @query("st4_stream_progress", f"""
@@ -60,6 +102,23 @@ def st4_stream_progress(spark, d):
     return st.progress_ratios(st.drain(st.stream_progress(rows, "supplier"), "update", ["supplier"]))
 
 
+def live_records(spark, d) -> DataFrame:
+    rec = records(spark, d)
+    clock = F.when(F.col("tax") > 7, F.col("tax")).otherwise(0)
+    return rec.select("supplier", "segment_id", "status", F.col("cents").alias("chars"), "duration", F.col("discount").alias("generation_seconds"), clock.alias("elapsed_seconds"), "shipped_at")
+
+
+@query("st4_live_progress", ORACLES["a2_progress_metrics"])
+def st4_live_progress(spark, d):
+    """What is left, rates and the time to go, after the last of five arrivals."""
+    rows = live_records(spark, d)
+    plan = rows.select("supplier", "segment_id", "chars")
+    store = st.progress_store(spark, workspace(spark), rows, ["supplier"])
+    feed(st.outcomes(arriving(rows.withColumn("at", F.unix_date(F.col("shipped_at").cast("date"))), "at"), ["supplier"]), store, workspace(spark))
+    found = st.live_progress(store.read(), plan, ["supplier"])
+    return found.select("supplier", "total", "completed", "remaining_chars", "rtf", "audio_seconds_per_second", "segments_per_minute", "eta_seconds")
+
+
 _BUDGET = """
 WITH a AS (SELECT user_id AS id, event_id AS seq, CASE WHEN event_type IN ('signup', 'purchase') THEN 'completed' ELSE 'failed' END AS kind, (event_id // 400)::VARCHAR AS policy FROM events),
 r AS (SELECT *, (kind <> 'failed' OR coalesce(lag(policy) OVER (PARTITION BY id ORDER BY seq) <> policy, false))::INT AS reset FROM a),
@@ -76,12 +135,9 @@ def _attempts(events: DataFrame) -> DataFrame:
 
 @query("st5_retry_budget", _BUDGET)
 def st5_retry_budget(spark, d):
-    before = spark.conf.get(_STATE, None)
-    spark.conf.set(_STATE, st.ROCKSDB)
-    try:
-        return st.drain(st.retry_budget(_attempts(st.read_table(spark, d, "events"))))
-    finally:
-        spark.conf.set(_STATE, before) if before else spark.conf.unset(_STATE)
+    """Five arrivals; budgets in between in a keyed table."""
+    attempts = _attempts(table(spark, d, "events"))
+    return st.retry_budget(arriving(attempts, "seq"), st.budget_store(spark, workspace(spark)), workspace(spark), workspace(spark))
 
 
 @query("st5_retry_budget_batch", _BUDGET)
@@ -91,7 +147,9 @@ def st5_retry_budget_batch(spark, d):
 
 @query("st6_stale_events", RECEIPTS)
 def st6_stale_events(spark, d):
-    receipts = streamed_records(spark, d).withColumn("attempt_id", F.col("seg_index") % 3).withColumnRenamed("shipped_at", "updated_at")
+    """Five arrivals against the job table."""
+    rows = records(spark, d).drop("tax")
+    receipts = arriving(rows.withColumn("at", F.unix_date(F.col("shipped_at").cast("date"))), "at").withColumn("attempt_id", F.col("seg_index") % 3).withColumnRenamed("shipped_at", "updated_at")
     return st.drain(st.stale_events(receipts, attempted_jobs(spark, d)).select("job_id", "seg_index", "segment_id", "cents"))
 
 

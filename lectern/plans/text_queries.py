@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, kernels
 from ..functions import text as tx
+from ..functions.rows import unnest
 from ..operators import clean as cl
-from .inputs import (SENTENCE_LINE, documents, pages, sql_html, sql_lines, sql_strip, sql_tidy, sql_unescape)
+from ..operators import rules
+from .inputs import (SENTENCE_LINE, documents, pages, sql_html, sql_lines, sql_strip, sql_tidy, sql_unescape, table)
 from .registry import query
 
 _TAGGED = fixed.TAGGED
@@ -180,6 +182,41 @@ def t12_drop_matching_lines(spark, d):
     return df.select("doc_id", "text", entry["n"].alias("removed"), entry["removed_sha256"].alias("removed_sha256"))
 
 
+#: Rules by language: (language, ordinal, pattern).
+LINE_RULES = [("en", 2, r"(?i)copyright"), ("en", 1, r"(?i)licen[sc]e"), ("en", 3, r"token = "), ("fr", 1, r"[0-9]{3}\.[0-9]"), ("de", 1, r"token = "), ("de", 2, r"(?i)licen[sc]e")]
+_BY_LANGUAGE = "CASE " + " ".join(f"WHEN lang = '{lang}' AND regexp_matches(x, '{p}') THEN '{p}'" for lang, _, p in sorted(LINE_RULES)) + " END"
+
+
+def line_rules(spark) -> DataFrame:
+    return spark.createDataFrame(LINE_RULES, "scope string, ordinal int, pattern string")
+
+
+@query("t12_drop_by_rules", f"""
+WITH j AS (SELECT doc_id, list_transform({sql_lines('text')}, lambda x: {{'pattern': {_BY_LANGUAGE}, 'text': x}}) AS ls FROM documents),
+r AS (SELECT doc_id, list_filter(ls, lambda x: x.pattern IS NOT NULL) AS gone, list_filter(ls, lambda x: x.pattern IS NULL) AS kept FROM j)
+SELECT doc_id, array_to_string(list_transform(kept, lambda x: x.text), chr(10)) AS text, nullif(len(gone), 0)::BIGINT AS removed,
+  CASE WHEN len(gone) > 0 THEN sha256(to_json(gone)::VARCHAR) END AS removed_sha256 FROM r""")
+def t12_drop_by_rules(spark, d):
+    """Patterns that are rows and differ by language."""
+    df = rules.drop_matching_lines(documents(spark, d), line_rules(spark), "lang")
+    entry = F.get("audit", F.lit(0))
+    return df.select("doc_id", "text", entry["n"].alias("removed"), entry["removed_sha256"].alias("removed_sha256"))
+
+
+@query("t12_rules_from_items", r"""
+WITH k AS (SELECT 'en' AS scope, item_id AS ordinal, regexp_extract(text, '([a-zA-Z]{5,}) ', 1) AS pattern FROM benchmark),
+l AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+h AS (SELECT l.doc_id, l.line, (SELECT arg_min(k.pattern, k.ordinal) FROM k WHERE k.scope = l.lang AND regexp_matches(l.line, k.pattern)) AS pattern FROM l)
+SELECT doc_id, count(*) AS lines, count(pattern) AS dropped, min(pattern) AS least FROM h GROUP BY doc_id""")
+def t12_rules_from_items(spark, d):
+    """As many rules as there are benchmark items, each a word of one; the plan is the same for any number."""
+    word = F.regexp_extract("text", "([a-zA-Z]{5,}) ", 1)
+    from_items = table(spark, d, "benchmark").select(F.lit("en").alias("scope"), F.col("item_id").alias("ordinal"), word.alias("pattern"))
+    lines = unnest(documents(spark, d).filter(F.col("text").isNotNull()), F.split("text", "\n", -1), "doc_id", "lang", value="line")
+    judged = rules.exclude_chapters(lines, from_items, "lang", "line")
+    return judged.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count("excluded_by").alias("dropped"), F.min("excluded_by").alias("least"))
+
+
 @query("t13_strip_front_matter", f"""
 WITH t AS (SELECT doc_id, text, {sql_lines('text')} AS ls FROM documents),
 f AS (SELECT *, list_position(list_transform(ls, lambda x: regexp_matches({sql_strip('x')}, '^[^.]{{1,58}}\\.$')), true) AS p FROM t)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, fields
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .functions import fixed
 
@@ -79,8 +80,8 @@ def load(kind, values: dict):
 
 def check_patterns(spark: SparkSession, patterns: list[str]) -> None:
     """Fail on the driver if a pattern is no valid regular expression of the engine that will run it."""
-    for pattern in patterns:
-        try:
-            spark._jvm.java.util.regex.Pattern.compile(pattern)
-        except Exception as exc:
-            raise ValueError(f"Invalid regular expression: {pattern}") from exc
+    if patterns:
+        compiled = [F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.lit(p)).alias(f"p{i}") for i, p in enumerate(patterns)]
+        for pattern, found in zip(patterns, spark.range(1).select(*compiled).first(), strict=True):
+            if found is None:
+                raise ValueError(f"Invalid regular expression: {pattern}")

@@ -56,9 +56,11 @@ def write_reports(report: DataFrame, path: str, mode: str = "overwrite") -> None
     report.write.mode(mode).json(path)
 
 
-def write_exports(exports: DataFrame, path: str, mode: str = "append") -> None:
-    """Exports live under their run signature, so a new run never overwrites an older one."""
-    exports.withColumn("signature16", F.left("signature", F.lit(16))).write.mode(mode).partitionBy("signature16").parquet(path)
+def write_exports(exports: DataFrame, path: str) -> None:
+    """Exports live under their run signature, so a new run never overwrites an older one; writing a run again replaces its own. A call brings all
+    exports of the signatures in it. Readers that must not see half a run use ``publish``."""
+    (exports.withColumn("signature16", F.left("signature", F.lit(16))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("signature16").parquet(path))
 
 
 def supersede(exports: DataFrame, runs: DataFrame, book: str = "book_id", stamp: Column | str = "run_at") -> DataFrame:

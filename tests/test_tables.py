@@ -248,12 +248,9 @@ def test_budget_stream_equals_batch_over_several_triggers(spark, tmp_path):
     for part in range(3):
         spark.createDataFrame(rows[part * 100:(part + 1) * 100], fields).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
     batch = spark.createDataFrame(rows, fields)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", st.ROCKSDB)
-    try:
-        stream = spark.readStream.schema(fields).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
-        found = {tuple(r) for r in st.drain(st.retry_budget(stream)).collect()}
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    stream = spark.readStream.schema(fields).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    store = st.budget_store(spark, str(tmp_path / "budgets"), buckets=3)
+    found = {tuple(r) for r in st.retry_budget(stream, store, str(tmp_path / "spent"), str(tmp_path / "marks")).collect()}
     expected = {tuple(r) for r in st.retry_budget_batch(batch).collect()}
     spread = {tuple(r) for r in st.retry_budget_batch(batch, parts=20).collect()}
     assert found == expected == spread and expected
