@@ -54,11 +54,12 @@ def _measure(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.R
         n_words, word_chars = np.diff(words.first), w.sums(chars, words.first)
 
         dup_lines, line_chars = _lines(block, words, chars)
-        base, twice, _ = _covered(words, owner, 3, None)
+        total = w.rolling(words)
+        base, twice, _ = _covered(words, total, owner, 3, None)
         shares = []
         for n, _ in limits.coverage:
             # an n-gram can only repeat where all the trigrams in it do
-            _, _, later = _covered(words, owner, n, twice)
+            _, _, later = _covered(words, total, owner, n, twice)
             shares.append(w.sums(chars * later, words.first) / np.maximum(word_chars, 1))
         repeat = w.sums(base, words.first)
         failed = (n_words < limits.min_words) | (repeat > limits.repeat_words * n_words)
@@ -75,10 +76,10 @@ def _measure(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.R
             ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "line_coverage", "ngram_coverage", "kept"])
 
 
-def _covered(words: w.Spans, owner: np.ndarray, n: int, within: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _covered(words: w.Spans, prefix: np.ndarray, owner: np.ndarray, n: int, within: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per word: inside any repeated n-gram; is the first word of one; inside a later occurrence of one."""
     total = len(words.hash)
-    at, value = w.windows(words, n)
+    at, value = w.rolled(words, prefix, n)
     if within is not None:
         run = np.zeros(total + 1, np.int64)
         np.cumsum(within, out=run[1:])

@@ -130,6 +130,20 @@ def windows(words: Spans, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, mix(value)
 
 
+def rolling(words: Spans) -> np.ndarray:
+    """Prefix sums from which the hash of any run of words follows by one subtraction and one multiplication; see ``rolled``."""
+    total = np.zeros(len(words.hash) + 1, np.uint64)
+    np.cumsum(words.hash * powers(len(words.hash), True), out=total[1:])
+    return total
+
+
+def rolled(words: Spans, total: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``windows``, from the prefix sums of all words: the cost does not depend on ``n``."""
+    last = np.repeat(words.first[1:], np.diff(words.first))
+    at = np.flatnonzero(np.arange(len(words.hash)) + n <= last)
+    return at, mix((total[at + n] - total[at]) * powers(len(words.hash), False)[at] + np.uint64(n))
+
+
 def keyed(value: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Hashes that only agree within one owner."""
     return mix(value + (owner.astype(np.uint64) + np.uint64(1)) * _BASE)
