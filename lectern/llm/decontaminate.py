@@ -20,6 +20,7 @@ from . import words as w
 from .tables import FILTER_BITS, bit_filter, passes
 
 STRETCH, REPLACED = 13, 2
+SHORTEST = 4  # tokens of an item that is looked for inside other text
 MASKS = ("11101011", "11001111")
 
 
@@ -32,7 +33,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     tokens that agree within such stretches on the best alignment, ``overlap`` is their share of ``item_tokens``; ``doc_start``
     and ``item_start`` are the first token of the first stretch there. Ties take the earliest alignment.
 
-    Null and empty texts, and those shorter than a stretch, share nothing. Rows without id are left out on both sides. Items with
+    An item shorter than a stretch is matched as a whole and without replacements; with fewer than ``SHORTEST`` tokens, only by a
+    text that has no others. Null and empty texts share nothing. Rows without id are left out on both sides. Items with
     equal tokens are compared once, and each is reported. Rows that share a document id are compared one by one; the best
     counts. An empty table on either side gives an empty result.
     """
@@ -43,10 +45,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     unique = stable(coded.groupBy("digest").agg(F.first("tokens").alias("item"), F.first("seeds").alias("seeds")))
     seeds = stable(unique.select("digest", F.posexplode("seeds").alias("at", "seed"))
                    .select("digest", "seed", F.expr(f"at div {len(MASKS)}").cast("int").alias("item_at")))
+    sizes = [r["size"] for r in unique.select((F.length("item") / 8).cast("int").alias("size")).filter(F.col("size").between(1, STRETCH - 1)).distinct().collect()]  # at most 12
     reach = unique.agg(F.max(F.length("item"))).first()[0]
     wanted = bit_filter(seeds.select(F.expr(f"cast(seed & {(1 << FILTER_BITS) - 1} as int)").alias("bit")))
     source = docs.filter(docs[id_col].isNotNull()).select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    regions = stable(source.mapInArrow(lambda b: _regions(b, wanted, (reach or 0) // 8),
+    regions = stable(source.mapInArrow(lambda b: _regions(b, wanted, (reach or 0) // 8, sizes),
                                        f"doc_id {kind}, region long, first_token long, tokens binary, hits array<struct<at:int,seed:long>>"))
     hits = regions.select("doc_id", "region", F.explode("hits").alias("hit")).select("doc_id", "region", "hit.*")
     lines = hits.join(seeds, "seed").select("doc_id", "region", "digest", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
@@ -81,27 +84,52 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = block.spans(w.PUNCTUATION, lower=True)
         at, seed = _seeds(words)
         first = np.searchsorted(at, words.first)
+        total = w.rolling(words)
         digest, tokens, seeds = [], [], []
         for d in range(len(block)):
             own = words.hash[words.first[d]:words.first[d + 1]]
             value = np.uint64(len(own))
             with np.errstate(over="ignore"):
-                total = np.add.reduce(w.mix(own + np.arange(len(own), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))) if len(own) else np.uint64(0)
-                digest.append(w.mix(np.array([value + total], np.uint64)).view(np.int64)[0])
+                summed = np.add.reduce(w.mix(own + np.arange(len(own), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))) if len(own) else np.uint64(0)
+                digest.append(w.mix(np.array([value + summed], np.uint64)).view(np.int64)[0])
             tokens.append(own.tobytes())
-            seeds.append(seed[first[d]:first[d + 1]].ravel().view(np.int64) if len(own) >= STRETCH else [])
+            seeds.append(seed[first[d]:first[d + 1]].ravel().view(np.int64) if len(own) >= STRETCH else whole(words, total, d))
         yield pa.RecordBatch.from_arrays([block.rows.column("item_id"), pa.array(digest, pa.int64()), pa.array(tokens, pa.binary()), pa.array(seeds, pa.list_(pa.int64()))],
                                          ["item_id", "digest", "tokens", "seeds"])
 
 
-def _regions(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, reach: int) -> Iterator[pa.RecordBatch]:
+def whole(words: w.Spans, total: np.ndarray, d: int) -> np.ndarray:
+    """The one seed of a short item: the hash of all its tokens."""
+    low, high = int(words.first[d]), int(words.first[d + 1])
+    if low == high:
+        return np.zeros(0, np.int64)
+    return w.mix((total[high:high + 1] - total[low:low + 1]) * w.powers(len(words.hash), False)[low:low + 1] + np.uint64(high - low)).view(np.int64)
+
+
+def _short(words: w.Spans, sizes: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places and hashes of runs as long as the short items."""
+    total = w.rolling(words)
+    out = []
+    for size in sizes:
+        at, value = w.rolled(words, total, size)
+        if size < SHORTEST:
+            alone = np.repeat(np.diff(words.first) == size, np.diff(words.first))[at]
+            at, value = at[alone], value[alone]
+        out.append((at, value))
+    return out
+
+
+def _regions(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, reach: int, sizes: list[int]) -> Iterator[pa.RecordBatch]:
     """Stretches of a document around seeds that may be the benchmark's: all tokens within the longest item's length."""
     for block in w.blocks(batches):
         words = block.spans(w.PUNCTUATION, lower=True)
         at, seed = _seeds(words)
+        places = [(np.repeat(at, len(MASKS)), seed.ravel()), *_short(words, sizes)]
+        at, seed = np.concatenate([a for a, _ in places]), np.concatenate([s for _, s in places])
         maybe = passes(wanted, (seed & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64))
-        place, mask = np.nonzero(maybe)
-        at, seed = at[place], seed[place, mask].view(np.int64)
+        at, seed = at[maybe], seed[maybe].view(np.int64)
+        order = np.argsort(at, kind="stable")
+        at, seed = at[order], seed[order]
         owner = words.owner()[at] if len(at) else at
         ids, region, first, tokens, hits = [], [], [], [], []
         cut = np.flatnonzero((owner[1:] != owner[:-1]) | (at[1:] - at[:-1] > 2 * reach)) + 1 if len(at) else []
@@ -125,6 +153,8 @@ def _regions(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, reach: int)
 def aligned(tokens: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int]:
     """Item position of the first good stretch when item token 0 lies at ``shift``, and agreeing tokens inside good stretches."""
     low, high = max(0, -shift), min(len(item), len(tokens) - shift)
+    if len(item) < STRETCH:
+        return 0, len(item) if high - low == len(item) and (tokens[shift:shift + len(item)] == item).all() else 0
     if high - low < STRETCH:
         return 0, 0
     same = tokens[low + shift:high + shift] == item[low:high]
