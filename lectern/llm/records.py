@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as w
+from .tables import whole_numbers
 from .tokenizing import Ids
 
 MASK = 0xA282EAD8
@@ -43,12 +44,14 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0
 
     The texts are sorted over the cluster into ``files`` ranges of ids (``spark.sql.shuffle.partitions`` by default). ``folder`` is a URI that
     every executor can write to. A null or empty text is the end id alone. Rows without id come first; rows that share an id follow
-    each other. An empty table gives an empty manifest.
+    each other, in any number of files. Ids are whole numbers; a column of another type is an error. An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
-    source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    ordered = (source.repartitionByRange(files or int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-               .sortWithinPartitions("doc_id", F.xxhash64("text")))
+    whole_numbers(docs, id_col)
+    source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    # one id may hold any share of the rows: its texts, and their copies, are spread too
+    order = ["doc_id", "hash", "row"]
+    ordered = source.repartitionByRange(files or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     where = f"{folder}/{uuid.uuid4().hex}"
     ordered.mapInArrow(lambda b: _write(b, where, vocabulary, end_id), MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 from ..session import stable
 
@@ -21,6 +22,13 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+def whole_numbers(df: DataFrame, column: str) -> None:
+    """Raises if ``column`` does not hold whole numbers."""
+    kind = df.select(column).schema[0].dataType
+    if not isinstance(kind, (IntegralType, NullType)):
+        raise TypeError(f"{column} is {kind.simpleString()}; ids have to be whole numbers")
+
+
 def slot(value: Column) -> Column:
     """The bit a value sets in a filter."""
     return F.pmod(F.xxhash64(value), F.lit(1 << FILTER_BITS)).cast("int")
