@@ -150,3 +150,13 @@ def pick_cover(items: DataFrame) -> DataFrame:
     return (items.filter(F.col("media_type").startswith("image/")).withColumn("_rank", rank)
             .filter(F.col("_rank").isNotNull()).groupBy("book_id")
             .agg(F.min_by(F.col("name"), F.struct("_rank", "pos")).alias("cover_name")))
+
+
+def cover_images(items: DataFrame) -> DataFrame:
+    """The picked cover of each book with its bytes: ``book_id, cover_name, media_type, data``. Covers are picked without the bytes; those of the
+    picked ones alone are joined back, by their place in the book."""
+    narrow = items.drop("data")
+    picked = pick_cover(narrow)
+    same = [items["book_id"] == F.col("_book"), items["name"] == F.col("cover_name")]
+    found = items.filter(items["media_type"].startswith("image/")).join(picked.withColumnRenamed("book_id", "_book"), same)
+    return found.groupBy("book_id", "cover_name").agg(F.min_by(F.struct("media_type", "data"), "pos").alias("_c")).select("book_id", "cover_name", "_c.*")

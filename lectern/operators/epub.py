@@ -12,7 +12,7 @@ from ..functions import text as tx
 from ..functions.rows import keep_where, unnest
 from ..session import stable
 from . import chapters as ch
-from .clean import CleanRules, clean, unescape_and_compose
+from .clean import CleanRules, clean, unescape_and_compose, record
 from .scan import position, running
 
 _MARK, _END, _CUT = "\x01", "\x02", "\x03"
@@ -97,6 +97,12 @@ def split_by_anchor(docs: DataFrame, toc: DataFrame, rules: CleanRules = CleanRu
     return keep_where(clean(sections, rules), tx.readable("text")), plain, missing
 
 
+def split_notes(sections: DataFrame, text: str = "text") -> DataFrame:
+    """An audit row for each document that was split at anchors, with the number of its readable sections: ``book_id, pos, source, operation, detail``."""
+    counted = sections.groupBy("book_id", "pos", F.col("name").alias("source")).agg(F.count_if(tx.readable(text)).alias("_n"))
+    return counted.select("book_id", "pos", "source", F.lit("split_toc_anchors").alias("operation"), record("split_toc_anchors", F.col("_n")).alias("detail"))
+
+
 def assemble(spine: DataFrame, docs: DataFrame, toc: DataFrame, rules: CleanRules = CleanRules()) -> tuple[DataFrame, DataFrame]:
     """Chapters in reading order (``book_id, chapter_index, title, text, source``) and the audit of every decision.
 
@@ -145,7 +151,7 @@ def assemble(spine: DataFrame, docs: DataFrame, toc: DataFrame, rules: CleanRule
     audit = repeated
     for extra in (navigation, note(written.filter("empty"), "skip_image_only_or_empty"),
                   note(parsed.filter(F.length("_trimmed") < F.length("text")), "remove_adjacent_duplicate_title"),
-                  note(parsed.filter(split_docs & F.col("flagged")), "review_non_paragraph_document"), missing, cleaned):
+                  note(parsed.filter(split_docs & F.col("flagged")), "review_non_paragraph_document"), missing, split_notes(written.filter("anchored")), cleaned):
         audit = audit.unionByName(extra, allowMissingColumns=True)
     return numbered.select("book_id", F.col("chapter_index").cast("int").alias("chapter_index"), "title", "text",
                            F.col("name").alias("source")), audit

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -79,11 +79,15 @@ def book_id(path: Column, stem: Column) -> Column:
     return F.concat(tx.safe_name(stem, 40), F.lit("-"), F.left(idf.digest_string(path), F.lit(10)))
 
 
-def plan_signature(files: DataFrame, job: str, file: str, *settings: str) -> DataFrame:
+def plan_signature(files: DataFrame, job: str, file: str, *settings: str, limit: int = fixed.DOWNLOAD_JOBS) -> DataFrame:
     """One digest per plan from its sorted distinct file ids and settings; detects stale plans.
 
-    Plans hold at most 100 files, enforced by the request checks.
+    A plan of more than ``limit`` files has no signature, and ``files_n`` one more than the limit. No more ids than that are gathered; the rank
+    filter runs before the shuffle too.
     """
-    ids = files.groupBy(job, *settings).agg(F.sort_array(F.collect_set(file)).alias("files"))
-    return ids.select(job, F.size("files").alias("files_n"),
-                      idf.digest(files=F.col("files"), **{s: F.col(s) for s in settings}).alias("signature"))
+    keys = [job, *settings]
+    distinct = files.select(*keys, file).distinct()
+    near = distinct.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(file))).filter(F.col("_r") <= limit + 1)
+    ids = near.groupBy(*keys).agg(F.sort_array(F.collect_list(file)).alias("files"))
+    signature = idf.digest(files=F.col("files"), **{s: F.col(s) for s in settings})
+    return ids.select(job, F.size("files").alias("files_n"), F.when(F.size("files") <= limit, signature).alias("signature"))

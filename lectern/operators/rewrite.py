@@ -58,6 +58,13 @@ def replacement_counts(df: DataFrame, terms: dict[str, str], *keys: str, text: s
             .agg(F.count("*").alias("count")))
 
 
+def replacement_audit(df: DataFrame, terms: dict[str, str], *keys: str, text: str = "text") -> DataFrame:
+    """An audit row for each segment that terms changed: ``keys, operation, replacements``, a map from term to count."""
+    changed = df.filter(replace_terms(F.col(text), terms) != F.col(text))
+    counted = replacement_counts(changed, terms, *keys, text=text).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("source", "count"))).alias("_all"))
+    return counted.select(*keys, F.lit("pronunciation_replacements").alias("operation"), F.map_from_entries("_all").alias("replacements"))
+
+
 def preview_text(chapters: DataFrame, book: str, index: str = "chapter_index", text: str = "text",
                  limit: int = fixed.PREVIEW_TEXT) -> DataFrame:
     """The first ``limit`` characters of a book, whatever numbers its chapters have.

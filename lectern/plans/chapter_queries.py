@@ -289,3 +289,39 @@ def c16_pick_cover(spark, d):
         F.when(number % 7 == 3, "svg cover-image").alias("properties"), F.when(number % 3 != 0, "image/png").otherwise("text/css").alias("media_type"),
         F.when(F.floor(number / 10) % 2 == 0, (F.floor(number / 10) * 10 + 6).cast("string")).alias("cover_item"))
     return ch.pick_cover(items)
+
+
+@query("c16_cover_bytes", """
+WITH i AS (SELECT page_id // 10 AS book_id, page_id AS pos, url AS name, page_id % 7 = 3 AS flagged, page_id % 10 = 6 AND page_id // 10 % 2 = 0 AS declared, page_id % 3 <> 0 AS image, html FROM pages),
+r AS (SELECT *, CASE WHEN declared THEN 0 WHEN flagged OR contains(lower(name), 'cover') THEN 1 END AS rank FROM i WHERE image)
+SELECT book_id, arg_min(name, rank * 1000000000 + pos) AS cover_name, sha256(arg_min(html, rank * 1000000000 + pos)) AS sha256 FROM r WHERE rank IS NOT NULL GROUP BY book_id""")
+def c16_cover_bytes(spark, d):
+    """The picked image itself; the markup of a page stands for its bytes."""
+    number = F.col("page_id")
+    items = pages(spark, d).select(
+        F.floor(number / 10).cast("bigint").alias("book_id"), number.alias("pos"), number.cast("string").alias("item"), F.col("url").alias("name"),
+        F.when(number % 7 == 3, "svg cover-image").alias("properties"), F.when(number % 3 != 0, "image/png").otherwise("text/css").alias("media_type"),
+        F.when(F.floor(number / 10) % 2 == 0, (F.floor(number / 10) * 10 + 6).cast("string")).alias("cover_item"), F.col("html").cast("binary").alias("data"))
+    return ch.cover_images(items).select("book_id", "cover_name", F.sha2("data", 256).alias("sha256"))
+
+
+@query("c6_split_notes", f"""
+WITH h AS (
+  SELECT page_id, html, strpos(html, '<div class="ad">') AS ad, strpos(html, '<article>') AS body FROM pages),
+s AS (
+  SELECT page_id, substr(html, 1, ad - 1) AS part FROM h WHERE ad > 0 AND body > ad
+  UNION ALL SELECT page_id, substr(html, ad, body - ad) FROM h WHERE ad > 0 AND body > ad
+  UNION ALL SELECT page_id, substr(html, body) FROM h WHERE ad > 0 AND body > ad),
+t AS (SELECT page_id, {sql_tidy(sql_unescape(sql_html("part")))} AS text FROM s)
+SELECT page_id AS book_id, 'split_toc_anchors' AS operation, count(*) FILTER (regexp_matches(text, '[\\p{{L}}\\p{{N}}]')) AS n FROM t GROUP BY 1""")
+def c6_split_notes(spark, d):
+    """How many sections each split document gave."""
+    page = pages(spark, d)
+    html = F.replace(F.replace("html", F.lit('<div class="ad">'), F.lit('<div id="ad" class="ad">')), F.lit("<article>"), F.lit("<article id='body'>"))
+    name = F.col("page_id").cast("string")
+    docs = page.select(F.col("page_id").alias("book_id"), F.lit(0).alias("pos"), name.alias("name"), F.lit("Preamble").alias("title"), html.alias("html"))
+    entries = F.array(F.struct(F.lit(0).alias("pos"), F.concat(name, F.lit("#body")).alias("href"), F.lit("b").alias("title")),
+                      F.struct(F.lit(1).alias("pos"), F.concat(name, F.lit("#ad")).alias("href"), F.lit("a").alias("title")))
+    toc = unnest(page, entries, F.col("page_id").alias("book_id"), value="e").select("book_id", "e.*")
+    sections, _, _ = epub.split_by_anchor(docs, toc, CleanRules(strip_source_header=False))
+    return epub.split_notes(sections).select("book_id", "operation", F.col("detail.n").alias("n"))

@@ -199,6 +199,17 @@ def g7_replacement_counts(spark, d):
     return bigints(rw.replacement_counts(document_lines(spark, d), SWAP, "doc_id", "line_no"), "line_no")
 
 
+@query("g7_replacement_audit", f"""
+WITH {LINES}, m AS (SELECT doc_id, line_no, replace(text, 'them', chr(3)) AS t FROM lines),
+c AS (SELECT doc_id, line_no, 'them' AS source, len(t) - len(replace(t, chr(3), '')) AS n FROM m
+  UNION ALL SELECT doc_id, line_no, x, (len(t) - len(replace(t, x, ''))) // 3 FROM m, (SELECT unnest(['the', 'der', 'die']) AS x))
+SELECT doc_id, line_no, 'pronunciation_replacements' AS operation, string_agg(source || '=' || n::BIGINT, ',' ORDER BY source) AS replacements FROM c WHERE n > 0 GROUP BY ALL""")
+def g7_replacement_audit(spark, d):
+    rows = rw.replacement_audit(document_lines(spark, d), SWAP, "doc_id", "line_no")
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("replacements")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return bigints(rows.select("doc_id", "line_no", "operation", told.alias("replacements")), "line_no")
+
+
 @query("g8_expansion_guard", f"""
 WITH {LINES} SELECT doc_id, line_no, length(replace(text, 'e', 'eeeeeeeee'))::BIGINT AS spoken_chars,
   CASE WHEN contains(text, 'e') AND length(replace(text, 'e', 'eeeeeeeee')) > 1000 THEN 'Replacements expanded a segment beyond 1000 characters' END AS error FROM lines""")

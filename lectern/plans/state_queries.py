@@ -150,6 +150,24 @@ def i11_reuse_cache(spark, d):
     return cache.reuse_cache(docs, local, previous, ["signature"]).select("signature", "segment_id", "run_order")
 
 
+@query("i11_reuse_on_four", """
+WITH c AS (SELECT doc_id, lang AS signature, lower(source) AS stem, doc_id % 3 AS source_hash, n_chars % 2 AS fingerprint, sha256(text) AS segment_id FROM documents),
+prev AS (SELECT *, row_number() OVER (PARTITION BY signature, stem, source_hash, fingerprint, segment_id ORDER BY doc_id DESC) AS r FROM c WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 1 AND doc_id % 9 <> 2)
+SELECT DISTINCT w.signature, w.stem, w.source_hash, w.fingerprint, w.segment_id, p.doc_id AS run_order FROM c w JOIN prev p USING (signature, stem, source_hash, fingerprint, segment_id) WHERE p.r = 1""")
+def i11_reuse_on_four(spark, d):
+    """Earlier work is taken over only where speech signature, file stem, source and fingerprint all agree."""
+    match = ["signature", "stem", "source_hash", "fingerprint"]
+    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("signature"), F.lower("source").alias("stem"), (F.col("doc_id") % 3).alias("source_hash"),
+                                               (F.col("n_chars") % 2).alias("fingerprint"), F.sha2("text", 256).alias("segment_id"))
+    number = F.col("doc_id")
+    previous = docs.select(
+        *match, "segment_id", number.alias("run_order"), F.when(number % 5 == 0, "running").otherwise("failed").alias("run_status"),
+        F.when(number % 7 == 1, "failed").otherwise("completed").alias("status"), F.col("segment_id").alias("content_sha256"),
+        F.when(number % 9 == 2, "damaged").otherwise(F.col("segment_id")).alias("file_sha256"))
+    local = docs.limit(0).withColumn("status", F.lit("completed"))
+    return cache.reuse_cache(docs, local, previous, match).select(*match, "segment_id", "run_order")
+
+
 @query("i12_latest_state", """
 SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1""")
 def i12_latest_state(spark, d):
