@@ -20,9 +20,9 @@ from . import words as w
 from .tables import fresh
 
 UNDETERMINED = "und"
-SYMBOLS = 48
-GRAMS = SYMBOLS ** 3
 ROWS, CHUNK = 128, 2048
+HELD = 1 << 19  # trigrams with counts that a task holds before it gives them out
+POINT = 21  # bits of a code point; three make the key of a trigram
 
 
 @dataclass(frozen=True)
@@ -35,9 +35,10 @@ class Profiles:
 
 @dataclass(frozen=True)
 class Size:
-    """``languages`` bounds what reaches the driver: more of them is an error, as a larger table of prototypes would be."""
+    """``languages`` bounds what reaches the driver: more of them is an error, as a larger table of prototypes would be. ``dimensions`` are a
+    multiple of 64."""
 
-    dimensions: int = 512
+    dimensions: int = 1024
     languages: int = 2000
 
 
@@ -47,7 +48,7 @@ def fit(labelled: DataFrame, size: Size = Size(), text_col: str = "text", lang_c
     Trigram counts are added up on the executors; the driver gets one vector for each language.
     """
     source = labelled.filter(labelled[lang_col].isNotNull()).select(labelled[lang_col].cast("string").alias("lang"), labelled[text_col].alias("text"))
-    counts = source.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = source.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # one row of partial sums for each language and task
     partial = counts.mapInArrow(lambda b: _bundle(b, size.dimensions), "lang string, at int, value long")
     sums = partial.groupBy("lang", "at").agg(F.sum("value").alias("value"))
@@ -76,7 +77,7 @@ def identify(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...] = (), te
 def symbols(block: w.Block) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of the lower-cased texts and where each text's begin.
 
-    0 stands for a run of non-letters (there is one at both ends), 1 to 26 for a to z, the rest is shared out among other letters.
+    0 stands for a run of non-letters (there is one at both ends), every letter for itself.
     """
     parts, first = [], np.zeros(len(block) + 1, np.int64)
     raw = block.data.tobytes()
@@ -96,53 +97,61 @@ def symbols(block: w.Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _code(point: int) -> int:
-    c = chr(point)
-    if "a" <= c <= "z":
-        return point - 96
-    return 27 + point * 2654435761 % (1 << 32) % (SYMBOLS - 27) if c.isalpha() else 0
+    return point if chr(point).isalpha() else 0
 
 
-CODES = np.array([_code(p) for p in range(0x3000)] + [0], np.int32)
+CODES = np.array([_code(p) for p in range(0x3000)] + [0], np.int64)
+
+
+def letters(points: np.ndarray, dimensions: int) -> np.ndarray:
+    """The vector of each code point: bits of hashes of the point and the place, as -1 and 1."""
+    place = np.arange(dimensions // 64, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        words = w.mix(w.mix(points.astype(np.uint64) + np.uint64(0x51ED270B))[:, None] + place * np.uint64(0x9E3779B97F4A7C15))
+    return np.unpackbits(words.view(np.uint8).reshape(len(points), dimensions // 8), axis=1).astype(np.int8) * 2 - 1
 
 
 def _vectors(grams: np.ndarray, dimensions: int) -> np.ndarray:
-    rng = np.random.Generator(np.random.PCG64(20011))
-    letters = rng.integers(0, 2, (SYMBOLS, dimensions), np.int8) * 2 - 1
-    a, b, c = grams // SYMBOLS ** 2, grams // SYMBOLS % SYMBOLS, grams % SYMBOLS
-    return np.roll(letters, 2, 1)[a] * np.roll(letters, 1, 1)[b] * letters[c]
+    points, spot = np.unique(np.stack([grams >> 2 * POINT, grams >> POINT, grams]) & (1 << POINT) - 1, return_inverse=True)
+    own = letters(points, dimensions)
+    a, b, c = spot.reshape(3, -1)
+    return np.roll(own, 2, 1)[a] * np.roll(own, 1, 1)[b] * own[c]
 
 
 def _grams(block: w.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Trigrams of all texts, where each text's begin, and whether the text has a letter."""
+    """Trigrams of all texts, where each text's begin, and whether the text has a letter. The last two of a text reach into the next."""
     code, first = symbols(block)
-    gram = np.zeros(len(code), np.int32)
+    gram = np.zeros(len(code), np.int64)
     if len(code) > 2:
-        gram[:-2] = (code[:-2] * SYMBOLS + code[1:-1]) * SYMBOLS + code[2:]
+        gram[:-2] = (code[:-2] << POINT | code[1:-1]) << POINT | code[2:]
     return gram, first, w.sums(code != 0, first) > 0
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts by language, given out whenever many languages have gathered and at the end of a task."""
-    totals: dict[str, np.ndarray] = {}
+    """Counts by language, given out whenever many have gathered and at the end of a task."""
+    totals: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    size = 0
 
     def given() -> Iterator[pa.RecordBatch]:
-        for lang, total in totals.items():
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(at), np.int32))), pa.array(at, pa.int32()), pa.array(total[at])], ["lang", "gram", "n"])
+        for lang, (gram, n) in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(gram), np.int32))), pa.array(gram), pa.array(n)], ["lang", "gram", "n"])
         totals.clear()
 
     for block in w.blocks(batches):
         gram, first, _ = _grams(block)
+        own: dict[str, list[np.ndarray]] = {}
         for d, lang in enumerate(block.rows.column("lang").to_pylist()):
-            own = gram[first[d]:first[d + 1] - 2]
-            if lang not in totals:
-                if len(totals) >= 64:
-                    yield from given()
-                totals[lang] = np.zeros(GRAMS, np.int64)
-            if len(own) > 1:
-                totals[lang] += np.bincount(own, minlength=GRAMS) if len(own) > GRAMS // 8 else 0
-                if len(own) <= GRAMS // 8:
-                    np.add.at(totals[lang], own, 1)
+            own.setdefault(lang, []).append(gram[first[d]:max(first[d], first[d + 1] - 2)])
+        for lang, parts in own.items():
+            new, n = np.unique(np.concatenate(parts), return_counts=True)
+            if lang in totals:
+                old, before = totals[lang]
+                new, back = np.unique(np.concatenate([old, new]), return_inverse=True)
+                n = np.rint(np.bincount(back, np.concatenate([before, n]))).astype(np.int64)
+            totals[lang] = new, n
+        size = sum(len(g) for g, _ in totals.values())
+        if size > HELD:
+            yield from given()
     yield from given()
 
 
@@ -169,22 +178,22 @@ def _predict(batches: Iterator[pa.RecordBatch], profiles: Profiles, keep: list[s
         n = len(block)
         best, score = np.full(n, len(names) - 1), np.zeros(n)
         if len(profiles.languages):
-            present = np.zeros(GRAMS, bool)
-            present[gram] = True
-            known = np.flatnonzero(present)
-            short = np.cumsum(present, dtype=np.int32) - 1
-            vectors = _vectors(known, dimensions)
-            column = short[gram]
+            inside = np.ones(len(gram), bool)
+            inside[first[1:] - 1] = inside[first[1:] - 2] = False  # a text has two symbols at least, its ends
+            owner = np.repeat(np.arange(n), np.diff(first))[inside]
+            place = gram[inside]
             for at in range(0, n, ROWS):
                 to = min(n, at + ROWS)
-                counts = np.zeros((to - at, len(known)), np.float32)
-                for d in range(at, to):
-                    own = column[first[d]:first[d + 1] - 2]
-                    if len(own):
-                        counts[d - at] = np.bincount(own, minlength=len(known))
+                low, high = np.searchsorted(owner, (at, to))
+                known, column = np.unique(place[low:high], return_inverse=True)
+                order = np.argsort(column, kind="stable")
+                row, column = owner[low:high][order] - at, column[order]
                 bundle = np.zeros((to - at, dimensions), np.float32)
-                for low in range(0, len(known), CHUNK):
-                    bundle += counts[:, low:low + CHUNK] @ vectors[low:low + CHUNK].astype(np.float32)
+                for part in range(0, len(known), CHUNK):
+                    size = min(CHUNK, len(known) - part)
+                    own = slice(*np.searchsorted(column, (part, part + size)))
+                    counts = np.bincount(row[own] * size + column[own] - part, minlength=(to - at) * size).reshape(to - at, size).astype(np.float32)
+                    bundle += counts @ _vectors(known[part:part + size], dimensions).astype(np.float32)
                 cosine = bundle @ profiles.matrix.T / np.maximum(np.linalg.norm(bundle, axis=1), 1e-30)[:, None]
                 best[at:to] = cosine.argmax(1)
                 score[at:to] = np.clip(cosine.max(1), 0, 1)
