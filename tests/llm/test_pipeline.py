@@ -68,3 +68,12 @@ def test_stages_survive_awkward_and_empty_tables(spark, folder, name):
             assert lost == {i for i, t, *_ in awkward() if i is not None and not any(map(str.isalpha, t or ""))} or not docs.take(1)
         if name in ("decontaminate", "remove_secrets"):
             assert not lost
+
+
+def test_rows_with_equal_or_missing_ids_are_told_apart(spark, folder):
+    long = " ".join(f"a{i}" for i in range(40))
+    other = " ".join(f"b{i}" for i in range(40))
+    rows = [(7, long), (7, long), (None, long), (3, long + " x"), (7, other), (None, "c d"), (None, "c d"), (9, ""), (9, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(3)
+    out = collections.Counter((r.doc_id, r.text) for r in STAGES["deduplicate"](spark, docs, folder[0]).collect())
+    assert out == collections.Counter([(3, long + " x"), (7, other), (None, "c d"), (9, ""), (9, None), (None, None)])
