@@ -13,7 +13,7 @@ HEADLINE = [
     "c1_split_chapters", "c5_epub_assemble", "c12_chapter_index", "i4_segment_id", "i5_occurrences", "i10_classify_segments",
     "i11_reuse_cache", "i12_latest_state", "q1_cer", "q6_longest_silence", "q8_check_clips", "b1_plan_batches", "b3_batch_identity",
     "b8_score_batches", "a2_progress_metrics", "a3_state_summary", "a8_book_status", "w3_queue_position", "w7_first_k_list",
-    "j2_download_selection", "snk2_write_manifest", "convert_run", "st2_stream_latest_state", "st4_stream_progress",
+    "j2_download_selection", "snk2_write_manifest", "convert_run", "st2_stream_latest_state", "st2_stream_latest_store", "st4_stream_progress",
 ]
 
 

@@ -51,20 +51,20 @@ _LATEST = "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_ma
 
 @query("st2_stream_latest_state", _LATEST)
 def st2_stream_latest_state(spark, d):
-    """Five arrivals merged into a keyed table."""
+    """A streaming aggregate in update mode."""
+    log = st.read_table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
+    return st.drain(st.stream_latest_state(log, ["user_id"], ["ts", "event_id"]), "update", ["user_id"]).drop("ts")
+
+
+@query("st2_stream_latest_store", _LATEST)
+def st2_stream_latest_store(spark, d):
+    """Five arrivals merged into a keyed table, which holds current rows only."""
     log = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
     store = st.latest_store(spark, workspace(spark), log, ["user_id"], ["ts", "event_id"])
     feed(arriving(log, "ts"), store, workspace(spark))
     return store.read().drop("ts")
 
 
-@query("st2_stream_latest_aggregate", _LATEST)
-def st2_stream_latest_aggregate(spark, d):
-    """The same as a streaming aggregate in update mode."""
-    log = st.read_table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
-    return st.drain(st.stream_latest_state(log, ["user_id"], ["ts", "event_id"]), "update", ["user_id"]).drop("ts")
-
-
 @query("st3_stream_dedupe_ids", "SELECT DISTINCT user_id FROM events")
 def st3_stream_dedupe_ids(spark, d):
     """Exact: an id is remembered for good."""
