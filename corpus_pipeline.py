@@ -1,7 +1,7 @@
 """A training corpus from raw documents: language, near-duplicates, benchmark leaks, secrets, packing.
 
-Every stage works on all that the stage before it kept. Documents are known by ``doc_id``. Rows without one, or with the same one,
-stay apart in the row-local stages; near-duplicate removal and decontamination decide by id, and keep rows that have none.
+Every stage works on all that the stage before it kept. Rows stay apart, whether or not they have an id or share it; only decontamination
+decides by ``doc_id``, and keeps rows that have none.
 """
 
 from __future__ import annotations
@@ -33,9 +33,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts that reach each other over similarities of 0.8 on five-word shingles, the smallest id stays."""
-    gone = near_duplicates(docs, Near(words=5, percent=80)).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of texts that reach each other over similarities of 0.8 on five-word shingles, the row with the smallest id stays; of rows with
+    equal ids, or without one, the first. Rows are compared by numbers that are written with them, so ids may repeat or be missing."""
+    row = fresh("row", docs.columns)
+    numbered = stable(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = near_duplicates(numbered, Near(words=5, percent=80), id_col=row).filter("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
+    ids = numbered.select(F.col(row).alias("_row"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row).alias("_place"))
+    placed = groups.join(ids, "_row")
+    first = placed.groupBy("component_id").agg(F.min("_place").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    gone = placed.join(first, "component_id").filter("_place != _first").select(F.col("_row").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
