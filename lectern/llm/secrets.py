@@ -45,6 +45,7 @@ ALPHABETS = {
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 BIN = 0.05  # width of the classes of -log10 p
+FAILED = -1
 
 
 @dataclass(frozen=True)
@@ -98,12 +99,12 @@ def _found(docs: DataFrame, battery: Battery, id_col: str, text_col: str) -> Dat
 
 
 def _cuts(found: DataFrame, battery: Battery) -> dict[str, int]:
-    """The smallest class of p-values that is discovered in each stratum. Ranks need counts alone: there are a few hundred strata,
+    """The smallest class of p-values that is discovered in each stratum, among all strings that were tested there. Ranks need counts alone: there are a few hundred strata,
     and a few thousand classes of p-values in each, whatever the input."""
     level = found.select(F.explode("maybe").alias("m")).groupBy("m.stratum", "m.level").agg(F.count("*").alias("n"))
     above = Window.partitionBy("stratum").orderBy(F.desc("level"))
     ranked = level.withColumn("rank", F.sum("n").over(above)).withColumn("all", F.sum("n").over(Window.partitionBy("stratum")))
-    held = ranked.filter(F.pow(F.lit(10.0), -F.col("level") * BIN) * F.col("all") <= battery.rate * F.col("rank"))
+    held = ranked.filter(F.col("level") > FAILED).filter(F.pow(F.lit(10.0), -F.col("level") * BIN) * F.col("all") <= battery.rate * F.col("rank"))
     return {r["stratum"]: r["cut"] for r in held.groupBy("stratum").agg(F.min("level").alias("cut")).collect()}
 
 
@@ -161,7 +162,8 @@ def battery_values(token: str, name: str, battery: Battery) -> tuple[float, floa
 
 
 def candidates(text: str, base: list[tuple[str, int, int]], battery: Battery) -> Iterator[tuple[int, int, str, int]]:
-    """``start, end, stratum, level`` of the strings apart from base spans that pass for random; levels are classes of p-values."""
+    """``start, end, stratum, level`` of the strings apart from base spans that were tested; levels are classes of p-values, ``FAILED`` of those that
+    do not pass for random."""
     at = 0
     for low, high in [*sorted((s, e) for _, s, e in base), (len(text), len(text))]:
         for m in CANDIDATE.finditer(text, at, max(at, low)):
@@ -178,6 +180,11 @@ def _parts(text: str, low: int, high: int, battery: Battery) -> Iterator[tuple[i
         if random >= battery.order and not any(start < e and s < end for s, e in taken):
             taken.append((start, end))
             yield start, end, f"{name}/{(end - start).bit_length()}", int(-math.log10(min(1.0, ordinary * len(tested))) / BIN)
+    # what was tested and does not pass for random counts among the tests of its stratum
+    for _, _, start, end, name in sorted(tested, key=lambda x: (x[2] - x[3], x[2])):
+        if not any(start < e and s < end for s, e in taken):
+            taken.append((start, end))
+            yield start, end, f"{name}/{(end - start).bit_length()}", FAILED
 
 
 def _redact(batches: Iterator[pa.RecordBatch], cuts: dict[str, int], mark: str, battery: Battery, text_col: str) -> Iterator[pa.RecordBatch]:
