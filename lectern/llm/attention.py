@@ -224,16 +224,27 @@ class Adam:
         self.turn += 1
         rate = self.rate * (1 - 0.99 ** self.turn) ** 0.5 / (1 - 0.9 ** self.turn)
         for k, g in grads.items():
-            m, s = self.mean[k], self.square[k]
-            m *= 0.9
-            s *= 0.99
-            m += 0.1 * g
-            step = g * g
-            step *= 0.01
-            s += step
-            np.sqrt(s, out=step)
-            step += 1e-8
-            np.divide(m, step, out=step)
-            step *= np.float32(rate)
-            self.model.weights[k] = self.model.weights[k] - step
+            m, s, value = self.mean[k], self.square[k], self.model.weights[k]
+            if k == "embed":  # only rows of this batch move
+                rows = np.flatnonzero(np.bincount((ids[:, :-1] & (KNOWN - 1)).ravel(), minlength=KNOWN))
+                own = m[rows], s[rows], g[rows]
+                value[rows] -= self._step(*own, rate)
+                m[rows], s[rows] = own[:2]
+            else:
+                self.model.weights[k] = value - self._step(m, s, g, rate)
         return loss
+
+    @staticmethod
+    def _step(m: np.ndarray, s: np.ndarray, g: np.ndarray, rate: float) -> np.ndarray:
+        """How far to go; ``m`` and ``s`` are brought up to date."""
+        m *= 0.9
+        m += 0.1 * g
+        step = g * g
+        step *= 0.01
+        s *= 0.99
+        s += step
+        np.sqrt(s, out=step)
+        step += 1e-8
+        np.divide(m, step, out=step)
+        step *= np.float32(rate)
+        return step
