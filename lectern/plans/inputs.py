@@ -106,6 +106,14 @@ def sql_unescape(expr: str) -> str:
     return (f"nfc_normalize(replace(replace(replace(replace({expr}, '&middot;', chr(183)), '&copy;', chr(169)), '&quot;', '\"'), '&amp;', '&'))")
 
 
+def sql_references(expr: str) -> str:
+    """The same references, which HTML also reads where the semicolon is missing: a title may be cut right before it."""
+    out = expr
+    for name, char in (("middot", "chr(183)"), ("copy", "chr(169)"), ("quot", "'\"'"), ("amp", "'&'")):
+        out = f"regexp_replace({out}, '&{name};?', {char}, 'g')"
+    return f"nfc_normalize({out})"
+
+
 LINES = f"""
 lines AS (
   SELECT doc_id, lang, source, line_no, text FROM (

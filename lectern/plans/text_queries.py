@@ -12,7 +12,7 @@ from ..functions import text as tx
 from ..functions.rows import unnest
 from ..operators import clean as cl
 from ..operators import rules
-from .inputs import (SENTENCE_LINE, documents, pages, sql_html, sql_lines, sql_strip, sql_tidy, sql_unescape, table)
+from .inputs import (SENTENCE_LINE, documents, pages, sql_html, sql_lines, sql_references, sql_strip, sql_tidy, sql_unescape, table)
 from .registry import query
 
 _TAGGED = fixed.TAGGED
