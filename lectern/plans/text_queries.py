@@ -255,7 +255,7 @@ def t15_clean_documents(spark, d):
     return df.select("doc_id", "text", extra["before_chars"].alias("before_chars"), extra["after_chars"].alias("after_chars"))
 
 
-@query("t15_clean_pages", f"SELECT page_id, {sql_tidy(sql_unescape(sql_unescape(sql_html('html'))))} AS text FROM pages")
+@query("t15_clean_pages", f"SELECT page_id, {sql_tidy(sql_references(sql_references(sql_html('html'))))} AS text FROM pages")
 def t15_clean_pages(spark, d):
     return cl.clean(pages(spark, d).select("page_id", F.col("html").alias("text"))).select("page_id", "text")
 
