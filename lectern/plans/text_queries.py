@@ -31,7 +31,7 @@ def src4_html_to_text_strict(spark, d):
 
 @query("t1_strip_html_if_tagged", f"""
 WITH mixed AS (SELECT page_id AS id, html AS text FROM pages UNION ALL SELECT -1 - doc_id, text FROM documents)
-SELECT id, CASE WHEN regexp_matches(text, '{_TAGGED}') THEN {sql_unescape(sql_html('text'))} ELSE text END AS text,
+SELECT id, CASE WHEN regexp_matches(text, '{_TAGGED}') THEN {sql_references(sql_html('text'))} ELSE text END AS text,
   CASE WHEN regexp_matches(text, '{_TAGGED}') THEN 1 ELSE 0 END::BIGINT AS records FROM mixed""")
 def t1_strip_html_if_tagged(spark, d):
     mixed = pages(spark, d).select(F.col("page_id").alias("id"), F.col("html").alias("text")).unionByName(
