@@ -39,7 +39,7 @@ def t1_strip_html_if_tagged(spark, d):
     return cl.strip_html_if_tagged(mixed).select("id", "text", F.size("audit").cast("bigint").alias("records"))
 
 
-@query("t2_normalize_unicode", f"SELECT page_id, {sql_unescape('html')} AS text FROM pages")
+@query("t2_normalize_unicode", f"SELECT page_id, {sql_references('html')} AS text FROM pages")
 def t2_normalize_unicode(spark, d):
     dos = pages(spark, d).select("page_id", F.replace("html", F.lit("\n"), F.lit("\r\n")).alias("text"))
     return cl.normalize_unicode(dos)
