@@ -18,7 +18,7 @@ from .registry import query
 _TAGGED = fixed.TAGGED
 
 
-@query("src4_html_to_text", f"SELECT page_id, {sql_unescape(sql_html('html'))} AS text FROM pages")
+@query("src4_html_to_text", f"SELECT page_id, {sql_references(sql_html('html'))} AS text FROM pages")
 def src4_html_to_text(spark, d):
     return pages(spark, d).select("page_id", cl.unescape_and_compose(tx.html_to_text(F.col("html"))).alias("text"))
 
