@@ -12,7 +12,7 @@ from ..functions import text as tx
 from ..functions.rows import unnest
 from ..operators import clean as cl
 from ..operators import rules
-from .inputs import (SENTENCE_LINE, documents, pages, sql_html, sql_lines, sql_references, sql_strip, sql_tidy, sql_unescape, table)
+from .inputs import (SENTENCE_LINE, documents, pages, sql_html, sql_lines, sql_references, sql_strip, sql_tidy, table)
 from .registry import query
 
 _TAGGED = fixed.TAGGED
@@ -23,7 +23,7 @@ def src4_html_to_text(spark, d):
     return pages(spark, d).select("page_id", cl.unescape_and_compose(tx.html_to_text(F.col("html"))).alias("text"))
 
 
-@query("src4_html_to_text_strict", f"SELECT page_id, regexp_replace({sql_unescape(sql_html('html'))}, '\\s+', '', 'g') AS letters FROM pages")
+@query("src4_html_to_text_strict", f"SELECT page_id, regexp_replace({sql_references(sql_html('html'))}, '\\s+', '', 'g') AS letters FROM pages")
 def src4_html_to_text_strict(spark, d):
     text = pages(spark, d).select("page_id", kernels.html_text_strict(F.col("html")).alias("t"))
     return text.select("page_id", F.regexp_replace("t", r"\s+", "").alias("letters"))

@@ -9,7 +9,7 @@ from tests.oracle import compare
 HTML = ('<!DOCTYPE html><html lang="en"><head><title>Salt&amp</title></head><body><div class="ad">Ad &copy 1&middot2</div>'
         '<article><h1>Salt&amp</h1><p>Salt &amp; &quotpepper&quot;, &ampquot; and &amp;amp</p></article></body></html>')
 
-NAMES = ["c5_epub_assemble", "c6_split_by_anchor", "t15_clean_pages", "t1_strip_html_if_tagged", "t2_normalize_unicode", "src4_html_to_text"]
+NAMES = ["c5_epub_assemble", "c6_split_by_anchor", "t15_clean_pages", "t1_strip_html_if_tagged", "t2_normalize_unicode", "src4_html_to_text", "src4_html_to_text_strict"]
 
 
 @pytest.mark.parametrize("name", NAMES)
