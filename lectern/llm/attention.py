@@ -1,8 +1,8 @@
 """A small causal self-attention model over subword ids, in numpy.
 
 One head over windows of ids. Ids are numbered by falling frequency. The next number is predicted in steps: which group of 32, if any of
-the first 32 groups, then which one in the group; or, for the rarer rest, two digits in base 222. Biases are the smoothed unigram
-distribution of the training ids, so an untrained model already is that distribution.
+the first 32 groups, then which one in the group; or, for the rarer rest, two digits in base 222. Biases are the smoothed distribution of
+the training ids after the id before, so an untrained model already is that distribution and attention learns what it adds to it.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ GROUP = 32
 COMMON = GROUP ** 2
 REST = 222
 VOCABULARY = COMMON + REST ** 2
-CEILING = np.float32(60)  # of a logit, so that exponentials stay finite
+CEILING = np.float32(60)  # logits within this have exponentials whose sums are finite and above 0; rows of others are shifted first
+PRIOR = 20.0  # ids' worth of the distribution of all ids in that after one id
+MIXED = 0.05  # share of the biases alone in a score, so that no training makes what it has not seen all but impossible
 KNOWN = 1 << 12  # ids with an embedding of their own; rarer ones share
 
 
@@ -32,7 +34,7 @@ class Shape:
 class Model:
     shape: Shape
     rank: np.ndarray                # number of each id
-    bias: list[np.ndarray]          # logits of the steps: (33), (32, 32), (222), (222, 222)
+    bias: list[np.ndarray]          # logits of the steps: (rows, 33), (rows * 32, 32), (222), (222, 222); a row for each id before, or one for all
     weights: dict[str, np.ndarray] = field(default_factory=dict)
 
     def flat(self) -> np.ndarray:
@@ -55,7 +57,7 @@ def initial(counts: dict[int, int], shape: Shape = Shape()) -> Model:
     mass = np.array([counts.get(i, 0) for i in order], np.float64) + 0.01
     common, rest = mass[:COMMON].reshape(GROUP, GROUP), mass[COMMON:].reshape(REST, REST)
     first = np.append(common.sum(1), rest.sum())
-    bias = [np.log(first / first.sum()), np.log(common / common.sum(1)[:, None]), np.log(rest.sum(1) / rest.sum()), np.log(rest / rest.sum(1)[:, None])]
+    bias = [np.log(first / first.sum())[None], np.log(common / common.sum(1)[:, None]), np.log(rest.sum(1) / rest.sum()), np.log(rest / rest.sum(1)[:, None])]
     rng = np.random.default_rng(20012)
     d = shape.width
     small = lambda *s: rng.normal(0, 0.3 / d ** 0.5, s).astype(np.float32)
@@ -64,9 +66,32 @@ def initial(counts: dict[int, int], shape: Shape = Shape()) -> Model:
     return Model(shape, rank, [b.astype(np.float32) for b in bias], weights)
 
 
-def _bounded(x: np.ndarray) -> None:
-    if x.max(initial=0) > CEILING:
-        np.minimum(x, CEILING, out=x)
+def pairs(numbers: np.ndarray) -> np.ndarray:
+    """One key for each number and the one after it; the rarer ones share a key as the later one."""
+    return (numbers[:-1] & (KNOWN - 1)).astype(np.int64) * (COMMON + 1) + np.minimum(numbers[1:], COMMON)
+
+
+def after(model: Model, keys: np.ndarray, counts: np.ndarray) -> Model:
+    """The model with biases for each number before, from counts by key of ``pairs``."""
+    table = np.zeros(KNOWN * (COMMON + 1))
+    table[keys] = counts
+    table = table.reshape(KNOWN, COMMON + 1)
+    first = np.exp(model.bias[0][0].astype(np.float64))
+    table[:, :COMMON] += PRIOR * (first[:GROUP, None] * np.exp(model.bias[1])).ravel()
+    table[:, COMMON] += PRIOR * first[GROUP]
+    common = table[:, :COMMON].reshape(KNOWN, GROUP, GROUP)
+    group = np.concatenate([common.sum(2), table[:, COMMON:]], 1)
+    steps = np.log(group / group.sum(1)[:, None]), np.log(common / common.sum(2)[:, :, None]).reshape(-1, GROUP)
+    return Model(model.shape, model.rank, [*[b.astype(np.float32) for b in steps], *model.bias[2:]], model.weights)
+
+
+def _far(x: np.ndarray) -> bool:
+    return x.max(initial=0) > CEILING or x.min(initial=0) < -CEILING
+
+
+def _shift(x: np.ndarray) -> None:
+    """Rows with their largest logit at 0, which changes no probability. Cut off at the ceiling instead, the largest ones would become equal."""
+    x -= x.max(-1, keepdims=True)
 
 
 def log_probabilities(model: Model, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -83,10 +108,12 @@ def log_probabilities(model: Model, inputs: np.ndarray, targets: np.ndarray) ->
     last = x[:, size - s:]
     q = (last.reshape(-1, d) @ (w["q"] / np.float32(d ** 0.5))).reshape(n, s, d)
     share = q @ kv[:, :, :d].transpose(0, 2, 1)
+    far = _far(share)
     share += MASKS.setdefault((size, s), np.where(np.arange(size)[None] <= np.arange(size - s, size)[:, None], 0, -1e9).astype(np.float32))
     if inputs.min(initial=0) < 0:
         share += np.where(inputs < 0, np.float32(-1e9), np.float32(0))[:, None]
-    _bounded(share)
+    if far:
+        _shift(share)
     np.exp(share, out=share)
     h = share @ kv[:, :, d:]
     h /= (share.reshape(-1, size) @ np.ones(size, np.float32)).reshape(n, s, 1)
@@ -94,28 +121,34 @@ def log_probabilities(model: Model, inputs: np.ndarray, targets: np.ndarray) ->
     h = h.reshape(-1, d)
     t = targets.ravel()
     real = np.flatnonzero(t >= 0)
+    before = inputs[:, size - s:].ravel()
     if len(real) < len(t):
-        t, h = t[real], h[real]
+        t, h, before = t[real], h[real], before[real]
+    before = before & (len(model.bias[0]) - 1)
     group = np.minimum(t // GROUP, GROUP)
     inner = np.minimum(group, GROUP - 1)
 
     def head(name: str, own: np.ndarray, bias: np.ndarray, pick: np.ndarray) -> np.ndarray:
         logits = own @ w[name]
         logits += bias
-        _bounded(logits)
-        at = logits[np.arange(len(pick)), pick]
+        if _far(logits):
+            _shift(logits)
+        at = logits.ravel().take(np.arange(0, logits.size, logits.shape[1]) + pick)
         np.exp(logits, out=logits)
         return at - np.log(logits @ np.ones(logits.shape[1], np.float32))
 
-    out = head("u1", h, model.bias[0], group)
+    out = head("u1", h, model.bias[0].take(before, 0), group)
     gated = w["g2"].take(inner, 0)
     gated *= h
-    out += head("u2", gated, model.bias[1].take(inner, 0), t % GROUP) * (t < COMMON)
+    out += head("u2", gated, model.bias[1].take(before * GROUP + inner, 0), t % GROUP) * (t < COMMON)
     rare = np.flatnonzero(t >= COMMON)
     own, left = h[rare], t[rare] - COMMON
     out[rare] += head("u3", own, model.bias[2], left // REST) + head("u4", own, model.bias[3][left // REST], left % REST)
+    plain = model.bias[0].ravel().take(before * (GROUP + 1) + group)
+    plain += model.bias[1].ravel().take((before * GROUP + inner) * GROUP + t % GROUP) * (t < COMMON)
+    plain[rare] += model.bias[2][left // REST] + model.bias[3][left // REST, left % REST]
     whole = np.zeros(n * s, np.float32)
-    whole[real] = out
+    whole[real] = np.logaddexp(out + np.float32(np.log(1 - MIXED)), plain + np.float32(np.log(MIXED)))
     return whole.reshape(n, s)
 
 
@@ -140,7 +173,9 @@ def gradient(model: Model, ids: np.ndarray, weight: np.ndarray) -> tuple[float,
     qkv = (flat @ into).reshape(n, size, 3 * d)
     q, k, v = qkv[:, :, :d], qkv[:, :, d:2 * d], qkv[:, :, 2 * d:]
     share = q @ k.transpose(0, 2, 1)
-    _bounded(share)
+    if _far(share):
+        share += np.where(_seen(size) > 0, np.float32(0), np.float32(-1e9))
+        _shift(share)
     np.exp(share, out=share)
     share *= _seen(size)
     share /= (share.reshape(-1, size) @ np.ones(size, np.float32)).reshape(n, size, 1)
@@ -148,6 +183,7 @@ def gradient(model: Model, ids: np.ndarray, weight: np.ndarray) -> tuple[float,
     h = flat + mixed
     scales = (weight.ravel() / max(weight.sum(), 1)).astype(np.float32)
     every = np.arange(len(t))
+    before = inputs.ravel() & (len(model.bias[0]) - 1)
     group = np.minimum(t // GROUP, GROUP)
     inner = np.minimum(group, GROUP - 1)
     grads, loss = {}, 0.0
@@ -157,19 +193,20 @@ def gradient(model: Model, ids: np.ndarray, weight: np.ndarray) -> tuple[float,
         nonlocal loss
         p = own @ w[name]
         p += bias
-        _bounded(p)
+        if _far(p):
+            _shift(p)
         np.exp(p, out=p)
         total = p @ np.ones(p.shape[1], np.float32)
-        at = every[:len(pick)]
-        loss -= float(np.log(p[at, pick] / total + np.float32(1e-30)) @ marks)
+        flat, spot = p.ravel(), every[:len(pick)] * p.shape[1] + pick
+        loss -= float(np.log(flat.take(spot) / total + np.float32(1e-30)) @ marks)
         p *= (marks / total)[:, None]
-        p[at, pick] -= marks
+        flat[spot] -= marks
         grads[name] = own.T @ p
         return p @ w[name].T
 
-    dh = head("u1", h, model.bias[0], group, scales)
+    dh = head("u1", h, model.bias[0].take(before, 0), group, scales)
     gate = w["g2"].take(inner, 0)
-    back = head("u2", h * gate, model.bias[1].take(inner, 0), t % GROUP, scales * (t < COMMON))
+    back = head("u2", h * gate, model.bias[1].take(before * GROUP + inner, 0), t % GROUP, scales * (t < COMMON))
     member = np.zeros((len(t), GROUP), np.float32)
     member[every, inner] = 1
     grads["g2"] = member.T @ (back * h)
@@ -182,7 +219,7 @@ def gradient(model: Model, ids: np.ndarray, weight: np.ndarray) -> tuple[float,
 
     dmixed = dh.reshape(n, size, d)
     ds = dmixed @ v.transpose(0, 2, 1)
-    ds -= ((dh * mixed) @ np.ones(d, np.float32)).reshape(n, size, 1)  # what the mixture as a whole would lose
+    ds -= np.einsum("ij,ij->i", dh, mixed).reshape(n, size, 1)  # what the mixture as a whole would lose
     ds *= share
     out = np.empty((n, size, 3 * d), np.float32)
     out[:, :, :d] = ds @ k
@@ -204,12 +241,10 @@ def _seen(size: int) -> np.ndarray:
 
 
 def _gather(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Sums of ``values`` by row number, of at most 2**16 rows."""
-    order = np.argsort(rows.astype(np.uint16), kind="stable")  # of 16 bits: sorted by digits
-    ordered = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    out = np.zeros((size, values.shape[1]), values.dtype)
-    out[ordered[first]] = np.add.reduceat(values[order], first, 0)
+    """Sums of ``values`` by row number."""
+    out = np.empty((size, values.shape[1]), values.dtype)
+    for column, own in zip(out.T, values.T, strict=True):
+        column[:] = np.bincount(rows, own, size)
     return out
 
 

@@ -96,6 +96,9 @@ def train(texts: DataFrame, scoring: Scoring = Scoring()) -> at.Model:
     """``texts`` has the ``ids`` of whole texts, from end to end."""
     counts = texts.mapInArrow(_count_ids, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row per subword
     model = at.initial({r["id"]: r["n"] for r in counts}, scoring.shape)
+    if counts:
+        pairs = texts.mapInArrow(lambda b, rank=model.rank: _count_pairs(b, rank), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+        model = at.after(model, pairs.column("pair").to_numpy(), pairs.column("n").to_numpy())  # some 4 million pairs at most
     for turn in range(scoring.rounds if counts else 0):
         copies = texts.mapInArrow(lambda b, m=model, t=turn: _train(b, m, scoring, t), "at int, value double, weight long")
         mean = copies.groupBy("at").agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("value")).toArrow()  # one row per weight
@@ -146,6 +149,16 @@ def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["id", "n"])
 
 
+def _count_pairs(batches: Iterator[pa.RecordBatch], rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(at.KNOWN * (at.COMMON + 1), np.int64)
+    for ids, offsets in _flat(batches):
+        keys = np.delete(at.pairs(rank[ids]), offsets[1:-1] - 1)  # the end of a text and the begin of the next are no pair
+        found, n = np.unique(keys, return_counts=True)
+        total[found] += n
+    found = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["pair", "n"])
+
+
 def _train(batches: Iterator[pa.RecordBatch], model: at.Model, scoring: Scoring, turn: int) -> Iterator[pa.RecordBatch]:
     """One pass over a shard; gives the trained weights and how many targets they saw."""
     size, seen = scoring.shape.window, 0
@@ -205,16 +218,18 @@ def _encode(batches: Iterator[pa.RecordBatch], unigrams: tuple[np.ndarray, np.nd
         value = np.where(known, logs[spot], 0.0) if len(hashes) else np.zeros(len(word))
         here = known[back]
         total = np.concatenate([[0], np.cumsum(value[back])])
-        rare, first = [], words.first
+        first = words.first
         unknown = np.flatnonzero(~here)
-        cut = np.searchsorted(unknown, first)
-        for d in range(len(block)):
-            own, n = np.unique(words.hash[unknown[cut[d]:cut[d + 1]]], return_counts=True)
-            rare.append([{"word": x, "n": k} for x, k in zip(own.view(np.int64).tolist(), n.tolist(), strict=True)])
+        text_of = np.searchsorted(first, unknown, "right") - 1
+        order = np.lexsort((back[unknown], text_of))
+        unknown, text_of = unknown[order], text_of[order]
+        start = np.flatnonzero(np.append(True, (back[unknown][1:] != back[unknown][:-1]) | (text_of[1:] != text_of[:-1]))[:len(unknown)])
+        items = pa.StructArray.from_arrays([pa.array(words.hash[unknown[start]].view(np.int64)), pa.array(np.diff(np.append(start, len(unknown))).astype(np.int32))], ["word", "n"])
+        rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(text_of[start], np.arange(len(block) + 1)).astype(np.int32)), items)
         ids = [np.frombuffer(end + encode(text) + end, "<u4").astype("<u2").tobytes() for text in _texts(block)]
         yield pa.RecordBatch.from_arrays(
             [block.rows.column("row"), block.rows.column("doc_id"), block.rows.column("training"), pa.array(np.diff(first) + 1), pa.array(w.sums(here, first) + (texts > 0)),
-             pa.array(total[first[1:]] - total[first[:-1]] + np.log10(texts + 1.0)), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int32())])))],
+             pa.array(total[first[1:]] - total[first[:-1]] + np.log10(texts + 1.0)), pa.array(ids, pa.binary()), rare],
             ["row", "doc_id", "training", "n_tokens", "known", "sum", "ids", "rare"])
 
 

@@ -615,3 +615,44 @@ def test_flow_does_not_depend_on_the_size_of_the_seeds(spark):
     ranks = {r.host: int(r.rank) for r in linkgraph._rank(seeds, links, linkgraph.Flow()).collect()}
     alone = {r.host: int(r.rank) for r in linkgraph._rank(seeds.filter("weight = 1"), links, linkgraph.Flow()).collect()}
     assert ranks.pop("large") and ranks == alone and min(ranks.values()) > 0 and "x6" in ranks
+
+
+def test_training_on_copies_of_one_text_learns_it():
+    """Large logits were cut off, which made the largest ones equal: on copies the loss rose again without end."""
+    rng = np.random.default_rng(5)
+    text = rng.integers(0, 400, 600).astype(np.int32)
+    model = attention.initial({i: 5 for i in range(400)})
+    adam = attention.Adam(model)
+    for _ in range(500):
+        start = rng.integers(0, 567, 64)
+        last = adam.step(text[start[:, None] + np.arange(33)], np.ones((64, 32), np.float32))
+    assert last < 1
+    assert lm.text_scores(adam.model, [text]).sum() > -600
+    other = rng.integers(0, 400, 200).astype(np.int32)
+    assert lm.text_scores(adam.model, [other]).sum() > 199 * (np.log(attention.MIXED) + np.log(5.01 / (2000 + 0.01 * attention.VOCABULARY)) - 0.1)
+
+
+def test_biases_are_the_distribution_after_the_id_before():
+    model = attention.initial({0: 50, 1: 30, 2: 20, 40000: 7}, attention.Shape(width=8, window=6, step=4))
+    numbers = np.array([0, 1, 0, 1, 0, 2, 1, 1, 3], np.int32)
+    keys, n = np.unique(attention.pairs(numbers), return_counts=True)
+    model = attention.after(model, keys, n)
+    for name in ("u1", "u2", "u3", "u4"):
+        model.weights[name][:] = 0
+    history = np.full((1, 6), -1, np.int32)
+    history[0, -1] = 0
+    every = np.arange(attention.VOCABULARY)
+    p = np.exp(attention.log_probabilities(model, np.repeat(history, len(every), 0), every[:, None]).astype(np.float64)).ravel()
+    assert abs(p.sum() - 1) < 1e-3
+    alone = (np.array([50, 30, 20]) + 0.01) / (107 + 0.01 * attention.VOCABULARY)
+    assert np.allclose(p[:3], (np.array([0, 2, 1]) + attention.PRIOR * alone) / (3 + attention.PRIOR), rtol=1e-3)
+
+
+def test_held_out_texts_score_no_worse_than_their_words(spark):
+    """Words of a small vocabulary in a fixed order of kinds: what follows depends on what stood before."""
+    rng = np.random.default_rng(3)
+    kinds = [["red", "blue", "green", "old"], ["house", "river", "garden", "stone"], ["falls", "waits", "shines", "turns"]]
+    rows = [(i, " ".join(kinds[k % 3][rng.integers(4)] for k in range(90))) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lm.score(frame, remainder("doc_id", 7) != 2, PATH).filter("NOT training").selectExpr("sum(score) s", "sum(base_score) b", "count(score) n", "count(*) rows").first()
+    assert found["n"] == found["rows"] > 0 and np.isfinite(found["s"]) and found["s"] > found["b"]
