@@ -12,8 +12,27 @@ from ..session import stable
 from .quality import within_rate
 
 
+_STEPS = "//|(^|/)[.]{1,2}(/|$)|/$"  # what makes a path more than the names in it
+
+
 def confined(path: Column, folder: Column) -> Column:
-    """``path`` below ``folder``, without ``.``, ``..`` and doubled slashes; null if it is not below it. A relative path is relative to the folder."""
+    """``path`` below ``folder``, without ``.``, ``..`` and doubled slashes; null if it is not below it. A relative path is relative to the folder.
+
+    Most paths are names alone, and a comparison of strings settles them; only the others are taken apart step by step. Either is bound to a
+    variable: written out wherever it is used, what a path is made of gives code too long for the JVM to compile.
+    """
+    def judged(place: Column) -> Column:
+        own, root = place["p"], place["f"]
+        names = ~own.rlike(_STEPS) & (own != "")
+        under = F.concat(root, F.lit("/"))
+        beside = F.when(own.startswith(under), F.substring(own, F.length(under) + 1, F.length(own)))
+        plain_folder = root.startswith("/") & ~root.rlike(_STEPS)
+        return F.when(names & ~own.startswith("/"), own).when(names & plain_folder, beside).otherwise(_confined_steps(own, root))
+
+    return tx.let(F.struct(path.alias("p"), folder.alias("f")), judged)
+
+
+def _confined_steps(path: Column, folder: Column) -> Column:
     def resolved(value: Column) -> Column:
         steps = F.filter(F.split(value, "/"), lambda p: ~p.isin("", "."))
         return F.aggregate(steps, F.array().cast("array<string>"), lambda done, p: F.when(p != "..", F.concat(done, F.array(p)))

@@ -331,3 +331,12 @@ def test_books_from_files_to_chapters(spark):
     assert sorted((r.book_id, r.chapter_index, r.title) for r in found["chapters"].collect()) == [("in/One.txt", 1, "Chapter 1"), ("in/One.txt", 2, "Chapter 3"), ("in/tale.epub", 1, "The first")]
     assert {r.book_id for r in found["errors"].collect()} == {"in/empty.txt", "in/odd.txt", "in/bad.epub"}
     assert ("in/One.txt", "user_excluded_chapter") in {(r.book_id, r.operation) for r in found["audit"].collect()}
+
+
+def test_confined_paths_agree_with_their_steps(spark):
+    from lectern.operators import select as sel
+    paths = ["a/b.mp3", "/o/1/a.mp3", "/o/10/a.mp3", "/o/1", "/o/1/", "", "/", "a", "./a", "../a", "a/../b", "a//b", "/o//1/a", "/o/1/../2/a", "/o/1/./a", "a/", "..", ".", "a/..", ".a/b", "..a", "a..b/c.", "/o/1/..a", None]
+    folders = ["/o/1", "/o/1/", "/..", "/", "o/1", "", "/o/./1", None]
+    rows = spark.createDataFrame([(p, f) for p in paths for f in folders], "path string, folder string")
+    both = rows.select("path", "folder", sel.confined(F.col("path"), F.col("folder")).alias("fast"), sel._confined_steps(F.col("path"), F.col("folder")).alias("steps"))
+    assert both.filter("NOT (fast <=> steps)").collect() == []
