@@ -11,16 +11,25 @@ from ..functions.rows import unnest
 # A short line that is one sentence; used as the heading pattern on generated prose.
 SENTENCE_LINE = r"[^.]{1,58}\."
 
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of texts for Python are bounded by their bytes: by the number of rows alone, one holds ever more as a split of the input grows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def balanced(df: DataFrame, key: str) -> DataFrame:
     """Spread a table over all cores before per-row text work, only if its scan has too few splits for that.
 
     A large table has more splits than cores and is left alone.
     """
+    small_batches(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() > cores else df.repartition(cores, key)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import workspace
 from ..streaming import jobs as st
 from ..sources.store import feed
-from .inputs import RECORDS, records, sql_tidy, table
+from .inputs import RECORDS, records, small_batches, sql_tidy, table
 from .job_queries import RECEIPTS, attempted_jobs
 from .registry import ORACLES, query
 from .segment_queries import sql_segments
@@ -41,6 +41,7 @@ def streamed_records(spark, d) -> DataFrame:
 @query("st1_stream_segments", f"""
 WITH {sql_segments(f"SELECT doc_id AS k, {sql_tidy('text')} AS text FROM documents")} SELECT k AS doc_id, seg_index, text, boundary FROM segs""")
 def st1_stream_segments(spark, d):
+    small_batches(spark)
     docs = st.read_table(spark, d, "documents").select("doc_id", "text")
     rows = st.drain(st.stream_segments(docs, "doc_id"))
     return rows.select("doc_id", F.col("seg_index").cast("bigint").alias("seg_index"), "text", "boundary")

@@ -6,6 +6,7 @@ import json
 import random
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -333,6 +334,18 @@ def test_books_from_files_to_chapters(spark):
     assert ("in/One.txt", "user_excluded_chapter") in {(r.book_id, r.operation) for r in found["audit"].collect()}
 
 
+def test_batches_of_texts_are_bounded(spark, tmp_path):
+    from lectern.plans.inputs import documents
+    path = str(tmp_path)
+    spark.range(3000, numPartitions=1).selectExpr("id doc_id", "'en' lang", "'s' source", "repeat('word ', 400) text").write.parquet(f"{path}/documents.parquet")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+    seen = [r["n"] for r in documents(spark, path).coalesce(1).mapInArrow(sizes, "n long").collect()]
+    assert sum(seen) == 3000 and max(seen) <= 500
+
+
 def test_confined_paths_agree_with_their_steps(spark):
     from lectern.operators import select as sel
     paths = ["a/b.mp3", "/o/1/a.mp3", "/o/10/a.mp3", "/o/1", "/o/1/", "", "/", "a", "./a", "../a", "a/../b", "a//b", "/o//1/a", "/o/1/../2/a", "/o/1/./a", "a/", "..", ".", "a/..", ".a/b", "..a", "a..b/c.", "/o/1/..a", None]
