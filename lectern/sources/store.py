@@ -93,7 +93,8 @@ class KeyedStore:
                     merged = merged.filter(self.keep)
                 to = {b: 1 - slots.get(b, 1) for b in touched}
                 slot = F.when(F.col("bucket").isin([b for b, s in to.items() if s == 1]), 1).otherwise(0).cast("long")
-                self._write(merged.withColumn("bucket", self._bucket()).withColumn("slot", slot).repartition("bucket"), "data", "slot", "bucket")
+                # a bucket grows with the table: a large one is written by several tasks, small ones by one together
+                self._write(merged.withColumn("bucket", self._bucket()).withColumn("slot", slot).hint("rebalance", "bucket"), "data", "slot", "bucket")
                 slots = slots | to
         finally:
             new.unpersist()

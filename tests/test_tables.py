@@ -346,6 +346,23 @@ def test_batches_of_texts_are_bounded(spark, tmp_path):
     assert sum(seen) == 3000 and max(seen) <= 500
 
 
+def test_large_buckets_are_written_by_several_tasks(spark, tmp_path):
+    from lectern.sources import store
+    sizes = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "10k"}
+    before = {k: spark.conf.get(k, None) for k in sizes}
+    rows = spark.range(200_000, numPartitions=8).selectExpr("id", "uuid() v")
+    table = store.KeyedStore(spark, str(tmp_path / "t"), rows.schema, ("id",), store.newest(["id"], ["v"]), buckets=2)
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        assert table.merge(rows, 0) and table.merge(rows, 1)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert table.read().count() == table.read().select("id").distinct().count() == 200_000
+    assert all(len(list(p.glob("*.parquet"))) > 1 for p in (tmp_path / "t" / "data").glob("slot=*/bucket=*"))
+
+
 def test_confined_paths_agree_with_their_steps(spark):
     from lectern.operators import select as sel
     paths = ["a/b.mp3", "/o/1/a.mp3", "/o/10/a.mp3", "/o/1", "/o/1/", "", "/", "a", "./a", "../a", "a/../b", "a//b", "/o//1/a", "/o/1/../2/a", "/o/1/./a", "a/", "..", ".", "a/..", ".a/b", "..a", "a..b/c.", "/o/1/..a", None]
