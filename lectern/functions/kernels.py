@@ -131,54 +131,117 @@ def distances(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b)], dtype="Int32")
 
 
+GUESS = 32  # edits beyond the difference of lengths that a first band has room for
+BLOCK = 1 << 15  # cells of the rows that are filled together
+
+
 def edit_counts(reference: str, hypothesis: str) -> tuple[int, int, int]:
-    """Insertions, deletions, substitutions of one optimal alignment, preferring substitutions on ties.
+    """Insertions, deletions, substitutions of one optimal alignment, preferring substitutions on ties."""
+    return edit_counts_of([(reference, hypothesis)])[0]
+
 
-    Only cells that an alignment of the known distance can pass are filled: a band around the diagonal, a row at a time in numpy. A cell packs
-    (distance, insertions), so the split follows from the distance and the length difference.
+def edit_counts_of(pairs: list[tuple[str, str]]) -> list[tuple[int, int, int]]:
+    """``edit_counts`` of many pairs. What both texts of a pair begin and end with takes no edits and is left out.
+
+    Only cells that an alignment of few edits can pass are filled: a band around the diagonal. A result that needs more edits than the band has room
+    for is not certain; the band is then as wide as the known distance takes.
+    """
+    out: list = [None] * len(pairs)
+    todo: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+    for at, (a, b) in enumerate(pairs):
+        short = min(len(a), len(b))
+        start = 0
+        while start < short and a[start] == b[start]:
+            start += 1
+        end = 0
+        while end < short - start and a[-1 - end] == b[-1 - end]:
+            end += 1
+        a, b = a[start:len(a) - end], b[start:len(b) - end]
+        if not a or not b:
+            out[at] = len(b), len(a), 0
+        else:
+            todo[at] = _points(a), _points(b), abs(len(a) - len(b)) + min(GUESS, 2 * min(len(a), len(b)))
+    for last in (False, True):
+        wider = {}
+        for members in _alike(todo):
+            counts = _in_band([todo[at][:2] for at in members], [todo[at][2] for at in members])
+            for at, own in zip(members, counts):
+                if sum(own) <= todo[at][2] or last:
+                    out[at] = own
+                else:
+                    a, b = todo[at][:2]
+                    wider[at] = a, b, edit_distance(*(x.tobytes().decode("utf-32-le", "surrogatepass") for x in (a, b)))
+        todo = wider
+    return out
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _alike(todo: dict[int, tuple[np.ndarray, np.ndarray, int]]) -> list[list[int]]:
+    """Pairs whose bands have about the same width and length, in blocks of bounded size; a larger pair is a block of its own."""
+    blocks: list[list[int]] = []
+    kind, width, longest = None, 0, 0
+    for at in sorted(todo, key=lambda i: (todo[i][2].bit_length(), len(todo[i][0]))):
+        a, _, most = todo[at]
+        if kind != most.bit_length() or len(a) > longest or (len(blocks[-1]) + 1) * max(width, most + 1) > BLOCK:
+            blocks.append([])
+            kind, width, longest = most.bit_length(), 0, len(a) + len(a) // 4 + 16
+        width = max(width, most + 1)
+        blocks[-1].append(at)
+    return blocks
+
+
+def _in_band(pairs: list[tuple[np.ndarray, np.ndarray]], most: list[int]) -> list[tuple[int, int, int]]:
+    """The table of each pair, a row at a time for all of them, in a band that has room for ``most`` edits of each.
+
+    A cell packs (distance, insertions), so the split follows from the distance and the length difference. Cells right of a text's end or below
+    it are filled as well; no way from them leads back.
     """
-    ends = 0
-    while ends < min(len(reference), len(hypothesis)) and reference[ends] == hypothesis[ends]:
-        ends += 1
-    reference, hypothesis = reference[ends:], hypothesis[ends:]
-    n, m = len(reference), len(hypothesis)
-    if not n or not m:
-        return m, n, 0
-    band = edit_distance(reference, hypothesis)
     # column minus row stays within these, or the steps aside and back would exceed the distance
-    left, right = (band - (m - n)) // 2, (band + (m - n)) // 2
-    scale = np.int64(n + m + 1)
-    target = np.frombuffer(hypothesis.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    width = left + right + 1
-    far = scale * scale
-    # cell k of row i is column i + k - left
-    row = np.full(width + 2, far, np.int64)  # with a cell that is never reached at either side
-    steps = np.arange(width, dtype=np.int64) * (scale + 1)
-    column = np.arange(width) - left
-    row[1:-1] = np.where((column >= 0) & (column <= m), column * (scale + 1), far)
-    padded = np.full(m + 2 * width + 2, np.uint32(0xFFFFFFFF))
-    padded[width:width + m] = target
-    for i, char in enumerate(np.frombuffer(reference.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), 1):
-        low = i - left  # column of the first cell
-        best = row[1:-1] + np.where(padded[width + low - 1:width + low - 1 + width] == char, 0, scale)
-        np.minimum(best, row[2:] + scale, out=best)
-        if low <= 0:
-            best[:-low] = far
-            best[-low] = i * scale if -low < width else 0
-        if low + width - 1 > m:
-            best[m - low + 1:] = far
-        row[1:-1] = np.minimum.accumulate(best - steps) + steps
-        if low < 0:
-            row[1:1 - low] = far
-        if low + width - 1 > m:
-            row[m - low + 2:-1] = far
-    distance, insertions = divmod(int(row[1 + m - n + left]), int(scale))
-    deletions = insertions - (m - n)
-    return insertions, deletions, distance - insertions - deletions
+    left = max((k - (len(b) - len(a))) // 2 for (a, b), k in zip(pairs, most))
+    right = max((k + (len(b) - len(a))) // 2 for (a, b), k in zip(pairs, most))
+    width, rows, size = left + right + 1, max(len(a) for a, _ in pairs), len(pairs)
+    scale = np.int64(max(len(a) + len(b) for a, b in pairs) + width + 1)
+    far = scale * scale * 4
+    source = np.full((rows, size), 0xFFFFFFFE, np.uint32)
+    target = np.full((left + rows + right + 1, size), 0xFFFFFFFF, np.uint32)  # of column j at left + j
+    for p, (a, b) in enumerate(pairs):
+        source[:len(a), p] = a
+        kept = b[:rows + right]
+        target[left + 1:left + 1 + len(kept), p] = kept
+    ends: dict[int, list[int]] = {}
+    for p, (a, _) in enumerate(pairs):
+        ends.setdefault(len(a), []).append(p)
+    out: list = [None] * size
+    # cell k of row i is column i + k - left, less k insertions, so a row's insertions are a running minimum; below the last is one never reached
+    row = np.full((width + 1, size), far, np.int64)
+    row[left:width] = -left * (scale + 1)
+    cost, below = np.empty((width, size), np.int64), np.empty((width, size), np.int64)
+    for i in range(1, rows + 1):
+        np.multiply(target[i:i + width] != source[i - 1], scale, out=cost)
+        cost += row[:-1]
+        np.add(row[1:], 2 * scale + 1, out=below)
+        np.minimum(cost, below, out=cost)
+        if i <= left:
+            cost[:left - i] = far
+            cost[left - i] = i * scale - (left - i) * (scale + 1)
+        if size > 1:
+            np.minimum.accumulate(cost, axis=0, out=row[:-1])
+        else:
+            np.minimum.accumulate(cost[:, 0], out=row[:-1, 0])
+        for p in ends.get(i, ()):
+            a, b = pairs[p]
+            cell = len(b) - len(a) + left
+            distance, insertions = divmod(int(row[cell, p]) + cell * int(scale + 1), int(scale))
+            deletions = insertions - (len(b) - len(a))
+            out[p] = insertions, deletions, distance - insertions - deletions
+    return out
 
 
 @F.pandas_udf(EDITS)
 def edit_operations(references: pd.Series, hypotheses: pd.Series) -> pd.DataFrame:
-    counts = [(None, None, None) if r is None or h is None else edit_counts(r, h)
-              for r, h in zip(references, hypotheses)]
-    return pd.DataFrame(counts, columns=["insertions", "deletions", "substitutions"])
+    given = [r is not None and h is not None for r, h in zip(references, hypotheses)]
+    counts = iter(edit_counts_of([pair for pair, known in zip(zip(references, hypotheses), given) if known]))
+    return pd.DataFrame([next(counts) if known else (None, None, None) for known in given], columns=["insertions", "deletions", "substitutions"])

@@ -24,14 +24,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def balanced(df: DataFrame, key: str) -> DataFrame:
+def balanced(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a table over all cores before per-row text work, only if its scan has too few splits for that.
 
     A large table has more splits than cores and is left alone.
     """
     small_batches(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() > cores else df.repartition(cores, key)
+    return df if df.rdd.getNumPartitions() > cores else df.repartition(cores, *keys)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from ..operators import quality as ql
 from ..operators import select as sl
 from ..session import workspace
 from ..sources import readers
-from .inputs import conversations, table
+from .inputs import balanced, conversations, table
 from .registry import query
 
 # Accented letters mapped one to one onto capitals, because the SQL engine measures edit distance in bytes.
@@ -32,7 +32,7 @@ c AS (SELECT *, levenshtein(r, h) AS distance FROM p)
 def pairs(spark, d) -> DataFrame:
     """Turns beside a noisy transcript of themselves, whole texts."""
     heard = F.replace(F.replace(F.replace("text", F.lit("ou"), F.lit("u")), F.lit(" la "), F.lit(" ")), F.lit("é"), F.lit("éé"))
-    return conversations(spark, d).withColumn("transcript", heard)
+    return balanced(conversations(spark, d), "conv_id", "turn").withColumn("transcript", heard)
 
 
 @query("q1_cer", f"""

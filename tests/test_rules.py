@@ -87,6 +87,31 @@ def test_edit_distances(spark):
         assert r["pass"] == ((plain(x, y) if len(x) < 1000 else 50) / max(len(x), 1) <= 0.15)
 
 
+def split_of(a, b):
+    """Insertions, deletions, substitutions of the cheapest alignment, of those with the fewest insertions."""
+    row = [(j, j) for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        new = [(i, 0)]
+        for j, y in enumerate(b, 1):
+            new.append(min((row[j][0] + 1, row[j][1]), (new[-1][0] + 1, new[-1][1] + 1), (row[j - 1][0] + (x != y), row[j - 1][1])))
+        row = new
+    distance, insertions = row[-1]
+    deletions = insertions - len(b) + len(a)
+    return insertions, deletions, distance - insertions - deletions
+
+
+def test_edits_of_many_pairs_are_those_of_each():
+    """Pairs of all sizes together: equal ones, empty ones, few edits, and more than a first band has room for."""
+    rnd = random.Random(7)
+    pairs = [("", ""), ("same", "same"), ("", "abc"), ("abc", ""), ("ab" * 60, "ba" * 60), ("a" * 150, "b" * 90), ("x\ud800y", "xy")]
+    for _ in range(300):
+        a = "".join(rnd.choice("abc") for _ in range(rnd.choice([1, 4, 30, 120])))
+        near = "".join(rnd.choice(["", c, c + "b", "c"]) if rnd.random() < 0.1 else c for c in a)
+        pairs.append((a, near if rnd.random() < 0.7 else "".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 120)))))
+    assert kernels.edit_counts_of(pairs) == [split_of(a, b) for a, b in pairs]
+    assert kernels.edit_counts_of([]) == []
+
+
 def test_segments_as_a_table_function(spark):
     sql.register(spark)
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "One sentence. " * 200)], "id int, text string")
