@@ -6,7 +6,9 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-LINE_BREAKS = r"\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
+# Java tests single characters below 256 in a class by one look-up; ranges and others it asks one after the other.
+LINE_BREAKS = r"[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029](?:(?<=\r)\n)?"
+RARE_BREAKS, WIDE_BREAKS = r"[\x0b\x0c\r\x1c\x1d\x1e\x85]", "\u2028\u2029"
 
 # HTML
 TAGGED = r"(?i)</?(?:p|div|br|html|body|span)\b"
@@ -33,11 +35,12 @@ HEADER_WINDOW = 80
 HEADER_MIN_FIELDS = 3
 
 # URLs: ASCII URL characters only; trailing punctuation belongs to the sentence.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 URL = (
-    r"(?i)(?:https?://|www\.)[a-z0-9]"
-    r"(?:[a-z0-9._~:/?#\[\]@!$&()*+,;=%-]*[a-z0-9_~:/#\[\]@$&(*+=%-])?"
+    rf"(?i)[hw](?:(?<=h)ttps?://|(?<=w)ww\.)[{_LETTERS}]"
+    rf"(?:[{_LETTERS}._~:/?#\[\]@!$&()*+,;=%-]*[{_LETTERS}_~:/#\[\]@$&(*+=%-])?"
 )
-URL_OPEN = r"(?i)(?:https?://|www\.)[a-z0-9][a-z0-9._~:/?#\[\]@!$&()*+,;=%-]*"
+URL_OPEN = rf"(?i)(?:https?://|www\.)[{_LETTERS}][{_LETTERS}._~:/?#\[\]@!$&()*+,;=%-]*"
 MARKDOWN_LINK = r"(?i)\[([^\]\n]{0,500})\]\(\s*((?:https?://|www\.)[^\s)\n]+)\s*\)"
 DOMAIN_SUFFIXES = ["com", "net", "org", "cn", "cc", "io", "me", "info", "xyz", "top", "site", "vip", "co", "tv"]
 WRAPPED_BREAK = r"(?<![。！？!?…])\n(?!\n)"

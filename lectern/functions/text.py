@@ -25,9 +25,16 @@ def strip(value: Column | str) -> Column:
 
 def lines(value: Column | str) -> Column:
     """Split at every line separator; a trailing separator opens no extra line and empty text has no lines."""
+    def parts(text: Column) -> Column:
+        # nearly all texts have line feeds alone, and at a single character Java splits without a pattern
+        other = text.rlike(fixed.RARE_BREAKS)
+        for char in fixed.WIDE_BREAKS:
+            other = other | text.contains(char)
+        return F.when(other, F.split(text, fixed.LINE_BREAKS, -1)).otherwise(F.split(text, "\n", -1))
+
     return let(
-        F.split(col(value), fixed.LINE_BREAKS, -1),
-        lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts),
+        let(col(value), parts),
+        lambda ls: F.when(F.element_at(ls, -1) == "", F.slice(ls, 1, F.size(ls) - 1)).otherwise(ls),
     )
 
 

@@ -201,7 +201,7 @@ def unwrap_markdown_links(value: Column) -> Column:
     """A link becomes its label; a label that is itself a URL goes too."""
     marked = F.regexp_replace(value, fixed.MARKDOWN_LINK, f"{_OPEN}$1{_CLOSE}")
     url_labels = F.regexp_replace(marked, rf"{_OPEN}(?U)\s*(?-U){fixed.URL_OPEN}(?U)\s*{_CLOSE}", "")
-    return F.translate(url_labels, _OPEN + _CLOSE, "")
+    return F.replace(F.replace(url_labels, F.lit(_OPEN), F.lit("")), F.lit(_CLOSE), F.lit(""))
 
 
 def link_urls(value: Column) -> Column:
@@ -217,13 +217,19 @@ def inline_urls(value: Column) -> Column:
 
 
 def is_domain_line(line: Column) -> Column:
-    """Labels, port and path are tested apart: no pattern here repeats a group, which would nest as deep as the line is long."""
-    bare = F.lower(tx.strip(line))
-    host = F.regexp_extract(bare, "^[^/:]*", 0)
-    labels = F.split(host, "[.]", -1)
-    proper = F.forall(F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0))), lambda x: x.rlike(r"\A[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\z"))
-    rest = F.substring(bare, F.length(host) + 1, F.length(bare))
-    return (F.size(labels) > 1) & F.element_at(labels, -1).isin(*fixed.DOMAIN_SUFFIXES) & proper & rest.rlike(r"\A(?::\d+)?(?:/[a-z0-9._~:/?#\[\]@!$&()*+,;=%-]*)?\z")
+    """Labels, port and path are tested apart: no pattern here repeats a group, which would nest as deep as the line is long.
+
+    Each part is taken out of the line once, and only of a line with a dot and without a blank, which most lines of prose are not.
+    """
+    def judge(bare: Column) -> Column:
+        return tx.let(F.regexp_extract(bare, "^[^/:]*", 0), lambda host: tx.let(F.split(host, r"\.", -1), lambda labels: known(bare, host, labels)))
+
+    def known(bare: Column, host: Column, labels: Column) -> Column:
+        proper = F.forall(F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0))), lambda x: x.rlike(r"\A[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\z"))
+        rest = F.substring(bare, F.length(host) + 1, F.length(bare))
+        return (F.size(labels) > 1) & F.element_at(labels, -1).isin(*fixed.DOMAIN_SUFFIXES) & proper & rest.rlike(r"\A(?::\d+)?(?:/[a-z0-9._~:/?#\[\]@!$&()*+,;=%-]*)?\z")
+
+    return tx.let(tx.strip(line), lambda bare: bare.contains(".") & ~bare.contains(" ") & tx.let(F.lower(bare), judge))
 
 
 def url_audit(urls: Column) -> Column:

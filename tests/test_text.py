@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.functions import kernels
+from lectern.functions import fixed, kernels
 from lectern.functions import text as tx
 from lectern.operators import chapters as ch
 from lectern.operators import clean as cl
@@ -114,6 +114,29 @@ def test_urls(spark):
     assert row.audit[0].removed == ["http://c.example.net/d", "http://g.h/i", "https://a.example.com/x?y=1", "www.b.org", "example.com"]
 
 
+def test_a_line_is_taken_apart_once(spark):
+    """A domain line's parts are named, not written out wherever they are used; a plan that grew was worked out as often."""
+    judged = spark.createDataFrame([("a\nb.com",)], "t string").select(F.filter(tx.lines("t"), cl.is_domain_line).alias("d"))
+    plan = judged._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract(") == 1 and plan.count("lower(") == 1 and judged.first().d == ["b.com"]
+
+
+def test_patterns_that_begin_with_a_class_find_the_same(spark):
+    import random
+    rnd = random.Random(3)
+    parts = ["\r", "\n", "\r\n", "\x0b", "\x85", "\u2028", "a", "H", "h", "ttp", "ttps", "TTP", "://", "ww.", "w", "W", "www.", "http://", "x.y", "é", " ", "ſ", ".", ",", "-", "]", "%Z9", "\u2029"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 25))) for _ in range(2000)]
+    old_url = (r"(?i)(?:https?://|www\.)[a-z0-9]"
+               r"(?:[a-z0-9._~:/?#\[\]@!$&()*+,;=%-]*[a-z0-9_~:/#\[\]@$&(*+=%-])?")
+    old_breaks = r"\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    same = df.select(F.split("t", fixed.LINE_BREAKS, -1) == F.split("t", old_breaks, -1),
+                     cl.inline_urls(F.col("t")) == F.regexp_extract_all("t", F.lit(old_url), F.lit(0)), F.size(cl.inline_urls(F.col("t"))),
+                     tx.lines("t") == tx.let(F.split("t", old_breaks, -1), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p)))
+    rows = same.collect()
+    assert all(r[0] and r[1] and r[3] for r in rows) and sum(r[2] for r in rows) > 100
+
+
 def test_line_separators(spark):
     cases = ["", "a", "a\n", "a\n\n", "\n", "a\r\nb\rc d\x0be\x85f"]
     df = spark.createDataFrame(list(enumerate(cases)), "i int, t string").select("i", tx.lines("t").alias("l"))
