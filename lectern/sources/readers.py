@@ -72,6 +72,9 @@ EPUB_ENTRIES = T.StructType([
     T.StructField("item", T.StringType()), T.StructField("name", T.StringType()), T.StructField("properties", T.StringType()),
     T.StructField("value", T.StringType()), T.StructField("data", T.BinaryType())])
 
+# Entries of small containers leave a task together: a frame for each costs far more than opening it.
+ENTRY_ROWS, ENTRY_CHARS = 2000, 4 << 20
+
 
 def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
@@ -140,11 +143,18 @@ def read_epub(files: DataFrame) -> dict[str, DataFrame]:
     """
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows, held = [], 0
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    rows = list(_unpack(path, bytes(content)))
+                    own = list(_unpack(path, bytes(content)))
                 except Exception as exc:  # one bad container must not stop the others
-                    rows = [(path, "error", 0, None, None, None, f"{type(exc).__name__}: {exc}", None)]
+                    own = [(path, "error", 0, None, None, None, f"{type(exc).__name__}: {exc}", None)]
+                rows += own
+                held += sum(len(row[6] or "") + len(row[7] or b"") for row in own)
+                if len(rows) >= ENTRY_ROWS or held >= ENTRY_CHARS:
+                    yield pd.DataFrame(rows, columns=EPUB_ENTRIES.names)
+                    rows, held = [], 0
+            if rows:
                 yield pd.DataFrame(rows, columns=EPUB_ENTRIES.names)
 
     books = files.filter(F.lower("path").endswith(".epub")).select("path", "content")

@@ -370,3 +370,11 @@ def test_confined_paths_agree_with_their_steps(spark):
     rows = spark.createDataFrame([(p, f) for p in paths for f in folders], "path string, folder string")
     both = rows.select("path", "folder", sel.confined(F.col("path"), F.col("folder")).alias("fast"), sel._confined_steps(F.col("path"), F.col("folder")).alias("steps"))
     assert both.filter("NOT (fast <=> steps)").collect() == []
+
+
+def test_containers_are_packed_and_opened_once(spark):
+    """All uses of the files read what was written: no plan packs or opens containers again."""
+    from lectern.plans import job_queries
+    rows = job_queries.parse_books(spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert "MapInPandas" not in plan and rows.count() == 251
