@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import identity as idf
-from ..session import workspace
+from ..session import stable, workspace
 
 
 def plan_batches(items: DataFrame, chapter: list[str], order: str, chars: Column, size: int,
@@ -146,12 +146,16 @@ def retry_loop(items: DataFrame, step: Step, key: str, max_retry: int = fixed.MA
     items = items.filter(F.col(key).isNotNull())
     events = _events(spark, path)
     for _ in range(max_retry + 1 if rounds is None else min(rounds, max_retry + 1)):
-        left = items if events is None else items.join(_spent(events, key), key, "left")
-        spent = F.lit(0) if events is None else F.coalesce("_attempts", F.lit(0))
-        settled = F.lit(False) if events is None else F.coalesce("_passed", F.lit(False))
-        pending = left.filter(~settled & (spent <= max_retry)).withColumn("attempt", spent.cast("int")).select(*items.columns, "attempt")
-        if events is not None and pending.isEmpty():
-            break
+        if events is None:
+            pending = items.withColumn("attempt", F.lit(0))
+        else:
+            # who is pending is settled by the keys alone and written: where that is few, the items, which may hold long texts, stay where they are
+            known = items.select(key).join(_spent(events, key), key, "left")
+            spent, settled = F.coalesce("_attempts", F.lit(0)), F.coalesce("_passed", F.lit(False))
+            again = stable(known.filter(~settled & (spent <= max_retry)).select(key, spent.cast("int").alias("attempt")))
+            if again.isEmpty():
+                break
+            pending = items.join(again, key).select(*items.columns, "attempt")
         number = _rounds(spark, path)
         outcome = step(pending, number)
         if "attempt" not in outcome.columns:

@@ -378,3 +378,12 @@ def test_containers_are_packed_and_opened_once(spark):
     rows = job_queries.parse_books(spark, "/root/testdata/sf0.001")
     plan = rows._jdf.queryExecution().analyzed().toString()
     assert "MapInPandas" not in plan and rows.count() == 251
+
+
+def test_batches_of_a_run_are_planned_without_texts(spark, monkeypatch):
+    from lectern.plans import lifecycle_queries as life
+    seen, plan = [], life.work.plan_batches
+    monkeypatch.setattr(life.work, "plan_batches", lambda items, *rest: seen.append(items.columns) or plan(items, *rest))
+    fates = life.outcomes(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 2 and not any("text" in columns for columns in seen)
+    assert fates.groupBy("source", "segment_id").count().filter("count > 1").isEmpty() and fates.filter("length(segment_id) <> 64 OR fate IS NULL").isEmpty()
