@@ -340,13 +340,16 @@ def audit_union(*parts: DataFrame) -> DataFrame:
 def audit_preview(rows: DataFrame, book: str, order: list[str]) -> DataFrame:
     """At most 100 bounded records per book beside the full count.
 
-    The records are written once: totals and ranks do not clean the texts again. The rank filter becomes a partial limit before the
-    shuffle, so a book with most of the records ships at most 100 per task; the count is a partial aggregate.
+    The records are written once: totals and ranks do not clean the texts again. Ranks are of the keys alone, and only the records that
+    have one of the first meet their previews again: what a task reads of a book does not grow with the number of tasks that hold its records. The
+    rank filter becomes a partial limit before the shuffle; the count is a partial aggregate.
     """
-    rows = stable(rows)
+    rows = stable(rows.withColumn("_row", F.monotonically_increasing_id()))
     totals = rows.groupBy(book).agg(F.count("*").alias("audit_count"))
-    ranked = rows.withColumn("position", F.row_number().over(Window.partitionBy(book).orderBy(*order)))
-    bounded = (ranked.filter(F.col("position") <= fixed.PREVIEW_ITEMS)
+    keys = list(dict.fromkeys([book, *order]))
+    ranked = rows.select(*keys, "_row").withColumn("position", F.row_number().over(Window.partitionBy(book).orderBy(*order)))
+    first = stable(ranked.filter(F.col("position") <= fixed.PREVIEW_ITEMS).select("_row", "position"))
+    bounded = (rows.join(first, "_row").drop("_row")
                .withColumn("removed", F.transform(F.slice("removed", 1, fixed.PREVIEW_LIST),
                                                   lambda v: F.left(v, F.lit(fixed.PREVIEW_CHARS)))))
     return (bounded.join(totals, book)

@@ -12,6 +12,7 @@ from ..functions.rows import unnest
 SENTENCE_LINE = r"[^.]{1,58}\."
 
 BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+PARTS_PER_SPLIT = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +28,12 @@ def small_batches(spark: SparkSession) -> None:
 def balanced(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a table over all cores before per-row text work, only if its scan has too few splits for that.
 
-    A large table has more splits than cores and is left alone.
+    A large table has more splits than cores and is left alone. A table of some splits gets more parts than cores, so that what a task reads is a part
+    of a split; Spark deals tables of the same number of parts to the same tasks where they are united.
     """
     small_batches(df.sparkSession)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() > cores else df.repartition(cores, *keys)
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df if splits > cores else df.repartition(max(cores, PARTS_PER_SPLIT * splits), *keys)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

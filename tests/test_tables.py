@@ -387,3 +387,23 @@ def test_batches_of_a_run_are_planned_without_texts(spark, monkeypatch):
     fates = life.outcomes(spark, "/root/testdata/sf0.001")
     assert len(seen) == 2 and not any("text" in columns for columns in seen)
     assert fates.groupBy("source", "segment_id").count().filter("count > 1").isEmpty() and fates.filter("length(segment_id) <> 64 OR fate IS NULL").isEmpty()
+
+
+def test_previews_are_ranked_by_keys_alone(spark):
+    """A book with most of the records, in many partitions: its records' previews stay out of the ranks and of the shuffle before them."""
+    from lectern.operators import clean as cl
+    rows = spark.range(0, 5000, 1, 40).select(
+        F.when(F.col("id") % 50 == 0, "small").otherwise("large").alias("book"), (4999 - F.col("id")).alias("at"), F.array(F.repeat(F.lit("x"), 600)).alias("removed"))
+    shown = cl.audit_preview(rows, "book", ["at"])
+    assert "Window" not in shown._jdf.queryExecution().analyzed().toString()
+    found = shown.select("book", "at", "position", "audit_count", "audit_truncated", F.length(F.get("removed", F.lit(0))).alias("n")).collect()
+    assert {(r.book, r.audit_count, r.audit_truncated, r.n) for r in found} == {("small", 100, False, 500), ("large", 4900, True, 500)}
+    large = sorted((r.position, r["at"]) for r in found if r.book == "large")
+    assert large == list(enumerate([at for at in range(5000) if (4999 - at) % 50][:100], 1)) and set(shown.columns) == {"book", "at", "removed", "position", "audit_count", "audit_truncated"}
+
+
+def test_a_table_of_some_splits_gets_more_parts_than_cores(spark):
+    from lectern.plans import inputs
+    cores = spark.sparkContext.defaultParallelism
+    parts = [inputs.balanced(spark.range(0, 100, 1, n), "id").rdd.getNumPartitions() for n in (1, cores, cores + 1)]
+    assert parts == [max(cores, 4), 4 * cores, cores + 1]
