@@ -7,6 +7,7 @@ the training ids after the id before, so an untrained model already is that dist
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,7 +16,7 @@ GROUP = 32
 COMMON = GROUP ** 2
 REST = 222
 VOCABULARY = COMMON + REST ** 2
-CEILING = np.float32(60)  # logits within this have exponentials whose sums are finite and above 0; rows of others are shifted first
+SMALLEST = 1e-26  # sums of exponentials between this and its inverse are neither cut off nor lost
 PRIOR = 20.0  # ids' worth of the distribution of all ids in that after one id
 MIXED = 0.05  # share of the biases alone in a score, so that no training makes what it has not seen all but impossible
 KNOWN = 1 << 12  # ids with an embedding of their own; rarer ones share
@@ -85,15 +86,25 @@ def after(model: Model, keys: np.ndarray, counts: np.ndarray) -> Model:
     return Model(model.shape, model.rank, [*[b.astype(np.float32) for b in steps], *model.bias[2:]], model.weights)
 
 
-def _far(x: np.ndarray) -> bool:
-    return x.max(initial=0) > CEILING or x.min(initial=0) < -CEILING
-
-
-def _shift(x: np.ndarray) -> None:
-    """Rows with their largest logit at 0, which changes no probability. Cut off at the ceiling instead, the largest ones would become equal."""
-    x -= x.max(-1, keepdims=True)
-
-
+def _exponentials(logits: Callable[[], np.ndarray], seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of the logits and their sums by row; 0 where ``seen`` is. Rows that leave the range of the numbers are made again with their
+    largest logit at 0, which changes no probability. Cut off at a ceiling instead, the largest ones would become equal."""
+    x = logits()
+    np.exp(x, out=x)
+    if seen is not None:
+        x *= seen
+    total = x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], x.dtype)
+    if not (total.max(initial=1) < 1 / SMALLEST and total.min(initial=1) > SMALLEST):
+        x = logits()
+        if seen is not None:
+            x += np.where(seen > 0, np.float32(0), np.float32(-1e9))
+        x -= x.max(-1, keepdims=True)
+        np.exp(x, out=x)
+        total = x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], x.dtype)
+    return x, total
+
+
+@np.errstate(over="ignore", invalid="ignore")
 def log_probabilities(model: Model, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log-probability of ``targets`` (numbers, the next id after each of the last positions of each window).
 
@@ -103,84 +114,91 @@ def log_probabilities(model: Model, inputs: np.ndarray, targets: np.ndarray) ->
     d = model.shape.width
     x = w["embed"].take(inputs & (KNOWN - 1), 0)
     x += w["place"]
-    kv = x.reshape(-1, d) @ np.concatenate([w["k"], w["v"] @ w["o"]], 1)
-    kv = kv.reshape(n, size, 2 * d)
-    last = x[:, size - s:]
-    q = (last.reshape(-1, d) @ (w["q"] / np.float32(d ** 0.5))).reshape(n, s, d)
-    share = q @ kv[:, :, :d].transpose(0, 2, 1)
-    far = _far(share)
-    share += MASKS.setdefault((size, s), np.where(np.arange(size)[None] <= np.arange(size - s, size)[:, None], 0, -1e9).astype(np.float32))
-    if inputs.min(initial=0) < 0:
-        share += np.where(inputs < 0, np.float32(-1e9), np.float32(0))[:, None]
-    if far:
-        _shift(share)
-    np.exp(share, out=share)
-    h = share @ kv[:, :, d:]
-    h /= (share.reshape(-1, size) @ np.ones(size, np.float32)).reshape(n, s, 1)
+    last = x[:, size - s:].reshape(-1, d)
+    q = (last @ _met(model)).reshape(n, s, d)
+    seen, none = _seen(size, s), np.flatnonzero(inputs.min(1, initial=0) < 0)
+    if len(none):
+        seen = np.repeat(seen[None], n, 0)
+        seen[none] *= (inputs[none] >= 0)[:, None]
+    share, total = _exponentials(lambda: q @ x.transpose(0, 2, 1), seen)
+    y = (share @ x).reshape(-1, d)
+    y /= total[:, None]
+    h = y @ (w["v"] @ w["o"])
     h += last
-    h = h.reshape(-1, d)
     t = targets.ravel()
     real = np.flatnonzero(t >= 0)
     before = inputs[:, size - s:].ravel()
     if len(real) < len(t):
-        t, h, before = t[real], h[real], before[real]
+        t, h, before = t.take(real), h.take(real, 0), before.take(real)
     before = before & (len(model.bias[0]) - 1)
     group = np.minimum(t // GROUP, GROUP)
     inner = np.minimum(group, GROUP - 1)
 
-    def head(name: str, own: np.ndarray, bias: np.ndarray, pick: np.ndarray) -> np.ndarray:
-        logits = own @ w[name]
-        logits += bias
-        if _far(logits):
-            _shift(logits)
-        at = logits.ravel().take(np.arange(0, logits.size, logits.shape[1]) + pick)
-        np.exp(logits, out=logits)
-        return at - np.log(logits @ np.ones(logits.shape[1], np.float32))
+    def head(name: str, own: np.ndarray, bias: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of what is picked, and its bias."""
+        bias = np.broadcast_to(bias, (len(own), bias.shape[-1])) if bias.ndim == 1 else bias
 
-    out = head("u1", h, model.bias[0].take(before, 0), group)
+        def logits() -> np.ndarray:
+            x = own @ w[name]
+            x += bias
+            return x
+
+        p, total = _exponentials(logits)
+        spot = np.arange(0, p.size, p.shape[1]) + pick
+        return p.ravel().take(spot) / total, bias.ravel().take(spot)
+
+    out, plain = head("u1", h, model.bias[0].take(before, 0), group)
     gated = w["g2"].take(inner, 0)
     gated *= h
-    out += head("u2", gated, model.bias[1].take(before * GROUP + inner, 0), t % GROUP) * (t < COMMON)
     rare = np.flatnonzero(t >= COMMON)
-    own, left = h[rare], t[rare] - COMMON
-    out[rare] += head("u3", own, model.bias[2], left // REST) + head("u4", own, model.bias[3][left // REST], left % REST)
-    plain = model.bias[0].ravel().take(before * (GROUP + 1) + group)
-    plain += model.bias[1].ravel().take((before * GROUP + inner) * GROUP + t % GROUP) * (t < COMMON)
-    plain[rare] += model.bias[2][left // REST] + model.bias[3][left // REST, left % REST]
+    own, left = h.take(rare, 0), t.take(rare) - COMMON
+    high, low = left // REST, left % REST
+    second, more = head("u2", gated, model.bias[1].take(before * GROUP + inner, 0), t % GROUP)
+    third, its = head("u3", own, model.bias[2], high)
+    fourth, bias = head("u4", own, model.bias[3].take(high, 0), low)
+    second[rare], more[rare] = third * fourth, its + bias
+    out *= second
+    plain = plain + more
+    # biases alone leave every id above exp(-60)
+    out *= np.exp(-plain)
+    out *= np.float32(1 - MIXED)
+    out += np.float32(MIXED)
     whole = np.zeros(n * s, np.float32)
-    whole[real] = np.logaddexp(out + np.float32(np.log(1 - MIXED)), plain + np.float32(np.log(MIXED)))
+    whole[real] = np.log(out) + plain
     return whole.reshape(n, s)
 
 
+def _met(model: Model) -> np.ndarray:
+    """Queries by keys: what a position is multiplied by to meet the positions before it as they are."""
+    w = model.weights
+    return (w["q"] * np.float32(model.shape.width ** -0.5)) @ w["k"].T
+
+
 MASKS: dict[tuple[int, int], np.ndarray] = {}
 
 
-def gradient(model: Model, ids: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+@np.errstate(over="ignore", invalid="ignore")
+def gradient(model: Model, ids: np.ndarray, weight: np.ndarray, measured: bool = True) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss and gradients. ``ids``: numbers, one more than the inputs in each row; ``weight`` marks the targets that exist.
 
-    Values and outputs are multiplied into one matrix first, so attention mixes what it adds. Both heads of common ids run over all rows,
+    Queries and keys are multiplied into one matrix first, and so are values and outputs: attention meets and mixes the positions as they are.
+    Without ``measured`` the loss is left out, as 0. Both heads of common ids run over all rows,
     those of other ids with weight 0; the few rarer ids are taken out.
     """
     w, d = model.weights, model.shape.width
     inputs, t = ids[:, :-1], ids[:, 1:].ravel()
     n, size = inputs.shape
-    scale = np.float32(d ** -0.5)
     e = inputs.ravel() & (KNOWN - 1)
     flat = w["embed"].take(e, 0)
     x = flat.reshape(n, size, d)
     x += w["place"][:size]
-    into = np.concatenate([w["q"] * scale, w["k"], w["v"] @ w["o"]], 1)
-    qkv = (flat @ into).reshape(n, size, 3 * d)
-    q, k, v = qkv[:, :, :d], qkv[:, :, d:2 * d], qkv[:, :, 2 * d:]
-    share = q @ k.transpose(0, 2, 1)
-    if _far(share):
-        share += np.where(_seen(size) > 0, np.float32(0), np.float32(-1e9))
-        _shift(share)
-    np.exp(share, out=share)
-    share *= _seen(size)
-    share /= (share.reshape(-1, size) @ np.ones(size, np.float32)).reshape(n, size, 1)
-    mixed = (share @ v).reshape(-1, d)
-    h = flat + mixed
+    met, into = _met(model), w["v"] @ w["o"]
+    q = (flat @ met).reshape(n, size, d)
+    share, total = _exponentials(lambda: q @ x.transpose(0, 2, 1), _seen(size, size))
+    share /= total.reshape(n, size, 1)
+    y = (share @ x).reshape(-1, d)
+    h = y @ into
+    h += flat
     scales = (weight.ravel() / max(weight.sum(), 1)).astype(np.float32)
     every = np.arange(len(t))
     before = inputs.ravel() & (len(model.bias[0]) - 1)
@@ -191,14 +209,16 @@ def gradient(model: Model, ids: np.ndarray, weight: np.ndarray) -> tuple[float,
     def head(name: str, own: np.ndarray, bias: np.ndarray, pick: np.ndarray, marks: np.ndarray) -> np.ndarray:
         """Gradient of the logits' inputs; adds to the loss."""
         nonlocal loss
-        p = own @ w[name]
-        p += bias
-        if _far(p):
-            _shift(p)
-        np.exp(p, out=p)
-        total = p @ np.ones(p.shape[1], np.float32)
+
+        def logits() -> np.ndarray:
+            x = own @ w[name]
+            x += bias
+            return x
+
+        p, total = _exponentials(logits)
         flat, spot = p.ravel(), every[:len(pick)] * p.shape[1] + pick
-        loss -= float(np.log(flat.take(spot) / total + np.float32(1e-30)) @ marks)
+        if measured:
+            loss -= float(np.log(flat.take(spot) / total + np.float32(1e-30)) @ marks)
         p *= (marks / total)[:, None]
         flat[spot] -= marks
         grads[name] = own.T @ p
@@ -207,9 +227,7 @@ def gradient(model: Model, ids: np.ndarray, weight: np.ndarray) -> tuple[float,
     dh = head("u1", h, model.bias[0].take(before, 0), group, scales)
     gate = w["g2"].take(inner, 0)
     back = head("u2", h * gate, model.bias[1].take(before * GROUP + inner, 0), t % GROUP, scales * (t < COMMON))
-    member = np.zeros((len(t), GROUP), np.float32)
-    member[every, inner] = 1
-    grads["g2"] = member.T @ (back * h)
+    grads["g2"] = _gather(inner, back * h, GROUP)
     back *= gate
     dh += back
     rare = np.flatnonzero(t >= COMMON)
@@ -217,56 +235,67 @@ def gradient(model: Model, ids: np.ndarray, weight: np.ndarray) -> tuple[float,
     high, low = left // REST, left % REST
     dh[rare] += head("u3", own, model.bias[2], high, scales[rare]) + head("u4", own, model.bias[3][high], low, scales[rare])
 
-    dmixed = dh.reshape(n, size, d)
-    ds = dmixed @ v.transpose(0, 2, 1)
-    ds -= np.einsum("ij,ij->i", dh, mixed).reshape(n, size, 1)  # what the mixture as a whole would lose
+    grads["v"], grads["o"] = (g := y.T @ dh) @ w["o"].T, w["v"].T @ g
+    dy = dh @ into.T
+    ds = dy.reshape(n, size, d) @ x.transpose(0, 2, 1)
+    ds -= np.einsum("ij,ij->i", dy, y).reshape(n, size, 1)  # what the mixture as a whole would lose
     ds *= share
-    out = np.empty((n, size, 3 * d), np.float32)
-    out[:, :, :d] = ds @ k
-    out[:, :, d:2 * d] = ds.transpose(0, 2, 1) @ q
-    out[:, :, 2 * d:] = share.transpose(0, 2, 1) @ dmixed
-    out = out.reshape(-1, 3 * d)
-    dinto = flat.T @ out
-    grads["q"], grads["k"] = dinto[:, :d] * scale, dinto[:, d:2 * d]
-    grads["v"], grads["o"] = dinto[:, 2 * d:] @ w["o"].T, w["v"].T @ dinto[:, 2 * d:]
-    dh += out @ into.T
+    dq = (ds @ x).reshape(-1, d)
+    g = (flat.T @ dq) * np.float32(d ** -0.5)
+    grads["q"], grads["k"] = g @ w["k"], g.T @ w["q"]
+    dh += dq @ met.T
+    dx = dh.reshape(n, size, d)
+    dx += share.transpose(0, 2, 1) @ dy.reshape(n, size, d)
+    dx += ds.transpose(0, 2, 1) @ q
     grads["place"] = np.zeros_like(w["place"])
-    grads["place"][:size] = dh.reshape(n, size, d).sum(0)
+    grads["place"][:size] = dx.sum(0)
     grads["embed"] = _gather(e, dh, KNOWN)
     return loss, grads
 
 
-def _seen(size: int) -> np.ndarray:
-    return MASKS.setdefault((size, 0), np.tri(size, dtype=np.float32))
+def _seen(size: int, last: int) -> np.ndarray:
+    """1 where one of the last positions (rows) sees a position."""
+    if (size, last) not in MASKS:
+        MASKS[size, last] = np.tri(last, size, size - last, dtype=np.float32)
+    return MASKS[size, last]
 
 
 def _gather(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     """Sums of ``values`` by row number."""
-    out = np.empty((size, values.shape[1]), values.dtype)
-    for column, own in zip(out.T, values.T, strict=True):
-        column[:] = np.bincount(rows, own, size)
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # 16 bits are sorted by counting
+    ordered = rows.take(order)
+    first = np.append(0, np.flatnonzero(ordered[1:] != ordered[:-1]) + 1)
+    out = np.zeros((size, values.shape[1]), values.dtype)
+    out[ordered.take(first)] = np.add.reduceat(values.take(order, 0), first, 0)
     return out
 
 
 class Adam:
+    """Moves a model's weights in place: embeddings by row, all others as one vector of which they become views."""
+
     def __init__(self, model: Model, rate: float = 0.01) -> None:
         self.model, self.rate, self.turn = model, rate, 0
-        self.mean = {k: np.zeros_like(v) for k, v in model.weights.items()}
-        self.square = {k: np.zeros_like(v) for k, v in model.weights.items()}
+        self.names = [k for k in sorted(model.weights) if k != "embed"]
+        self.rest = np.concatenate([model.weights[k].ravel() for k in self.names])
+        at = 0
+        for k in self.names:
+            shape, size = model.weights[k].shape, model.weights[k].size
+            model.weights[k] = self.rest[at:at + size].reshape(shape)
+            at += size
+        self.mean, self.square = np.zeros_like(self.rest), np.zeros_like(self.rest)
+        self.rows = np.zeros_like(model.weights["embed"]), np.zeros_like(model.weights["embed"])
 
-    def step(self, ids: np.ndarray, weight: np.ndarray) -> float:
-        loss, grads = gradient(self.model, ids, weight)
+    def step(self, ids: np.ndarray, weight: np.ndarray, measured: bool = True) -> float:
+        loss, grads = gradient(self.model, ids, weight, measured)
         self.turn += 1
         rate = self.rate * (1 - 0.99 ** self.turn) ** 0.5 / (1 - 0.9 ** self.turn)
-        for k, g in grads.items():
-            m, s, value = self.mean[k], self.square[k], self.model.weights[k]
-            if k == "embed":  # only rows of this batch move
-                rows = np.flatnonzero(np.bincount((ids[:, :-1] & (KNOWN - 1)).ravel(), minlength=KNOWN))
-                own = m[rows], s[rows], g[rows]
-                value[rows] -= self._step(*own, rate)
-                m[rows], s[rows] = own[:2]
-            else:
-                self.model.weights[k] = value - self._step(m, s, g, rate)
+        self.rest -= self._step(self.mean, self.square, np.concatenate([grads[k].ravel() for k in self.names]), rate)
+        moved = np.zeros(KNOWN, bool)
+        moved[ids[:, :-1] & (KNOWN - 1)] = True
+        moved = np.flatnonzero(moved)  # only rows of this batch move
+        m, s = (x.take(moved, 0) for x in self.rows)
+        self.model.weights["embed"][moved] -= self._step(m, s, grads["embed"].take(moved, 0), rate)
+        self.rows[0][moved], self.rows[1][moved] = m, s
         return loss
 
     @staticmethod

@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 from ..session import stable
 from . import attention as at
 from . import words as w
-from .tokenizing import Ids
+from .tokenizing import PLAIN, Ids
 
 LN10 = float(np.log(10))
+ODD = ~w.BLANK & ((np.arange(256) < 32) | (np.arange(256) > 126))  # bytes that a text which is not plain has
+TOGETHER = 1 << 20
 IDS = 1 << 18  # ids that are worked on together; a longer text is a piece of its own
 
 
@@ -109,15 +111,51 @@ def train(texts: DataFrame, scoring: Scoring = Scoring()) -> at.Model:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in w.blocks(batches):
-        word, n = np.unique(block.words(lower=True).hash, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "c"])
+    """Counts of some ``TOGETHER`` words in one, so that a word common in them is a row once."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
 
+    def merged() -> pa.RecordBatch:
+        word, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(word, kind="stable")  # sorted parts are merged
+        word, n = word[order], n[order]
+        first = np.append(0, np.flatnonzero(word[1:] != word[:-1]) + 1) if len(word) else np.zeros(0, np.int64)
+        parts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(word[first].view(np.int64)), pa.array(np.add.reduceat(n, first) if len(word) else n)], ["word", "c"])
 
-def _texts(block: w.Block) -> Iterator[str]:
-    raw = block.data.tobytes()
-    for low, high in zip(block.offsets[:-1], block.offsets[1:], strict=True):
-        yield raw[low:high].decode("utf-8", "replace")
+    for block in w.blocks(batches):
+        parts.append(np.unique(block.words(lower=True).hash, return_counts=True))
+        if sum(len(word) for word, _ in parts) > TOGETHER:
+            yield merged()
+    if parts:
+        yield merged()
+
+
+def _ids(block: w.Block, words: w.Spans, encoder: Ids, end_id: int) -> list[bytes]:
+    """Ids of each text, 16 bits each, with the end before and after. Each unit of plain texts is encoded once a block at most."""
+    raw, bounds = block.data.tobytes(), block.offsets.tolist()
+    plain, odd = np.ones(len(block), bool), w.sums(ODD[block.data], block.offsets)
+    for i in np.flatnonzero(odd).tolist():
+        plain[i] = PLAIN.fullmatch(raw[bounds[i]:bounds[i + 1]].decode("utf-8", "replace")) is not None
+    units = block.units(words)
+    here = np.repeat(plain, np.diff(units.first))
+    value, back = np.unique(units.hash[here], return_inverse=True)
+    one = np.empty(len(value), np.int64)
+    one[back] = np.flatnonzero(here)
+    known, begin, size = encoder.units.find(value, lambda i: [raw[a:b].decode() for a, b in zip(units.start[one[i]].tolist(), units.end[one[i]].tolist(), strict=True)])
+    n = np.zeros(len(here), np.int64)
+    n[here] = size[back]
+    per = w.sums(n, units.first)  # ids of each text
+    own = size[back]
+    spot = np.arange(own.sum()) + np.repeat(begin[back] - (np.cumsum(own) - own), own)
+    out = np.full(len(spot) + 2 * len(block), end_id, "<u2")
+    out[np.arange(len(spot)) + np.repeat(2 * np.arange(len(block)) + 1, per)] = known[spot]
+    flat, ends = out.tobytes(), (2 * np.cumsum(per + 2)).tolist()
+    ids = [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    end = np.array([end_id], "<u2").tobytes()
+    for i in np.flatnonzero(~plain).tolist():
+        whole = encoder.whole(raw[bounds[i]:bounds[i + 1]].decode("utf-8", "replace"))
+        ids[i] = end + np.frombuffer(whole, "<u4").astype("<u2").tobytes() + end
+    return ids
 
 
 def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -153,8 +191,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], rank: np.ndarray) -> Iterato
     total = np.zeros(at.KNOWN * (at.COMMON + 1), np.int64)
     for ids, offsets in _flat(batches):
         keys = np.delete(at.pairs(rank[ids]), offsets[1:-1] - 1)  # the end of a text and the begin of the next are no pair
-        found, n = np.unique(keys, return_counts=True)
-        total[found] += n
+        np.add.at(total, keys, 1)
     found = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["pair", "n"])
 
@@ -173,7 +210,7 @@ def _train(batches: Iterator[pa.RecordBatch], model: at.Model, scoring: Scoring,
             real = column[:size] < targets[own, None]
             run = numbers[start[own, None] + column]
             run[:, 1:][~real] = 0
-            adam.step(run, real.astype(np.float32))
+            adam.step(run, real.astype(np.float32), False)
         seen += int(targets.sum())
     if seen:
         flat = adam.model.flat()
@@ -207,8 +244,7 @@ def text_scores(model: at.Model, texts: list[np.ndarray], batch: int = 192) -> n
 
 def _encode(batches: Iterator[pa.RecordBatch], unigrams: tuple[np.ndarray, np.ndarray, int], vocabulary: str, scoring: Scoring) -> Iterator[pa.RecordBatch]:
     hashes, counts, texts = unigrams
-    encode = Ids.of(vocabulary).encode
-    end = np.array([scoring.end_id], "<u4").tobytes()
+    encoder = Ids.of(vocabulary)
     logs = np.log10(counts + 1.0)
     for block in w.blocks(batches):
         words = block.words(lower=True)
@@ -226,7 +262,7 @@ def _encode(batches: Iterator[pa.RecordBatch], unigrams: tuple[np.ndarray, np.nd
         start = np.flatnonzero(np.append(True, (back[unknown][1:] != back[unknown][:-1]) | (text_of[1:] != text_of[:-1]))[:len(unknown)])
         items = pa.StructArray.from_arrays([pa.array(words.hash[unknown[start]].view(np.int64)), pa.array(np.diff(np.append(start, len(unknown))).astype(np.int32))], ["word", "n"])
         rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(text_of[start], np.arange(len(block) + 1)).astype(np.int32)), items)
-        ids = [np.frombuffer(end + encode(text) + end, "<u4").astype("<u2").tobytes() for text in _texts(block)]
+        ids = _ids(block, words, encoder, scoring.end_id)
         yield pa.RecordBatch.from_arrays(
             [block.rows.column("row"), block.rows.column("doc_id"), block.rows.column("training"), pa.array(np.diff(first) + 1), pa.array(w.sums(here, first) + (texts > 0)),
              pa.array(total[first[1:]] - total[first[:-1]] + np.log10(texts + 1.0)), pa.array(ids, pa.binary()), rare],

@@ -89,14 +89,28 @@ class Block:
         after[-1] = False
         after[:-1] = inside[1:]
         end = np.flatnonzero(inside & ~(after & ~edge[1:])) + 1
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(n, True), out=total[1:])
-        value = (total[end] - total[start]) * powers(n + 1, False)[start]
-        return Spans(start, end, mix(value + (end - start).astype(np.uint64)), np.searchsorted(start, self.offsets))
+        return Spans(start, end, hashed(data, start, end), np.searchsorted(start, self.offsets))
 
     def words(self, lower: bool = False) -> Spans:
         return self.spans(BLANK, lower)
 
+    def units(self, words: Spans) -> Spans:
+        """The words with the blanks before them, and the blanks that end a text: together they are the texts."""
+        edge = np.zeros(len(self.data) + 1, bool)
+        edge[words.end] = True
+        edge[self.offsets] = True
+        cut = np.flatnonzero(edge)
+        return Spans(cut[:-1], cut[1:], hashed(self.data, cut[:-1], cut[1:]), np.searchsorted(cut, self.offsets))
+
+
+def hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes from ``start`` to ``end``."""
+    n = len(data)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(n, True), out=total[1:])
+    value = (total[end] - total[start]) * powers(n + 1, False)[start]
+    return mix(value + (end - start).astype(np.uint64))
+
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[Block]:
     for batch in batches:

@@ -648,6 +648,34 @@ def test_biases_are_the_distribution_after_the_id_before():
     assert np.allclose(p[:3], (np.array([0, 2, 1]) + attention.PRIOR * alone) / (3 + attention.PRIOR), rtol=1e-3)
 
 
+def test_units_have_the_ids_of_the_library_and_are_asked_for_once(monkeypatch):
+    texts = [text or "" for _, text, *_ in awkward()] + ["  a\n\n b's  it's\t", "\n", "b's a", "x" * 3000 + " b's", "a\x1cb \x1c", "one \u3000 two", " <|endoftext|> "]
+    encoder = Ids(PATH)
+    end = np.array([50256], "<u2").tobytes()
+
+    def ids():
+        batch = pa.record_batch([pa.array(texts, pa.string())], ["text"])
+        return [x for block in w.blocks(iter([batch])) for x in lm._ids(block, block.words(lower=True), encoder, 50256)]
+
+    expected = [end + library_ids(text, 50256).astype("<u2").tobytes() for text in texts]
+    assert ids() == expected
+    asked = []
+    monkeypatch.setattr(encoder.units, "_split", asked.append)
+    assert ids() == expected and not asked
+    monkeypatch.undo()
+    monkeypatch.setattr("lectern.llm.tokenizing.UNITS", 3)  # forgets with every block
+    assert ids() == expected
+
+
+def test_counts_of_many_blocks_are_one_row_a_word(monkeypatch):
+    batch = pa.record_batch([pa.array(["b a A"] * 2000 + [None, ""], pa.string())], ["text"])
+    blocks = [pa.record_batch([pa.array(["b a A"] * 10)], ["text"])] * 5
+    assert sorted(pa.Table.from_batches(lm._count(iter([batch, *blocks]))).column("c").to_pylist()) == [2050, 4100]
+    assert list(lm._count(iter([]))) == []
+    monkeypatch.setattr(lm, "TOGETHER", 1)
+    assert sum(pa.Table.from_batches(lm._count(iter(blocks))).column("c").to_pylist()) == 150
+
+
 def test_held_out_texts_score_no_worse_than_their_words(spark):
     """Words of a small vocabulary in a fixed order of kinds: what follows depends on what stood before."""
     rng = np.random.default_rng(3)
