@@ -227,7 +227,9 @@ def gradient(model: Model, ids: np.ndarray, weight: np.ndarray, measured: bool =
     dh = head("u1", h, model.bias[0].take(before, 0), group, scales)
     gate = w["g2"].take(inner, 0)
     back = head("u2", h * gate, model.bias[1].take(before * GROUP + inner, 0), t % GROUP, scales * (t < COMMON))
-    grads["g2"] = _gather(inner, back * h, GROUP)
+    member = np.zeros((len(t), GROUP), h.dtype)
+    member.ravel()[every * GROUP + inner] = 1
+    grads["g2"] = member.T @ (back * h)
     back *= gate
     dh += back
     rare = np.flatnonzero(t >= COMMON)
@@ -238,7 +240,7 @@ def gradient(model: Model, ids: np.ndarray, weight: np.ndarray, measured: bool =
     grads["v"], grads["o"] = (g := y.T @ dh) @ w["o"].T, w["v"].T @ g
     dy = dh @ into.T
     ds = dy.reshape(n, size, d) @ x.transpose(0, 2, 1)
-    ds -= np.einsum("ij,ij->i", dy, y).reshape(n, size, 1)  # what the mixture as a whole would lose
+    ds -= ((dy * y) @ np.ones(d, dy.dtype)).reshape(n, size, 1)  # what the mixture as a whole would lose
     ds *= share
     dq = (ds @ x).reshape(-1, d)
     g = (flat.T @ dq) * np.float32(d ** -0.5)
