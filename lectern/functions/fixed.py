@@ -7,8 +7,11 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 # Java tests single characters below 256 in a class by one look-up; ranges and others it asks one after the other.
-LINE_BREAKS = r"[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029](?:(?<=\r)\n)?"
+BREAKS = r"\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
+LINE_BREAKS = rf"[{BREAKS}](?:(?<=\r)\n)?"
 RARE_BREAKS, WIDE_BREAKS = r"[\x0b\x0c\r\x1c\x1d\x1e\x85]", "\u2028\u2029"
+# Between a break and what follows it: lines split here keep their breaks.
+AFTER_BREAKS = rf"(?<=[{BREAKS}])(?<!\r(?=\n))"
 
 # HTML
 TAGGED = r"(?i)</?(?:p|div|br|html|body|span)\b"

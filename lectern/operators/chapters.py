@@ -52,12 +52,20 @@ def is_navigation(name: Column, properties: Column, linear: Column) -> Column:
 
 
 def drop_duplicate_title_lines(text: Column, title: Column) -> Column:
-    """While the first two lines both repeat the title, drop the first."""
-    def keep_last(ls: Column) -> Column:
-        other = F.array_position(F.transform(ls, lambda line: tx.strip(line) == title), False)
-        run = F.when(other == 0, F.size(ls)).otherwise(other - 1)
-        return tx.unlines(F.slice(ls, F.greatest(run, F.lit(1)).cast("int"), F.greatest(F.size(ls), F.lit(1))))
-    return tx.let(tx.lines(text), keep_last)
+    """While the first two lines both repeat the title, drop the first. What is left keeps its line breaks as they are."""
+    def run_of(ls: Column, name: Column) -> Column:
+        # stripping is the costly part, and most lines do not hold the title
+        same = F.transform(ls, lambda line: (line.contains(name) & (tx.strip(line) == name)).eqNullSafe(F.lit(True)))
+        return tx.let(F.array_position(same, False), lambda other: F.greatest(F.when(other == 0, F.size(ls)).otherwise(other - 1).cast("int"), F.lit(1)))
+
+    def keep_last(whole: Column, ls: Column, run: Column) -> Column:
+        # a break is one character, but for the pair that counts as one
+        paired = F.array_join(F.slice(F.split(whole, fixed.AFTER_BREAKS, -1), run, F.size(ls) + 1), "")
+        dropped = tx.unlines(F.slice(ls, F.lit(1), run - 1))
+        rest = F.when(whole.contains("\r\n"), paired).otherwise(F.substring(whole, F.length(dropped) + 2, F.length(whole)))
+        return F.when(run > 1, rest).otherwise(whole)
+
+    return tx.let(title, lambda name: tx.let(text, lambda whole: tx.let(tx.lines(whole), lambda ls: tx.let(run_of(ls, name), lambda run: keep_last(whole, ls, run)))))
 
 
 def drop_title_only_first(chapters: Column, title: Column) -> Column:

@@ -407,3 +407,31 @@ def test_a_table_of_some_splits_gets_more_parts_than_cores(spark):
     cores = spark.sparkContext.defaultParallelism
     parts = [inputs.balanced(spark.range(0, 100, 1, n), "id").rdd.getNumPartitions() for n in (1, cores, cores + 1)]
     assert parts == [max(cores, 4), 4 * cores, cores + 1]
+
+
+# ---- texts as files and tables hold them -------------------------------------------------------------------------
+
+ODD_TEXTS = ["", None, "\n", "\n\n\n", "  ", "One.\nTwo.\n", "One.\n\n", "\n\nOne.", "Same\nSame\nbody", "  Same \nSame\n Same\nbody", "A\nA\nA", "a\r\na\r\nb\r\n", "a\rb", "a\u2028a\u2028b",
+             "Title:\nTitle:Title:\nx", "\ufeffmarked", "\ufeff\ufeffmarked", "\ufeff", "!!! ...", "\x00a\x00", "\u4f60\U0001f600", "plain words"]
+
+
+def odd_documents(spark, folder):
+    """Every odd text under twelve ids, which also are every remainder of 3 and 4, some of them negative."""
+    rows = [(12 * i + k - 60, "en", "s", text) for i, text in enumerate(ODD_TEXTS) for k in range(12)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{folder}/documents.parquet")
+    return {row[0]: row[3] for row in rows}
+
+
+def test_title_lines_go_and_nothing_else(spark):
+    from lectern.operators import chapters as ch
+    cases = [("T\nT\nbody\n", "T\nbody\n"), ("T\nbody\n\n", "T\nbody\n\n"), ("T\r\n T\r\nT\r\nx\r\ny", "T\r\nx\r\ny"), ("T\rT\nx\x85y\r\n", "T\nx\x85y\r\n"), ("T\n\nT\n", "T\n\nT\n"),
+             ("T\u2028T\u2028x", "T\u2028x"), ("T\nT\nT", "T"), ("T\nT\n", "T\n"), ("x\nT\nT", "x\nT\nT"), ("", ""), ("\n", "\n"), (None, None)]
+    rows = spark.createDataFrame(list(enumerate(c[0] for c in cases)), "id int, text string")
+    found = {r.id: r.t for r in rows.select("id", ch.drop_duplicate_title_lines(F.col("text"), F.lit("T")).alias("t")).collect()}
+    assert found == {i: c[1] for i, c in enumerate(cases)}
+
+
+def test_texts_keep_all_but_the_repeated_title(spark, tmp_path):
+    from lectern.plans.chapter_queries import c7_drop_duplicate_title_lines
+    texts = odd_documents(spark, str(tmp_path))
+    assert {r.doc_id: r.text for r in c7_drop_duplicate_title_lines(spark, str(tmp_path)).collect()} == texts
